@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.llm import bpe, langid, mixing, quality, sharding
+from loomlake.llm import bpe, dedup, html, langid, mixing, quality, sharding, topk, urls, warc
 from loomlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_near_dedup": lambda spark, d: dedup.near_duplicates(table(spark, d, "documents")),
+    "op2_html_main_text": lambda spark, d: html.extract(table(spark, d, "pages")),
+    "op3_warc_index": lambda spark, d: warc.archive(table(spark, d, "pages")),
+    "op4_exact_top_k": lambda spark, d: topk.top_k(table(spark, d, "embeddings")),
     "op5_quality_rules": lambda spark, d: quality.score(table(spark, d, "documents")),
     "op6_mix_sources": lambda spark, d: mixing.mix(table(spark, d, "documents")),
+    "op7_url_filter": lambda spark, d: urls.judge(table(spark, d, "pages")),
     "op8_shard_shuffle": lambda spark, d: sharding.assign(table(spark, d, "documents")),
     "op9_bpe_round_trip": lambda spark, d: bpe.digests(table(spark, d, "documents")),
     "op10_language_id": lambda spark, d: langid.predict(table(spark, d, "documents")),

@@ -29,6 +29,8 @@ BUCKETS = 1 << 16
 MAX_WORD = 20
 #: Unseen words: this probability over the number of words, and a factor for each character.
 UNSEEN, PER_CHAR = 10.0, 0.1
+#: Added to every count of a token and class.
+SMOOTH = 0.01
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -144,7 +146,7 @@ def judge(pages: DataFrame) -> DataFrame:
     buckets = F.transform(used, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
     seeded = F.arrays_overlap("words", F.array(*map(F.lit, SEEDS)))
     rows = written(parsed.join(segments, "host").select("page_id", "host", "path", "words", rule.alias("rule"), verdict.alias("rule_verdict"), buckets.alias("buckets"), seeded.alias("seeded")), "url-tokens")
-    counts = np.full((2, BUCKETS), 1.0)
+    counts = np.full((2, BUCKETS), SMOOTH)
     for r in rows.select("seeded", F.explode("buckets").alias("b")).groupBy("seeded", "b").agg(F.count("*").alias("n")).collect():  # 2 * BUCKETS rows at most
         counts[int(r["seeded"]), r["b"]] += r["n"]
     n = {r["seeded"]: r["n"] for r in rows.groupBy("seeded").agg(F.count("*").alias("n")).collect()}
