@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from loomlake.jobs import oracle_losses, oracle_timeline, timeline
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**timeline.QUERIES}
+ORACLE_SQL: dict[str, str] = {**oracle_timeline.ORACLE, **oracle_losses.ORACLE}
