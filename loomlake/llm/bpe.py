@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -22,14 +24,19 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that are remembered, and the longest of them; longer words go through the transducer each time.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 300_000, 64
 #: Characters that are normalised and cut into words at once.
 PIECE = 1 << 16
 
-# The words of this vocabulary's kind, white space of Unicode, and the byte characters.
+# White space of Unicode, and the words of this vocabulary's kind: endings after an
+# apostrophe, runs of letters, single numbers, runs of anything else.
 _SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_CUT = regex.compile(rf"[{_SPACE}]+")
+_ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
+_WORDS = regex.compile(rf"\p{{L}}+|{_ENDINGS}|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: The same for texts in which every number is a decimal digit.
+_SIMPLE = re.compile(rf"[^\W\d_]+|{_ENDINGS}|\d|(?:[^\w{_SPACE}]|_)+")
+_ODD_NUMBERS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
+_CUT = re.compile(rf"[{_SPACE}]+")
 
 
 def byte_chars() -> list[str]:
@@ -71,20 +78,16 @@ class Vocabulary:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best = min(zip(symbols, symbols[1:], strict=False), key=lambda p: ranks.get(p, 1 << 60))
-            if best not in ranks:
-                break
-            out, i, n, (u, v) = [], 0, len(symbols), best
-            while i < n:
-                if i + 1 < n and symbols[i] == u and symbols[i + 1] == v:
-                    out.append(u + v)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
+        rank, none = self.ranks.get, len(self.ranks)
+        order = [rank(p, none) for p in zip(symbols, symbols[1:], strict=False)]
+        while order and (least := min(order)) < none:
+            i = order.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del order[i]
+            if i < len(order):
+                order[i] = rank((symbols[i], symbols[i + 1]), none)
+            if i:
+                order[i - 1] = rank((symbols[i - 1], symbols[i]), none)
         return symbols
 
 
@@ -119,8 +122,8 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
+        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def _lower(self, text: str) -> str:
         """Each character by itself (so without the final form of sigma), after NFC."""
@@ -129,21 +132,29 @@ class Encoder:
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
-    def word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            w = WordEncoder(self.v)
-            table = self.v.bytes
-            got = ()
+    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
+        """The ids of a word, their text, and the text they decode to."""
+        v, table = self.v, self.v.bytes
+        if len(word) <= CACHE_LENGTH:  # it ends within the transducer's buffer
+            symbols = [table[b] for b in word.encode("utf-8", "replace")]
+            symbols[-1] += v.suffix
+            ids = [v.ids[t] for t in v.merge(symbols)]
+        else:
+            w, ids = WordEncoder(v), []
             for at in range(0, len(word), PIECE):
-                got += tuple(w.feed("".join([table[b] for b in word[at : at + PIECE].encode("utf-8", "replace")])))
-            got += tuple(w.end())
-            if len(word) <= CACHE_LENGTH:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = got
+                ids += w.feed("".join([table[b] for b in word[at : at + PIECE].encode("utf-8", "replace")]))
+            ids += w.end()
+        got = tuple(ids), " ".join(map(str, ids)), Decoder(self.v).feed(ids)
+        if len(word) <= CACHE_LENGTH:
+            if len(self.known) >= CACHE_WORDS:
+                self.known.clear()
+            self.known[word] = got
         return got
 
+    def words(self, piece: str) -> list[str]:
+        piece = self._lower(piece)
+        return (_SIMPLE if piece.isascii() or _ODD_NUMBERS.isdisjoint(piece) else _WORDS).findall(piece)
+
     def pieces(self, text: str) -> Iterator[str]:
         """The text cut at white space into parts of about PIECE characters; a longer word stays whole."""
         at = 0
@@ -156,15 +167,17 @@ class Encoder:
             yield text[at:end]
             at = end
 
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """The ids of a text, a tuple for each word or special token."""
+    def encode(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, str]]]:
+        """The words and special tokens of a text, some at a time: ids, their text, and the text they decode to."""
         parts = self.cut.split(text) if self.cut and "<|" in text else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                yield (self.v.special[part],)
+                i = self.v.special[part]
+                yield [((i,), str(i), part)]
                 continue
             for piece in self.pieces(part):
-                yield from map(self.word, _WORDS.findall(self._lower(piece)))
+                get, word = self.known.get, self.word
+                yield [get(w) or word(w) for w in self.words(piece)]
 
 
 class Decoder:
@@ -206,19 +219,13 @@ def _digests(path: str):
         for b in batches:
             n, ids_sha, text_sha = [], [], []
             for text in b["text"].to_pylist():
-                count, ids, back, dec, sep = 0, hashlib.sha256(), hashlib.sha256(), Decoder(enc.v), ""
-                held: list[int] = []
+                count, ids, back, sep = 0, hashlib.sha256(), hashlib.sha256(), ""
                 for got in enc.encode(text or ""):
-                    held += got
-                    if len(held) >= 4096:
-                        count += len(held)
-                        ids.update((sep + " ".join(map(str, held))).encode())
-                        back.update(dec.feed(held).encode())
-                        held, sep = [], " "
-                if held:
-                    count += len(held)
-                    ids.update((sep + " ".join(map(str, held))).encode())
-                    back.update(dec.feed(held).encode())
+                    if got:
+                        count += sum([len(x[0]) for x in got])
+                        ids.update((sep + " ".join([x[1] for x in got])).encode())
+                        back.update((sep + " ".join([x[2] for x in got])).encode())
+                        sep = " "
                 n.append(count)
                 ids_sha.append(ids.hexdigest())
                 text_sha.append(back.hexdigest())
@@ -246,7 +253,7 @@ def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for b in batches:
-            ids = [[i for got in enc.encode(t or "") for i in got] for t in b["text"].to_pylist()]
+            ids = [[i for got in enc.encode(t or "") for x in got for i in x[0]] for t in b["text"].to_pylist()]
             back = [Decoder(enc.v).feed(x) for x in ids]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
 
