@@ -1,0 +1,23 @@
+"""SQL for the round trips: the portable rows of the timeline as each target carries them."""
+
+from loomlake.jobs.oracle_timeline import CLAUDE_IMAGE, CONVERSATIONAL, DATA_USER_IMAGE, EVT, LINK, SUMMARY, TOOLS, USER_IMAGE
+
+def _pos(order: str = "event_seq") -> str:
+    return f"CAST(row_number() OVER (PARTITION BY session_key ORDER BY {order}) - 1 AS BIGINT) AS pos"
+
+
+ORACLE = {
+    "e2_p2_codex_round_trip": f"""WITH {EVT} SELECT session_key, {_pos()}, kind, CASE WHEN kind = 'compaction' THEN 'system' ELSE role END AS role, text,
+ CASE WHEN kind = 'tool_call' THEN coalesce(tool_name, 'unknown_tool') END AS tool_name, image_url, false AS is_error
+ FROM evt WHERE {CONVERSATIONAL} OR {TOOLS} OR ({USER_IMAGE} AND image_url IS NOT NULL) OR {SUMMARY}""",
+    "e1_p1_claude_round_trip": f"""WITH {EVT} SELECT session_key, {_pos()}, kind, role, text,
+ CASE WHEN kind = 'tool_call' THEN coalesce(tool_name, 'unknown_tool') END AS tool_name, image_url, coalesce(is_error, false) AS is_error
+ FROM evt WHERE {CONVERSATIONAL} OR {TOOLS} OR {CLAUDE_IMAGE}""",
+    "e3_p3_pi_round_trip": f"""{LINK},
+fn AS (SELECT r.session_key, r.event_seq, arg_min(c.tool_name, c.event_seq) AS first_name FROM lk r JOIN lk c ON c.kind = 'tool_call' AND c.session_key = r.session_key AND c.tool_call_id IS NOT DISTINCT FROM r.tool_call_id AND c.event_seq < r.event_seq AND c.tool_name IS NOT NULL WHERE r.kind = 'tool_result' GROUP BY ALL)
+SELECT evt.session_key, CAST(row_number() OVER (PARTITION BY evt.session_key ORDER BY evt.event_seq) - 1 AS BIGINT) AS pos, kind, CASE WHEN kind = 'compaction' THEN 'system' ELSE role END AS role, text,
+ CASE kind WHEN 'tool_call' THEN coalesce(tool_name, 'unknown_tool') WHEN 'tool_result' THEN coalesce(first_name, 'unknown_tool') END AS tool_name, image_url, coalesce(is_error, false) AS is_error
+FROM evt LEFT JOIN fn ON fn.session_key = evt.session_key AND fn.event_seq = evt.event_seq WHERE {CONVERSATIONAL} OR {TOOLS} OR {DATA_USER_IMAGE} OR {SUMMARY}""",
+    "e8_cursor_turns": f"""WITH {EVT}, t AS (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY event_seq) - 1 AS BIGINT) AS turn FROM evt WHERE {CONVERSATIONAL})
+SELECT session_key, turn, max(text) FILTER (role = 'user') AS user_text, coalesce(list(text ORDER BY event_seq) FILTER (role = 'assistant'), []) AS assistant_texts FROM t WHERE turn >= 0 GROUP BY session_key, turn""",
+}

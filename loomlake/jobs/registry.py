@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.jobs import oracle_losses, oracle_timeline, timeline
+from loomlake.jobs import formats, oracle_formats, oracle_losses, oracle_timeline, timeline
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**timeline.QUERIES}
-ORACLE_SQL: dict[str, str] = {**oracle_timeline.ORACLE, **oracle_losses.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**timeline.QUERIES, **formats.QUERIES}
+ORACLE_SQL: dict[str, str] = {**oracle_timeline.ORACLE, **oracle_losses.ORACLE, **oracle_formats.ORACLE}
