@@ -70,3 +70,33 @@ SELECT CAST(conv_id AS STRING) AS session_key, turn AS event_seq, turn AS record
 def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A timeline of messages, a session for each conversation."""
     return spark.sql(CONV_SQL.format("{conversations}"), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: Catalog rows from the table of documents; {label} is a piece of its text.
+CATALOG_SQL = """
+SELECT doc_id AS catalog_id, source AS root_id, concat(lang, '/', CAST(doc_id AS STRING), '.jsonl') AS relative_path, lang AS format,
+       CASE WHEN doc_id % 11 <> 0 THEN concat('S', CAST(doc_id % 97 AS STRING)) END AS native_id,
+       CASE WHEN doc_id % 5 = 0 THEN concat('S', CAST(doc_id % 97 AS STRING)) END AS filename_id,
+       CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN doc_id % 9 = 1 THEN 'corrupt' WHEN doc_id % 9 = 2 THEN 'validated' ELSE 'candidate' END AS status,
+       CASE WHEN doc_id % 7 = 0 THEN 'subagent' ELSE 'main' END AS kind,
+       CASE WHEN doc_id % 3 = 0 AND doc_id > 0 THEN CAST(floor(doc_id / 4) AS BIGINT) END AS parent_id,
+       n_chars AS size, 1704067200000 + (doc_id * 7919 % 100000) * 1000 AS modified_ms
+FROM {0}
+"""
+
+LABELS_SQL = """
+SELECT doc_id AS catalog_id, 'custom_title' AS kind, substring(text, 1, 12) AS value, 100 AS priority, CAST(doc_id % 5 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS ins FROM {0} WHERE text <> ''
+UNION ALL SELECT doc_id, 'ai_title', substring(text, 3, 10), 90, 9, 1 FROM {0} WHERE text <> ''
+UNION ALL SELECT doc_id, 'custom_title', substring(text, 2, 11), 100, 2, 2 FROM {0} WHERE text <> '' AND doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'custom_title', substring(text, 1, 12), 100, 7, 3 FROM {0} WHERE text <> '' AND doc_id % 4 = 0
+"""
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog of sessions, one for each document."""
+    return spark.sql(CATALOG_SQL.format("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of the catalog's sessions, some of them repeated."""
+    return spark.sql(LABELS_SQL.format("{documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
