@@ -168,6 +168,18 @@ def classify(found: list[Block]) -> list[Block]:
             b.label = "neargood"
         else:
             b.label = "bad"
+    at = 0
+    while at < len(found):  # neighbours that are nearly good count with their joint length
+        end = at
+        while end < len(found) and found[end].label == "neargood":
+            end += 1
+        if sum(len(b.text) for b in found[at:end]) > LONG_LENGTH:
+            for b in found[at:end]:
+                b.label = "good"
+        at = end + 1
+    if not any(b.label == "good" for b in found):
+        for b in found:
+            b.label = "good" if b.label == "neargood" else b.label
     edge = "good" if marked else "bad"
     labels = [b.label for b in found]
     before, after = [edge] * len(found), [edge] * len(found)

@@ -1,0 +1,335 @@
+"""Each operator against a brute-force version or an exact round trip, on small tables with odd rows."""
+
+import base64
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from conftest import rows_of, rows_of_sql
+
+from loomlake.llm import bpe, dedup, html, langid, mixing, quality, queries, sharding, topk, urls, warc
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, TEXT2 string"
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(*r, 0, None, "x", "y") for r in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing extra columns."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 120))), rng.choice(["en", "de", None]), rng.choice(["a", "b", "é", None])) for i in range(150)]
+    rows += [(200, None, "en", "a"), (201, "", None, None), (202, " \n\t ", "de", "b"), (None, "some words without an id", "en", None), (203, "word " * 30000, "en", "a"), rows[0], rows[0], (204, "a b", "en", "b"), (205, rows[5][1], "en", "b"), (206, "###  ***\n###  ***\n\n12 34", "en", "a")]
+    return rows, _docs(spark, rows)
+
+
+def test_sql_queries(spark, sf_dir, duck):
+    for name, sql in queries.ORACLE_SQL.items():
+        assert rows_of(queries.QUERIES[name](spark, sf_dir)) == rows_of_sql(duck, sql), name
+
+
+@pytest.mark.parametrize("make", [dedup.near_duplicates, quality.score, mixing.mix, sharding.assign, bpe.digests, langid.predict])
+def test_empty_documents(spark, make):
+    assert make(_docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("stage", [quality.keep_good, langid.keep_known, dedup.keep_one, mixing.take])
+def test_stages_keep_the_columns(spark, odd, stage):
+    out = stage(odd[1])
+    assert out.schema.names == odd[1].schema.names
+    assert out.count() > 0 and stage(_docs(spark, [])).count() == 0
+
+
+def _repeats(words):
+    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = Counter(grams)
+    return len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)})
+
+
+def test_quality_counts(odd):
+    rows, df = odd
+    want = Counter()
+    for i, text, *_ in rows:
+        words = WORD.findall(text or "")
+        lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+        want[(i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), _repeats(words))] += 1
+    got = quality.score(df).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in got)
+
+
+def test_quality_rejects_what_stands_out(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aeiourst") for _ in range(5)) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(80)), "en", "a") for i in range(60)] + [(99, " ".join(rng.choice(words) + "%%%" for _ in range(80)), "en", "a")]
+    assert {r.doc_id for r in quality.score(_docs(spark, rows)).where("NOT kept").collect()} == {99}
+
+
+def test_mix_meets_its_targets(odd):
+    rows, df = odd
+    got = mixing.mix(df).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    assert len(got) == len(rows) and Counter(r["size"] for r in got) == Counter(size(t) for _, t, *_ in rows)
+    by = {r.source_size: r.target for r in got}
+    assert math.isclose(sum(by.values()), 1.5 * sum(by), rel_tol=1e-9)
+    for s, target in by.items():
+        mine = [r for r in got if r.source_size == s]
+        assert target <= 2 * s and all(r.taken in (0, r["size"], 2 * r["size"]) for r in mine)
+        assert abs(sum(r.taken for r in mine) - target) <= max(r["size"] for r in mine)
+    assert sorted(map(tuple, mixing.mix(df).collect()), key=str) == sorted(map(tuple, got), key=str)
+    assert mixing.take(df).count() == sum(r.taken // r["size"] for r in got if r["size"]) + sum(1 for r in got if not r["size"] and r.taken) + _taken_empty(df, got)
+
+
+def _taken_empty(df, got):
+    """Documents without words count nothing, but are taken like others of their source and hash."""
+    return mixing.take(df).where("text IS NULL OR trim(text) = '' OR NOT text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").count()
+
+
+def test_hypergeometric_law(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(40_000).select(sharding._hypergeometric(F.lit(30).cast("long"), F.lit(12).cast("long"), F.lit(10).cast("long"), (F.col("id") + 0.5) / 40_000).alias("x"))
+    got = {r.x: r["count"] / 40_000 for r in df.groupBy("x").count().collect()}
+    for k in range(11):
+        want = math.comb(12, k) * math.comb(18, 10 - k) / math.comb(30, 10)
+        assert abs(got.get(k, 0) - want) < 1e-3
+    big = spark.range(2000).select(sharding._hypergeometric(F.lit(10**9), F.lit(10**9 // 16), F.lit(10**6), (F.col("id") + 0.5) / 2000).alias("x")).agg(F.avg("x"), F.stddev("x")).first()
+    spread = math.sqrt(10**6 / 16 * 15 / 16)
+    assert abs(big[0] - 62500) < 3 * spread / math.sqrt(2000) and abs(big[1] - spread) < 0.1 * spread
+
+
+def test_shards_are_even_and_gapless(spark, odd):
+    rows, df = odd
+    got = sharding.assign(df.repartition(5)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    counts = Counter(r.shard for r in got)
+    assert max(counts.values()) - min(counts.values()) <= 1 and set(counts) == set(range(16))
+    for s in counts:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(counts[s]))
+    text = dict((r[0], r[1]) for r in rows)
+    assert all(r["size"] == len((text[r.doc_id] or "").encode()) + 1 and r.text_crc32 == (None if text[r.doc_id] is None else zlib.crc32(text[r.doc_id].encode())) for r in got)
+
+
+def test_bpe_equals_the_library(odd, spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary_path()
+    t = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    letters = "abcdefghinotsre'!?#&é ÉΣσςİıß́ \t\n\x85\xa0\x1c㎡²½٣日本語🙂ﬁǅ"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(400)] + ["a" * 3000, "haha" * 900, "x<|endoftext|>y", "it's", None, "é" * 2000]
+    texts += [r[1] for r in odd[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.digests(df, path).collect()}
+    for i, text in enumerate(texts):
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_stream_is_stable_in_any_pieces():
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcdefghinotsre") for _ in range(4000))
+    whole = [v.ids[t] for t in v.merge([*word[:-1], word[-1] + v.suffix])]
+    for size in (1, 7, 1000):
+        w, got = bpe.WordEncoder(v, block=50), []
+        for at in range(0, len(word), size):
+            got += w.feed(word[at : at + size])
+            assert len(w.held) <= w.limit + size
+        assert got + list(w.end()) == whole
+
+
+def test_language_accuracy_and_unknown_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    r = langid.predict(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(x.lang_pred == x.lang for x in r) >= 0.95 * len(r) and all(0 <= x.score <= 1 for x in r)
+    assert all(x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in r)
+
+
+def test_language_of_odd_rows(odd):
+    got = {r.doc_id: r for r in langid.predict(odd[1]).collect()}
+    assert got[200].lang_pred == got[201].lang_pred == got[202].lang_pred == "und" and got[200].score == 0 and not got[None].held_out
+
+
+def test_pages_main_text():
+    nav = "<nav><ul><li><a href='/a'>Home</a></li></ul></nav>"
+    body = "<p>The man and the sea is a story that all of us have read, and it was good for the people who were there &amp; more.</p>" * 2
+    page = f"<html><head><title>T</title><style>p{{}}</style></head><body>{nav}<div class='ad'>Buy this now</div><article><h1>A  title</h1>{body}<p>Short.<!-- c --><script>x='</p>'</script></article><div id='comments'><p>I like it</p></div><footer>&copy; us</footer></body>"
+    want = "A title " + "The man and the sea is a story that all of us have read, and it was good for the people who were there & more. " * 2 + "Short."
+    assert html.main_text(page) == want
+    assert html.main_text(page.replace("article>", "div>")).startswith("A title The man")
+    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
+
+
+def test_pages_of_the_tables(spark, sf_dir):
+    for r in html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect():
+        assert r.n_chars == len(r.text) and "<" not in re.sub(r"[#*$%&|<>]{3}", "", r.text)
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [(1, "http://b.test/x", "same"), (2, "http://a.test/y?q=1", "same"), (3, None, None), (4, "no scheme", ""), (5, "HTTP://Z.test", "uni ü\r\n\r\nWARC/1.1\r\n\r\n"), (None, "http://n.test/", "same"), (6, "http://a.test/y?q=1", "x" * 300_000), (1, "http://b.test/x", "same")]
+    return rows, spark.createDataFrame([(*r, 9) for r in rows], "page_id long, url string, html string, refers_to int")
+
+
+def test_archives_round_trip(spark, pages):
+    rows, df = pages
+    first = {}
+    for p, _, h in rows:
+        if p is not None:
+            first[h or ""] = min(p, first.get(h or "", p))
+    want = Counter()
+    for p, _, h in rows:
+        b = (h or "").encode()
+        d = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        again = first[h or ""] != p
+        want[(p, len(b), d, "revisit" if again else "response", first[h or ""] if again else None)] += 1
+    got = warc.archive(df).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    keys = [(r.url_key, r.captured_at) for r in got]
+    assert keys == sorted(keys)
+    assert warc.archive(df.limit(0)).count() == 0
+
+
+def test_loser_tree_merges():
+    rng = random.Random(4)
+    for k in range(9):
+        runs = [sorted((rng.randint(0, 30), rng.random()) for _ in range(rng.randint(0, 12))) for _ in range(k)]
+        assert list(warc.merge(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_url_rules_and_verdicts(spark):
+    base = [f"http://w{i}.example.net/en/{i}" for i in range(40)] + ["http://cheap-pills.example.net/en/1", "http://x.cheappills.net/en/2"]
+    odd_urls = [None, "", "nothing", "http://ORG/x", "https://a.org", "https://a.org/", "http://example.org/es/1", "http://sub.example.org/en/12?x#y", "http://a.com/fr/", "http://a.com/de/#", "ftp://host?x", "http://borg/x"]
+    rows = list(enumerate(base + odd_urls))
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    want = [("", "", None), ("", "", None), ("", "", None), ("org", "/x", "org/"), ("a.org", "", None), ("a.org", "/", "org/"), ("example.org", "/es/1", "example.org/es/"), ("sub.example.org", "/en/12", "example.org/en/1"), ("a.com", "/fr/", "com/fr/"), ("a.com", "/de/", "com/de/"), ("host", "", None), ("borg", "/x", None)]
+    at = len(base)
+    assert [(got[at + i].host, got[at + i].path, got[at + i].rule) for i in range(len(want))] == want
+    assert got[at + 9].verdict == "block" and got[at + 8].verdict == "allow"
+    assert got[40].verdict == got[41].verdict == "block" and {got[i].verdict for i in range(40)} == {"allow"}
+    assert got[41].words == ["x", "cheap", "pills", "net"]
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_viterbi_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(30):
+        label = "".join(rng.choice("ab") for _ in range(9))
+        known = {(a, n): -rng.random() * 9 for a in range(9) for n in range(2, 10 - a) if rng.random() < 0.3}
+        p = lambda a, n: known.get((a, n), math.log(urls.UNSEEN / 100) + n * math.log(urls.PER_CHAR))  # noqa: B023, E731
+        best = max(sum(p(a, b - a) for a, b in zip(c, c[1:])) for m in range(256) for c in [[0, *[i + 1 for i in range(8) if m >> i & 1], 9]])
+        at, total = 0, 0.0
+        for w in urls.viterbi(label, known, 100):
+            total += p(at, len(w))
+            at += len(w)
+        assert math.isclose(total, best)
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(300, 6))
+    m[50:60] = m[50]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(m)]
+    rows += [(900, None, 1), (1000, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1100, [float("nan")] * 6, 1), (1200, [1.0, 2.0], 1), (1300, [], 1), (None, [1.0] * 6, 1), (0, rows[0][1], 0), (1400, [1e30] * 6, 1)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")).collect()
+    vec = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    clip = lambda x: max(-(2**63 - 1), min(2**63 - 1, x))
+    want = set()
+    for q in (i for i in vec if i % 100 == 0):
+        scored = sorted((-clip(sum(a * b for a, b in zip(vec[q], c))), i) for i, c in vec.items() if i != q and len(c) == len(vec[q]))
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_pivots_eliminate():
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(20, 8)) * 900
+    c = np.floor(centers[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 20)
+    best = [topk.Best(10)]
+    assert topk.search_batch(best, np.array([-1]), c[:1], topk.choose_pivots(c[:500]), np.arange(4000), c) < 2000
+
+
+def _brute_classes(rows, weights):
+    shingles = {}
+    for i, text, *_ in rows:
+        w = WORD.findall(text or "")
+        if w:
+            hashes = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in w], np.uint64).view(np.int64)
+            _, ids, count = dedup.shingles(hashes, np.array([len(w)]))
+            shingles[i] = ids, count
+    flat = np.ones(1 << dedup.DF_BITS) if weights is None else weights
+    parent = {i: i for i in shingles}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(shingles)
+    for a in ids:
+        for b in ids:
+            if a < b and dedup.similarity(shingles[a], shingles[b], flat) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def test_near_duplicates_are_found_and_others_left_alone(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, rows = text(60), []
+    for g in range(12):
+        base = text(rng.randint(120, 400))
+        rows.append((100 * g, " ".join(base)))
+        for k in range(rng.randint(1, 6)):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 2])):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((100 * g + k + 1, " ".join(copy)))
+    rows += [(5000 + k, " ".join(text(80) + passage + text(80))) for k in range(60)]
+    rows += [(7000, "one two"), (7001, "one two"), (7002, None), (7003, ""), (7004, " "), (None, rows[0][1]), (7005, " ".join(text(20000)))]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, class_id int")
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+    want = _brute_classes([r for r in rows if r[0] is not None], None)
+    assert {i: got[i] for i in want} == want
+    assert got[7002] == 7002 and got[7003] == 7003 and got[None] == 0
+    kept = dedup.keep_one(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({got[i] for i in got})
+
+
+def test_weighted_sampling_estimates_similarity():
+    rng = np.random.default_rng(1)
+    a = np.sort(rng.choice(1 << 47, 600, replace=False).astype(np.uint64))
+    b = np.sort(np.concatenate([a[:450], rng.choice(1 << 47, 150).astype(np.uint64)]))
+    s = dedup.Sampler()
+    weight = lambda ids: 1 + (ids % np.uint64(3)).astype(np.float32) / 4
+    draws = [s.draw(np.zeros(len(x), np.int64), x, weight(x))[2][0] for x in (a, b)]
+    shared = weight(a[:450]).sum()
+    true = shared / (weight(a).sum() + weight(b).sum() - shared)
+    assert abs((draws[0] == draws[1]).mean() - true) < 0.2
+
+
+def test_pipeline_against_its_parts(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
+    good = {r.doc_id for r in quality.score(docs).where("kept").collect()}
+    assert out and out <= good
+    classes = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs.where(docs["doc_id"].isin(list(good)))).collect()}
+    assert len({classes[i] for i in out}) == len(out)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "mix_sources", "bpe_tokens"]
