@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomlake.operators import emit, parse
+from loomlake.operators import emit, emit_more, parse, parse_more
 from loomlake.operators.losses import with_neutral_columns
 from loomlake.sources.bridges import AS_OF_MS, evt_events
 from loomlake.sources.transcripts import records_of
@@ -33,6 +33,19 @@ def pi_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return _timeline(parse.parse_pi(records_of(emit.to_pi(_events(spark, d), AS_OF_MS)))[0])
 
 
+def opencode_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    docs = emit_more.to_opencode(_events(spark, d), AS_OF_MS).select("session_key", F.try_parse_json("value").alias("v"))
+    return _timeline(parse_more.parse_opencode(docs))
+
+
+def copilot_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _timeline(parse_more.parse_copilot(records_of(emit_more.to_copilot(_events(spark, d), AS_OF_MS))))
+
+
+def vibe_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return _timeline(parse_more.parse_vibe(records_of(emit_more.to_vibe(_events(spark, d), AS_OF_MS))))
+
+
 def native_counts(spark: SparkSession, d: str) -> DataFrame:
     """Records of each type that each target gets, over all sessions."""
     e = _events(spark, d)
@@ -45,6 +58,11 @@ QUERIES = {
     "e1_p1_claude_round_trip": claude_round_trip,
     "e2_p2_codex_round_trip": codex_round_trip,
     "e3_p3_pi_round_trip": pi_round_trip,
+    "e4_p4_opencode_round_trip": opencode_round_trip,
+    "e5_p5_copilot_round_trip": copilot_round_trip,
+    "e6_p6_vibe_round_trip": vibe_round_trip,
+    "e6_vibe_meta": lambda s, d: emit_more.vibe_meta(emit_more.to_vibe(_events(s, d), AS_OF_MS)).select("session_key", "total_messages"),
+    "v4_asset_integrity": lambda s, d: parse_more.asset_integrity(records_of(emit_more.to_copilot(_events(s, d), AS_OF_MS))),
     "e8_cursor_turns": lambda s, d: emit.to_cursor(_events(s, d)),
     "k2_native_record_counts": native_counts,
 }
