@@ -84,7 +84,7 @@ ORACLE: dict[str, str] = {
     "w9_native_ids": f"""{NATIVE},
 pt AS (SELECT session_key, first_seq, sub, ordered_ms, unnest(range(0, n_blocks + 1)) AS part FROM ot),
 x AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY first_seq, sub, part) AS t, (ordered_ms * 4096 + 1) % 281474976710656 AS x FROM pt)
-SELECT session_key, first_seq, CAST(sub AS INTEGER) AS sub, CAST(part AS INTEGER) AS part, CAST(t + max(x - t) OVER (PARTITION BY session_key ORDER BY t) AS BIGINT) AS native_id FROM x""",
+SELECT session_key, first_seq, CAST(sub AS INTEGER) AS sub, part, CAST(t + max(x - t) OVER (PARTITION BY session_key ORDER BY t) AS BIGINT) AS native_id FROM x""",
     "w10_associated": f"""{LINK},
 bd AS (SELECT session_key, event_seq, sum(CASE WHEN {CONVERSATIONAL} OR {DATA_USER_IMAGE} OR {SUMMARY} THEN 1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY event_seq) AS n FROM evt)
 SELECT lk.session_key, lk.event_seq, coalesce(c.n < r.n, false) AS associated FROM lk JOIN bd r USING (session_key, event_seq)
