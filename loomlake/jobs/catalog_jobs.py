@@ -10,11 +10,15 @@ from loomlake.sources.bridges import catalog, labels
 
 #: Searches and titles that the queries look for.
 SEARCHES = ("the er", "THE S1", "le de", "ß", "En CH", "zzzz")
+TITLES = ("the", "ß", "zzzz zzzz")
 LIMIT, OFFSET = 100, 50
 
 
-def _searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(q,) for q in SEARCHES], "query string")
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    """Some given titles, and those of the first ten sessions."""
+    titles = C.display_titles(labels(spark, d))
+    first = [r["title"] for r in titles.where(F.col("catalog_id") < 10).collect()]
+    return C.resolved(titles, sorted({*TITLES, *first}))
 
 
 def _previous(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +55,8 @@ QUERIES = {
     "a4_status_counts": lambda s, d: catalog(s, d).groupBy("format", "status").agg(F.count("*").alias("n"), F.sum("size").alias("size")),
     "a7_duplicate_ids": lambda s, d: C.duplicates(catalog(s, d)),
     "c1_refreshed": lambda s, d: C.refreshed(_previous(s, d), _current(s, d), _current(s, d), _failed(s)).select("catalog_id", "root_id", "relative_path", "size", "status"),
-    "c4_search": lambda s, d: C.search(catalog(s, d), labels(s, d), _searches(s)),
-    "c5_resolved_titles": lambda s, d: C.resolved(C.display_titles(labels(s, d)), C.display_titles(labels(s, d)).where("catalog_id % 10 = 0").select(F.col("title").alias("query")).distinct()),
+    "c4_search": lambda s, d: C.search(catalog(s, d), labels(s, d), list(SEARCHES)),
+    "c5_resolved_titles": _resolved,
     "c6_located": lambda s, d: C.located(catalog(s, d), catalog(s, d).where("native_id IS NOT NULL").select("native_id").distinct()),
     "c7_transferable": lambda s, d: C.transferable(catalog(s, d)).select("catalog_id", "status"),
     "f5_filtered": lambda s, d: C.filtered(catalog(s, d), formats=["en", "de"], kinds=["main"], since_ms=1704067200000 + 20_000_000, until_ms=1704067200000 + 70_000_000).select("catalog_id", "format", "modified_ms"),
@@ -77,6 +81,7 @@ def _sql() -> dict[str, str]:
     prev = f"{cat}, prev AS (SELECT * REPLACE (CASE WHEN catalog_id % 13 = 0 THEN size + 1 ELSE size END AS size) FROM cat WHERE catalog_id % 10 <> 3), cur AS (SELECT * FROM cat WHERE catalog_id % 8 <> 5 AND root_id <> 'src3')"
     fold = "replace(lower({0}), 'ß', 'ss')"
     terms = ", ".join("('" + q + "')" for q in SEARCHES)
+    given = ", ".join("('" + q + "')" for q in TITLES)
     diff = f"""{prev}, diff AS (
       SELECT root_id, relative_path, CASE WHEN p.catalog_id IS NULL THEN 'new' WHEN c.catalog_id IS NULL AND root_id = 'src3' THEN 'unchanged' WHEN c.catalog_id IS NULL THEN 'missing'
       WHEN p.size = c.size AND p.modified_ms = c.modified_ms THEN 'unchanged' ELSE 'changed' END AS state FROM prev p FULL JOIN cur c USING (root_id, relative_path))"""
@@ -90,10 +95,10 @@ def _sql() -> dict[str, str]:
           hit AS (SELECT DISTINCT x.query, x.term, cat.catalog_id FROM x JOIN cat ON contains(lower(coalesce(native_id, '')), term) OR contains(lower(coalesce(filename_id, '')), term)
                   UNION SELECT x.query, x.term, f.catalog_id FROM x JOIN f ON contains(v, term))
           SELECT query, catalog_id FROM hit GROUP BY query, catalog_id HAVING count(DISTINCT term) = (SELECT count(DISTINCT term) FROM x WHERE x.query = hit.query)""",
-        "c5_resolved_titles": f"""WITH {titles}, q AS (SELECT DISTINCT title AS query FROM ti WHERE catalog_id % 10 = 0),
+        "c5_resolved_titles": f"""WITH {titles}, q AS (SELECT DISTINCT title AS query FROM ti WHERE catalog_id < 10 UNION SELECT * FROM (VALUES {given}) AS g(query)),
           m AS (SELECT query, catalog_id, {fold.format('title')} = {fold.format('query')} AS exact FROM q JOIN ti ON contains({fold.format('title')}, {fold.format('query')})),
           n AS (SELECT query, count(*) FILTER (exact) AS e, count(*) AS p, min(catalog_id) FILTER (exact) AS ce, min(catalog_id) AS cp FROM m GROUP BY query)
-          SELECT query, CASE WHEN e = 1 THEN ce WHEN e = 0 AND p = 1 THEN cp END AS catalog_id, CASE WHEN e > 1 OR (e = 0 AND p > 1) THEN 'ambiguous' END AS error FROM n""",
+          SELECT q.query, CASE WHEN e = 1 THEN ce WHEN e = 0 AND p = 1 THEN cp END AS catalog_id, CASE WHEN n.query IS NULL THEN 'no_match' WHEN e > 1 OR (e = 0 AND p > 1) THEN 'ambiguous' END AS error FROM q LEFT JOIN n ON n.query = q.query""",
         "c6_located": f"WITH {cat} SELECT native_id, CASE WHEN count(*) = 1 THEN min(catalog_id) END AS catalog_id, CASE WHEN count(*) > 1 THEN 'ambiguous' END AS error FROM cat WHERE native_id IS NOT NULL GROUP BY native_id",
         "c7_transferable": f"WITH {cat} SELECT catalog_id, status FROM cat WHERE status IN ('candidate', 'validated')",
         "f5_filtered": f"WITH {cat} SELECT catalog_id, format, modified_ms FROM cat WHERE format IN ('en', 'de') AND kind = 'main' AND modified_ms >= 1704067200000 + 20000000 AND modified_ms < 1704067200000 + 70000000",

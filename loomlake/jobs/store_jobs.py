@@ -32,8 +32,8 @@ def _changed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(s: SparkSession, d: str) -> DataFrame:
-    targets = s.createDataFrame([(f,) for f in FORMATS if f != "opencode"], "target string")
-    rows = catalog(s, d).select("catalog_id", F.concat(F.lit("0000000-"), F.col("catalog_id").cast("string")).alias("sid"), F.concat(F.lit("/w/"), "root_id").alias("cwd"), F.lit("2024-03-05 06:07:08").cast("timestamp").alias("at")).crossJoin(F.broadcast(targets))
+    targets = F.explode(F.array(*[F.lit(f) for f in FORMATS if f != "opencode"])).alias("target")
+    rows = catalog(s, d).select("catalog_id", F.concat(F.lit("0000000-"), F.col("catalog_id").cast("string")).alias("sid"), F.concat(F.lit("/w/"), "root_id").alias("cwd"), F.lit("2024-03-05 06:07:08").cast("timestamp").alias("at"), targets)
     return rows.select("catalog_id", "target", convert.target_path(F.col("target"), F.col("sid"), F.col("cwd"), F.col("at")).alias("path"))
 
 

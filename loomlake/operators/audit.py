@@ -9,9 +9,9 @@ from loomlake.schema import FORMATS, PINNED_VERSIONS
 
 
 def routes(sessions: DataFrame) -> DataFrame:
-    """Every session with every target and that target's version; the targets are eight rows."""
-    targets = sessions.sparkSession.createDataFrame([(f, PINNED_VERSIONS[f]) for f in FORMATS], "target string, target_version string")
-    return sessions.crossJoin(F.broadcast(targets))
+    """Every session with every target and that target's version; the targets are eight."""
+    targets = F.array(*[F.struct(F.lit(f).alias("target"), F.lit(PINNED_VERSIONS[f]).alias("target_version")) for f in FORMATS])
+    return sessions.select("*", F.explode(targets).alias("t")).select(*sessions.columns, "t.target", "t.target_version")
 
 
 def row_hash(*columns: str):

@@ -122,33 +122,34 @@ def lineage_roots(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     return up.join(ends, up["parent"] == ends["_c"], "left_anti").select(F.col("child").alias("catalog_id"), F.col("parent").alias("root_id"), F.col("steps").cast("long").alias("depth"))
 
 
-def search(sessions: DataFrame, labels: DataFrame, queries: DataFrame, with_paths: bool = False) -> DataFrame:
+def search(sessions: DataFrame, labels: DataFrame, queries: list[str], with_paths: bool = False) -> DataFrame:
     """C4: sessions for which every term of a query occurs in an id or a label (or a path), in any order.
 
-    labels and queries are case-folded once; queries are a given list of a few, broadcast to the sessions.
+    Labels are case-folded once; the queries are a given list, matched against each session in one pass.
     """
     folded = labels.select("catalog_id", casefold(F.col("value")).alias("f")).groupBy("catalog_id").agg(F.collect_set("f").alias("folded"))
     rows = sessions.join(folded, "catalog_id", "left").withColumn("folded", F.coalesce("folded", F.array().cast("array<string>")))
-    given = queries.select("query", F.filter(F.split(casefold(F.col("query")), r"\s+"), lambda t: t != "").alias("terms"))
     texts = [F.lower(F.coalesce("native_id", F.lit(""))), F.lower(F.coalesce("filename_id", F.lit("")))] + ([F.lower("relative_path")] if with_paths else [])
-    one = lambda t: F.exists("folded", lambda x: F.contains(x, t))
 
     def matches(t: Column) -> Column:
-        found = one(t)
+        found = F.exists("folded", lambda x: F.contains(x, t))
         for x in texts:
             found = found | F.contains(x, t)
         return found
 
-    return rows.crossJoin(F.broadcast(given)).where(F.forall("terms", matches)).select("query", "catalog_id")
+    given = F.array(*[F.struct(F.lit(q).alias("query"), F.array(*map(F.lit, q.casefold().split())).cast("array<string>").alias("terms")) for q in queries])
+    hits = F.filter(given, lambda g: F.forall(g["terms"], matches))
+    return rows.select("catalog_id", F.explode(hits).alias("g")).select("g.query", "catalog_id")
 
 
-def resolved(titles: DataFrame, queries: DataFrame) -> DataFrame:
-    """The one session a title names: exact folded matches first, else those that contain it."""
+def resolved(titles: DataFrame, queries: list[str]) -> DataFrame:
+    """The one session that each of a given list of titles names: exact folded matches first, else those that contain it."""
+    given = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(q.casefold()).alias("folded")) for q in queries])
     t = titles.select("catalog_id", casefold(F.col("title")).alias("title"))
-    q = queries.select("query", casefold(F.col("query")).alias("folded"))
-    met = t.crossJoin(F.broadcast(q)).where(F.contains("title", "folded")).withColumn("exact", F.col("title") == F.col("folded"))
+    met = t.select("catalog_id", "title", F.explode(F.filter(given, lambda g: F.contains(F.col("title"), g["folded"]))).alias("g"))
+    met = met.select("catalog_id", "g.query", (F.col("title") == F.col("g.folded")).alias("exact"))
     counts = met.groupBy("query").agg(F.count_if("exact").alias("exact"), F.count("*").alias("partial"), F.min(F.when(F.col("exact"), F.col("catalog_id"))).alias("e"), F.min("catalog_id").alias("p"))
-    out = queries.select("query").join(counts, "query", "left")
+    out = titles.sparkSession.createDataFrame([(q,) for q in queries], "query string").join(counts, "query", "left")
     n = F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.coalesce("partial", F.lit(0)))
     hit = F.when(F.col("exact") > 0, F.col("e")).otherwise(F.col("p"))
     return out.select("query", F.when(n == 1, hit).alias("catalog_id"), F.when(n == 0, "no_match").when(n > 1, "ambiguous").alias("error"))
