@@ -11,7 +11,10 @@ frequency, and two texts are near duplicates if their weighted Jaccard similarit
    little go (a pair at the threshold agrees less than that by 5 standard deviations); an exact
    weighted Jaccard similarity decides on the rest, for which alone texts are fetched. Verified links
    give components. Buckets that still hold more than one component are compared again across
-   components: all pairs where the bucket is small, else each node with representatives of others.
+   components: all pairs where the bucket is small, else each node of other components with a node of the
+   bucket's largest one, as long as that settles more than half of what is left. What is left then is
+   compared in full, block against block of a bucket, so each pair that meets in a bucket is either
+   compared or already of one component.
 4. Components by smallest label with pointer jumping; labels stay in tables in the shared folder, and
    later turns only join the components of earlier ones.
 
@@ -36,8 +39,10 @@ BANDS, ROWS = 24, 5
 DF_BITS, DF_CHUNKS = 18, 16
 #: A run's weight falls from 1 + DAMP to 1 as its document frequency rises from 1/256 of all texts to all.
 DAMP = 0.5
-#: Buckets of so many nodes are compared pair by pair across components; larger ones by representatives.
-SMALL, TURNS = 32, 3
+#: Buckets of so many nodes are compared pair by pair across components; larger ones by representatives first.
+SMALL = 32
+#: Nodes of a block of a bucket that representatives do not settle.
+BLOCK = 1024
 #: Tables of so many rows of two keys (some 30 MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Entries of each table of variates, as a power of 2; three of them, indexed by different bits, serve a run.
@@ -257,25 +262,71 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "comp")
 
 
-def _across(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs a, b of different components that share a bucket. rows: bucket, node; labels: node, comp, size.
-
-    In a large bucket the nodes of smaller components are compared with a node of a larger one, another
-    node in each bucket; so the pairs grow with the smaller components, not with a large group's size.
+def _mixed(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """bucket, node, comp, n (nodes of the bucket), top (a node of its largest component, another one in each
+    bucket and turn) for buckets with several components. rows: bucket, node; labels: node, comp, size.
     """
     own = rows.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     own = written(own, "dedup-buckets")
-    mark = F.struct(F.xxhash64("comp", F.lit(turn)).alias("o"), "comp", F.xxhash64("node", "bucket", F.lit(turn)).alias("p"), "node", "size")
-    seen = own.groupBy("bucket").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi"), F.count("*").alias("n"))
-    mixed = own.join(seen.where("lo.comp != hi.comp"), "bucket")
-    large = mixed if turn > 1 else mixed.where(F.col("n") > SMALL)
-    pairs = large.select("node", "comp", "size", F.explode(F.array("lo", "hi")).alias("e")).where("comp != e.comp AND size <= e.size").select(F.col("node").alias("a"), F.col("e.node").alias("b"))
-    if turn == 1:
-        groups = mixed.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "comp")).alias("x"))  # SMALL nodes at most
-        one = groups.select("x", F.explode("x").alias("a"))
-        two = one.select("a", F.explode(F.filter("x", lambda y: (y["node"] < F.col("a.node")) & (y["comp"] != F.col("a.comp")))).alias("b"))
-        pairs = pairs.union(two.select("a.node", "b.node"))
-    return pairs
+    mark = F.struct("size", "comp", F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), "node")
+    seen = own.groupBy("bucket").agg(F.max(mark).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi")
+    some = seen.select("bucket", F.struct("top.comp", "top.node").alias("top"), "n")
+    return written(own.select("bucket", "node", "comp").join(some, "bucket"), "dedup-mixed")
+
+
+def _within(mixed: DataFrame) -> DataFrame:
+    """All pairs a, b of different components that share a small bucket."""
+    groups = mixed.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "comp")).alias("x"))  # SMALL nodes at most
+    one = groups.select("x", F.explode("x").alias("a"))
+    two = one.select("a", F.explode(F.filter("x", lambda y: (y["node"] < F.col("a.node")) & (y["comp"] != F.col("a.comp")))).alias("b"))
+    return two.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+
+def _compare(best: bool):
+    def run(t: pa.Table) -> pa.Table:
+        own, lo, hi = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+        right = np.flatnonzero(own == hi)
+        one, two, agree = [], [], []
+        for i in np.flatnonzero(own == lo):
+            js = right[(comp[right] != comp[i]) & ((right > i) | (lo != hi))]
+            same = (sketch[js] == sketch[i]).mean(1)
+            js, same = js[same >= LEAST_AGREEMENT], same[same >= LEAST_AGREEMENT]
+            if best:
+                order = np.lexsort((-same, comp[js]))
+                order = order[np.diff(comp[js][order], prepend=-1) != 0]
+                js, same = js[order], same[order]
+            one.append(np.full(len(js), i))
+            two.append(js)
+            agree.append(same)
+        ia, ib = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (one, two))
+        return pa.table({"a": t["node"].take(pa.array(ia)), "b": t["node"].take(pa.array(ib)), "comp": t["comp"].take(pa.array(ib)), "agree": pa.array(np.concatenate([*agree, np.zeros(0)]))})
+
+    return run
+
+
+def _blocks(mixed: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
+    """The agreeing pairs a, b of different components that share a large bucket, each once. mixed: as _mixed gives it.
+
+    A bucket's nodes are dealt into blocks of about BLOCK, those of its largest component (which need not
+    be compared with each other) apart from the rest; each task holds two blocks. best: of a node's pairs
+    with a component only the one that agrees most.
+    """
+    rest = F.col("comp") != F.col("top.comp")
+    large = mixed.where(F.col("n") > SMALL)
+    counts = large.groupBy(F.col("bucket").alias("_b")).agg(F.count_if(rest).alias("r"))
+    many = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sized = large.join(counts, F.col("bucket") == F.col("_b")).select("bucket", "node", "comp", rest.alias("rest"), many(F.col("r")).alias("kr"), many(F.col("n") - F.col("r")).alias("kd"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    own = F.when(F.col("rest"), deal(F.col("kr"))).otherwise(F.col("kr") + deal(F.col("kd")))
+    others = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("kr") + F.col("kd")).otherwise(F.col("kr")) - 1)
+    held = sized.join(nodes.select(F.col("key").alias("_k"), "sketch"), F.col("node") == F.col("_k")).select("bucket", "node", "comp", "sketch", own.alias("own"), F.explode(others).alias("other"))
+    dealt = held.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "sketch")
+    found = dealt.groupBy("bucket", "lo", "hi").applyInArrow(_compare(best), "a binary, b binary, comp binary, agree double")
+    if best:
+        found = found.groupBy("a", "comp").agg(F.max(F.struct("agree", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-pairs")
 
 
 def _sized(labels: DataFrame) -> DataFrame:
@@ -329,16 +380,28 @@ def classes(docs: DataFrame) -> DataFrame:
         held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _hashes(F.col("text_a")).alias("words_a"), _hashes(F.col("text_b")).alias("words_b"))
         return written(held.mapInArrow(_verify(weights), "a binary, b binary"), "dedup-found")
 
-    labels: DataFrame | None = None
-    for turn in range(TURNS):
-        pairs = rows.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")) if labels is None else _across(rows.select("bucket", "node"), labels, turn)
-        pairs = agreeing(pairs)
-        if turn and pairs.isEmpty():
+    labels = _joined(None, verified(agreeing(rows.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))))
+
+    def settled(pairs: DataFrame) -> DataFrame:
+        """labels after the links among some pairs."""
+        links = None if pairs.isEmpty() else verified(pairs)
+        return labels if links is None or links.isEmpty() else _joined(labels, links)
+
+    turn, before = 1, None
+    while True:
+        mixed = _mixed(rows.select("bucket", "node"), labels, turn)
+        rows = mixed.where(F.col("n") > SMALL)
+        stars = rows.where("comp != top.comp").select(F.col("node").alias("a"), F.col("top.node").alias("b"))
+        left = stars.count()
+        if before is not None and 2 * left > before or turn > 1 and not left:
             break
-        links = verified(pairs)
-        if turn and links.isEmpty():
-            continue
-        labels = _joined(labels, links)
+        labels = settled(agreeing(stars if turn > 1 else stars.union(_within(mixed))))
+        turn, before = turn + 1, left
+    for best in (True, False):
+        if not rows.isEmpty():
+            labels = settled(_blocks(rows, nodes, best))
+            if best:
+                rows = _mixed(rows.select("bucket", "node"), labels, turn)
     named = nodes.select("key", "rep").join(labels, nodes["key"] == labels["node"], "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
     named = written(named.join(ids, "comp"), "dedup-classes")

@@ -311,6 +311,25 @@ def test_near_duplicates_are_found_and_others_left_alone(spark):
     assert sorted(r.doc_id for r in kept) == sorted({got[i] for i in got})
 
 
+def test_mixed_large_buckets_are_compared_in_full(spark, monkeypatch):
+    """Pairs of texts just above the threshold, all texts just below it: buckets of hundreds of nodes hold many components."""
+    monkeypatch.setattr(dedup, "BLOCK", 64, raising=False)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common, rows = [word() for _ in range(404)], []
+    for g in range(200):
+        shared = [word() for _ in range(6)]
+        rows += [(2 * g + k, " ".join(common + shared + [word() for _ in range(33)])) for k in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = df.select("doc_id", dedup._hashes(df["text"]).alias("words"))
+    weights = dedup.run_weights(words.select("words"))
+    runs = {r.doc_id: dedup.shingles(np.array(r.words, np.int64), np.array([len(r.words)]))[1:] for r in words.collect()}
+    near = [(a, b) for a in runs for b in runs if a < b and dedup.similarity(runs[a], runs[b], weights) >= 0.8]
+    assert near == [(2 * g, 2 * g + 1) for g in range(200)]
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = np.random.default_rng(1)
     a = np.sort(rng.choice(1 << 47, 600, replace=False).astype(np.uint64))
