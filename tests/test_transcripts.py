@@ -180,6 +180,11 @@ def test_lineage_leaves_out_cycles(spark):
     assert sorted(tuple(r) for r in C.lineage_roots(edges).collect()) == [(2, 1, 1), (3, 1, 2), (4, 1, 3)]
 
 
+def test_lineage_of_deep_chains(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(900, 901), (901, 900), (902, 900)], "child long, parent long")
+    assert sorted(tuple(r) for r in C.lineage_roots(edges).collect()) == [(i, 0, i) for i in range(1, 301)]
+
+
 def test_stream_takes_in_new_files(spark, tmp_path):
     src, cat = tmp_path / "src", str(tmp_path / "cat")
     src.mkdir()
