@@ -7,16 +7,17 @@ frequency, and two texts are near duplicates if their weighted Jaccard similarit
    arrays are added up (all documents count; the table's size is fixed, so it is broadcast).
 2. Signatures: improved consistent weighted sampling draws BANDS * ROWS samples of each text; texts that
    agree in all samples of a band meet in a bucket. Equal texts are one node from here on.
-3. Links: in each bucket every node is paired with one representative. Pairs whose samples agree too
-   little go (a pair at the threshold agrees less than that by 5 standard deviations); an exact
-   weighted Jaccard similarity decides on the rest, for which alone texts are fetched. Verified links
-   give components. Buckets that still hold more than one component are compared again across
-   components: all pairs where the bucket is small, else each node of other components with a node of the
-   bucket's largest one, as long as that settles more than half of what is left. What is left then is
-   compared in full, block against block of a bucket, so each pair that meets in a bucket is either
-   compared or already of one component.
-4. Components by smallest label with pointer jumping; labels stay in tables in the shared folder, and
-   later turns only join the components of earlier ones.
+3. Families: within a bucket, nodes whose samples agree at LEAST_AGREEMENT or more are joined (a pair at
+   the threshold agrees less than that by 4 standard deviations). Components of these pairs are families:
+   no near-duplicate pair of a bucket lies across two of them.
+4. Links: each family's texts come together once, and the exact weighted Jaccard similarity decides on
+   every pair whose samples agree, unless other links have joined it already. Components of the links
+   are the classes.
+
+Buckets and families of any size are compared in full. A task holds a block of at most about BLOCK nodes
+(and BLOCK_WORDS words): first each block by itself together with one node common to all blocks, then,
+where a bucket or family is still in several components, the nodes outside its largest component against
+all others, block by block. Tasks give links that span what they joined, never all pairs.
 
 A pair at the threshold misses all bands with probability (1 - 0.8**5)**24 = 7e-5, one at 0.85 with 8e-7.
 """
@@ -33,16 +34,14 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import words_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Pairs whose samples agree less than this are not fetched.
-LEAST_AGREEMENT = 0.6
+#: Pairs whose samples agree less than this are not compared.
+LEAST_AGREEMENT = 0.65
 BANDS, ROWS = 24, 5
 DF_BITS, DF_CHUNKS = 18, 16
 #: A run's weight falls from 1 + DAMP to 1 as its document frequency rises from 1/256 of all texts to all.
 DAMP = 0.5
-#: Buckets of so many nodes are compared pair by pair across components; larger ones by representatives first.
-SMALL = 32
-#: Nodes of a block of a bucket that representatives do not settle.
-BLOCK = 1024
+#: Nodes of a block of a bucket or family, and words of a block of texts (a longer text is a block of its own).
+BLOCK, BLOCK_WORDS = 1024, 1 << 20
 #: Tables of so many rows of two keys (some 30 MB) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Entries of each table of variates, as a power of 2; three of them, indexed by different bits, serve a run.
@@ -178,6 +177,7 @@ def _signatures(weights):
             bands = np.zeros((b.num_rows, BANDS), np.uint64)
             sketches = np.zeros((b.num_rows, BANDS * ROWS), np.uint8)
             any_word = np.zeros(b.num_rows, bool)
+            n_words = b["words"].value_lengths().fill_null(0)
             for row, values, sizes in _texts(b, "words"):
                 text, ids, count = shingles(values, sizes)
                 if len(text):
@@ -187,50 +187,119 @@ def _signatures(weights):
             ends = np.append(0, np.cumsum(any_word * BANDS)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[any_word].view(np.int64).ravel()))
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BANDS * ROWS), b.num_rows, [None, pa.py_buffer(sketches)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], lists, packed], names=["doc_id", "key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["key"], n_words, lists, packed], names=["doc_id", "key", "words", "bands", "sketch"])
 
     return run
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose samples agree enough."""
-    for b in batches:
-        if b.num_rows:
-            one, two = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            yield b.select(["a", "b"]).filter(pa.array((one == two).mean(1) >= LEAST_AGREEMENT, pa.bool_()))
+def _shared(ids: np.ndarray, weight: np.ndarray, others: np.ndarray, other: np.ndarray) -> float:
+    """The weight that two texts share, each given by sorted ids and their weights."""
+    if len(ids) > len(others):
+        ids, weight, others, other = others, other, ids, weight
+    at = np.minimum(np.searchsorted(others, ids), len(others) - 1)
+    same = others[at] == ids
+    return float(np.minimum(weight[same], other[at[same]]).sum())
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weights: np.ndarray) -> float:
     """Weighted Jaccard similarity of two texts, each (ids, counts) with sorted ids."""
-    bucket = np.uint64((1 << DF_BITS) - 1)
-    w = lambda ids: weights[(ids & bucket).astype(np.intp)].astype(float)
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    wb = w(both)
-    shared = float((np.minimum(a[1][i], b[1][j]) * wb).sum())
-    total = float((a[1] * w(a[0])).sum() + (b[1] * w(b[0])).sum())
-    return shared / (total - shared) if total else 0.0
-
+    if not len(a[0]) or not len(b[0]):
+        return 0.0
+    w = lambda x: x[1] * weights[(x[0] & np.uint64((1 << DF_BITS) - 1)).astype(np.intp)].astype(float)
+    wa, wb = w(a), w(b)
+    shared = _shared(a[0], wa, b[0], wb)
+    return shared / (wa.sum() + wb.sum() - shared)
+
+
+class Texts:
+    """The runs of the texts of some rows, and the exact test of two of them."""
+
+    def __init__(self, words: pa.ChunkedArray, weights: np.ndarray) -> None:
+        lists = words.combine_chunks()
+        sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        row, self.ids, count = shingles(lists.flatten().to_numpy(zero_copy_only=False), sizes)
+        self.weight = count * weights[(self.ids & np.uint64((1 << DF_BITS) - 1)).astype(np.intp)].astype(float)
+        self.start = np.searchsorted(row, np.arange(len(sizes) + 1))
+        self.total = np.bincount(row, self.weight, len(sizes))
+
+    def near(self, i: int, j: int) -> bool:
+        a, b = self.total[i], self.total[j]
+        if min(a, b) < SIMILARITY * max(a, b) * (1 - 1e-9):
+            return False
+        x, y = (slice(self.start[k], self.start[k + 1]) for k in (i, j))
+        shared = _shared(self.ids[x], self.weight[x], self.ids[y], self.weight[y])
+        return shared >= SIMILARITY * (a + b - shared) * (1 - 1e-12)
+
+
+def _sketches(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _span(sketch: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, one_side: bool, near) -> Iterator[tuple[int, int]]:
+    """Links (i, j) that span what near(i, j) joins, among pairs of left and right that agree and are of different components."""
+    for i in left:
+        js = right[comp[right] != comp[i]]
+        if one_side:
+            js = js[js > i]
+        if not len(js):
+            continue
+        same = (sketch[js] == sketch[i]).mean(1)
+        js = js[same >= LEAST_AGREEMENT][np.argsort(-same[same >= LEAST_AGREEMENT], kind="stable")]
+        for j in js:
+            if comp[j] != comp[i] and near(i, j):
+                comp[comp == comp[j]] = comp[i]
+                yield i, j
+
+
+def _links(t: pa.Table, starts: np.ndarray, weights: np.ndarray | None) -> pa.RecordBatch:
+    """Links within groups of rows (g, lo, hi, own, node, comp, sketch and, with weights, words); starts: each group's first row."""
+    sketch, own, lo, hi = _sketches(t["sketch"]), *(t[c].to_numpy() for c in ("own", "lo", "hi"))
+    comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
+    ends = np.append(starts[1:], t.num_rows)
+    one, two = [], []
+    if weights is None:  # in one step for all groups: do their rows agree with the first?
+        first = np.repeat(starts, ends - starts)
+        meets = (sketch == sketch[first]).mean(1) >= LEAST_AGREEMENT
+        pure = np.logical_and.reduceat(meets & (lo == hi), starts)
+        whole = np.flatnonzero(np.repeat(pure, ends - starts) & (np.arange(t.num_rows) != first))
+        one.append(whole)
+        two.append(first[whole])
+        todo = np.flatnonzero(~pure)
+    else:
+        todo = np.arange(len(starts))
+    for g in todo:
+        a, b = starts[g], ends[g]
+        near = (lambda i, j: True) if weights is None else Texts(t["words"].slice(a, b - a), weights).near
+        left, right = np.flatnonzero(own[a:b] == lo[a]), np.flatnonzero(own[a:b] == hi[a])
+        got = list(_span(sketch[a:b], comp[a:b].copy(), left, right, bool(lo[a] == hi[a]), near))
+        if got:
+            i, j = np.array(got).T
+            one.append(i + a)
+            two.append(j + a)
+    ia, ib = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (one, two))
+    nodes = t["node"].combine_chunks()
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(ia)), nodes.take(pa.array(ib))], names=["a", "b"])
+
+
+def _compare(weights):
+    """The links of batches that are sorted by group; a group is held whole, other rows are not."""
 
-def _verify(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        w = None if weights is None else weights.value
         for b in batches:
-            ok = []
-            lists = [b["words_a"], b["words_b"]]
-            last: tuple[bytes, tuple] | None = None
-            keys = b["b"].to_pylist()
-            for i in range(b.num_rows):
-                sides = []
-                for k in (0, 1):
-                    if k and last and last[0] == keys[i]:
-                        sides.append(last[1])
-                        continue
-                    values = lists[k][i].values.to_numpy(zero_copy_only=False)
-                    _, ids, count = shingles(values, np.array([len(values)]))
-                    sides.append((ids, count))
-                    if k:
-                        last = keys[i], sides[1]
-                ok.append(similarity(*sides, weights.value) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            if not b.num_rows:
+                continue
+            before = sum(x.num_rows for x in held)
+            keys = [np.append(held[-1][c].to_numpy()[-1:] if held else b[c].to_numpy()[:1], b[c].to_numpy()) for c in ("g", "lo", "hi")]
+            begin = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))  # rows of b that begin a group
+            if not len(begin):
+                held.append(b)
+                continue
+            yield _links(pa.Table.from_batches([*held, b.slice(0, begin[-1])]), np.unique(np.append(0, before + begin[:-1])), w)
+            held = [b.slice(begin[-1])]
+        if held:
+            yield _links(pa.Table.from_batches(held), np.zeros(1, int), w)
 
     return run
 
@@ -243,6 +312,8 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+
+
 def _checked(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has few rows (df is a written table of keys)."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -251,99 +322,55 @@ def _checked(df: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that links lead to. links: a, b."""
     both = written(links.union(links.select("b", "a")).distinct(), "dedup-links")
-    labels = written(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("comp")), "dedup-labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("comp")), "dedup-labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("was"))
         step = written(step, "dedup-step")
+        if step.where("comp < was").isEmpty():
+            return labels
         on = step.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-        labels = written(step.join(on, step["comp"] == on["_n"], "left").select("node", F.least("comp", "_c").alias("comp"), "was"), "dedup-labels")
-        if labels.where("comp < was").isEmpty():
-            return labels.select("node", "comp")
+        labels = written(step.join(on, step["comp"] == on["_n"], "left").select("node", F.least("comp", "_c").alias("comp")), "dedup-labels")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """bucket, node, comp, n (nodes of the bucket), top (a node of its largest component, another one in each
-    bucket and turn) for buckets with several components. rows: bucket, node; labels: node, comp, size.
-    """
-    own = rows.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-    own = written(own, "dedup-buckets")
-    mark = F.struct("size", "comp", F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), "node")
-    seen = own.groupBy("bucket").agg(F.max(mark).alias("top"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi")
-    some = seen.select("bucket", F.struct("top.comp", "top.node").alias("top"), "n")
-    return written(own.select("bucket", "node", "comp").join(some, "bucket"), "dedup-mixed")
-
-
-def _within(mixed: DataFrame) -> DataFrame:
-    """All pairs a, b of different components that share a small bucket."""
-    groups = mixed.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list(F.struct("node", "comp")).alias("x"))  # SMALL nodes at most
-    one = groups.select("x", F.explode("x").alias("a"))
-    two = one.select("a", F.explode(F.filter("x", lambda y: (y["node"] < F.col("a.node")) & (y["comp"] != F.col("a.comp")))).alias("b"))
-    return two.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-
-
-def _compare(best: bool):
-    def run(t: pa.Table) -> pa.Table:
-        own, lo, hi = t["own"].to_numpy(), t["lo"][0].as_py(), t["hi"][0].as_py()
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
-        comp = t["comp"].combine_chunks().dictionary_encode().indices.to_numpy()
-        right = np.flatnonzero(own == hi)
-        one, two, agree = [], [], []
-        for i in np.flatnonzero(own == lo):
-            js = right[(comp[right] != comp[i]) & ((right > i) | (lo != hi))]
-            same = (sketch[js] == sketch[i]).mean(1)
-            js, same = js[same >= LEAST_AGREEMENT], same[same >= LEAST_AGREEMENT]
-            if best:
-                order = np.lexsort((-same, comp[js]))
-                order = order[np.diff(comp[js][order], prepend=-1) != 0]
-                js, same = js[order], same[order]
-            one.append(np.full(len(js), i))
-            two.append(js)
-            agree.append(same)
-        ia, ib = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (one, two))
-        return pa.table({"a": t["node"].take(pa.array(ia)), "b": t["node"].take(pa.array(ib)), "comp": t["comp"].take(pa.array(ib)), "agree": pa.array(np.concatenate([*agree, np.zeros(0)]))})
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: the components so far are the nodes of a smaller graph."""
+    if links.isEmpty():
+        return labels
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"_{side}"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = components(between)
+    old = labels.join(merged.withColumnRenamed("comp", "_new"), labels["comp"] == merged["node"], "left").select(labels["node"], F.coalesce("_new", "comp").alias("comp"))
+    return written(old.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "dedup-labels")
 
-    return run
 
+def _blocks(count: Column, words: Column) -> Column:
+    return F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(words / F.lit(BLOCK_WORDS)), F.lit(1)).cast("int")
 
-def _blocks(mixed: DataFrame, nodes: DataFrame, best: bool) -> DataFrame:
-    """The agreeing pairs a, b of different components that share a large bucket, each once. mixed: as _mixed gives it.
 
-    A bucket's nodes are dealt into blocks of about BLOCK, those of its largest component (which need not
-    be compared with each other) apart from the rest; each task holds two blocks. best: of a node's pairs
-    with a component only the one that agrees most.
-    """
-    rest = F.col("comp") != F.col("top.comp")
-    large = mixed.where(F.col("n") > SMALL)
-    counts = large.groupBy(F.col("bucket").alias("_b")).agg(F.count_if(rest).alias("r"))
-    many = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
-    sized = large.join(counts, F.col("bucket") == F.col("_b")).select("bucket", "node", "comp", rest.alias("rest"), many(F.col("r")).alias("kr"), many(F.col("n") - F.col("r")).alias("kd"))
+def _alone(rows: DataFrame) -> DataFrame:
+    """Each block of every group by itself, with the group's first node. rows: g, node, first, k (blocks)."""
+    own = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("k")).cast("int")))
+    return rows.select("g", "node", F.explode(own).alias("own")).select("g", F.col("own").alias("lo"), F.col("own").alias("hi"), "own", "node", F.col("node").alias("comp"))
+
+
+def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of blocks of the groups that are in several components: those outside the largest one against all. rows: g, node, words."""
+    own = rows.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("g", "node", "words", F.coalesce("comp", "node").alias("comp"))
+    own = written(own, "dedup-large")
+    parts = own.groupBy("g", "comp").agg(F.count("*").alias("n"), F.sum("words").alias("words"))
+    top = parts.groupBy(F.col("g").alias("_g")).agg(F.max(F.struct("n", "words", "comp")).alias("top"), F.sum("n").alias("n"), F.sum("words").alias("w"), F.count("*").alias("c")).where("c > 1")
+    top = written(top.select("_g", F.col("top.comp").alias("top"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.words")).alias("kr"), _blocks(F.col("top.n"), F.col("top.words")).alias("kd")), "dedup-tops")
+    rest = F.col("comp") != F.col("top")
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    own = F.when(F.col("rest"), deal(F.col("kr"))).otherwise(F.col("kr") + deal(F.col("kd")))
-    others = F.sequence(F.lit(0), F.when(F.col("rest"), F.col("kr") + F.col("kd")).otherwise(F.col("kr")) - 1)
-    held = sized.join(nodes.select(F.col("key").alias("_k"), "sketch"), F.col("node") == F.col("_k")).select("bucket", "node", "comp", "sketch", own.alias("own"), F.explode(others).alias("other"))
-    dealt = held.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp", "sketch")
-    found = dealt.groupBy("bucket", "lo", "hi").applyInArrow(_compare(best), "a binary, b binary, comp binary, agree double")
-    if best:
-        found = found.groupBy("a", "comp").agg(F.max(F.struct("agree", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "dedup-pairs")
-
-
-def _sized(labels: DataFrame) -> DataFrame:
-    """labels with the number of nodes of each one's component."""
-    sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))
-    return written(labels.join(sizes, "comp").select("node", "comp", "size"), "dedup-labels")
-
-
-def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """node, comp, size after more links: the components so far are the nodes of a smaller graph."""
-    if labels is None:
-        return _sized(components(links))
-    name = lambda side: labels.select(F.col("node").alias(side), F.col("comp").alias(f"_{side}"))
-    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    merged = components(between)
-    old = labels.join(merged.withColumnRenamed("comp", "_new"), labels["comp"] == merged["node"], "left").select(labels["node"], F.coalesce("_new", "comp").alias("comp"))
-    return _sized(written(old.unionByName(merged.join(labels.select("node"), "node", "left_anti")), "dedup-labels"))
+    mine = F.when(rest, deal(F.col("kr"))).otherwise(F.col("kr") + deal(F.col("kd")))
+    others = F.sequence(F.lit(0), F.when(rest, F.col("kr") + F.col("kd")).otherwise(F.col("kr")) - 1)
+    held = own.join(top, own["g"] == top["_g"]).select("g", "node", "comp", mine.alias("own"), F.explode(others).alias("other"))
+    return held.select("g", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "comp")
+
+
+def _ordered(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -352,59 +379,45 @@ def classes(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", _key(F.col("text")).alias("key"), _hashes(F.col("text")).alias("words"))
     weights = spark.sparkContext.broadcast(run_weights(slim.select("words")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(slim.mapInArrow(_signatures(weights), f"doc_id {kind}, key binary, bands array<long>, sketch binary"), "dedup-signatures")
-    nodes = written(signed.where(F.size("bands") > 0).groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "dedup-nodes")
-    rows = nodes.select(F.col("key").alias("node"), F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("bucket"))
-    first = rows.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("bucket", "first")
-    rows = written(rows.join(first, "bucket"), "dedup-rows")
+    signed = written(slim.mapInArrow(_signatures(weights), f"doc_id {kind}, key binary, words int, bands array<long>, sketch binary"), "dedup-signatures")
+    one = [F.min(c).alias(c) for c in ("words", "bands", "sketch")]
+    nodes = written(signed.where("words > 0").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("rep"), *one), "dedup-nodes")
+    sketches = nodes.select("node", "sketch")
+
+    # buckets that hold the same nodes count once
+    met = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("g"))
+    sets = met.groupBy("g").agg(F.min("node").alias("first"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    sets = written(sets.groupBy("first", "n", "sum").agg(F.min("g").alias("g")).select("g", "first", "n"), "dedup-buckets")
+    rows = written(met.join(sets, "g").select("g", "node", "first", "n"), "dedup-rows")
+
+    def agreeing(dealt: DataFrame) -> DataFrame:
+        found = _ordered(dealt.join(sketches, "node")).mapInArrow(_compare(None), "a binary, b binary")
+        return written(found, "dedup-agreeing")
+
+    families = components(agreeing(_alone(rows.withColumn("k", _blocks(F.col("n"), F.lit(0))))))
+    large = rows.where(F.col("n") > BLOCK).select("g", "node", F.lit(0).alias("words"))
+    if not large.isEmpty():
+        families = _merged(families, agreeing(_across(large, families)))
+
+    of = families.join(nodes.select("node", "rep", "words"), "node")
+    sizes = of.groupBy(F.col("comp").alias("first")).agg(_blocks(F.count("*"), F.sum("words")).alias("k"))
+    members = written(of.join(sizes, of["comp"] == sizes["first"]).select("node", "rep", F.xxhash64("first").alias("g"), "first", "k", "words"), "dedup-members")
     source = docs.select("doc_id", "text", _key(F.col("text")).alias("k"))
-    texts: DataFrame | None = None
-
-    def agreeing(pairs: DataFrame) -> DataFrame:
-        """The pairs, each once, whose samples agree."""
-        once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        side = lambda c: nodes.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}"))
-        return written(once.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing, "a binary, b binary"), "dedup-pairs")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are near duplicates; fetches the texts that no earlier turn has."""
-        nonlocal texts
-        need = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        if texts is not None:
-            need = need.join(texts.select("key"), "key", "left_anti")
-        need = written(need.join(nodes.select("key", "rep"), "key"), "dedup-need")
-        met = source.join(_checked(need), (source["k"] == need["key"]) & source["doc_id"].eqNullSafe(need["rep"]))
-        got = written(met.dropDuplicates(["key"]).select("key", "text"), "dedup-texts")
-        texts = got if texts is None else texts.unionByName(got)
-        side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"text_{c}"))
-        held = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _hashes(F.col("text_a")).alias("words_a"), _hashes(F.col("text_b")).alias("words_b"))
-        return written(held.mapInArrow(_verify(weights), "a binary, b binary"), "dedup-found")
-
-    labels = _joined(None, verified(agreeing(rows.where("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")))))
-
-    def settled(pairs: DataFrame) -> DataFrame:
-        """labels after the links among some pairs."""
-        links = None if pairs.isEmpty() else verified(pairs)
-        return labels if links is None or links.isEmpty() else _joined(labels, links)
-
-    turn, before = 1, None
-    while True:
-        mixed = _mixed(rows.select("bucket", "node"), labels, turn)
-        rows = mixed.where(F.col("n") > SMALL)
-        stars = rows.where("comp != top.comp").select(F.col("node").alias("a"), F.col("top.node").alias("b"))
-        left = stars.count()
-        if before is not None and 2 * left > before or turn > 1 and not left:
-            break
-        labels = settled(agreeing(stars if turn > 1 else stars.union(_within(mixed))))
-        turn, before = turn + 1, left
-    for best in (True, False):
-        if not rows.isEmpty():
-            labels = settled(_blocks(rows, nodes, best))
-            if best:
-                rows = _mixed(rows.select("bucket", "node"), labels, turn)
-    named = nodes.select("key", "rep").join(labels, nodes["key"] == labels["node"], "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
+    need = _checked(members.select("node", "rep"))
+    texts = source.join(need, (source["k"] == need["node"]) & source["doc_id"].eqNullSafe(need["rep"])).select("node", "text")
+    texts = written(texts.join(sketches, "node"), "dedup-texts")
+
+    def near(dealt: DataFrame) -> DataFrame:
+        held = _ordered(dealt.join(texts, "node")).select("g", "lo", "hi", "own", "node", "comp", "sketch", _hashes(F.col("text")).alias("words"))
+        return written(held.mapInArrow(_compare(weights), "a binary, b binary").where("a != b"), "dedup-found")
+
+    labels = components(near(_alone(members)))
+    large = members.where("k > 1").select("g", "node", "words")
+    if not large.isEmpty():
+        labels = _merged(labels, near(_across(large, labels)))
+    named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = written(named.join(ids, "comp"), "dedup-classes")
+    named = written(named.join(ids, "comp").select(F.col("node").alias("key"), "comp", "class_id"), "dedup-classes")
     return signed.select("doc_id", "key").join(named, "key", "left")
 
 
@@ -412,8 +425,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, kept for every row of docs: class_id is the smallest doc_id of its class.
 
     Texts that are null or without words are classes of their own; equal texts are one class; a text of
-    fewer than five words is one run of words; a null doc_id is never the smallest of a class with
-    others; repeated rows get equal results; an empty table gives no rows; other columns are not read.
+    fewer than five words is one run of words; a text of any length is compared whole, and one longer
+    than BLOCK_WORDS is a block of its own; a null doc_id is never the smallest of a class with others;
+    repeated rows get equal results; an empty table gives no rows; other columns are not read.
     """
     out = classes(docs)
     class_id = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
@@ -421,10 +435,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near duplicates, one of each class, with the columns of docs; texts without words stay."""
+    """The rows of docs without near duplicates, one of each class, with the columns of docs.
+
+    The row with the class's smallest doc_id stays (one of them, if rows repeat); texts that are null or
+    without words stay, each row of them; a null doc_id stays only if its class has no other; an empty
+    table gives no rows. Only the (doc_id, text hash) of rows to drop are joined with the rows.
+    """
     cols = docs.columns
-    kept = classes(docs).where(F.col("comp").isNull() | F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("key").alias("_k"), F.col("doc_id").alias("_id")).distinct()
+    found = written(classes(docs).where("comp is not null").select("key", "doc_id", F.col("class_id").eqNullSafe(F.col("doc_id")).alias("stays")), "dedup-stays")
+    keyed = lambda df: df.select(F.col("key").alias("_k"), F.col("doc_id").alias("_id"))
+    gone = written(keyed(found.where("not stays")).distinct(), "dedup-gone")
+    again = written(keyed(found.where("stays")).groupBy("_k", "_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "dedup-again")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), _key(F.col("text")).alias("_key"), F.col("doc_id").alias("_doc"))
-    met = base.join(kept, (F.col("_key") == F.col("_k")) & F.col("_doc").eqNullSafe(F.col("_id")))
-    once = met.dropDuplicates(["_key", "_doc"])
-    return once.select(*[F.col("_row").getField(c).alias(c) for c in cols])
+    same = (F.col("_key") == F.col("_k")) & F.col("_doc").eqNullSafe(F.col("_id"))
+    left = base.join(gone, same, "left_anti")
+    if not again.isEmpty():  # rows that repeat: one of them stays
+        left = left.join(again, same, "left_anti").unionByName(base.join(again, same, "left_semi").dropDuplicates(["_key", "_doc"]))
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in cols])
