@@ -2,17 +2,25 @@
 
 The vocabulary is a tokenizer file in JSON: merges with an end-of-word suffix over byte characters,
 after NFC, white space folding and lower case; its path is a parameter and tasks read it once each.
-Words are cut from the text in order. A word is held in a buffer; a token is emitted once it cannot
-change any more, that is, once `lookahead` further characters are known. That constant follows from
-the merge list alone: going through the merges by rank, it bounds how far to the right the presence of
-each symbol can depend on the text. Memory is thus bounded by the lookahead however long a word is.
-Words of ordinary length end within the buffer, and a bounded table remembers their ids.
+
+Encoding: a text is normalised piece by piece and cut into words in order. Every word goes through a
+transducer in steps of STEP characters: it holds a buffer, merges it, and emits a token once nothing that
+may follow can change it, that is, once the token's own lookahead is known. These lookaheads follow from
+the merge list alone: going through the merges by rank, they bound how far to the right the presence of
+each symbol can depend on the text. A word may go on over any number of pieces, so memory is bounded by
+the piece, the longest lookahead and the longest token. A table of bounded size remembers the
+transducer's output for words of ordinary length.
+
+Decoding: a state machine takes the bytes of token after token and gives text as soon as characters are
+complete; its state is the bytes of an unfinished character and whether a token went before.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
+import math
 import re
 import sys
 import unicodedata
@@ -23,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words that are remembered, and the longest of them; longer words go through the transducer each time.
+#: Words whose output is remembered, and the longest of them.
 CACHE_WORDS, CACHE_LENGTH = 300_000, 64
-#: Characters that are normalised and cut into words at once.
-PIECE = 1 << 16
+#: Characters that are normalised and cut into words at once, and that the transducer takes in one step.
+PIECE, STEP = 1 << 16, 12
 
 # White space of Unicode, and the words of this vocabulary's kind: endings after an
 # apostrophe, runs of letters, single numbers, runs of anything else.
@@ -36,7 +44,8 @@ _WORDS = regex.compile(rf"\p{{L}}+|{_ENDINGS}|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+
 #: The same for texts in which every number is a decimal digit.
 _SIMPLE = re.compile(rf"[^\W\d_]+|{_ENDINGS}|\d|(?:[^\w{_SPACE}]|_)+")
 _ODD_NUMBERS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
-_CUT = re.compile(rf"[{_SPACE}]+")
+_LETTERS, _OTHERS = regex.compile(r"\p{L}*"), regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]*")
+_LAST_SPACE = regex.compile(rf"(?r)[{_SPACE}]")
 
 
 def byte_chars() -> list[str]:
@@ -49,7 +58,7 @@ def byte_chars() -> list[str]:
 
 
 class Vocabulary:
-    """Token ids, merge ranks and the sufficient lookahead of a tokenizer file."""
+    """Token ids, merge ranks and the sufficient lookahead of every symbol of a tokenizer file."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -58,23 +67,37 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.ranks = {p: k for k, p in enumerate(pairs)}
-        self.lookahead = self._lookahead(pairs)
+        self.far = self._lookaheads(pairs)
+        self.lookahead = max(self.far.values(), default=0) + 1
         self.longest = max(map(len, self.ids))
         self.bytes = byte_chars()
-
-    def _lookahead(self, pairs: list[tuple[str, str]]) -> int:
-        """How many characters after a symbol's end its presence can depend on, at most, over all symbols."""
-        far: dict[str, int] = {}
+        names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.names = {i: t.encode() for i, t in names.items()}
+
+    def texts(self) -> dict[int, bytes]:
+        """The bytes of the text that each token stands for; a word's end is a space."""
+        back = {c: b for b, c in enumerate(self.bytes)}
+        plain = lambda t: bytes(back[c] for c in t.removesuffix(self.suffix)) + (b" " if self.suffix and t.endswith(self.suffix) else b"")
+        return {i: plain(t) for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+
+    def _lookaheads(self, pairs: list[tuple[str, str]]) -> dict[str, float]:
+        """How many characters after its end the presence of each symbol can depend on.
+
+        This takes merges in the order of their ranks, so each symbol must be made by one merge, before
+        those that use it; for a list of another kind every lookahead is infinite (words are held whole).
+        """
+        made = {u + v: k for k, (u, v) in enumerate(pairs)}
+        if len(made) < len(pairs) or any(made.get(t, -1) > k for k, p in enumerate(pairs) for t in p):
+            return dict.fromkeys(self.ids, math.inf)
+        far: dict[str, float] = dict.fromkeys(self.ids, 0)
         size = lambda t: len(t.removesuffix(self.suffix)) if self.suffix and len(t) > len(self.suffix) else len(t)
         for u, v in pairs:
-            fu, fv = far.get(u, 0), far.get(v, 0)
-            whole = max(far.get(u + v, 0), fv, fu - size(v))
+            fu, fv = far[u], far[v]
+            far[u + v] = max(far[u + v], fv, fu - size(v))
             far[u], far[v] = max(fu, size(v) + fv), max(fv, fu - size(v))
-            far[u + v] = max(whole, far.get(u + v, 0))
-        return max(far.values(), default=0) + 1
+        return far
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
@@ -91,30 +114,33 @@ class Vocabulary:
         return symbols
 
 
-class WordEncoder:
-    """The transducer for one word: feed() characters, get the ids that are final; end() gives the rest."""
-
-    def __init__(self, vocabulary: Vocabulary, block: int = 512) -> None:
-        self.v, self.held = vocabulary, ""
-        self.limit = 2 * vocabulary.lookahead + vocabulary.longest + block
+class Transducer:
+    """The encoder of one word: feed() characters and get the ids that are final; end() gives the rest."""
 
-    def feed(self, chars: str) -> Iterator[int]:
-        self.held += chars
-        while len(self.held) > self.limit:
-            window, at = self.held[: self.limit], 0
-            tokens = self.v.merge(list(window))
-            for t in tokens:
-                if at + len(t) + self.v.lookahead > len(window):
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.v, self.held, self.most = vocabulary, "", 0
+
+    def feed(self, chars: str) -> list[int]:
+        out: list[int] = []
+        ids, far = self.v.ids, self.v.far
+        for at in range(0, len(chars), STEP):
+            self.held += chars[at : at + STEP]
+            known = len(self.held) - 1  # the last character may yet turn out to end the word
+            self.most = max(self.most, known + 1)
+            if known < STEP:
+                continue
+            done = 0
+            for t in self.v.merge(list(self.held)):
+                if done + len(t) + far[t] > known:
                     break
-                yield self.v.ids[t]
-                at += len(t)
-            self.held = self.held[at:]
+                out.append(ids[t])
+                done += len(t)
+            self.held = self.held[done:]
+        return out
 
-    def end(self) -> Iterator[int]:
-        if self.held:
-            for t in self.v.merge([*self.held[:-1], self.held[-1] + self.v.suffix]):
-                yield self.v.ids[t]
-        self.held = ""
+    def end(self) -> list[int]:
+        held, self.held = self.held, ""
+        return [self.v.ids[t] for t in self.v.merge([*held[:-1], held[-1] + self.v.suffix])] if held else []
 
 
 class Encoder:
@@ -122,81 +148,133 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
-        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
-    def _lower(self, text: str) -> str:
-        """Each character by itself (so without the final form of sigma), after NFC."""
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-
-    def word(self, word: str) -> tuple[tuple[int, ...], str, str]:
-        """The ids of a word, their text, and the text they decode to."""
-        v, table = self.v, self.v.bytes
-        if len(word) <= CACHE_LENGTH:  # it ends within the transducer's buffer
-            symbols = [table[b] for b in word.encode("utf-8", "replace")]
-            symbols[-1] += v.suffix
-            ids = [v.ids[t] for t in v.merge(symbols)]
-        else:
-            w, ids = WordEncoder(v), []
-            for at in range(0, len(word), PIECE):
-                ids += w.feed("".join([table[b] for b in word[at : at + PIECE].encode("utf-8", "replace")]))
-            ids += w.end()
-        got = tuple(ids), " ".join(map(str, ids)), Decoder(self.v).feed(ids)
+    def _output(self, ids: list[int]) -> tuple[tuple[int, ...], str, bytes]:
+        return tuple(ids), " ".join(map(str, ids)), b" ".join([self.v.names[i] for i in ids])
+
+    def _symbols(self, chars: str) -> str:
+        table = self.v.bytes
+        return "".join([table[b] for b in chars.encode("utf-8", "replace")])
+
+    def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
+        """The transducer's output for a word: ids, their text, and the bytes that they decode to."""
+        t = Transducer(self.v)
+        got = self._output(t.feed(self._symbols(word)) + t.end())
         if len(word) <= CACHE_LENGTH:
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[word] = got
         return got
 
-    def words(self, piece: str) -> list[str]:
-        piece = self._lower(piece)
-        return (_SIMPLE if piece.isascii() or _ODD_NUMBERS.isdisjoint(piece) else _WORDS).findall(piece)
+    def _words(self, piece: str) -> list[tuple[tuple[int, ...], str, bytes]]:
+        get, word = self.known.get, self._word
+        found = (_SIMPLE if piece.isascii() or _ODD_NUMBERS.isdisjoint(piece) else _WORDS).findall(piece)
+        return [get(w) or word(w) for w in found]
 
-    def pieces(self, text: str) -> Iterator[str]:
-        """The text cut at white space into parts of about PIECE characters; a longer word stays whole."""
-        at = 0
-        while at < len(text):
-            if len(text) - at <= PIECE:
-                end = len(text)
-            else:
-                m = _CUT.search(text, at + PIECE)
-                end = m.end() if m else len(text)
-            yield text[at:end]
-            at = end
-
-    def encode(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, str]]]:
-        """The words and special tokens of a text, some at a time: ids, their text, and the text they decode to."""
-        parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+    def encode(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """What the words and special tokens of a text give, some at a time: ids, their text, and the bytes they decode to."""
+        parts = self.cut.split(text) if self.cut and any(s in text for s in self.v.special) else [text]
         for k, part in enumerate(parts):
             if k % 2:
-                i = self.v.special[part]
-                yield [((i,), str(i), part)]
+                yield [self._output([self.v.special[part]])]
+            elif len(part) <= PIECE:
+                yield self._words(_lower(part))
+            else:
+                yield from self._streamed(part)
+
+    def _streamed(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
+        """A long text piece by piece; a word may go on over any number of pieces."""
+        carry, now, goes_on = "", None, _LETTERS
+        for piece, last in _normal_pieces(text):
+            s, carry = carry + piece, ""
+            if now:  # in a word that is longer than a piece
+                end = goes_on.match(s).end()
+                ids = now.feed(self._symbols(s[:end]))
+                if end == len(s) and not last:
+                    yield [self._output(ids)] if ids else []
+                    continue
+                yield [self._output(ids + now.end())]
+                s, now = s[end:], None
+            if last:
+                yield self._words(s)
                 continue
-            for piece in self.pieces(part):
-                get, word = self.known.get, self.word
-                yield [get(w) or word(w) for w in self.words(piece)]
+            space = _LAST_SPACE.search(s)
+            keep = space.end() if space else 0
+            if len(s) - keep > PIECE // 4:  # no space for long: what ends before the last word is complete
+                found = [m.span() for m in _WORDS.finditer(s, keep)]
+                keep = found[-1][0] if found else len(s)
+                if len(found) > 1 and found[-1][1] - found[-1][0] < 3 and s[slice(*found[-2])] == "'":
+                    keep = found[-2][0]  # these may be the ending of a word
+            yield self._words(s[:keep])
+            if len(s) - keep > PIECE // 4:
+                now, goes_on = Transducer(self.v), _LETTERS if s[keep].isalpha() else _OTHERS
+                ids = now.feed(self._symbols(s[keep:]))
+                yield [self._output(ids)] if ids else []
+            else:
+                carry = s[keep:]
 
 
 class Decoder:
-    """Ids back to text: tokens joined by spaces, as this vocabulary has no decoder of its own.
+    """Ids back to text, token by token; give() takes the bytes of some tokens, feed() their ids.
 
-    The machine's state is whether a token went before; feed() returns the text that an id adds.
+    By the rule of a tokenizer file without a decoder the text is the names of the tokens with a space
+    between them. readable: the text that the tokens stand for instead. Bytes that are no UTF-8 become
+    U+FFFD; end() gives what is left of an unfinished character.
     """
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        self.names, self.begun = vocabulary.names, False
+    def __init__(self, vocabulary: Vocabulary, readable: bool = False) -> None:
+        self.parts, self.between = (vocabulary.texts(), b"") if readable else (vocabulary.names, b" ")
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.begun = False
 
-    def feed(self, ids: Iterable[int]) -> str:
-        add = " ".join([self.names[i] for i in ids])
-        if not add:
+    def give(self, data: bytes) -> str:
+        if not data:
             return ""
-        out = f" {add}" if self.begun else add
+        out = self.machine.decode(self.between + data if self.begun else data)
         self.begun = True
         return out
 
+    def feed(self, ids: Iterable[int]) -> str:
+        return self.give(self.between.join([self.parts[i] for i in ids]))
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True)
+
+
+def _lower(text: str) -> str:
+    """Each character by itself (so without the final form of sigma), after NFC."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+
+
+_joining: set[str] = set()
+
+
+def _joins(c: str) -> bool:
+    """Whether NFC may join the character with one before it: marks, second parts of compositions, vowels and finals of Hangul."""
+    if not _joining:
+        for x in map(chr, range(sys.maxunicode + 1)):
+            parts = unicodedata.decomposition(x).split()
+            if len(parts) == 2 and not parts[0].startswith("<"):
+                _joining.add(chr(int(parts[1], 16)))
+        _joining.update(map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]))
+    return unicodedata.combining(c) > 0 or c in _joining
+
+
+def _normal_pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """(normalised piece, whether it is the last); pieces begin where NFC joins nothing with what went before."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        while end < len(text) and _joins(text[end]):
+            end += 1
+        yield _lower(text[at:end]), end >= len(text)
+        at = end
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -218,14 +296,16 @@ def _digests(path: str):
         enc = _encoder(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in b["text"].to_pylist():
+            for text in b["text"]:
                 count, ids, back, sep = 0, hashlib.sha256(), hashlib.sha256(), ""
-                for got in enc.encode(text or ""):
+                decoder = Decoder(enc.v)
+                for got in enc.encode(text.as_py() or ""):
                     if got:
                         count += sum([len(x[0]) for x in got])
                         ids.update((sep + " ".join([x[1] for x in got])).encode())
-                        back.update((sep + " ".join([x[2] for x in got])).encode())
+                        back.update(decoder.give(b" ".join([x[2] for x in got])).encode())
                         sep = " "
+                back.update(decoder.end().encode())
                 n.append(count)
                 ids_sha.append(ids.hexdigest())
                 text_sha.append(back.hexdigest())
@@ -237,25 +317,33 @@ def _digests(path: str):
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row.
 
-    A null text counts as empty: no tokens, and the digests of the empty string. Null doc_ids and
-    repeated rows pass through; an empty table gives no rows; other columns are not read.
+    A null text counts as empty: no tokens, and the digests of the empty string. Texts of any length,
+    and words of any length in them, are encoded whole, a piece at a time. Null doc_ids and repeated
+    rows pass through; an empty table gives no rows; other columns are not read.
     """
     slim = docs.select("doc_id", "text")
     id_type = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(_digests(path or vocabulary_path()), f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded for every row: the ids themselves and the text decoded from them."""
+def tokens(docs: DataFrame, path: str | None = None, readable: bool = False) -> DataFrame:
+    """doc_id, ids, decoded for every row: the ids themselves and the text decoded from them (see Decoder).
+
+    Rows are treated as by digests().
+    """
     path = path or vocabulary_path()
     slim = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(path)
         for b in batches:
-            ids = [[i for got in enc.encode(t or "") for x in got for i in x[0]] for t in b["text"].to_pylist()]
-            back = [Decoder(enc.v).feed(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["doc_id", "ids", "decoded"])
+            all_ids, texts = [], []
+            for text in b["text"]:
+                d = Decoder(enc.v, readable)
+                ids = [i for got in enc.encode(text.as_py() or "") for x in got for i in x[0]]
+                all_ids.append(ids)
+                texts.append(d.feed(ids) + d.end())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
     id_type = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")

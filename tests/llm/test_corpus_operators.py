@@ -137,17 +137,67 @@ def test_bpe_equals_the_library(odd, spark):
         assert got[i].decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
-def test_bpe_stream_is_stable_in_any_pieces():
-    v = bpe.Vocabulary(bpe.vocabulary_path())
-    rng = random.Random(2)
-    word = "".join(rng.choice("abcdefghinotsre") for _ in range(4000))
-    whole = [v.ids[t] for t in v.merge([*word[:-1], word[-1] + v.suffix])]
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.vocabulary_path())
+
+
+def _same_as_library(enc, library, text):
+    ids = [i for got in enc.encode(text) for x in got for i in x[0]]
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    d = bpe.Decoder(enc.v)
+    assert "".join(d.feed([i]) for i in ids) + d.end() == library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_of_words_of_any_length(library):
+    enc, rng = bpe.Encoder(bpe.Vocabulary(bpe.vocabulary_path())), random.Random(2)
+    for n in (1, 2, 12, 13, 64, 65, 1000, 20_000, 100_000):
+        for letters in ("abcdefghinotsre", "ab", "'!#?", "é日本語", "ᄀ가ᅡ각é\u0301"):
+            _same_as_library(enc, library, "".join(rng.choice(letters) for _ in range(n)))
+
+
+def test_bpe_in_pieces_of_any_size(library, monkeypatch):
+    enc, rng = bpe.Encoder(bpe.Vocabulary(bpe.vocabulary_path())), random.Random(4)
+    for piece in (16, 50, 300):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        for k in range(150):
+            _same_as_library(enc, library, "".join(rng.choice("abré'vestl!  \n²日é́가" if k % 2 else "ab'revstl! ") for _ in range(rng.randint(0, 400))))
+
+
+def test_transducer_holds_a_bounded_buffer():
+    v, rng = bpe.Vocabulary(bpe.vocabulary_path()), random.Random(2)
+    bound = v.lookahead + v.longest + bpe.STEP
+    word = "".join(rng.choice("abcdefghinotsre") for _ in range(30_000))
+    whole = [v.ids[t] for t in v.merge([*word[:3999], word[3999] + v.suffix])]
     for size in (1, 7, 1000):
-        w, got = bpe.WordEncoder(v, block=50), []
-        for at in range(0, len(word), size):
-            got += w.feed(word[at : at + size])
-            assert len(w.held) <= w.limit + size
-        assert got + list(w.end()) == whole
+        t, got = bpe.Transducer(v), []
+        for at in range(0, 4000, size):
+            got += t.feed(word[at : at + size] if at + size <= 4000 else word[at:4000])
+        assert got + t.end() == whole and t.most <= bound
+    t = bpe.Transducer(v)
+    emitted = len(t.feed(word))
+    assert emitted and t.most <= bound and len(t.held) <= bound
+
+
+def test_every_word_goes_through_the_transducer(monkeypatch):
+    seen = []
+    feed = bpe.Transducer.feed
+    monkeypatch.setattr(bpe.Transducer, "feed", lambda self, chars: (seen.append(chars), feed(self, chars))[1])
+    list(bpe.Encoder(bpe.Vocabulary(bpe.vocabulary_path())).encode("a bb ccc! " + "d" * 80))
+    assert seen == ["a", "bb", "ccc", "!", "d" * 80]
+
+
+def test_decoder_is_incremental():
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    enc = bpe.Encoder(v)
+    ids = [i for got in enc.encode("naïve 日本 🙂!") for x in got for i in x[0]]
+    d = bpe.Decoder(v, readable=True)
+    out = [d.feed([i]) for i in ids]
+    assert "".join(out) + d.end() == "naïve 日本 🙂! "
+    half = bpe.Decoder(v, readable=True)
+    assert half.give("é".encode()[:1]) == "" and half.give("é".encode()[1:]) == "é" and half.give(b"\xe2") == "" and half.end() == "�"
 
 
 def test_language_accuracy_and_unknown_texts(spark, sf_dir):
