@@ -1,17 +1,23 @@
 """Main text of web pages by two-pass block rules (operator 2).
 
-A tokenizer cuts a page into blocks. Pass one decides each block by itself, from its link density, its
-length and its share of stop words; what lies in a container of another kind (menus, footers, adverts,
-forms, comments and the like) is out, and where a page marks its article, what lies outside it too.
-Pass two lets the undecided short blocks inherit the label of the nearest decided neighbours; an end of
-the article counts as a good neighbour, an end of an unmarked page as a bad one.
+A tokenizer cuts a page into blocks and remembers the containers that each stands in. Pass one looks at a
+block alone: stop-word density and length speak for the article, link density against it, and so does, as
+a weaker feature, a container that says it is something else (menus, footers, adverts, forms, comments and
+the like). Nothing is known of articles as such: `article`, `main` and `div` are containers like others.
+
+Pass two decides the ambiguous blocks, mostly short ones: each inherits the label of its nearest decided
+neighbours, where near means first of all within the same container. Where the two sides differ, the
+nearer one counts, then the one of the same kind (a paragraph goes with paragraphs); a heading goes with
+what it heads; a block in a container of its own needs two good sides; and the end of the page counts as a
+bad neighbour. Where no block of a page stands out by itself, sibling blocks are first judged together, by
+their joint length and stop words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -19,7 +25,11 @@ from pyspark.sql import DataFrame
 
 # Limits of the rules.
 MAX_LINKS, MIN_LENGTH, LONG_LENGTH = 0.5, 70, 200
-STOP_LOW, STOP_HIGH = 0.30, 0.32
+STOP_LOW, STOP_HIGH = 0.10, 0.20
+#: Points of a block: so many and more are good, so many and fewer bad, what lies between is ambiguous.
+GOOD, BAD = 3, -1
+#: What a container of another kind takes away, and one whose kind depends on where it stands.
+MARKED, HEADER = 6, 1
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
@@ -31,22 +41,24 @@ STOP_WORDS = frozenset(
 
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A start tag ends these open elements.
+_ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+CLOSES = {n: frozenset(["p"]) for n in _ENDS_P} | {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]), "tr": frozenset(["tr", "td", "th", "p"])}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never article text.
-OUT = frozenset("nav footer aside form button select option datalist menu dialog head title label fieldset audio video object canvas map".split())
-#: Parts of class, id or role that mark such a container.
+#: Elements without any text of their own, and form controls.
+CONTROLS = frozenset("button select option datalist head title label audio video object canvas map".split())
+#: Elements, and parts of class, id or role, that mark a container of another kind.
+OTHER = frozenset("nav footer aside form menu dialog fieldset".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar sidebars side aside footer foot masthead topbar "
     "cookie cookies consent notice notices gdpr privacy popup modal overlay newsletter subscribe subscription signup login search searchform share sharing social related recommended recommendations "
-    "comment comments commentlist disqus respond reply replies feedback widget widgets toolbar pagination pager copyright disclaimer complementary contentinfo alert alertdialog form hidden".split()
+    "comment comments commentlist disqus respond reply replies feedback widget widgets toolbar pagination pager copyright disclaimer complementary contentinfo alert alertdialog form".split()
 )
-#: The same, where they stand outside an article only.
-MARKS_OUTSIDE = frozenset("header head top".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(script|style|noscript|template|textarea|iframe|svg|math|xmp)\b[^>]*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?>[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+)>"
+    r"|<(script|style|noscript|template|textarea|iframe|svg|math|xmp)\b(?>[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-z][^\s/>]*+)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-z][^>]*+\Z|[^<]++|<",
     re.S | re.I,
 )
@@ -56,146 +68,159 @@ _PART = re.compile(r"[^a-z0-9]+")
 
 @dataclass
 class Block:
-    """Text between two block tags: its pieces, characters inside links, and where it stands."""
+    """Text between two block tags: characters inside links, the tag, and the containers around it, outermost first."""
 
-    pieces: list[str] = field(default_factory=list)
-    link_chars: int = 0
-    article: bool = False
-    heading: bool = False
-    text: str = ""
+    text: str
+    link_chars: int
+    tag: str
+    inside: tuple[int, ...]
+    marked: int
     label: str = ""
 
 
-def _marked(attrs: str, in_article: bool) -> bool:
-    if not attrs or ("=" not in attrs and "hidden" not in attrs):
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-        if name in ("class", "id", "role") and not (parts := set(_PART.split(value))).isdisjoint(MARKS if in_article else MARKS | MARKS_OUTSIDE):
-            return bool(parts)
-    return False
+def _says(name: str, attrs: str) -> int:
+    """What a start tag takes away from the blocks inside: whether it marks a container of another kind; 99: it isn't shown."""
+    against = MARKED if name in OTHER else HEADER if name == "header" else 0
+    if attrs and ("=" in attrs or "hidden" in attrs):
+        for key, a, b, c in _ATTR.findall(attrs):
+            key, value = key.lower(), (a or b or c).lower()
+            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                return 99
+            if key in ("class", "id", "role") and not MARKS.isdisjoint(_PART.split(value)):
+                against = MARKED
+    return against
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page with text, in order, without those in containers of other kinds."""
+    """The blocks of a page with text, in order; scripts, styles, form controls and what is hidden have none."""
     done: list[Block] = []
-    now = Block()
-    out: list[str] = []  # open elements since a container of another kind began; the first is that container
-    article = links = 0
-    heading = False
+    pieces: list[str] = []
+    link_chars = links = number = skipped = 0
+    path: list[tuple[str, int, int]] = [("", 0, 0)]  # open containers: name, number, what they take away in all
+    tag = ""
 
     def close() -> None:
-        nonlocal now
-        if now.pieces:
-            text = " ".join("".join(now.pieces).split())
+        nonlocal link_chars
+        if pieces and not skipped:
+            text = " ".join("".join(pieces).split())
             if text:
-                now.text = text
-                done.append(now)
-        now = Block(article=article > 0, heading=heading)
+                done.append(Block(text, link_chars, tag, tuple(x[1] for x in path), path[-1][2]))
+        pieces.clear()
+        link_chars = 0
 
     for m in _TOKEN.finditer(html):
         s = m[0]
         if s[0] != "<" or s == "<":
-            if not out:
+            if not skipped:
                 t = unescape(s) if "&" in s else s
-                now.pieces.append(t)
+                pieces.append(t)
                 if links:
-                    now.link_chars += len(t.strip())
+                    link_chars += len(t.strip())
             continue
         name = m[3] or m[6]
         if not name:
             continue
         name, ends, attrs = name.lower(), bool(m[2] or m[5]), m[4] or m[7] or ""
-        if out:
-            if ends:
-                if name in out:
-                    while out.pop() != name:
-                        pass
-                    if not out:
-                        close()
-                elif name in ("article", "main", "body", "html") and article:
-                    out.clear()  # a container that was never closed ends with the article
-                else:
-                    continue
-            elif name not in VOID and (name == out[0] or name in ("article", "main") and not article):
-                if name in ("article", "main"):
-                    out.clear()  # nor does it reach into one
-                else:
-                    out.append(name)
-            if out or not ends and name not in ("article", "main"):
-                continue
-        if not ends and name not in VOID and (name in OUT or name == "header" and not article or name not in ("html", "body", "article", "main") and _marked(attrs, article > 0)):
-            close()
-            out.append(name)
+        if name in ("a", "br"):
+            if name == "br":
+                pieces.append(" ")
+            else:
+                links = 0 if ends else 1
             continue
-        if name == "a":
-            links = max(0, links - 1) if ends else 1
-        elif name in BLOCKS:
-            if name in ("article", "main"):
-                close()
-                article = max(0, article - 1) if ends else article + 1
-                now = Block(article=article > 0)
+        holds = name in BLOCKS or name in CONTROLS
+        against = 0 if ends or name in VOID or name in ("html", "body") else _says(name, attrs)
+        if not holds and not against and not any(x[0] == name for x in path[1:]):
+            continue  # marks inside a line
+        close()
+        if ends:
+            at = next((k for k in range(len(path) - 1, 0, -1) if path[k][0] == name), 0)
+            if at:
+                skipped -= sum(x[0] in CONTROLS or x[2] >= 99 for x in path[at:])
+                del path[at:]
                 links = 0
-            elif name == "br":
-                now.pieces.append(" ")
-            else:
-                if name in HEADINGS:
-                    close()
-                    heading = not ends
-                else:
-                    heading = False
-                close()
+            tag = ""
+            continue
+        if name in VOID or name in ("html", "body"):
+            continue
+        if name in CLOSES:  # a paragraph, an item or a cell ends where the next one, or a container, begins
+            while path[-1][0] in CLOSES[name]:
+                path.pop()
+        number += 1
+        gone = name in CONTROLS or against >= 99
+        skipped += gone
+        path.append((name, number, 99 if gone else min(98, path[-1][2] + against)))
+        tag = name
     close()
     return done
 
 
+def points(text: str, link_chars: int, marked: int) -> int:
+    """Pass one: stop-word density and length for, link density and marked containers against."""
+    words = text.lower().split()
+    stops = sum(w.strip(".,;:!?\"'()[]%*#$&|") in STOP_WORDS for w in words) / len(words)
+    if link_chars > MAX_LINKS * len(text):
+        return min(BAD, -marked)
+    return (stops >= STOP_LOW) + (stops >= STOP_HIGH) + (len(text) >= MIN_LENGTH) + (len(text) >= LONG_LENGTH) * (stops >= STOP_LOW) - marked
+
+
+def _label(n: int) -> str:
+    return "good" if n >= GOOD else "bad" if n <= BAD else ""
+
+
 def classify(found: list[Block]) -> list[Block]:
     """Labels every block good or bad."""
-    marked = any(b.article for b in found)
     for b in found:
-        words = b.text.lower().split()
-        stops = sum(w.strip(".,;:!?\"'()[]%*#$&|") in STOP_WORDS for w in words) / len(words)
-        linked = b.link_chars / len(b.text)
-        if marked and not b.article or linked > MAX_LINKS:
-            b.label = "bad"
-        elif len(b.text) < MIN_LENGTH:
-            b.label = "bad" if linked > 0 and not b.article else "short"
-        elif stops >= STOP_HIGH and len(b.text) > LONG_LENGTH or b.article and (stops >= STOP_LOW or len(b.text) > LONG_LENGTH):
-            b.label = "good"
-        elif stops >= STOP_LOW or b.article:
-            b.label = "neargood"
-        else:
-            b.label = "bad"
-    at = 0
-    while at < len(found):  # neighbours that are nearly good count with their joint length
-        end = at
-        while end < len(found) and found[end].label == "neargood":
-            end += 1
-        if sum(len(b.text) for b in found[at:end]) > LONG_LENGTH:
-            for b in found[at:end]:
-                b.label = "good"
-        at = end + 1
+        b.label = _label(points(b.text, b.link_chars, b.marked))
     if not any(b.label == "good" for b in found):
-        for b in found:
-            b.label = "good" if b.label == "neargood" else b.label
-    edge = "good" if marked else "bad"
+        _together(found)
+    return inherit(found)
+
+
+def _together(found: list[Block]) -> None:
+    """Judges the ambiguous blocks of each container by their joint text, and if that doesn't help those of the longest."""
+    groups: dict[int, list[Block]] = {}
+    for b in found:
+        if not b.label:
+            at = b.inside[-2] if len(b.inside) > 1 else 0
+            groups.setdefault(at, []).append(b)
+    for own in groups.values():
+        label = _label(points(" ".join(b.text for b in own), sum(b.link_chars for b in own), max(b.marked for b in own)))
+        for b in own:
+            b.label = label
+    left = [own for own in groups.values() if not own[0].label and any(b.tag == "p" or b.tag in HEADINGS for b in own)]
+    if left and not any(b.label == "good" for b in found):
+        for b in max(left, key=lambda own: sum(len(b.text) for b in own)):
+            b.label = "good"
+
+
+def inherit(found: list[Block]) -> list[Block]:
+    """Pass two: the ambiguous blocks take the label of their nearest decided neighbours."""
+    before: list[int] = []
+    last = -1
+    for k, b in enumerate(found):
+        before.append(last)
+        last = k if b.label else last
+    after = [-1] * len(found)
+    last = -1
+    for k in range(len(found) - 1, -1, -1):
+        after[k] = last
+        last = k if found[k].label else last
     labels = [b.label for b in found]
-    before, after = [edge] * len(found), [edge] * len(found)
-    for way, near in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
-        last = edge
-        for i in way:
-            near[i] = last
-            if labels[i] in ("good", "bad"):
-                last = labels[i]
-                if marked and not found[i].article:
-                    last = edge
-    for i, b in enumerate(found):
-        if labels[i] == "neargood":
-            b.label = "bad" if before[i] == after[i] == "bad" else "good"
-        elif labels[i] == "short":
-            b.label = "good" if before[i] == after[i] == "good" or b.heading and after[i] == "good" or b.article and "good" in (before[i], after[i]) else "bad"
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a.inside, b.inside, strict=False)) if x != y), min(len(a.inside), len(b.inside)))
+    for k, b in enumerate(found):
+        if b.label:
+            continue
+        sides = [(-shared(b, found[at]), abs(at - k), b.tag != found[at].tag, labels[at]) for at in (before[k], after[k]) if at >= 0]
+        ends = (-1, min(k + 1, len(found) - k), True, "bad")  # the page's edge
+        one, two = sorted([*sides, ends, ends])[:2] if len(sides) < 2 else sorted(sides)
+        if b.tag in HEADINGS and after[k] >= 0 and shared(b, found[after[k]]) > 1:
+            b.label = labels[after[k]]
+        elif one[3] == two[3]:
+            b.label = one[3]
+        elif one[0] == -1 and len(b.inside) > 2:
+            b.label = "bad"  # in a container of its own between neighbours of two kinds
+        else:
+            b.label = one[3] if one[:3] != two[:3] else "bad"
     return found
 
 

@@ -7,10 +7,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from html import unescape
 
 import numpy as np
 import pytest
 from conftest import rows_of, rows_of_sql
+from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, dedup, html, langid, mixing, quality, queries, sharding, topk, urls, warc
 
@@ -222,9 +224,88 @@ def test_pages_main_text():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
 
 
+def _article(page):
+    """What stands in the article of a page as the tables have them, by plain cutting."""
+    inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    parts = (" ".join(unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in re.split("</?p>|</?h1>", inside))
+    return " ".join(x for x in parts if x)
+
+
 def test_pages_of_the_tables(spark, sf_dir):
-    for r in html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect():
-        assert r.n_chars == len(r.text) and "<" not in re.sub(r"[#*$%&|<>]{3}", "", r.text)
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    want = {r.page_id: _article(r.html) for r in df.collect()}
+    for name in ("article", "div"):  # the element's name decides nothing
+        got = html.extract(df.withColumn("html", F.regexp_replace("html", "(</?)article>", f"$1{name}>"))).collect()
+        assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+
+
+PROSE = "The man and the sea is a story that all of us have read, and it was good for the people who were there. "
+
+
+def test_page_rules_decide(monkeypatch):
+    numbers = "<div>" + "".join(f"<p>{k}-{k * 7919} x{k}y {k * 31}</p>" for k in range(200)) + "</div>"
+    links = "<ul>" + "".join(f"<li><a href=/{k}>{PROSE}</a></li>" for k in range(3)) + "</ul>"
+    page = f"<body>{numbers}<div><h2>Head</h2><p>{PROSE * 3}</p><p>So it is.</p>{links}<p>Short.</p><p>{PROSE * 3}</p></div></body>"
+    once = (PROSE * 3).strip()
+    assert html.main_text(page) == f"Head {once} So it is. Short. {once}"
+    with monkeypatch.context() as m:
+        m.setattr(html, "STOP_WORDS", frozenset())
+        assert html.main_text(page).startswith("0-0 x0y")
+    with monkeypatch.context() as m:
+        m.setattr(html, "inherit", lambda found: found)
+        assert html.main_text(page) == f"{once} {once}"
+    with monkeypatch.context() as m:
+        m.setattr(html, "MAX_LINKS", 2)
+        assert html.main_text(page).count(PROSE.strip()) == 9
+
+
+def test_page_blocks_inherit_like_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        found = []
+        for k in range(rng.randint(1, 12)):
+            inside = (0, *sorted(rng.sample(range(1, 5), rng.randint(0, 3))))
+            found.append(html.Block("x", 0, rng.choice(["p", "p", "h1", "li"]), inside, 0, rng.choice(["", "", "good", "bad"])))
+        given = [b.label for b in found]
+
+        def common(a, b):
+            n = 0
+            while n < min(len(a.inside), len(b.inside)) and a.inside[n] == b.inside[n]:
+                n += 1
+            return n
+
+        want = []
+        for k, b in enumerate(found):
+            if given[k]:
+                want.append(given[k])
+                continue
+            sides = []
+            for way in (range(k - 1, -1, -1), range(k + 1, len(found))):
+                at = next((j for j in way if given[j]), None)
+                if at is not None:
+                    sides.append((common(b, found[at]), -abs(at - k), b.tag == found[at].tag, given[at], at))
+            if not sides:
+                want.append("bad")
+                continue
+            follows = [x for x in sides if x[4] > k and x[0] > 1]
+            if b.tag == "h1" and follows:
+                want.append(follows[0][3])
+                continue
+            if len(sides) == 1:
+                sides.append((1, -min(k + 1, len(found) - k), False, "bad", None))
+            one, two = sorted(sides, key=lambda x: x[:3], reverse=True)
+            alone = one[0] == 1 and len(b.inside) > 2 or one[:3] == two[:3]
+            want.append("bad" if alone and one[3] != two[3] else one[3])
+        assert [b.label for b in html.inherit(found)] == want
+
+
+def test_odd_pages(spark):
+    long = f'<article><p>{PROSE * 3}<img alt="{"z" * 70_000} > LEAK"></p><p>{PROSE * 3000}</p></article>'
+    rows = [(1, "u", long, 7, "t"), (1, "u", long, 7, "t"), (None, None, None, None, None), (2, None, "", 1, "t"), (3, "u", "<script>a</p>", 1, "t"), (4, "u", "a < b & c &amp; <!-- -->", 1, "t"), (5, "u", f"<div hidden><p>{PROSE * 5}</p></div><section id=comments><p>{PROSE * 9}</p></section>", 1, "t")]
+    got = Counter((r.page_id, r.url, r.text) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int, text string")).collect())
+    text = f"{(PROSE * 3).strip()} {(PROSE * 3000).strip()}"
+    assert got == Counter([(1, "u", text), (1, "u", text), (None, None, ""), (2, None, ""), (3, "u", ""), (4, "u", ""), (5, "u", "")])
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 @pytest.fixture(scope="module")
