@@ -1,10 +1,14 @@
 """URL filters: rules first, else segmented host words and path tokens under naive Bayes (operator 7).
 
 Words are counted over all pages: path tokens and the parts of hyphenated host labels. Every distinct
-host label without a hyphen is cut by the most probable sequence of such words (unigram Viterbi). Hosts
-whose words include one of a short list of seed words count as block in training, all others as allow;
-multinomial naive Bayes over hashed tokens, counted over all pages, then carries the verdict over to
-words that go together with the seeds. Words of the rules' own hosts and paths are no evidence.
+host label without a hyphen is cut by the most probable sequence of such words (unigram Viterbi).
+
+No page comes with a class, so multinomial naive Bayes learns from weak labels, twice. First, pages whose
+host has a word of a short list of seeds count as block and all others as allow; counts of hashed tokens
+over all pages give the word's odds. Then every page is labelled anew by these odds, and the counts are
+taken again: words that go with the seeds become evidence by themselves, and a seed among words of the
+other class no longer decides. Only the second model gives verdicts. Words of the rules' own hosts and
+paths are no evidence.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 # Words that mark hosts to block in training.
 SEEDS = ("spam", "casino", "poker", "bets", "betting", "pills", "viagra", "pharmacy", "adult", "porn", "xxx", "sex", "warez", "crack", "malware", "phishing", "ads", "adserver", "doubleclick", "payday", "jackpot", "escort")
 BUCKETS = 1 << 16
-#: Longest word of a segmentation.
-MAX_WORD = 20
+#: A longer label is no label of a host (RFC 1035) and stays one word; no shorter word is left out.
+MAX_LABEL = 63
 #: Unseen words: this probability over the number of words, and a factor for each character.
 UNSEEN, PER_CHAR = 10.0, 0.1
 #: Added to every count of a token and class.
@@ -65,7 +69,7 @@ def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> li
     best, back = [0.0], [0]
     for end in range(1, len(label) + 1):
         options = []
-        for n in range(1, min(end, MAX_WORD) + 1):
+        for n in range(1, end + 1):
             p = known.get((end - n, n), math.log(UNSEEN / total) + n * math.log(PER_CHAR))
             options.append((best[end - n] + p, n))
         p, n = max(options)
@@ -97,15 +101,16 @@ def host_words(parsed: DataFrame) -> DataFrame:
     from_hosts = labels.where(hyphened).select(F.explode(tokens(F.col("label"))).alias("word"), "n")
     from_paths = parsed.select(F.explode(tokens(F.col("path"))).alias("word"), F.lit(1).cast("long").alias("n"))
     seeds = parsed.sparkSession.createDataFrame([(w, 1) for w in SEEDS], "word string, n long")
-    vocabulary = written(from_hosts.unionByName(from_paths).unionByName(seeds).where(F.length("word").between(2, MAX_WORD)).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    vocabulary = written(from_hosts.unionByName(from_paths).unionByName(seeds).where(F.length("word").between(2, MAX_LABEL)).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
     total = float(vocabulary.agg(F.sum("n")).first()[0])
-    whole = labels.where(~hyphened & (F.col("label") != "")).select("label").distinct()
+    short = ~hyphened & F.length("label").between(1, MAX_LABEL)
+    whole = labels.where(short).select("label").distinct()
     starts = F.sequence(F.lit(0), F.length("label") - 1)
-    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("label") - a)), lambda n: F.struct(a.alias("at"), n.alias("len"), F.substring(F.col("label"), a + 1, n).alias("word")))))
+    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.length("label") - a), lambda n: F.struct(a.alias("at"), n.alias("len"), F.substring(F.col("label"), a + 1, n).alias("word")))))
     parts = whole.select("label", F.explode(spans).alias("x")).select("label", "x.*").where("len >= 2")
     found = parts.join(vocabulary, "word").groupBy("label").agg(F.collect_list(F.struct("at", "len", "n")).alias("found"))
     cut = whole.join(found, "label", "left").mapInArrow(_segment(total), "label string, words array<string>")
-    each = labels.join(cut, "label", "left").select("host", "place", F.when(hyphened, tokens(F.col("label"))).otherwise(F.coalesce("words", F.array().cast("array<string>"))).alias("words"))
+    each = labels.join(cut, "label", "left").select("host", "place", F.when(short, F.coalesce("words", F.array().cast("array<string>"))).otherwise(tokens(F.col("label"))).alias("words"))
     ordered = each.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("x"))
     return written(ordered.select("host", F.flatten(F.col("x.words")).alias("words")), "url-segments")
 
@@ -114,17 +119,42 @@ def _rule_words() -> list[str]:
     return sorted({w for text, _ in RULES for w in re.split(r"[^a-z0-9]+", text) if w and not w.isdigit()})
 
 
+def _odds(model, lists: pa.ListArray) -> np.ndarray:
+    """log P(block | buckets) - log P(allow | buckets), for each list of buckets."""
+    prior, odds = model
+    size = np.asarray(lists.value_lengths()).astype(np.int64)
+    sums = np.append(0.0, np.cumsum(odds[lists.flatten().to_numpy()]))
+    ends = np.cumsum(size)
+    return prior + sums[ends] - sums[ends - size]
+
+
+def fit(rows: DataFrame) -> tuple[float, np.ndarray]:
+    """The log prior odds, and each bucket's log odds, of rows labelled spam or not. rows: spam, buckets."""
+    counts = np.full((2, BUCKETS), SMOOTH)
+    n = [0, 0]
+    marked = F.concat(F.array(F.lit(-1)), "buckets")  # -1 counts the rows
+    for r in rows.select("spam", F.explode(marked).alias("b")).groupBy("spam", "b").agg(F.count("*").alias("n")).collect():  # 2 * BUCKETS + 2 rows at most
+        if r["b"] < 0:
+            n[r["spam"]] = r["n"]
+        else:
+            counts[int(r["spam"]), r["b"]] += r["n"]
+    odds = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    return math.log((n[1] + 1) / (n[0] + 1)), odds
+
+
+def _relabelled(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_odds(model.value, b["buckets"]) > 0, pa.bool_()), b["buckets"]], names=["spam", "buckets"])
+
+    return run
+
+
 def _verdicts(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prior, odds = model.value
         for b in batches:
-            lists = b["buckets"]
-            size = np.asarray(lists.value_lengths())
-            x = np.append(odds[lists.flatten().to_numpy()], 0.0)
-            starts = np.cumsum(size) - size
-            total = np.where(size > 0, np.add.reduceat(x, np.minimum(starts, len(x) - 1)), 0) + prior if len(size) else size
             own = b["rule_verdict"].to_pylist()
-            verdict = [v or ("block" if t > 0 else "allow") for v, t in zip(own, total, strict=True)]
+            verdict = [v or ("block" if t > 0 else "allow") for v, t in zip(own, _odds(model.value, b["buckets"]), strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["host"], b["path"], b["rule"], pa.array(verdict, pa.string()), b["words"]], names=["page_id", "host", "path", "rule", "verdict", "words"])
 
     return run
@@ -134,8 +164,9 @@ def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's words, for every row of pages.
 
     A null url, or one without ://, has an empty host and path and no rule; without any token the
-    verdict is that of the larger class. Null page_ids and repeated rows pass through; an empty table
-    gives no rows; other columns are not read.
+    verdict is that of the larger class. A label of over 63 characters is one word, and paths of any
+    length are read whole. Null page_ids and repeated rows pass through; an empty table gives no rows;
+    other columns are not read.
     """
     spark = pages.sparkSession
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -145,12 +176,8 @@ def judge(pages: DataFrame) -> DataFrame:
     used = F.filter(F.concat("words", tokens(F.col("path"))), lambda t: ~F.array_contains(no_evidence, t))
     buckets = F.transform(used, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
     seeded = F.arrays_overlap("words", F.array(*map(F.lit, SEEDS)))
-    rows = written(parsed.join(segments, "host").select("page_id", "host", "path", "words", rule.alias("rule"), verdict.alias("rule_verdict"), buckets.alias("buckets"), seeded.alias("seeded")), "url-tokens")
-    counts = np.full((2, BUCKETS), SMOOTH)
-    for r in rows.select("seeded", F.explode("buckets").alias("b")).groupBy("seeded", "b").agg(F.count("*").alias("n")).collect():  # 2 * BUCKETS rows at most
-        counts[int(r["seeded"]), r["b"]] += r["n"]
-    n = {r["seeded"]: r["n"] for r in rows.groupBy("seeded").agg(F.count("*").alias("n")).collect()}
-    prior = math.log((n.get(True, 0) + 1) / (n.get(False, 0) + 1))
-    odds = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    rows = written(parsed.join(segments, "host").select("page_id", "host", "path", "words", rule.alias("rule"), verdict.alias("rule_verdict"), buckets.alias("buckets"), seeded.alias("spam")), "url-tokens")
+    first = spark.sparkContext.broadcast(fit(rows))
+    model = spark.sparkContext.broadcast(fit(rows.select("buckets").mapInArrow(_relabelled(first), "spam boolean, buckets array<int>")))
     kind = rows.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(_verdicts(spark.sparkContext.broadcast((prior, odds))), f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>")
+    return rows.drop("spam").mapInArrow(_verdicts(model), f"page_id {kind}, host string, path string, rule string, verdict string, words array<string>")

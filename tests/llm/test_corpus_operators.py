@@ -354,6 +354,34 @@ def test_url_rules_and_verdicts(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_verdicts_equal_brute_force_and_not_the_seeds(spark):
+    block = ["free-casino-win", "win-casino", "casino-free-spins", "freecasino", "spins-win-poker"]
+    allow = ["city-library", "library-news", "citynews", "news-of-the-city"]
+    hosts = [f"{h}{k}.example.net" if "-" not in h else f"{h}-{k}.example.net" for h in allow for k in range(12)] + [f"{h}.w{k}.example.net" for h in block for k in range(6)]
+    named = ["win-free-spins.example.net", "ads-library-city-news-library.example.net", "winfree.example.net"]
+    rows = [(k, f"http://{h}/en/{'slots' if 'win' in h else 'books'}/{k}?q", "h", "v") for k, h in enumerate(hosts + named)] + [(0, "http://city-library-0.example.net/en/books/0?q", "h", "v"), (None, None, None, None), (990, "http://" + "q" * 5000 + "/" + "long/" * 20_000, "h", "v")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")).collect()
+    assert len(got) == len(rows)
+    by_host = {r.host: r for r in got}
+    used = lambda r: [t for t in [*r.words, *("0" if x.isdigit() else x for x in re.findall("[a-z0-9]+", r.path.lower()))] if t not in {*urls._rule_words(), "www", "0"}]
+
+    def model(labels):
+        counts = [Counter(), Counter()]
+        for r, spam in zip(got, labels, strict=True):
+            counts[spam].update(used(r))
+        p = lambda t, c: math.log((counts[c][t] + urls.SMOOTH) / (counts[c].total() + urls.SMOOTH * urls.BUCKETS))
+        prior = math.log((sum(labels) + 1) / (len(labels) - sum(labels) + 1))
+        return [prior + sum(p(t, 1) - p(t, 0) for t in used(r)) > 0 for r in got]
+
+    seeded = [not set(r.words).isdisjoint(urls.SEEDS) for r in got]
+    want = model(model(seeded))
+    assert [r.verdict == "block" for r in got if not r.rule] == [w for w, r in zip(want, got, strict=True) if not r.rule]
+    for host, verdict in zip(named, ("block", "allow", "block"), strict=True):  # the seeds alone say the opposite of each
+        assert by_host[host].verdict == verdict and (verdict == "block") == set(by_host[host].words).isdisjoint(urls.SEEDS)
+    assert by_host["winfree.example.net"].words == ["win", "free", "example", "net"]
+    assert by_host["q" * 5000].words == ["q" * 5000] and by_host[""].verdict == "allow"
+
+
 def test_viterbi_equals_brute_force():
     rng = random.Random(6)
     for _ in range(30):
