@@ -5,7 +5,7 @@ host label without a hyphen is cut by the most probable sequence of such words (
 
 No page comes with a class, so multinomial naive Bayes learns from weak labels, twice. First, pages whose
 host has a word of a short list of seeds count as block and all others as allow; counts of hashed tokens
-over all pages give the word's odds. Then every page is labelled anew by these odds, and the counts are
+over all pages (each once a page) give the word's odds. Then every page is labelled anew by these odds, and the counts are
 taken again: words that go with the seeds become evidence by themselves, and a seed among words of the
 other class no longer decides. Only the second model gives verdicts. Words of the rules' own hosts and
 paths are no evidence.
@@ -173,7 +173,7 @@ def judge(pages: DataFrame) -> DataFrame:
     segments = host_words(parsed.select("host", "path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     no_evidence = F.array(*map(F.lit, [*_rule_words(), "www", "0"]))
-    used = F.filter(F.concat("words", tokens(F.col("path"))), lambda t: ~F.array_contains(no_evidence, t))
+    used = F.array_except(F.concat("words", tokens(F.col("path"))), no_evidence)  # each once, so that no long path outweighs all others
     buckets = F.transform(used, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int"))
     seeded = F.arrays_overlap("words", F.array(*map(F.lit, SEEDS)))
     rows = written(parsed.join(segments, "host").select("page_id", "host", "path", "words", rule.alias("rule"), verdict.alias("rule_verdict"), buckets.alias("buckets"), seeded.alias("spam")), "url-tokens")

@@ -363,7 +363,7 @@ def test_url_verdicts_equal_brute_force_and_not_the_seeds(spark):
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")).collect()
     assert len(got) == len(rows)
     by_host = {r.host: r for r in got}
-    used = lambda r: [t for t in [*r.words, *("0" if x.isdigit() else x for x in re.findall("[a-z0-9]+", r.path.lower()))] if t not in {*urls._rule_words(), "www", "0"}]
+    used = lambda r: {*r.words, *re.findall("[a-z]+", r.path.lower())} - {*urls._rule_words(), "www", "0"}
 
     def model(labels):
         counts = [Counter(), Counter()]
