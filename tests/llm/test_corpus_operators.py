@@ -413,12 +413,26 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_pivots_eliminate():
+def test_top_k_of_huge_components(spark):
+    """Finite components whose squares exceed a double neither vanish nor take others with them."""
+    rows = [(0, [1.0, 2.0, 3.0]), (1, [0.5, 0.5, 0.5]), (2, [1e160, 0.0, 0.0]), (3, [-2.0, 0.0, 1.0]), (4, [1e300, -1e300, 1e-300]), (5, [-1e308, 1.0, 1.0])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(0, 1, 2), (0, 2, 1), (0, 3, 3), (0, 4, 4), (0, 5, 5)]
+    assert [r.score for r in sorted(got, key=lambda r: r["rank"])] == [2**63 - 1, 512 * (1024 + 2048 + 3072), -2 * 1024 * 1024 + 3072 * 1024, -(2**63 - 1), -(2**63 - 1)]
+
+
+def test_pivots_eliminate(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 500)
     rng = np.random.default_rng(9)
-    centers = rng.normal(size=(20, 8)) * 900
-    c = np.floor(centers[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 20)
-    best = [topk.Best(10)]
-    assert topk.search_batch(best, np.array([-1]), c[:1], topk.choose_pivots(c[:500]), np.arange(4000), c) < 2000
+    centers = rng.normal(size=(20, 8))
+    m = centers[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 0.02
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    found = topk.search(df).collect()
+    assert sum(r.evaluated for r in found) < 0.4 * 40 * 4000
+    v = np.floor(1024 * m)
+    for q in range(0, 4000, 100):
+        want = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:10]
+        assert sorted({(-r.score, r.vec_id) for r in found if r.query_id == q})[:10] == want
 
 
 def _brute_classes(rows, weights):
