@@ -14,11 +14,12 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    have = conf or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: spark.checkpoint.dir, or the one that setCheckpointDir gave the session."""
+    have = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not have:
-        have = "file://" + tempfile.mkdtemp(prefix="loomlake-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        have = "file://" + tempfile.mkdtemp(prefix="loomlake-")  # one process: its own folder is shared
         spark.sparkContext.setCheckpointDir(have)
     return have.rstrip("/")
 
@@ -38,6 +39,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of so many rows of a few keys (some 30 MB) are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows (df is a written table of keys)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def let(value: Column, body) -> Column:
     """body(value), where value is computed once however often body names it."""
     return F.transform(F.array(value), body)[0]

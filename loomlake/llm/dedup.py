@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import words_of, written
+from loomlake.llm.common import checked, words_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs whose samples agree less than this are not compared.
@@ -42,8 +42,6 @@ DF_BITS, DF_CHUNKS = 18, 16
 DAMP = 0.5
 #: Nodes of a block of a bucket or family, and words of a block of texts (a longer text is a block of its own).
 BLOCK, BLOCK_WORDS = 1024, 1 << 20
-#: Tables of so many rows of two keys (some 30 MB) are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
 #: Entries of each table of variates, as a power of 2; three of them, indexed by different bits, serve a run.
 TABLE_BITS = 14
 #: Runs that a task samples at once.
@@ -314,11 +312,6 @@ def _key(text: Column) -> Column:
 
 
 
-def _checked(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has few rows (df is a written table of keys)."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, comp: the smallest node that links lead to. links: a, b."""
     both = written(links.union(links.select("b", "a")).distinct(), "dedup-links")
@@ -403,7 +396,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sizes = of.groupBy(F.col("comp").alias("first")).agg(_blocks(F.count("*"), F.sum("words")).alias("k"))
     members = written(of.join(sizes, of["comp"] == sizes["first"]).select("node", "rep", F.xxhash64("first").alias("g"), "first", "k", "words"), "dedup-members")
     source = docs.select("doc_id", "text", _key(F.col("text")).alias("k"))
-    need = _checked(members.select("node", "rep"))
+    need = checked(members.select("node", "rep"))
     texts = source.join(need, (source["k"] == need["node"]) & source["doc_id"].eqNullSafe(need["rep"])).select("node", "text")
     texts = written(texts.join(sketches, "node"), "dedup-texts")
 
@@ -444,7 +437,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     cols = docs.columns
     found = written(classes(docs).where("comp is not null").select("key", "doc_id", F.col("class_id").eqNullSafe(F.col("doc_id")).alias("stays")), "dedup-stays")
     keyed = lambda df: df.select(F.col("key").alias("_k"), F.col("doc_id").alias("_id"))
-    gone = written(keyed(found.where("not stays")).distinct(), "dedup-gone")
+    gone = checked(written(keyed(found.where("not stays")).distinct(), "dedup-gone"))
     again = written(keyed(found.where("stays")).groupBy("_k", "_id").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "dedup-again")
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), _key(F.col("text")).alias("_key"), F.col("doc_id").alias("_doc"))
     same = (F.col("_key") == F.col("_k")) & F.col("_doc").eqNullSafe(F.col("_id"))

@@ -13,7 +13,7 @@ from loomlake.llm.sql import ORACLE_SQL  # noqa: F401
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": lambda spark, d: dedup.near_duplicates(table(spark, d, "documents")),
     "op2_html_main_text": lambda spark, d: html.extract(table(spark, d, "pages")),
-    "op3_warc_index": lambda spark, d: warc.archive(table(spark, d, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"),
+    "op3_warc_index": lambda spark, d: warc.archive(table(spark, d, "pages")).drop("archive", "offset"),
     "op4_exact_top_k": lambda spark, d: topk.top_k(table(spark, d, "embeddings")),
     "op5_quality_rules": lambda spark, d: quality.score(table(spark, d, "documents")),
     "op6_mix_sources": lambda spark, d: mixing.mix(table(spark, d, "documents")),

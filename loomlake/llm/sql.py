@@ -4,14 +4,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 OP3 = r"""
-WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+WITH p AS (SELECT page_id, url, regexp_extract(coalesce(url, ''), '^[^:/?#]*://([^/?#]*)(.*)$', ['host', 'rest'], 's') AS u, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
 d AS (SELECT *, [to_base(('0x' || substr(h, 1 + 10 * k, 10))::BIGINT, 32, 8) FOR k IN [0, 1, 2, 3]] AS parts FROM f)
 SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
        translate(array_to_string(parts, ''), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
        CASE WHEN first = page_id OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
-FROM d
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to, url_key, captured_at,
+       row_number() OVER (ORDER BY url_key, captured_at, page_id NULLS FIRST) - 1 AS position
+FROM (
+  SELECT *, CASE WHEN regexp_matches(coalesce(url, ''), '^[^:/?#]*://') THEN concat(array_to_string(list_reverse(string_split(lower(u.host), '.')), ','), ')', lower(u.rest)) ELSE lower(coalesce(url, '')) END AS url_key,
+         strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0) % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured_at FROM d)
 """
 
 OP4 = """

@@ -328,11 +328,25 @@ def test_archives_round_trip(spark, pages):
         want[(p, len(b), d, "revisit" if again else "response", first[h or ""] if again else None)] += 1
     got = warc.archive(df).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
-    keys = [(r.url_key, r.captured_at) for r in got]
-    assert keys == sorted(keys)
+    keys = [(r.url_key, r.captured_at) for r in sorted(got, key=lambda r: r.position)]
+    assert keys == sorted(keys) and sorted(r.position for r in got) == list(range(len(rows)))
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_archives_of_blank_lines_and_many_ranges(spark, monkeypatch):
+    """Payloads full of what ends a record come back byte by byte, from many archives and ranges."""
+    monkeypatch.setattr(warc, "RECORDS", 7)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 25)
+    rng = random.Random(12)
+    rows = [(k, f"http://h{k % 5}.test/{rng.randint(0, 9)}", "".join(rng.choice(["\r\n", "\r", "\n", "x", "é", "WARC/1.1\r\n"]) for _ in range(rng.choice([0, 3, 40, 30_000])))) for k in range(120)]
+    got = {r.page_id: r for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    for k, _, h in rows:
+        assert got[k].payload_bytes == len(h.encode()) and got[k].payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    order = sorted(got.values(), key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(120)) and len({r.archive for r in order}) > 15
+    assert order == sorted(order, key=lambda r: (r.url_key, r.captured_at, r.page_id))
+
+
 def test_loser_tree_merges():
     rng = random.Random(4)
     for k in range(9):
