@@ -21,6 +21,8 @@ from loomlake.llm.common import hash60
 BUCKETS = 1 << 16
 #: Texts a language that training reads at most, and tasks among which they are dealt.
 TRAIN_ROWS, TRAIN_TASKS = 2000, 8
+#: Languages that can be learned: those with most labelled texts. The model has so many rows of BUCKETS floats at most (64 MB).
+LANGUAGES = 256
 #: Characters that a task scores at once.
 PIECE = 1 << 20
 #: The pipeline's stage keeps documents whose language has at least this probability.
@@ -71,14 +73,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The languages, their log priors, and log P(bucket | language), from the documents not held out."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counted = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    per_lang = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     langs = sorted(per_lang)
     if not langs:
         return [], np.zeros(0), np.zeros((0, BUCKETS), np.float32)
-    part = F.lit(0.0)
-    for lang, n in per_lang.items():
-        part = F.when(F.col("lang") == lang, min(1.0, TRAIN_ROWS / n)).otherwise(part)
-    sample = labelled.where(hash60(F.col("doc_id")) < part * float(1 << 60)).select("lang", "text")
+    shares = [(x, min(1.0, TRAIN_ROWS / n) * float(1 << 60)) for x, n in per_lang.items()]
+    known = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, below double"))  # LANGUAGES rows at most
+    sample = labelled.join(known, "lang").where(hash60(F.col("doc_id")) < F.col("below")).select("lang", "text")
     rows = sample.repartition(TRAIN_TASKS).mapInArrow(_count, "lang string, counts binary").collect()  # TRAIN_TASKS rows a language
     counts = np.zeros((len(langs), BUCKETS))
     for r in rows:
@@ -142,8 +144,9 @@ def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
     Null texts and texts without a letter are und with score 0, and so is every text if there is no
-    labelled row to learn from. Null doc_ids are not held out; repeated rows are predicted alike;
-    other columns are not read. score is the posterior probability of lang_pred.
+    labelled row to learn from. Texts of any length are scored whole, a piece at a time. Null doc_ids are
+    not held out; repeated rows are predicted alike; ties go to the language that sorts first; an empty
+    table gives no rows; other columns are not read. score is the posterior probability of lang_pred.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     slim = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -152,6 +155,10 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is recognised with LEAST_SCORE or more, with the columns of docs."""
+    """The rows of docs whose language is recognised with LEAST_SCORE or more, with the columns of docs.
+
+    Null and empty texts and those without a letter go, as their language is und, and so do all if no row
+    has a label; nulls in other columns, repeated rows and very long texts are kept or not by their text.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     return docs.mapInArrow(_predictor(model, "keep"), docs.schema)

@@ -93,8 +93,9 @@ def _with_times(rows: DataFrame, state: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row.
 
-    Null text has size 0, null source is a source (last in order), null doc_id hashes as a value;
-    repeated rows share a hash and are taken together; an empty table gives no rows.
+    Null text has size 0, null source is a source (last in order), null doc_id hashes as a value; texts of
+    any length count whole; repeated rows share a hash and are taken together, as are rows that tie at a
+    threshold; an empty table gives no rows; other columns are not read.
     """
     sized = written(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")), "mix-sizes")
     out = _with_times(sized, thresholds(sized))
@@ -102,7 +103,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as many times as it is taken, with the columns of docs."""
+    """The mix itself: each row of docs as many times as it is taken, with the columns of docs.
+
+    Null, empty, repeated and very long texts are treated as by mix(); a text without words counts nothing
+    and is taken as its hash says.
+    """
     cols = docs.columns
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), "source", size_of(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h"))
     sized = written(base.select("source", "size", "h"), "mix-sizes")

@@ -3,11 +3,11 @@
 Three measures of a document are kept as histograms of fixed resolution per (lang, source): symbols
 per word character, repeated lines per line and word length. Such a histogram is a quantile sketch
 with a known resolution: sketches merge by adding counts, so partial aggregation builds them before
-any shuffle, a language's sketch is the sum of its sources' sketches, and their size is bounded by
-the number of buckets. A group's upper fence is q50 + max(floor, 4 * (q50 - q10)) in buckets: it
-follows the group's own text instead of a fixed cutoff, and only what stands far from the group's
-bulk is rejected. Groups of fewer than MIN_GROUP documents use their language's sketch, languages of
-fewer the sketch of all documents.
+any shuffle, and their size is bounded by the number of buckets. A group's upper fence is
+q50 + max(floor, 4 * (q50 - q10)) in buckets: it follows the group's own text instead of a fixed cutoff,
+and only what stands far from the group's bulk is rejected. Groups of any size and texts of any length go
+by the same rule; PRIOR_WORDS words of usual length are added to each text's word length, as the mean of a
+few words varies much.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from loomlake.llm.common import let, words_of, written
 
 MIN_WORDS, MAX_REPEAT_PCT, WINDOW = 10, 20, 5
-MIN_GROUP = 32
-#: Word length is judged from so many words on; shorter texts vary too much.
-MIN_WORDS_LENGTH = 50
+#: Words, and characters of each, that are added to every text before its word length is taken.
+PRIOR_WORDS, PRIOR_CHARS = 20, 5
 #: Measure: (largest bucket, least distance of the fence from the median, in buckets).
 MEASURES = {"sym": (200, 6), "dup": (50, 20), "wlen": (255, 15)}
 
@@ -74,7 +73,7 @@ def buckets() -> dict[str, Column]:
     return {
         "sym": ratio("n_symbols", "word_chars", 200, 200),
         "dup": ratio("n_dup_lines", "n_lines", 50, 50),
-        "wlen": F.when(F.col("n_words") >= MIN_WORDS_LENGTH, ratio("word_chars", "n_words", 10, 255)),
+        "wlen": F.least(F.floor(10 * (F.col("word_chars") + PRIOR_WORDS * PRIOR_CHARS) / (F.col("n_words") + PRIOR_WORDS)), F.lit(255)).cast("int"),
     }
 
 
@@ -84,26 +83,17 @@ def fences(feat: DataFrame, lang: str, source: str) -> DataFrame:
     rows = feat.where(~F.col("base_failed")).select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), each.alias("x"))
     hist = written(rows.select("g_lang", "g_source", "x.*").where("bucket is not null").groupBy("g_lang", "g_source", "measure", "bucket").agg(F.count("*").alias("n")), "quality-sketch")
 
-    def level(keys: list[str], name: str) -> DataFrame:
-        merged = hist.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-        lists = merged.groupBy(*keys, "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sum("n").alias("total"))
+    lists = hist.groupBy("g_lang", "g_source", "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("s"), F.sum("n").alias("total"))  # 256 buckets at most
 
-        def quantile(pct: int) -> Column:
-            start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
-            step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["at"].isNull() & (100 * (a["seen"] + x["n"]) >= pct * F.col("total")), x["bucket"]).otherwise(a["at"]).alias("at"))
-            return F.aggregate("s", start, step, lambda a: a["at"])
+    def quantile(pct: int) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("at"))
+        step = lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when(a["at"].isNull() & (100 * (a["seen"] + x["n"]) >= pct * F.col("total")), x["bucket"]).otherwise(a["at"]).alias("at"))
+        return F.aggregate("s", start, step, lambda a: a["at"])
 
-        q = lists.select(*keys, "measure", "total", quantile(50).alias("q50"), quantile(10).alias("q10"))
-        least = reduce(lambda c, k: c.when(F.col("measure") == k, MEASURES[k][1]), MEASURES, F.when(F.lit(False), 0))
-        return q.select(*keys, "measure", F.struct("total", (F.col("q50") + F.greatest(least, 4 * (F.col("q50") - F.col("q10")))).alias("fence")).alias(name))
-
-    own, by_lang, all_docs = level(["g_lang", "g_source"], "own"), level(["g_lang"], "by_lang"), level([], "all_docs")
-    by_lang = by_lang.withColumnsRenamed({"g_lang": "l_lang", "measure": "l_measure"})
-    all_docs = all_docs.withColumnRenamed("measure", "a_measure")
-    joined = own.join(by_lang, F.col("g_lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(all_docs, F.col("measure") == F.col("a_measure"))
-    chosen = F.when(F.col("own.total") >= MIN_GROUP, F.col("own.fence")).when(F.col("by_lang.total") >= MIN_GROUP, F.col("by_lang.fence")).otherwise(F.col("all_docs.fence"))
-    wide = joined.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("measure") == k, chosen)).alias(f"fence_{k}") for k in MEASURES])
-    return written(wide, "quality-fences")
+    q = lists.select("g_lang", "g_source", "measure", quantile(50).alias("q50"), quantile(10).alias("q10"))
+    least = reduce(lambda c, k: c.when(F.col("measure") == k, MEASURES[k][1]), MEASURES, F.when(F.lit(False), 0))
+    fence = F.col("q50") + F.greatest(least, 4 * (F.col("q50") - F.col("q10")))
+    return written(q.groupBy("g_lang", "g_source").agg(*[F.max(F.when(F.col("measure") == k, fence)).alias(f"fence_{k}") for k in MEASURES]), "quality-fences")
 
 
 def judged(feat: DataFrame, lang: str, source: str) -> DataFrame:
@@ -117,7 +107,8 @@ def judged(feat: DataFrame, lang: str, source: str) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept for every row.
 
-    Null text has no words and fails the base rules; null lang or source is a group of its own;
+    Null text has no words and fails the base rules; null lang or source is a group of its own; a group
+    of one document keeps what the base rules keep; texts of any length are counted whole in their row;
     repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
     feat = written(features(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "lang", "source"]), "quality-features")
@@ -127,8 +118,9 @@ def score(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs.
 
-    The rows and their counts are written once and read twice (sketches, then filter), so no text
-    is shuffled and no key on doc_id is needed.
+    Null, empty, repeated and very long texts are judged as by score(). The rows and their counts are
+    written once and read twice (sketches, then filter), so no text is shuffled and no key on doc_id is
+    needed.
     """
     cols = docs.columns
     packed = docs.select("text", "lang", "source", F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"))

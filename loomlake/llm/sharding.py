@@ -62,7 +62,10 @@ def _uniform(*cols: Column) -> Column:
 
 
 def matrix(counts: DataFrame, n_shards: int, seed: int) -> DataFrame:
-    """counts: part, n, a row per partition -> part, bounds: the running counts of its rows by shard."""
+    """counts: part, n, a row per partition -> part, bounds: the running counts of its rows by shard.
+
+    One row holds the counts of all partitions at first: two numbers for each task of the input, not for its rows.
+    """
     root = counts.agg(F.sort_array(F.collect_list(F.struct("part", "n"))).alias("parts"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     sizes = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda k: F.floor(F.col("total") / n_shards).cast("long") + F.when(k < F.col("total") % n_shards, 1).otherwise(0))
     node = root.where(F.size("parts") > 0).select(F.lit(1).cast("long").alias("node"), "parts", "total", sizes.alias("to"))
@@ -123,7 +126,8 @@ def assign(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs.
 
     The law is rows: shard counts differ by one at most. Null text has size 1 and a null text_crc32;
-    null doc_ids and repeated rows are dealt like any row; an empty table gives no rows.
+    null doc_ids, repeated rows and texts of any length are dealt like any row; an empty table gives no
+    rows; other columns are not read.
     """
     text = F.col("text")
     slim = docs.select("doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))

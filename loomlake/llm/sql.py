@@ -48,27 +48,19 @@ b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          CASE WHEN word_chars > 0 THEN least((200 * n_symbols) // word_chars, 200) END AS sym,
          CASE WHEN n_lines > 0 THEN least((50 * n_dup_lines) // n_lines, 50) END AS dup,
-         CASE WHEN n_words >= 50 THEN least((10 * word_chars) // n_words, 255) END AS wlen FROM c),
+         least((10 * (word_chars + 100)) // (n_words + 20), 255) AS wlen FROM c),
 m AS (
   SELECT lang, source, unnest(['sym', 'dup', 'wlen']) AS measure, unnest([sym, dup, wlen]) AS x FROM b WHERE NOT base_failed),
 h AS (SELECT * FROM m WHERE x IS NOT NULL),
-lv AS (
-  SELECT 1 AS lvl, lang, source, measure, x FROM h UNION ALL SELECT 2, lang, NULL, measure, x FROM h UNION ALL SELECT 3, NULL, NULL, measure, x FROM h),
 r AS (
-  SELECT *, row_number() OVER (PARTITION BY lvl, lang, source, measure ORDER BY x) AS rn, count(*) OVER (PARTITION BY lvl, lang, source, measure) AS total FROM lv),
+  SELECT *, row_number() OVER (PARTITION BY lang, source, measure ORDER BY x) AS rn, count(*) OVER (PARTITION BY lang, source, measure) AS total FROM h),
 q AS (
-  SELECT lvl, lang, source, measure, max(total) AS total,
-         min(CASE WHEN 100 * rn >= 50 * total THEN x END) AS q50, min(CASE WHEN 100 * rn >= 10 * total THEN x END) AS q10
+  SELECT lang, source, measure, min(CASE WHEN 100 * rn >= 50 * total THEN x END) AS q50, min(CASE WHEN 100 * rn >= 10 * total THEN x END) AS q10
   FROM r GROUP BY ALL),
 fence AS (
-  SELECT lvl, lang, source, measure, total,
-         q50 + greatest(CASE measure WHEN 'sym' THEN 6 WHEN 'dup' THEN 20 ELSE 15 END, 4 * (q50 - q10)) AS f FROM q),
-own AS (
-  SELECT a.lang, a.source, a.measure, CASE WHEN a.total >= 32 THEN a.f WHEN l.total >= 32 THEN l.f ELSE z.f END AS f
-  FROM fence a JOIN fence l ON a.lvl = 1 AND l.lvl = 2 AND a.measure = l.measure AND a.lang IS NOT DISTINCT FROM l.lang
-  JOIN fence z ON z.lvl = 3 AND z.measure = a.measure),
+  SELECT lang, source, measure, q50 + greatest(CASE measure WHEN 'sym' THEN 6 WHEN 'dup' THEN 20 ELSE 15 END, 4 * (q50 - q10)) AS f FROM q),
 wide AS (
-  SELECT lang, source, max(f) FILTER (measure = 'sym') AS fs, max(f) FILTER (measure = 'dup') AS fd, max(f) FILTER (measure = 'wlen') AS fw FROM own GROUP BY lang, source)
+  SELECT lang, source, max(f) FILTER (measure = 'sym') AS fs, max(f) FILTER (measure = 'dup') AS fd, max(f) FILTER (measure = 'wlen') AS fw FROM fence GROUP BY lang, source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(sym > fs, false) AND NOT coalesce(dup > fd, false) AND NOT coalesce(wlen > fw, false) AS kept
