@@ -9,27 +9,31 @@ from loomlake.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the adaptive fences keep."""
+    """Documents that the base rules and the adaptive fences keep.
+
+    Null, empty and short texts go; nulls in lang or source are groups of their own; repeated rows are
+    judged alike; an empty table gives no rows. Columns stay as they are, in this stage as in the next ones.
+    """
     return quality.keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is recognised."""
+    """Documents in a language that is recognised; those without a letter go, others by their whole text."""
     return langid.keep_known(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates, the one with the smallest doc_id; of rows that repeat one stays."""
     return dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
+    """Each document as many times as the mix takes it; a null source is a source."""
     return mixing.take(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token count and the digests of its ids and of the text decoded from them."""
+    """Each document's token count and the digests of its ids and of the text decoded from them; a null text is empty."""
     return bpe.digests(docs)
 
 
@@ -41,7 +45,7 @@ STAGES = [
     ("bpe_tokens", tokenize),
 ]
 
-#: Training a classifier and tokenizing are beyond SQL; tests compare the stages with brute force.
+#: Training a classifier and tokenizing are beyond SQL; a test compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
