@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 from html import unescape
 
+import brute
 import numpy as np
 import pytest
 from conftest import rows_of, rows_of_sql
@@ -51,19 +52,13 @@ def test_stages_keep_the_columns(spark, odd, stage):
     assert out.count() > 0 and stage(_docs(spark, [])).count() == 0
 
 
-def _repeats(words):
-    grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
-    n = Counter(grams)
-    return len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(5)})
-
-
 def test_quality_counts(odd):
     rows, df = odd
     want = Counter()
     for i, text, *_ in rows:
         words = WORD.findall(text or "")
         lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-        want[(i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), _repeats(words))] += 1
+        want[(i, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), brute.repeats(words))] += 1
     got = quality.score(df).collect()
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == want
     assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.kept and r.base_failed) for r in got)
@@ -449,31 +444,6 @@ def test_pivots_eliminate(spark, monkeypatch):
         assert sorted({(-r.score, r.vec_id) for r in found if r.query_id == q})[:10] == want
 
 
-def _brute_classes(rows, weights):
-    shingles = {}
-    for i, text, *_ in rows:
-        w = WORD.findall(text or "")
-        if w:
-            hashes = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in w], np.uint64).view(np.int64)
-            _, ids, count = dedup.shingles(hashes, np.array([len(w)]))
-            shingles[i] = ids, count
-    flat = np.ones(1 << dedup.DF_BITS) if weights is None else weights
-    parent = {i: i for i in shingles}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    ids = sorted(shingles)
-    for a in ids:
-        for b in ids:
-            if a < b and dedup.similarity(shingles[a], shingles[b], flat) >= 0.8:
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    return {i: root(i) for i in ids}
-
-
 def test_near_duplicates_are_found_and_others_left_alone(spark):
     rng = random.Random(11)
     words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
@@ -489,9 +459,11 @@ def test_near_duplicates_are_found_and_others_left_alone(spark):
             rows.append((100 * g + k + 1, " ".join(copy)))
     rows += [(5000 + k, " ".join(text(80) + passage + text(80))) for k in range(60)]
     rows += [(7000, "one two"), (7001, "one two"), (7002, None), (7003, ""), (7004, " "), (None, rows[0][1]), (7005, " ".join(text(20000)))]
+    rows.append(rows[3])  # a repeated row
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, class_id int")
     got = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
-    want = _brute_classes([r for r in rows if r[0] is not None], None)
+    own = [{"doc_id": r[0], "text": r[1]} for r in rows]
+    want = {r["doc_id"]: c for r, c in zip(own, brute.classes(own), strict=True) if c is not None}
     assert {i: got[i] for i in want} == want
     assert got[7002] == 7002 and got[7003] == 7003 and got[None] == 0
     kept = dedup.keep_one(df).collect()
@@ -529,13 +501,49 @@ def test_weighted_sampling_estimates_similarity():
     assert abs((draws[0] == draws[1]).mean() - true) < 0.2
 
 
-def test_pipeline_against_its_parts(spark, sf_dir):
-    import corpus_pipeline
+def _dicts(rows):
+    return [{"doc_id": r[0], "text": r[1], "lang": r[2], "source": r[3]} for r in rows]
 
+
+def test_near_duplicates_of_the_tables_equal_brute_force(spark, sf_dir):
+    """Every pair of every text by the operator's own weights: recall and precision are 1 on this table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").collect()}
-    good = {r.doc_id for r in quality.score(docs).where("kept").collect()}
-    assert out and out <= good
-    classes = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs.where(docs["doc_id"].isin(list(good)))).collect()}
-    assert len({classes[i] for i in out}) == len(out)
+    rows = [r.asDict() for r in docs.collect()]
+    want = {r["doc_id"]: r["doc_id"] if c is None else c for r, c in zip(rows, brute.classes(rows), strict=True)}
+    assert {r.doc_id: r.class_id for r in dedup.near_duplicates(docs).collect()} == want
+
+
+def test_languages_equal_brute_force(spark, odd):
+    rows = _dicts(odd[0])
+    got = sorted(((str(r.doc_id), r.lang_pred, round(r.score, 4)) for r in langid.predict(odd[1]).collect()), key=str)
+    want = sorted(((str(r["doc_id"]), lang, round(p, 4)) for r, (lang, p) in zip(rows, brute.languages(rows), strict=True)), key=str)
+    assert got == want
+    none = _docs(spark, [(1, "words without any label", None, "a")])
+    assert [(r.lang_pred, r.score) for r in langid.predict(none).collect()] == [("und", 0.0)] and langid.keep_known(none).count() == 0
+
+
+def test_stages_of_odd_rows_equal_brute_force(odd):
+    rows = _dicts(odd[0])
+    ids = lambda df: Counter(r.doc_id for r in df.collect())
+    assert ids(quality.keep_good(odd[1])) == Counter(r["doc_id"] for r, k in zip(rows, brute.quality_kept(rows), strict=True) if k)
+    assert ids(langid.keep_known(odd[1])) == Counter(r["doc_id"] for r, (lang, p) in zip(rows, brute.languages(rows), strict=True) if lang != "und" and p >= 0.5)
+    assert ids(mixing.take(odd[1])) == Counter(r["doc_id"] for r, n in zip(rows, brute.mix_times(rows), strict=True) for _ in range(n))
+    one = {c for c in brute.classes(rows) if c is not None} | {None}
+    wordless = Counter(r["doc_id"] for r in rows if not brute.words(r["text"]))
+    assert ids(dedup.keep_one(odd[1])) == Counter(one) + wordless
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir, library):
+    import corpus_pipeline
+
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_dedup", "mix_sources", "bpe_tokens"]
+    rows = [r.asDict() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows = [r for r, k in zip(rows, brute.quality_kept(rows), strict=True) if k]
+    rows = [r for r, (lang, p) in zip(rows, brute.languages(rows), strict=True) if lang != "und" and p >= 0.5]
+    rows = [r for r, c in zip(rows, brute.classes(rows), strict=True) if c is None or c == r["doc_id"]]
+    rows = [r for r, n in zip(rows, brute.mix_times(rows), strict=True) for _ in range(n)]
+    want = Counter()
+    for r in rows:
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
+    assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == want
