@@ -1,123 +1,142 @@
-"""The active path of graph-shaped histories: a walk from the leaf to the root, on id columns only."""
+"""The active path of graph-shaped histories, as joins over narrow columns.
+
+Most records name the record before them as their parent, so a session is cut into runs of such records:
+a path enters a run somewhere and leaves it through its first record. Only the links between runs are
+followed, by pointer doubling for all sessions at once: a round joins the hops so far with links of twice
+the length, so that rounds grow with the logarithm of the number of runs, and a session without branches
+takes none.
+"""
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-_OUT = "session_key string, record_index long, path_no long, reason string"
-
-
-def _text(x) -> str | None:
-    return x if isinstance(x, str) and x else None
-
-
-def _preserved(boundary: dict, tail: str, seen: set[str], by_id: dict[str, dict]) -> bool:
-    """Whether a summary's boundary declares that its logical parent lies on the path already walked."""
-    try:
-        meta = json.loads(boundary["metadata"] or "null")
-    except ValueError:
-        return False
-    segment = meta.get("preservedSegment") if isinstance(meta, dict) else None
-    messages = meta.get("preservedMessages") if isinstance(meta, dict) else None
-    if not isinstance(segment, dict) or not isinstance(messages, dict):
-        return False
-    anchor, head, end = (_text(segment.get(k)) for k in ("anchorUuid", "headUuid", "tailUuid"))
-    declared = messages.get("allUuids", messages.get("uuids"))
-    if not (anchor and head and end) or end != tail or not isinstance(declared, list):
-        return False
-    first = by_id.get(anchor)
-    ids = {x for x in declared if isinstance(x, str)}
-    if first is None or not first["is_summary"] or first["parent"] != boundary["uuid"] or not {head, end} <= ids or not ids <= seen:
-        return False
-    at, walked = end, set()
-    while at and at != anchor:
-        if at in walked or at not in seen or at not in by_id:
-            return False
-        walked.add(at)
-        at = by_id[at]["parent"]
-    return at == anchor and head in walked
-
-
-def _claude_path(rows: list[dict]) -> tuple[list[int], str | None]:
-    candidates = [r for r in rows if r["is_candidate"]]
-    if not candidates:
-        return [], "sidechain_only" if any(r["is_sidechain"] for r in rows) else None
-    by_id: dict[str, dict] = {}
-    for r in rows:
-        if r["uuid"]:
-            if r["uuid"] in by_id:
-                return [], "duplicate_uuid"
-            by_id[r["uuid"]] = r
-    declared = next((r["leaf"] for r in reversed(rows) if r["is_prompt"] and r["leaf"]), None)
-    if declared and declared not in by_id:
-        return [], "missing_leaf"
-    leaf = declared or candidates[-1]["uuid"]
-    if not leaf:
-        return _one_session(candidates)
-    path, seen, at = [], set(), leaf
-    while at:
-        if at in seen:
-            return [], "cycle"
-        if at not in by_id:
-            return [], "missing_parent"
-        seen.add(at)
-        r = by_id[at]
-        path.append(r)
-        at = r["parent"]
-        if not at and r["is_boundary"] and r["logical"]:
-            if r["logical"] in seen:
-                if _preserved(r, r["logical"], seen, by_id):
-                    break
-                return [], "cycle"
-            at = r["logical"]
-    return _one_session(path[::-1])
-
-
-def _one_session(path: list[dict]) -> tuple[list[int], str | None]:
-    mixed = len({r["session_id"] for r in path if r["session_id"]}) > 1
-    return ([], "mixed_session_ids") if mixed else ([r["record_index"] for r in path], None)
-
-
-def _pi_path(rows: list[dict]) -> tuple[list[int], str | None]:
-    by_id: dict[str, dict] = {}
-    for r in rows:
-        if not r["uuid"]:
-            return [], "missing_entry_id"
-        if r["uuid"] in by_id:
-            return [], "duplicate_entry_id"
-        by_id[r["uuid"]] = r
-    path, seen, r = [], set(), rows[-1]
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from loomlake.functions.staging import checkpointed
+
+_META = "preservedSegment struct<anchorUuid:string,headUuid:string,tailUuid:string>, preservedMessages struct<allUuids:array<string>,uuids:array<string>>"
+KEY = "session_key"
+
+
+def _runs(ids: DataFrame, up: Column) -> DataFrame:
+    """ids with up (the id that a record points to), run and pos (its place in the run)."""
+    by_record = Window.partitionBy(KEY).orderBy("record_index")
+    rows = ids.where("uuid IS NOT NULL").withColumn("up", up)
+    begins = ~F.coalesce(F.col("up") == F.lag("uuid").over(by_record), F.lit(False))
+    rows = rows.withColumn("run", F.sum(begins.cast("long")).over(by_record))
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(KEY, "run").orderBy("record_index")))
+
+
+def _hops(rows: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hops: session_key, h, run, pos, from the leaf upwards; lost: session_key, run of links that lead nowhere).
+
+    A path of more hops than its session has runs goes round in a circle and is not followed further.
+    """
+    places = rows.select(KEY, F.col("uuid").alias("up"), F.col("run").alias("to_run"), F.col("pos").alias("to_pos"))
+    links = rows.where("pos = 1 AND up IS NOT NULL").select(KEY, "run", "up").join(places, [KEY, "up"], "left")
+    links = checkpointed(links.select(KEY, "run", "to_run", "to_pos"))
+    lost = links.where("to_run IS NULL").select(KEY, "run")
+    most = rows.groupBy(KEY).agg(F.max("run").alias("most"))
+    at = leaves.join(rows.select(KEY, F.col("uuid").alias("leaf"), "run", "pos"), [KEY, "leaf"]).join(most, KEY)
+    hops = checkpointed(at.select(KEY, F.lit(0).cast("long").alias("h"), "run", "pos", "most"))
+    jump, length = links.where("to_run IS NOT NULL"), 1
     while True:
-        if r["uuid"] in seen:
-            return [], "cycle"
-        seen.add(r["uuid"])
-        path.append(r["record_index"])
-        if not r["parent"]:
-            return path[::-1], None
-        if r["parent"] not in by_id:
-            return [], "missing_parent"
-        r = by_id[r["parent"]]
+        more = hops.join(jump, [KEY, "run"]).where(F.col("h") + length <= F.col("most")).select(KEY, (F.col("h") + length).alias("h"), F.col("to_run").alias("run"), F.col("to_pos").alias("pos"), "most")
+        if more.isEmpty():
+            return hops.drop("most"), lost
+        hops = checkpointed(hops.unionByName(more))
+        on = jump.select(KEY, F.col("run").alias("to_run"), F.col("to_run").alias("_run"), F.col("to_pos").alias("_pos"))
+        jump = checkpointed(jump.select(KEY, "run", "to_run").join(on, [KEY, "to_run"]).select(KEY, "run", F.col("_run").alias("to_run"), F.col("_pos").alias("to_pos")))
+        length *= 2
+
+
+def _walked(rows: DataFrame, leaves: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(path: rows with path_no, root first; rings: session_key, head_run, whole; lost: session_key).
+
+    A ring is a path that comes back to a run; it ends before that. head_run is the run through whose
+    first record it came back, and whole tells whether it came back to a record that it had passed.
+    """
+    hops, dead_ends = _hops(rows, leaves)
+    again = Window.partitionBy(KEY, "run").orderBy("h")
+    hops = hops.select("*", F.row_number().over(again).alias("_nth"), F.first("pos").over(again).alias("_before"))
+    backs = hops.where("_nth > 1").groupBy(KEY).agg(F.min(F.struct("h", (F.col("_before") >= F.col("pos")).alias("whole"))).alias("x")).select(KEY, F.col("x.h").alias("end"), F.col("x.whole").alias("whole"))
+    hops = hops.join(backs, KEY, "left").where(F.col("end").isNull() | (F.col("h") < F.col("end")))
+    rings = hops.where(F.col("h") == F.col("end") - 1).select(KEY, F.col("run").alias("head_run"), "whole")
+    lost = hops.join(dead_ends, [KEY, "run"]).select(KEY).distinct()
+    entered = hops.select(KEY, "run", "h", F.col("pos").alias("_last"))
+    path = rows.join(entered, [KEY, "run"]).where(F.col("pos") <= F.col("_last"))
+    order = Window.partitionBy(KEY).orderBy(F.desc("h"), "pos")
+    return path.withColumn("path_no", (F.row_number().over(order) - 1).cast("long")).drop("h", "_last"), rings, lost
+
+
+def _preserved(rings: DataFrame, path: DataFrame) -> DataFrame:
+    """session_key of rings that a compaction declares: its boundary points back to the tail of a segment that it kept.
+
+    The kept records must all lie on the path, which runs from the tail by parents alone, over the head,
+    to the summary that follows the boundary.
+    """
+    heads = path.where("pos = 1").join(rings.where("whole"), KEY).where(F.col("run") == F.col("head_run"))
+    meta = F.from_json("metadata", _META)
+    said = heads.where("is_boundary AND parent IS NULL").select(KEY, F.col("uuid").alias("boundary"), "logical", meta.alias("m"))
+    said = said.select(KEY, "boundary", "logical", "m.preservedSegment.*", F.coalesce("m.preservedMessages.allUuids", "m.preservedMessages.uuids").alias("kept"))
+    said = said.where("tailUuid = logical AND headUuid <> '' AND anchorUuid <> '' AND array_contains(kept, headUuid) AND array_contains(kept, tailUuid)")
+    known = path.select(KEY, "uuid", "path_no", "parent", "is_summary")
+    place = lambda name: known.select(KEY, F.col("uuid").alias(f"{name}Uuid"), F.col("path_no").alias(name))
+    anchored = known.where("is_summary").select(KEY, F.col("uuid").alias("anchorUuid"), F.col("parent").alias("boundary"), F.col("path_no").alias("anchor"))
+    found = said.join(place("head"), [KEY, "headUuid"]).join(place("tail"), [KEY, "tailUuid"]).join(anchored, [KEY, "anchorUuid", "boundary"]).where("anchor < head AND head <= tail")
+    between = found.join(known, KEY).where("path_no > anchor AND path_no <= tail").groupBy(KEY).agg(F.bool_and(F.col("parent").isNotNull()).alias("ok")).where("ok")
+    missing = found.select(KEY, F.explode("kept").alias("uuid")).where("uuid IS NOT NULL").join(known, [KEY, "uuid"], "left_anti")
+    return between.join(missing, KEY, "left_anti").select(KEY)
+
+
+def _first(*reasons: tuple[Column, str]) -> Column:
+    out = F.lit(None).cast("string")
+    for cond, name in reversed(reasons):
+        out = F.when(cond, name).otherwise(out)
+    return out
 
 
 def active_records(ids: DataFrame, fmt: str) -> tuple[DataFrame, DataFrame]:
-    """(path, rejects): path has session_key, record_index and path_no of the selected records.
+    """(path, rejects): path has session_key, record_index and path_no of the selected records; rejects have status and reason.
 
-    ids are narrow rows (ids and flags, no text) of sessions of 100,000 records at most.
+    ids are narrow rows: ids and flags of records, no text. A claude path begins at the leaf that the last
+    prompt record names, else at the last conversation record; where that has no id, all conversation
+    records are taken in order. A pi path begins at the last entry.
     """
-    walk = {"claude": _claude_path, "pi": _pi_path}[fmt]
-    order = [f.name for f in ids.schema]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("record_index")
-        rows = [{k: (None if not isinstance(v, str) and pd.isna(v) else v) for k, v in zip(order, r, strict=True)} for r in pdf[order].itertuples(index=False)]
-        path, why = walk(rows)
-        key = pdf["session_key"].iloc[0]
-        if why:
-            return pd.DataFrame({"session_key": [key], "record_index": [-1], "path_no": [-1], "reason": [why]})
-        return pd.DataFrame({"session_key": [key] * len(path), "record_index": path, "path_no": range(len(path)), "reason": [None] * len(path)})
-
-    found = ids.groupBy("session_key").applyInPandas(run, _OUT)
-    return found.where("reason IS NULL").drop("reason"), found.where("reason IS NOT NULL").selectExpr("session_key", "'corrupt' AS status", "reason")
+    claude = fmt == "claude"
+    at = F.col("record_index")
+    if claude:
+        up = F.coalesce("parent", F.when(F.col("is_boundary"), F.col("logical")))
+        declared = F.max_by("leaf", F.when(F.col("is_prompt") & F.col("leaf").isNotNull(), at))
+        last = F.max_by(F.struct("uuid"), F.when(F.col("is_candidate"), at))["uuid"]
+        extra = [F.count_if("is_candidate").alias("n"), F.coalesce(F.bool_or("is_sidechain"), F.lit(False)).alias("side"), declared.alias("declared"), F.coalesce(declared, last).alias("leaf")]
+    else:
+        up = F.col("parent")
+        extra = [F.count("*").alias("n"), F.max_by(F.struct("uuid"), at)["uuid"].alias("leaf")]
+    facts = ids.groupBy(KEY).agg((F.count_distinct("uuid") < F.count("uuid")).alias("twice"), (F.count("uuid") < F.count("*")).alias("unnamed"), *extra)
+    if claude:
+        named = ids.select(KEY, F.col("uuid").alias("declared"), F.lit(True).alias("there")).where("declared IS NOT NULL").distinct()
+        facts = facts.join(named, [KEY, "declared"], "left")
+        early = _first((F.col("n") == 0, "none"), (F.col("twice"), "duplicate_uuid"), (F.col("declared").isNotNull() & F.col("there").isNull(), "missing_leaf"))
+    else:
+        early = _first((F.col("unnamed"), "missing_entry_id"), (F.col("twice"), "duplicate_entry_id"))
+    facts = checkpointed(facts.select("*", early.alias("early")))
+    good = facts.where("early IS NULL").select(KEY, "leaf")
+    rows = checkpointed(_runs(ids.join(good.select(KEY), KEY, "left_semi"), up))
+    path, rings, lost = _walked(rows, good.where("leaf IS NOT NULL"))
+    path, rings = checkpointed(path), checkpointed(rings)
+    if claude and not rings.isEmpty():
+        rings = rings.join(_preserved(rings, path), KEY, "left_anti")
+    late = rings.select(KEY, F.lit("cycle").alias("reason")).unionByName(lost.select(KEY, F.lit("missing_parent").alias("reason")))
+    chosen = path.select(KEY, "record_index", "path_no", *(["session_id"] if claude else []))
+    if claude:
+        order = Window.partitionBy(KEY).orderBy("record_index")
+        loose = ids.where("is_candidate").join(good.where("leaf IS NULL").select(KEY), KEY, "left_semi")
+        chosen = chosen.unionByName(loose.select(KEY, "record_index", (F.row_number().over(order) - 1).cast("long").alias("path_no"), "session_id"))
+        mixed = chosen.groupBy(KEY).agg(F.count_distinct("session_id").alias("n")).where("n > 1").select(KEY, F.lit("mixed_session_ids").alias("reason"))
+        late = late.unionByName(mixed.join(late, KEY, "left_anti"))
+        first = facts.where("early = 'none' AND side").select(KEY, F.lit("sidechain_only").alias("reason")).unionByName(facts.where("early <> 'none'").select(KEY, F.col("early").alias("reason")))
+    else:
+        first = facts.where("early IS NOT NULL").select(KEY, F.col("early").alias("reason"))
+    rejects = checkpointed(first.unionByName(late).select(KEY, F.lit("corrupt").alias("status"), "reason"))
+    return chosen.join(rejects.select(KEY), KEY, "left_anti").select(KEY, "record_index", "path_no"), rejects

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars as S
+from loomlake.functions.staging import checkpointed
 from loomlake.functions.text import casefold
 
 
@@ -110,14 +109,6 @@ def lineage(sessions: DataFrame) -> DataFrame:
     return sessions.select("catalog_id", "kind", "parent_id").join(parent, "parent_id", "left").select("catalog_id", "kind", "parent_id", "parent_format")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df, kept in the folder that executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="loomlake-"))
-    return df.checkpoint()
-
-
 def lineage_roots(edges: DataFrame) -> DataFrame:
     """Root session and depth of every session, by pointer doubling over child-parent edges.
 
@@ -128,12 +119,12 @@ def lineage_roots(edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("child").alias("_c")).distinct()
     first = edges.join(ends, edges["parent"] == ends["_c"], "left")
     up = first.select("child", "parent", F.lit(1).cast("long").alias("steps"), F.col("_c").isNotNull().alias("open"), F.lit(True).alias("was"))
-    up = _checkpointed(up)
+    up = checkpointed(up)
     while not up.where("was AND NOT open").isEmpty() and not up.where("open").isEmpty():
         on = up.select(F.col("child").alias("_c"), F.col("parent").alias("_p"), F.col("steps").alias("_s"), F.col("open").alias("_o"))
         far = up.join(on, up["parent"] == on["_c"], "left")
         up = far.select("child", F.coalesce("_p", "parent").alias("parent"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.coalesce("_o", F.lit(False)).alias("open"), F.col("open").alias("was"))
-        up = _checkpointed(up)
+        up = checkpointed(up)
     return up.where("NOT open").select(F.col("child").alias("catalog_id"), F.col("parent").alias("root_id"), F.col("steps").alias("depth"))
 
 
