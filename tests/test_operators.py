@@ -52,6 +52,29 @@ def test_named_pairing(spark):
     assert got[4][2] and got[4][:2] == ("x", "unknown_tool") and got[6][0] == got[5][0]
 
 
+def test_pairing_equals_a_plain_search(spark):
+    """Each result looks through all earlier calls that no result has taken."""
+    rng, rows = random.Random(3), []
+    for s in range(80):
+        ids = ["x", "y", None] if s % 2 else ["x", "y"]
+        rows += [(f"s{s}", i, rng.choice(["tool_call", "tool_result"]), rng.choice(ids), rng.choice(["read", "write", None])) for i in range(rng.randint(1, 25))]
+    got = {(r.session_key, r.event_seq): r for r in stores.paired_tools(spark.createDataFrame(rows, TOOLS)).collect()}
+    assert len(got) == len(rows)
+    taken = set()
+    for s, seq, kind, cid, name in rows:
+        r = got[s, seq]
+        if kind == "tool_call":
+            assert r.repeated == (cid is not None and any(x[0] == s and x[1] < seq and x[2] == kind and x[3] == cid for x in rows))
+            continue
+        free = [x for x in rows if x[0] == s and x[1] < seq and x[2] == "tool_call" and (s, x[1]) not in taken and cid in (None, x[3])]
+        free.sort(key=lambda x: (cid is not None and (x[4] or "unknown_tool") != name, x[1]))
+        assert r.orphan == (not free) and r.took_first == (cid is None and bool(free))
+        if free:
+            taken.add((s, free[0][1]))
+            call = got[s, free[0][1]]
+            assert (r.target_id, r.pair_name) == (call.target_id, call.pair_name)
+
+
 def test_losses_of_each_target(spark):
     cols = "session_key string, event_seq long, record_index long, kind string, role string, text string, tool_call_id string, tool_name string, ts_raw string"
     rows = [("s", 0, 0, "message", "user", "hi", None, None, None), ("s", 1, 1, "tool_call", "assistant", None, "c", "t", None), ("s", 2, 2, "tool_result", "tool", "r", "c", None, None), ("s", 3, 3, "tool_result", "tool", "r", "c", None, None), ("s", 4, 4, "message", "system", "x", None, None, None)]
