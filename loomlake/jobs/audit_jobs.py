@@ -14,10 +14,12 @@ from loomlake.operators import emit, parse
 from loomlake.operators import grouping as G
 from loomlake.operators import inspection as I
 from loomlake.operators.losses import with_neutral_columns
-from loomlake.sources.bridges import AS_OF_MS, CATALOG_SQL, catalog, evt_events
+from loomlake.sources.bridges import AS_OF_MS, DUCKDB, SIZES_SQL, catalog, evt_events, evt_sizes
 from loomlake.sources.transcripts import records_of
 
 SAMPLE = 20
+#: Sessions of the stratified sample.
+REQUESTED = 100
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -88,25 +90,40 @@ def _uuids(s: SparkSession, d: str) -> DataFrame:
     return rows.select("catalog_id", (S.uuid_text(F.upper("u")) == F.col("u")).alias("is_uuid"), (S.uuid_in(F.concat(F.lit("rollout-"), F.col("u"), F.lit(".jsonl"))) == F.col("u")).alias("in_name"))
 
 
+def _features(s: SparkSession, d: str) -> DataFrame:
+    return I.features(_events(s, d), evt_sizes(s, d))
+
+
 def _smallest(s: SparkSession, d: str) -> DataFrame:
-    return A.smallest_per_feature(I.features(_events(s, d)), SAMPLE)
+    return A.smallest_per_feature(_features(s, d), SAMPLE)
 
 
 def _greedy(s: SparkSession, d: str) -> DataFrame:
-    chosen = A.coverage_greedy(I.features(_events(s, d)), SAMPLE)
+    chosen = A.coverage_greedy(_features(s, d), SAMPLE)
     return s.createDataFrame([(i, k) for i, k in enumerate(chosen)], "place long, session_key string")
 
 
+def _profiles(s: SparkSession, d: str) -> DataFrame:
+    """Sessions with what the stratified sample asks of them."""
+    flag = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    own = _events(s, d).groupBy("session_key").agg(F.count_if(F.col("kind") == "message").alias("messages"), F.count("*").alias("parts"), flag(F.col("kind") == "tool_call").alias("has_tools"), flag((F.col("kind") == "tool_result") & F.col("is_error") & (F.col("tool_call_id") == "call_3")).alias("has_errors"))
+    return evt_sizes(s, d).join(own, "session_key")
+
+
+def _stratified(s: SparkSession, d: str) -> DataFrame:
+    return A.stratified(A.candidates(_profiles(s, d), REQUESTED), REQUESTED)
+
+
 QUERIES = {
     "a1_histograms": lambda s, d: I.histograms(_codex(s, d)),
     "a1_inspections": lambda s, d: I.inspections(_claude(s, d)).select("session_key", "records", "tool_calls", "tool_results"),
     "a2_detected_formats": lambda s, d: I.detect_format(_mixed(s, d)),
-    "a6_session_features": lambda s, d: I.features(_events(s, d)),
+    "a6_session_features": _features,
     "a8_scan_status": _scanned,
     "j9_a10_route_matrix": _matrix,
     "j10_routes": lambda s, d: A.routes(catalog(s, d).select("catalog_id")),
     "p9_codex_headers": lambda s, d: parse.headers(_codex(s, d), "codex").select("session_key", "cwd", "started_at", "cli_version", "records"),
-    "t3_time_strata": lambda s, d: A.stratified(catalog(s, d).select("catalog_id", "modified_ms"), 5),
+    "t3_time_strata": _stratified,
     "t4_smallest_per_feature": _smallest,
     "t5_coverage_greedy": _greedy,
     "v1_linear_chain": lambda s, d: C.linear_chain(_pi(s, d).where("record_index > 0")),
@@ -117,13 +134,40 @@ QUERIES = {
 }
 
 
+def _strata_sql(sizes: str) -> str:
+    """The stratified sample, a group after the other; each takes the first of its order that no group before has taken."""
+    take = "SELECT (SELECT coalesce(max(pick) + 1, 0) FROM u{k}) + rn - 1 AS pick, session_key, stratum FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rn FROM c WHERE {cond} AND session_key NOT IN (SELECT session_key FROM u{k})) WHERE rn <= least({most}, {n} - (SELECT count(*) FROM u{k}))"
+    groups = [("has_errors", "place", "10"), ("has_parent", "place", "20"), ("true", "parts DESC, stratum, place", "10"), ("has_tools", "place", "20")]
+    groups += [(f"stratum = {k}", "place", f"greatest(1, ({REQUESTED} - (SELECT count(*) FROM u{{k}})) // {10 - k})") for k in range(10)] + [("true", "place", str(REQUESTED))]
+    out = f"""WITH {EVT}, {sizes},
+      own AS (SELECT session_key, count(*) FILTER (kind = 'message') AS messages, count(*) AS parts, bool_or(kind = 'tool_call') AS has_tools, bool_or(kind = 'tool_result' AND coalesce(is_error AND tool_call_id = 'call_3', false)) AS has_errors FROM evt GROUP BY session_key),
+      o AS (SELECT *, row_number() OVER (ORDER BY created_ms, session_key) - 1 AS place, count(*) OVER () AS n FROM sz JOIN own USING (session_key)),
+      ev AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / ({REQUESTED} - 1), 0) AS BIGINT) AS place FROM range({REQUESTED}) AS t(i), (SELECT max(n) AS n FROM o)),
+      c AS (SELECT *, CAST(least(9, place * 10 // n) AS INTEGER) AS stratum FROM o WHERE messages > 0 AND (has_parent OR place IN (SELECT place FROM ev))),
+      u0 AS (SELECT CAST(NULL AS BIGINT) AS pick, CAST(NULL AS VARCHAR) AS session_key, CAST(NULL AS INTEGER) AS stratum WHERE false)"""
+    for k, (cond, order, most) in enumerate(groups):
+        step = take.format(k=k, cond=cond, order=order, most=most.format(k=k), n=REQUESTED).replace("NOT IN (SELECT session_key FROM u0)", "IS NOT NULL")
+        out += f",\n      u{k + 1} AS (SELECT * FROM u{k} UNION ALL ({step}))"
+    return f"{out} SELECT CAST(pick AS BIGINT) AS pick, session_key, stratum FROM u{len(groups)}"
+
+
 def _sql() -> dict[str, str]:
-    cat = f"cat AS ({CATALOG_SQL.format('documents')})"
     kept = f"{CONVERSATIONAL} OR {TOOLS} OR ({USER_IMAGE} AND image_url IS NOT NULL) OR {SUMMARY}"
-    feat = f"""{EVT}, p AS (SELECT session_key, arg_max(kind, event_seq) AS k, arg_max(coalesce(role, ''), event_seq) AS r FROM evt WHERE {CONVERSATIONAL} OR {TOOLS} OR {USER_IMAGE} OR {SUMMARY} GROUP BY session_key),
-      f AS (SELECT session_key, count(*) AS n, bool_or({TOOLS}) AS t, bool_or(kind = 'compaction') AS c, bool_or({USER_IMAGE} OR coalesce(contains(block_codes, 'image'), false)) AS i, bool_or(kind = 'opaque' AND reason IS NOT NULL) AS b FROM evt GROUP BY session_key),
-      g AS (SELECT f.session_key, n, list_filter([CASE WHEN t THEN 'tools' END, CASE WHEN c THEN 'compaction' END, CASE WHEN i THEN 'images' END, CASE WHEN b THEN 'branch_or_meta' END, CASE WHEN k = 'tool_call' OR (k = 'message' AND r = 'user') THEN 'interrupted' END], lambda x: x IS NOT NULL) AS l FROM f LEFT JOIN p USING (session_key)),
-      ft AS (SELECT session_key, CASE WHEN len(l) = 0 THEN ['basic'] ELSE l END AS features, n FROM g)"""
+    sizes = f"sz AS ({SIZES_SQL.format('events', ms=DUCKDB['ms'])})"
+    feat = f"""{EVT}, {sizes},
+      p AS (SELECT session_key, arg_max(kind, event_seq) AS k, arg_max(coalesce(role, ''), event_seq) AS r FROM evt WHERE kind IN ('message', 'tool_call', 'tool_result') GROUP BY session_key),
+      f AS (SELECT session_key, bool_or(kind IN ('tool_call', 'tool_result')) AS t, bool_or(kind = 'compaction') AS c, bool_or(kind = 'opaque') AS o,
+            bool_or((kind = 'context' AND coalesce(block_type = 'image', false)) OR (kind = 'tool_result' AND list_contains(string_split(coalesce(block_codes, ''), ','), 'image'))) AS i FROM evt GROUP BY session_key),
+      g AS (SELECT f.session_key, source_bytes, ordinal, list_filter([CASE WHEN t THEN 'tools' END, CASE WHEN c THEN 'compaction' END, CASE WHEN i THEN 'images' END, CASE WHEN o THEN 'branch_or_meta' END, CASE WHEN k = 'tool_call' OR (k = 'message' AND r = 'user') THEN 'interrupted' END, CASE WHEN source_bytes >= 10485760 THEN 'large_10m' WHEN source_bytes >= 1048576 THEN 'large_1m' END], lambda x: x IS NOT NULL) AS l FROM f JOIN sz USING (session_key) LEFT JOIN p USING (session_key)),
+      ft AS (SELECT session_key, CASE WHEN len(l) = 0 THEN ['basic'] ELSE l END AS features, source_bytes, ordinal FROM g)"""
+    smoke, before = "", []
+    for k, name in enumerate(("compaction", "images", "interrupted", "tools", "large_1m")):
+        seen = "".join(f" AND session_key NOT IN (SELECT session_key FROM s{j})" for j in before)
+        smoke += f", s{k} AS (SELECT {k} AS pick, session_key FROM ft WHERE list_contains(features, '{name}'){seen} ORDER BY source_bytes, ordinal LIMIT 1)"
+        before.append(k)
+    firsts = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in before)
+    smoke = f"WITH {feat}{smoke}, fs AS ({firsts}), al AS (SELECT * FROM fs UNION ALL SELECT 100 + row_number() OVER (ORDER BY source_bytes, ordinal), session_key FROM ft WHERE session_key NOT IN (SELECT session_key FROM fs)) SELECT row_number() OVER (ORDER BY pick) - 1 AS pick, session_key FROM al ORDER BY pick LIMIT {SAMPLE}"
+    strata = _strata_sql(sizes)
     n_kept = f"(SELECT session_key, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({CONVERSATIONAL}) AS BIGINT) AS talk FROM evt WHERE {kept} GROUP BY session_key)"
     matrix = "\nUNION ALL ".join(f"SELECT '{t}' AS target, count(DISTINCT session_key) AS sessions, count(*) AS rows, count(DISTINCT session_key) AS matched FROM evt WHERE {c}" for t, c in (("codex", kept), ("claude", f"{CONVERSATIONAL} OR {TOOLS} OR {CLAUDE_IMAGE}"), ("pi", f"{CONVERSATIONAL} OR {TOOLS} OR {DATA_USER_IMAGE} OR {SUMMARY}")))
     versions = "(VALUES " + ", ".join(f"('{f}', '{v}')" for f, v in A.PINNED_VERSIONS.items()) + ") AS t(target, target_version)"
@@ -137,8 +181,8 @@ def _sql() -> dict[str, str]:
         "j9_a10_route_matrix": f"WITH {EVT} {matrix}",
         "j10_routes": f"SELECT doc_id AS catalog_id, target, target_version FROM documents, {versions}",
         "p9_codex_headers": f"WITH {EVT}, c AS {n_kept} SELECT session_key, '/work' AS cwd, '2024-01-01T00:00:00.000Z' AS started_at, '{A.PINNED_VERSIONS['codex']}' AS cli_version, n + talk + 1 AS records FROM c",
-        "t3_time_strata": f"WITH {cat}, o AS (SELECT catalog_id, row_number() OVER (ORDER BY modified_ms, catalog_id) - 1 AS place, count(*) OVER () AS n FROM cat), r AS (SELECT catalog_id, CAST(least(9, place * 10 // n) AS INTEGER) AS stratum, place FROM o) SELECT catalog_id, stratum, place FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY place) AS k FROM r) WHERE k <= 5",
-        "t4_smallest_per_feature": f"WITH {feat}, x AS (SELECT session_key, n, unnest(features) AS f FROM ft), a AS (SELECT session_key, n, 0 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY n, session_key) AS r FROM x) WHERE r = 1), b AS (SELECT session_key, n, 1 AS rank FROM ft ORDER BY n, session_key LIMIT {SAMPLE}), u AS (SELECT session_key, n, min(rank) AS rank FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY session_key, n) SELECT session_key, n FROM u ORDER BY rank, n, session_key LIMIT {SAMPLE}",
+        "t3_time_strata": strata,
+        "t4_smallest_per_feature": smoke,
         "x1_x11_event_scalars": f"WITH {EVT} SELECT session_key, event_seq, CASE WHEN ts_ms IS NOT NULL THEN ts_raw END AS valid, ts_ms AS ms, CASE WHEN starts_with(image_url, 'data:') THEN 'image/png' END AS media, left(text, 5) AS short, coalesce(nullif(regexp_replace(text, '[^A-Za-z0-9]', '-', 'g'), ''), '-') AS dir, concat(kind, ':text=', coalesce(length(text), 0), ':blocks=', coalesce(len(string_split(block_codes, ',')), 0)) AS shape FROM evt",
         "x6_x9_text_scalars": "SELECT doc_id, md5(trim(replace(text, chr(13), chr(10)), concat(' ', chr(9), chr(10), chr(13)))) AS fingerprint, left(text, 7) AS short FROM documents",
         "x7_x13_json_scalars": "SELECT event_id, concat('{\"a\":{\"k\":', regexp_extract(props, '[0-9]+', 0), '},\"z\":1}') AS canonical, 1 AS depth, 2 AS nodes, 0 AS images FROM events",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions.staging import checkpointed
 from loomlake.schema import FORMATS, PINNED_VERSIONS
 
 
@@ -33,47 +34,94 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("target").agg(F.count("*").alias("sessions"), F.sum("rows").alias("rows"), F.sum(F.col("matched").cast("long")).alias("matched"))
 
 
-def stratified(sessions: DataFrame, per_stratum: int, strata: int = 10) -> DataFrame:
-    """The first per_stratum sessions of each of ten equal spans of the time order.
+def placed(sessions: DataFrame, *order: str) -> DataFrame:
+    """sessions with place (from 0) in the global order, and n, their number.
 
-    A session's span comes from its place in the global order: places are counted within ranges of the
-    time, whose sizes are added up, so that no task sorts all sessions.
+    Places are counted within ranges of the order, whose sizes are added up, so that no task sorts all
+    sessions. The ranges are checkpointed, so that they stay as they are counted.
     """
     n = sessions.count()
     parts = max(1, min(200, n // 50_000 + 1))
-    ranged = sessions.repartitionByRange(parts, "modified_ms", "catalog_id").withColumn("_p", F.spark_partition_id())
+    ranged = checkpointed(sessions.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row a range
-    place = F.row_number().over(Window.partitionBy("_p").orderBy("modified_ms", "catalog_id")) - 1
-    placed = ranged.withColumn("_i", place).join(before, "_p").withColumn("place", F.col("_i") + F.col("_before"))
-    span = F.least(F.lit(strata - 1), F.floor(F.col("place") * strata / n)).cast("int")
-    w = Window.partitionBy("stratum").orderBy("place")
-    return placed.withColumn("stratum", span).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_stratum).select("catalog_id", "stratum", F.col("place").cast("long").alias("place"))
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    out = ranged.withColumn("_i", at).join(F.broadcast(before), "_p").withColumn("place", (F.col("_i") + F.col("_before")).cast("long"))
+    return out.withColumn("n", F.lit(n).cast("long")).drop("_p", "_i", "_before")
+
+
+#: The most that each group gives, before the strata of time share what is left.
+ERRORS, PARENTS, LARGEST, TOOLS = 10, 20, 10, 20
+STRATA = 10
+
+
+def candidates(sessions: DataFrame, requested: int) -> DataFrame:
+    """Sessions evenly spaced in the order of time, and all that have a parent, with their stratum."""
+    rows = placed(sessions, "created_ms", "session_key")
+    last = rows.select(F.max("n")).first()[0] or 0
+    spaced = sorted({round(i * (last - 1) / (requested - 1)) for i in range(requested)}) if last else []
+    stratum = F.least(F.lit(STRATA - 1), F.floor(F.col("place") * STRATA / F.col("n"))).cast("int")
+    return rows.withColumn("stratum", stratum).where(F.col("has_parent") | F.col("place").isin(spaced))
+
+
+def stratified(found: DataFrame, count: int) -> DataFrame:
+    """Pick, session_key, stratum of a sample: errors, parents, the most parts, tools, then each stratum in turn, then any.
+
+    found: session_key, place, stratum, has_errors, has_parent, has_tools, messages, parts. Every group is
+    cut to the `count` rows that can be picked at most, so the choice itself runs over a bounded list.
+    """
+    rows = found.where("messages > 0").select("session_key", "place", "stratum", "has_errors", "has_parent", "has_tools", "parts")
+    groups = [(rows.where("has_errors"), ["place"]), (rows.where("has_parent"), ["place"]), (rows, [F.desc("parts"), "stratum", "place"]), (rows.where("has_tools"), ["place"])]
+    groups += [(rows.where(F.col("stratum") == k), ["place"]) for k in range(STRATA)] + [(rows, ["place"])]
+    lists = [g.orderBy(*order).limit(count).collect() for g, order in groups]
+    picked: dict[str, int] = {}
+
+    def add(values: list, most: int) -> None:
+        for r in values:
+            if len(picked) >= min(most, count):
+                return
+            picked.setdefault(r["session_key"], r["stratum"])
+
+    for values, most in zip(lists, (ERRORS, PARENTS, LARGEST, TOOLS), strict=False):
+        add(values, len(picked) + most)
+    for k, values in enumerate(lists[4:-1]):
+        add(values, len(picked) + max(1, (count - len(picked)) // (STRATA - k)))
+    add(lists[-1], count)
+    return found.sparkSession.createDataFrame([(i, key, stratum) for i, (key, stratum) in enumerate(picked.items())], "pick long, session_key string, stratum int")
+
+
+#: T4: features of which the smallest session is taken, in this order.
+SMOKE_FEATURES = ("compaction", "images", "interrupted", "tools", "large_1m")
 
 
 def smallest_per_feature(features: DataFrame, count: int) -> DataFrame:
-    """T4: the smallest sessions of each feature, each session once, then the smallest of all up to count."""
-    w = Window.partitionBy("feature").orderBy("n", "session_key")
-    firsts = features.select("session_key", "n", F.explode("features").alias("feature")).withColumn("r", F.row_number().over(w)).where("r = 1").select("session_key", "n", F.lit(0).alias("rank"))
-    fill = features.orderBy("n", "session_key").limit(count).select("session_key", "n", F.lit(1).alias("rank"))
-    once = firsts.unionByName(fill).groupBy("session_key", "n").agg(F.min("rank").alias("rank"))
-    return once.orderBy("rank", "n", "session_key").limit(count).select("session_key", "n")
+    """T4: pick, session_key: of each feature in turn the smallest session not picked yet, then the smallest of all.
+
+    Of each feature as many rows can matter as there are features, and of all so many more than count.
+    """
+    by_size = ["source_bytes", "ordinal"]
+    lists = [features.where(F.array_contains("features", f)).orderBy(*by_size).limit(len(SMOKE_FEATURES)).collect() for f in SMOKE_FEATURES]
+    picked: list[str] = []
+    for values in lists:
+        picked += [r["session_key"] for r in values if r["session_key"] not in picked][:1]
+    rest = features.orderBy(*by_size).limit(count + len(SMOKE_FEATURES)).collect()
+    picked = (picked + [r["session_key"] for r in rest if r["session_key"] not in picked])[:count]
+    return features.sparkSession.createDataFrame(list(enumerate(picked)), "pick long, session_key string")
 
 
 def coverage_greedy(features: DataFrame, count: int) -> list[str]:
-    """T5: sessions chosen by most features not yet covered, then by size and key.
+    """T5: sessions chosen by most features not yet covered, then by most bytes, then by the lowest ordinal.
 
-    Only `count` rows of each distinct set of features can ever be chosen, and there are 2**8 sets at
-    most, so the choice runs over that bounded list on the driver.
+    Only the `count` largest of each distinct set of features can ever be chosen, and there are 2**7 sets
+    at most, so the choice runs over that bounded list on the driver.
     """
-    w = Window.partitionBy("features").orderBy("n", "session_key")
+    w = Window.partitionBy("features").orderBy(F.desc("source_bytes"), "ordinal")
     rows = features.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).collect()
-    left = sorted((r["n"], r["session_key"], set(r["features"])) for r in rows)
     covered: set[str] = set()
     chosen: list[str] = []
-    while left and len(chosen) < count:
-        best = max(range(len(left)), key=lambda i: (len(left[i][2] - covered), -i))
-        n, key, own = left.pop(best)
-        covered |= own
-        chosen.append(key)
+    while rows and len(chosen) < count:
+        best = max(rows, key=lambda r: (len(set(r["features"]) - covered), r["source_bytes"], -r["ordinal"]))
+        rows.remove(best)
+        covered |= set(best["features"])
+        chosen.append(best["session_key"])
     return chosen

@@ -10,9 +10,9 @@ from loomlake.operators import grouping as G
 from loomlake.operators import linkage as L
 
 # Record types that speak for a format.
-CODEX_TYPES = ("session_meta", "response_item", "event_msg", "compacted", "turn_context", "world_state", "security_risk_score")
+CODEX_TYPES = ("session_meta", "response_item", "event_msg", "compacted", "turn_context", "world_state", "inter_agent_communication", "inter_agent_communication_metadata", "security_risk_score")
 PI_TYPES = ("message", "compaction", "branch_summary", "custom_message", "model_change", "thinking_level_change", "label", "custom", "session_info")
-CLAUDE_TYPES = ("user", "assistant", "summary", "last-prompt", "queue-operation", "file-history-snapshot", "progress", "custom-title", "ai-title")
+CLAUDE_TYPES = ("user", "assistant", "summary", "last-prompt", "queue-operation", "file-history-snapshot", "progress", "custom-title", "ai-title", "attachment")
 TOOL_TYPES = ("tool_use", "toolCall", "function_call", "custom_tool_call")
 RESULT_TYPES = ("tool_result", "function_call_output", "custom_tool_call_output")
 
@@ -71,15 +71,21 @@ def detect_format(records: DataFrame) -> DataFrame:
     return one.select("session_key", fmt.alias("format"), why.alias("reason"))
 
 
-def features(events: DataFrame) -> DataFrame:
-    """The features of each session, in a fixed order."""
-    last = F.max_by(F.struct("kind", "role"), F.when(G.portable(), F.col("event_seq")))
+#: From so many bytes on a session is large; the larger size alone counts.
+LARGE = ((10 << 20, "large_10m"), (1 << 20, "large_1m"))
+
+
+def features(events: DataFrame, sizes: DataFrame) -> DataFrame:
+    """session_key, features (in a fixed order), source_bytes, ordinal. sizes: session_key, source_bytes, ordinal."""
+    last = F.max_by(F.struct("kind", "role"), F.when((F.col("kind") == "message") | L.is_call() | L.is_result(), F.col("event_seq")))
     any_ = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
-    image = G.user_image() | F.exists(F.coalesce("content_blocks", F.array().cast("array<struct<type:string,text:string,image_url:string,tool_name:string>>")), lambda b: b["type"] == "image")
-    rows = events.groupBy("session_key").agg(
-        any_(L.is_call() | L.is_result()).alias("tools"), any_(F.col("kind") == "compaction").alias("compaction"), any_(image).alias("images"),
-        any_((F.col("kind") == "opaque") & F.col("reason").isNotNull()).alias("branch_or_meta"), last.alias("last"), F.count("*").alias("n"),
-    )
+    shown = lambda b: b["type"].isin("image", "input_image") & (S.data_image(b["image_url"]).isNotNull() | S.remote_image(b["image_url"]))
+    image = ((F.col("kind") == "context") & (F.col("block_type") == "image")) | (L.is_result() & F.exists("content_blocks", shown))
+    rows = events.groupBy("session_key").agg(any_(L.is_call() | L.is_result()).alias("tools"), any_(F.col("kind") == "compaction").alias("compaction"), any_(image).alias("images"), any_(F.col("kind") == "opaque").alias("opaque"), last.alias("last"))
+    rows = rows.join(sizes.select("session_key", "source_bytes", "ordinal"), "session_key")
     stopped = (F.col("last.kind") == "tool_call") | ((F.col("last.kind") == "message") & (F.col("last.role") == "user"))
-    named = F.array_compact(F.array(F.when(F.col("tools"), "tools"), F.when(F.col("compaction"), "compaction"), F.when(F.col("images"), "images"), F.when(F.col("branch_or_meta"), "branch_or_meta"), F.when(stopped, "interrupted")))
-    return rows.select("session_key", F.when(F.size(named) == 0, F.array(F.lit("basic"))).otherwise(named).alias("features"), "n")
+    large = F.lit(None).cast("string")
+    for least, name in reversed(LARGE):
+        large = F.when(F.col("source_bytes") >= least, name).otherwise(large)
+    named = F.array_compact(F.array(F.when(F.col("tools"), "tools"), F.when(F.col("compaction"), "compaction"), F.when(F.col("images"), "images"), F.when(F.col("opaque"), "branch_or_meta"), F.when(stopped, "interrupted"), large))
+    return rows.select("session_key", F.when(F.size(named) == 0, F.array(F.lit("basic"))).otherwise(named).alias("features"), "source_bytes", "ordinal")

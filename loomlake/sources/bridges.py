@@ -62,6 +62,18 @@ def evt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("*", f"{block} AS content_blocks")
 
 
+#: Sizes, order and start of the timeline's sessions; {ms} is a time in milliseconds.
+SIZES_SQL = """
+SELECT CAST(user_id AS STRING) AS session_key, CAST(sum(length(props)) * 4096 * (user_id % 6) AS BIGINT) AS source_bytes, CAST(user_id AS BIGINT) AS ordinal,
+       CAST(min({ms}) AS BIGINT) AS created_ms, user_id % 9 = 0 AS has_parent FROM {0} GROUP BY user_id
+"""
+
+
+def evt_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each session of evt_events besides its events."""
+    return spark.sql(SIZES_SQL.format("{events}", ms=SPARK["ms"]), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
 CONV_SQL = """
 SELECT CAST(conv_id AS STRING) AS session_key, turn AS event_seq, turn AS record_index, 'message' AS kind, role, text FROM {0}
 """

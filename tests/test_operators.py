@@ -139,10 +139,31 @@ def test_histograms(spark):
     assert got == {("record_type", "user"): 1, ("record_type", "assistant"): 1, ("record_type", "<missing>"): 1, ("role", "user"): 1, ("role", "assistant"): 1, ("block", "text"): 2, ("block", "tool_use"): 1, ("block", "<non-object>"): 1}
 
 
+FEATURES = "session_key string, features array<string>, source_bytes long, ordinal long"
+
+
 def test_greedy_sample_covers_features_first(spark):
-    rows = [("a", ["x", "y"], 9), ("b", ["x"], 1), ("c", ["z"], 5), ("d", ["x"], 2)]
-    df = spark.createDataFrame(rows, "session_key string, features array<string>, n long")
-    assert audit.coverage_greedy(df, 3) == ["a", "c", "b"]
+    rows = [("a", ["x", "y"], 9, 0), ("b", ["x"], 1, 1), ("c", ["z"], 5, 2), ("d", ["x"], 2, 3)]
+    assert audit.coverage_greedy(spark.createDataFrame(rows, FEATURES), 3) == ["a", "c", "d"]
+
+
+def test_samples_equal_plain_choices(spark):
+    rng = random.Random(9)
+    names = [*audit.SMOKE_FEATURES, "branch_or_meta", "large_10m"]
+    rows = [(f"s{i}", sorted(rng.sample(names, rng.randint(1, 4))), rng.randint(1, 40), i) for i in range(300)]
+    df = spark.createDataFrame(rows, FEATURES).repartition(3)
+    chosen, covered, left = [], set(), list(rows)
+    for _ in range(25):
+        best = max(left, key=lambda r: (len(set(r[1]) - covered), r[2], -r[3]))
+        left.remove(best)
+        covered |= set(best[1])
+        chosen.append(best[0])
+    assert audit.coverage_greedy(df, 25) == chosen
+    picked = []
+    for f in audit.SMOKE_FEATURES:
+        picked.append(min((r for r in rows if f in r[1] and r not in picked), key=lambda r: (r[2], r[3])))
+    picked += sorted((r for r in rows if r not in picked), key=lambda r: (r[2], r[3]))
+    assert [r.session_key for r in audit.smallest_per_feature(df, 12).orderBy("pick").collect()] == [r[0] for r in picked[:12]]
 
 
 def test_linear_chain(spark):
