@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars as S
+from loomlake.functions.ancestry import active_records
 from loomlake.functions.text import json_shape
 from loomlake.jobs.oracle_timeline import CLAUDE_IMAGE, CONVERSATIONAL, DATA_USER_IMAGE, EVT, SUMMARY, TOOLS, USER_IMAGE
 from loomlake.operators import audit as A
@@ -72,12 +73,12 @@ def _matrix(s: SparkSession, d: str) -> DataFrame:
 
 def _scalars(s: SparkSession, d: str) -> DataFrame:
     e = evt_events(s, d)
-    return e.select("session_key", "event_seq", S.valid_rfc3339(F.col("ts_raw")).alias("valid"), S.epoch_ms(S.valid_rfc3339(F.col("ts_raw"))).alias("ms"), S.data_image(F.col("image_url"))["media_type"].alias("media"), S.bounded(F.col("text"), 5).alias("short"), S.claude_dir(F.col("text")).alias("dir"), S.row_shape(F.col("kind"), F.col("text"), F.col("content_blocks")).alias("shape"))
+    return e.select("session_key", "event_seq", S.valid_rfc3339(F.col("ts_raw")).alias("valid"), S.epoch_ms(S.valid_rfc3339(F.col("ts_raw"))).alias("ms"), S.data_image(F.col("image_url"))["media_type"].alias("media"), S.bounded(F.col("text")).alias("short"), S.claude_dir(F.col("text")).alias("dir"), S.row_shape(F.col("kind"), F.col("text"), F.col("content_blocks")).alias("shape"))
 
 
 def _text_scalars(s: SparkSession, d: str) -> DataFrame:
     docs = s.read.parquet(f"{d}/documents.parquet")
-    return docs.select("doc_id", F.md5(S.fingerprint_text(F.concat(F.lit(" \r\n"), "text", F.lit("\r \t")))).alias("fingerprint"), S.bounded(F.col("text"), 7).alias("short"))
+    return docs.select("doc_id", F.md5(S.fingerprint_text(F.concat(F.lit(" \r\n"), "text", F.lit("\r \t")))).alias("fingerprint"), S.bounded(F.col("text")).alias("short"))
 
 
 def _props(s: SparkSession, d: str) -> DataFrame:
@@ -86,8 +87,11 @@ def _props(s: SparkSession, d: str) -> DataFrame:
 
 
 def _uuids(s: SparkSession, d: str) -> DataFrame:
+    """Ids of which some are cut, or not in a name at all."""
     rows = catalog(s, d).withColumn("u", S.stable_uuid(F.lit("x"), F.col("catalog_id")))
-    return rows.select("catalog_id", (S.uuid_text(F.upper("u")) == F.col("u")).alias("is_uuid"), (S.uuid_in(F.concat(F.lit("rollout-"), F.col("u"), F.lit(".jsonl"))) == F.col("u")).alias("in_name"))
+    given = F.when(F.col("catalog_id") % 5 == 0, F.substring("u", 1, 35)).otherwise(F.upper("u"))
+    name = F.when(F.col("catalog_id") % 7 == 0, "rollout.jsonl").otherwise(F.concat(F.lit("rollout-00000000-0000-4000-8000-000000000000-"), F.col("u"), F.lit(".jsonl")))
+    return rows.select("catalog_id", S.uuid_text(given).eqNullSafe(F.col("u")).alias("is_uuid"), S.uuid_in(name).eqNullSafe(F.col("u")).alias("in_name"))
 
 
 def _features(s: SparkSession, d: str) -> DataFrame:
@@ -114,6 +118,68 @@ def _stratified(s: SparkSession, d: str) -> DataFrame:
     return A.stratified(A.candidates(_profiles(s, d), REQUESTED), REQUESTED)
 
 
+#: Session events in Copilot's envelope: a start, then a chain; some chains start twice, break or go back in time.
+CHAINS_SQL = """
+SELECT session_key, event_seq AS record_index, CASE WHEN event_seq = 0 OR (s % 5 = 1 AND event_seq = 3) THEN 'session.start' ELSE 'tool.x' END AS type,
+       concat('e', CAST(event_seq AS STRING)) AS id, CASE WHEN event_seq > 0 THEN concat('e', CAST(event_seq - CASE WHEN s % 5 = 2 AND event_seq = 4 THEN 2 ELSE 1 END AS STRING)) END AS parent,
+       1704067200000 + CASE WHEN s % 5 = 3 AND event_seq = 5 THEN 0 ELSE event_seq * 1000 END AS ms FROM (SELECT *, CAST(session_key AS BIGINT) AS s FROM {0})
+"""
+
+#: Entries of a tree: most follow the entry before, some branch off earlier; some trees miss a parent, name one later or repeat an id.
+TREES_SQL = """
+SELECT session_key, event_seq AS record_index, concat('n', CAST(CASE WHEN s % 6 = 1 AND event_seq = 2 THEN 1 ELSE event_seq END AS STRING)) AS id,
+       CASE WHEN s % 6 = 2 AND event_seq = 3 THEN 'gone' WHEN s % 6 = 3 AND event_seq = 1 THEN 'n4' WHEN event_seq = 0 THEN NULL
+            ELSE concat('n', CAST(CASE WHEN k % 10 = 0 THEN greatest(event_seq - 1 - k % 4, 0) ELSE event_seq - 1 END AS STRING)) END AS parent,
+       CASE WHEN s % 6 = 4 AND event_seq = 1 THEN 'not a time' ELSE '2024-01-01T00:00:00Z' END AS ts, CASE WHEN s % 6 = 5 AND event_seq = 2 THEN 5 END AS content
+FROM (SELECT *, CAST(session_key AS BIGINT) AS s FROM {0})
+"""
+
+#: Messages and parts of bundles: ids and times in order, parts of their own message; some are out of order or strayed.
+BUNDLES_SQL = """
+SELECT session_key, event_seq AS message_no, concat('msg_', lpad(CAST(CASE WHEN s % 6 = 1 AND event_seq = 2 THEN 0 ELSE event_seq END AS STRING), 6, '0')) AS message_id,
+       CASE WHEN s % 6 = 2 AND event_seq = 3 THEN 'ses_other' ELSE concat('ses_', session_key) END AS message_session,
+       1704067200000 + CASE WHEN s % 6 = 3 AND event_seq = 4 THEN 0 ELSE event_seq * 1000 END AS created_ms,
+       concat('prt_', lpad(CAST(event_seq AS STRING), 6, '0')) AS part_id, CASE WHEN s % 6 = 4 AND event_seq = 1 THEN 'msg_x' ELSE concat('msg_', lpad(CAST(CASE WHEN s % 6 = 1 AND event_seq = 2 THEN 0 ELSE event_seq END AS STRING), 6, '0')) END AS part_message,
+       CASE kind WHEN 'tool_call' THEN 'tool' WHEN 'message' THEN 'text' ELSE kind END AS part_type, coalesce(role, 'user') AS role, length(text) AS text_chars
+FROM (SELECT *, CAST(session_key AS BIGINT) AS s FROM {0})
+"""
+
+
+def _derived(sql: str):
+    return lambda s, d: s.sql(sql.format("{e}"), e=evt_events(s, d))
+
+
+_chains_of, _trees_of, _bundles = _derived(CHAINS_SQL), _derived(TREES_SQL), _derived(BUNDLES_SQL)
+
+
+def _variants(rows: DataFrame, *fields: str) -> DataFrame:
+    value = F.to_json(F.struct(*[F.expr(f) for f in fields]))
+    return rows.select("session_key", "record_index", F.parse_json(value).alias("v"))
+
+
+def _chains(s: SparkSession, d: str) -> DataFrame:
+    time = "date_format(timestamp_millis(ms), \"yyyy-MM-dd'T'HH:mm:ss.SSSXXX\") AS timestamp"
+    return _variants(_chains_of(s, d), "type", "id", "parent AS parentId", time)
+
+
+def _trees(s: SparkSession, d: str) -> DataFrame:
+    return _variants(_trees_of(s, d), "'message' AS type", "id", "parent AS parentId", "ts AS timestamp", "named_struct('role', 'user', 'content', CASE WHEN content IS NULL THEN 'x' END, 'n', content) AS message")
+
+
+def _paths_of(fmt: str):
+    """How many records the active path of each session has, or why there is none."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        rows = _trees_of(s, d).withColumnsRenamed({"id": "uuid"})
+        null, no = F.lit(None).cast("string"), F.lit(False)
+        ids = rows.select("session_key", "record_index", "uuid", "parent", null.alias("logical"), null.alias("leaf"), no.alias("is_prompt"), no.alias("is_boundary"), F.lit(True).alias("is_candidate"), no.alias("is_sidechain"), no.alias("is_summary"), null.alias("session_id"), null.alias("metadata"))
+        path, rejects = active_records(ids if fmt == "claude" else ids.select("session_key", "record_index", "uuid", "parent"), fmt)
+        found = path.groupBy("session_key").agg(F.count("*").alias("records"), F.sum("record_index").alias("places"), F.lit(None).cast("string").alias("reason"))
+        return found.unionByName(rejects.select("session_key", F.lit(None).cast("long").alias("records"), F.lit(None).cast("long").alias("places"), "reason"))
+
+    return run
+
+
 QUERIES = {
     "a1_histograms": lambda s, d: I.histograms(_codex(s, d)),
     "a1_inspections": lambda s, d: I.inspections(_claude(s, d)).select("session_key", "records", "tool_calls", "tool_results"),
@@ -126,7 +192,12 @@ QUERIES = {
     "t3_time_strata": _stratified,
     "t4_smallest_per_feature": _smallest,
     "t5_coverage_greedy": _greedy,
-    "v1_linear_chain": lambda s, d: C.linear_chain(_pi(s, d).where("record_index > 0")),
+    "v1_linear_chain": lambda s, d: C.linear_chain(_chains(s, d)),
+    "v2_pi_trees": lambda s, d: C.entry_trees(_trees(s, d)),
+    "v3_bundle_order": lambda s, d: C.bundle_order(_bundles(s, d)),
+    "a9_bundle_profiles": lambda s, d: C.bundle_profiles(_bundles(s, d)),
+    "g1_active_paths": _paths_of("claude"),
+    "g2_active_paths": _paths_of("pi"),
     "x1_x11_event_scalars": _scalars,
     "x6_x9_text_scalars": _text_scalars,
     "x7_x13_json_scalars": _props,
@@ -171,7 +242,21 @@ def _sql() -> dict[str, str]:
     n_kept = f"(SELECT session_key, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({CONVERSATIONAL}) AS BIGINT) AS talk FROM evt WHERE {kept} GROUP BY session_key)"
     matrix = "\nUNION ALL ".join(f"SELECT '{t}' AS target, count(DISTINCT session_key) AS sessions, count(*) AS rows, count(DISTINCT session_key) AS matched FROM evt WHERE {c}" for t, c in (("codex", kept), ("claude", f"{CONVERSATIONAL} OR {TOOLS} OR {CLAUDE_IMAGE}"), ("pi", f"{CONVERSATIONAL} OR {TOOLS} OR {DATA_USER_IMAGE} OR {SUMMARY}")))
     versions = "(VALUES " + ", ".join(f"('{f}', '{v}')" for f, v in A.PINNED_VERSIONS.items()) + ") AS t(target, target_version)"
+    derived = lambda sql: f"WITH RECURSIVE {EVT}, r AS ({sql.format('evt').replace('AS STRING)', 'AS VARCHAR)')})"
+    walk = """, nodes AS (SELECT session_key, record_index, id, parent FROM r), twice AS (SELECT DISTINCT session_key FROM nodes GROUP BY session_key, id HAVING count(*) > 1),
+      w AS (SELECT session_key, record_index, parent FROM (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY record_index DESC) AS k FROM nodes) WHERE k = 1 AND session_key NOT IN (SELECT session_key FROM twice)
+            UNION SELECT n.session_key, n.record_index, n.parent FROM w JOIN nodes n ON n.session_key = w.session_key AND n.id = w.parent),
+      p AS (SELECT session_key, count(*) AS records, CAST(sum(record_index) AS BIGINT) AS places, bool_or(parent IS NULL) AS whole, bool_or(parent = 'gone') AS lost FROM w GROUP BY session_key)
+      SELECT session_key, CASE WHEN whole THEN records END AS records, CASE WHEN whole THEN places END AS places, CASE WHEN lost THEN 'missing_parent' WHEN NOT whole THEN 'cycle' END AS reason FROM p
+      UNION ALL SELECT session_key, NULL, NULL, '{twice}' FROM twice"""
+    size = "n AS (SELECT session_key, CAST(session_key AS BIGINT) AS s, count(*) AS n FROM evt GROUP BY session_key)"
     return {
+        "v1_linear_chain": f"WITH {EVT}, {size} SELECT session_key, NOT ((s % 5 = 1 AND n > 3) OR (s % 5 = 2 AND n > 4) OR (s % 5 = 3 AND n > 5)) AS valid FROM n",
+        "v2_pi_trees": f"{derived(TREES_SQL)}, x AS (SELECT r.session_key, bool_or(r.parent IS NOT NULL AND p.id IS NULL) AS lost, bool_or(r.ts = 'not a time') AS untimed, bool_or(r.content IS NOT NULL) AS odd, count(DISTINCT r.record_index) > count(DISTINCT r.id) AS twice FROM r LEFT JOIN r p ON p.session_key = r.session_key AND p.id = r.parent AND p.record_index < r.record_index GROUP BY r.session_key) SELECT session_key, CASE WHEN twice THEN 'duplicate_entry_id' WHEN lost THEN 'parent_not_earlier' WHEN untimed THEN 'invalid_timestamp' WHEN odd THEN 'invalid_content' END AS reason FROM x",
+        "v3_bundle_order": f"WITH {EVT}, {size} SELECT session_key, CASE WHEN s % 6 = 1 AND n > 2 THEN 'message_order' WHEN s % 6 = 2 AND n > 3 THEN 'message_session' WHEN s % 6 = 3 AND n > 4 THEN 'message_order' WHEN s % 6 = 4 AND n > 1 THEN 'part_message' END AS reason FROM n",
+        "a9_bundle_profiles": f"{derived(BUNDLES_SQL)} SELECT session_key, count(*) AS messages, count(*) AS parts, count(*) FILTER (part_type = 'tool') AS tools, count(*) FILTER (role = 'user') AS user_messages, CAST(coalesce(sum(text_chars), 0) AS BIGINT) AS text_chars, CAST(max(created_ms) - min(created_ms) AS BIGINT) AS span_ms FROM r GROUP BY session_key",
+        "g1_active_paths": derived(TREES_SQL) + walk.replace("{twice}", "duplicate_uuid"),
+        "g2_active_paths": derived(TREES_SQL) + walk.replace("{twice}", "duplicate_entry_id"),
         "a2_detected_formats": f"WITH {EVT} SELECT DISTINCT session_key, ['codex', 'pi', 'claude'][CAST(CAST(session_key AS BIGINT) % 3 + 1 AS INTEGER)] AS format, CAST(NULL AS VARCHAR) AS reason FROM evt",
         "a1_inspections": f"WITH {EVT}, e AS (SELECT *, CASE kind WHEN 'tool_call' THEN 'assistant' WHEN 'message' THEN role ELSE 'user' END AS tr FROM evt WHERE {CONVERSATIONAL} OR {TOOLS} OR {CLAUDE_IMAGE}), m AS (SELECT *, CASE WHEN lag(tr) OVER w = tr AND lag(record_index) OVER w = record_index THEN 0 ELSE 1 END AS fresh FROM e WINDOW w AS (PARTITION BY session_key ORDER BY event_seq)) SELECT session_key, CAST(sum(fresh) AS BIGINT) AS records, count(*) FILTER (kind = 'tool_call') AS tool_calls, count(*) FILTER (kind = 'tool_result') AS tool_results FROM m GROUP BY session_key",
         "a6_session_features": f"WITH {feat} SELECT * FROM ft",
@@ -183,10 +268,10 @@ def _sql() -> dict[str, str]:
         "p9_codex_headers": f"WITH {EVT}, c AS {n_kept} SELECT session_key, '/work' AS cwd, '2024-01-01T00:00:00.000Z' AS started_at, '{A.PINNED_VERSIONS['codex']}' AS cli_version, n + talk + 1 AS records FROM c",
         "t3_time_strata": strata,
         "t4_smallest_per_feature": smoke,
-        "x1_x11_event_scalars": f"WITH {EVT} SELECT session_key, event_seq, CASE WHEN ts_ms IS NOT NULL THEN ts_raw END AS valid, ts_ms AS ms, CASE WHEN starts_with(image_url, 'data:') THEN 'image/png' END AS media, left(text, 5) AS short, coalesce(nullif(regexp_replace(text, '[^A-Za-z0-9]', '-', 'g'), ''), '-') AS dir, concat(kind, ':text=', coalesce(length(text), 0), ':blocks=', coalesce(len(string_split(block_codes, ',')), 0)) AS shape FROM evt",
-        "x6_x9_text_scalars": "SELECT doc_id, md5(trim(replace(text, chr(13), chr(10)), concat(' ', chr(9), chr(10), chr(13)))) AS fingerprint, left(text, 7) AS short FROM documents",
+        "x1_x11_event_scalars": f"WITH {EVT} SELECT session_key, event_seq, CASE WHEN ts_ms IS NOT NULL THEN ts_raw END AS valid, ts_ms AS ms, CASE WHEN starts_with(image_url, 'data:') THEN 'image/png' END AS media, left(text, 512) AS short, coalesce(nullif(regexp_replace(text, '[^A-Za-z0-9]', '-', 'g'), ''), '-') AS dir, concat(kind, ':text=', coalesce(length(text), 0), ':blocks=', coalesce(len(string_split(block_codes, ',')), 0)) AS shape FROM evt",
+        "x6_x9_text_scalars": "SELECT doc_id, md5(trim(replace(text, chr(13), chr(10)), concat(' ', chr(9), chr(10), chr(13)))) AS fingerprint, left(text, 512) AS short FROM documents",
         "x7_x13_json_scalars": "SELECT event_id, concat('{\"a\":{\"k\":', regexp_extract(props, '[0-9]+', 0), '},\"z\":1}') AS canonical, 1 AS depth, 2 AS nodes, 0 AS images FROM events",
-        "x8_uuids": "SELECT doc_id AS catalog_id, true AS is_uuid, true AS in_name FROM documents",
+        "x8_uuids": "SELECT doc_id AS catalog_id, doc_id % 5 <> 0 AS is_uuid, doc_id % 7 <> 0 AS in_name FROM documents",
     }
 
 

@@ -15,20 +15,24 @@ LIMIT, OFFSET = 100, 50
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    """Some given titles, and those of the first ten sessions."""
+    """Some given titles, and those of every twentieth session."""
     titles = C.display_titles(labels(spark, d))
-    first = [r["title"] for r in titles.where(F.col("catalog_id") < 10).collect()]
-    return C.resolved(titles, sorted({*TITLES, *first}))
+    given = spark.createDataFrame([(t,) for t in TITLES], "query string")
+    return C.resolved(titles, given.unionByName(titles.where(F.col("catalog_id") % 20 == 0).select(F.col("title").alias("query"))))
+
+
+#: The earlier snapshot lacks some files, the current one others and those of a root that failed; no row is in neither.
+BEFORE, NOW = "catalog_id % 10 <> 3 OR root_id = 'src3'", "root_id <> 'src3' AND (catalog_id % 8 <> 5 OR catalog_id % 10 = 3)"
 
 
 def _previous(spark: SparkSession, d: str) -> DataFrame:
     """An earlier snapshot: some files not there yet, some of another size, one root's files gone since."""
-    old = catalog(spark, d).where("catalog_id % 10 <> 3")
+    old = catalog(spark, d).where(BEFORE)
     return old.withColumn("size", F.when(F.col("catalog_id") % 13 == 0, F.col("size") + 1).otherwise(F.col("size")))
 
 
 def _current(spark: SparkSession, d: str) -> DataFrame:
-    return catalog(spark, d).where("catalog_id % 8 <> 5 AND root_id <> 'src3'")
+    return catalog(spark, d).where(NOW)
 
 
 def _failed(spark: SparkSession) -> DataFrame:
@@ -45,9 +49,10 @@ def _roots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _native(spark: SparkSession, d: str) -> DataFrame:
+    """Every path has a label, and every native id one, that of its first session."""
     s = catalog(spark, d)
-    by_path = s.where("catalog_id % 4 = 0").select("relative_path", F.concat(F.lit("p"), F.col("catalog_id").cast("string")).alias("value"))
-    by_id = s.where("catalog_id % 97 = catalog_id AND native_id IS NOT NULL").select("native_id", F.concat(F.lit("i"), F.col("catalog_id").cast("string")).alias("value"))
+    by_path = s.select("relative_path", F.concat(F.lit("p"), F.col("catalog_id").cast("string")).alias("value"))
+    by_id = s.where("native_id IS NOT NULL").groupBy("native_id").agg(F.concat(F.lit("i"), F.min("catalog_id").cast("string")).alias("value"))
     return C.native_labels(s, by_path, by_id)
 
 
@@ -78,7 +83,7 @@ def _sql() -> dict[str, str]:
     lab = f"lab AS ({LABELS_SQL.format('documents')})"
     first = f"{lab}, fl AS (SELECT catalog_id, kind, value, arg_min(ordinal, ins) AS ordinal, arg_min(priority, ins) AS priority, min(ins) AS ins FROM lab GROUP BY catalog_id, kind, value)"
     titles = f"{first}, ti AS (SELECT catalog_id, kind, value AS title FROM (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY priority DESC, ordinal DESC, ins DESC) AS r FROM fl) WHERE r = 1)"
-    prev = f"{cat}, prev AS (SELECT * REPLACE (CASE WHEN catalog_id % 13 = 0 THEN size + 1 ELSE size END AS size) FROM cat WHERE catalog_id % 10 <> 3), cur AS (SELECT * FROM cat WHERE catalog_id % 8 <> 5 AND root_id <> 'src3')"
+    prev = f"{cat}, prev AS (SELECT * REPLACE (CASE WHEN catalog_id % 13 = 0 THEN size + 1 ELSE size END AS size) FROM cat WHERE {BEFORE}), cur AS (SELECT * FROM cat WHERE {NOW})"
     fold = "replace(lower({0}), 'ß', 'ss')"
     terms = ", ".join("('" + q + "')" for q in SEARCHES)
     given = ", ".join("('" + q + "')" for q in TITLES)
@@ -95,7 +100,7 @@ def _sql() -> dict[str, str]:
           hit AS (SELECT DISTINCT x.query, x.term, cat.catalog_id FROM x JOIN cat ON contains(lower(coalesce(native_id, '')), term) OR contains(lower(coalesce(filename_id, '')), term)
                   UNION SELECT x.query, x.term, f.catalog_id FROM x JOIN f ON contains(v, term))
           SELECT query, catalog_id FROM hit GROUP BY query, catalog_id HAVING count(DISTINCT term) = (SELECT count(DISTINCT term) FROM x WHERE x.query = hit.query)""",
-        "c5_resolved_titles": f"""WITH {titles}, q AS (SELECT DISTINCT title AS query FROM ti WHERE catalog_id < 10 UNION SELECT * FROM (VALUES {given}) AS g(query)),
+        "c5_resolved_titles": f"""WITH {titles}, q AS (SELECT DISTINCT title AS query FROM ti WHERE catalog_id % 20 = 0 UNION SELECT * FROM (VALUES {given}) AS g(query)),
           m AS (SELECT query, catalog_id, {fold.format('title')} = {fold.format('query')} AS exact FROM q JOIN ti ON contains({fold.format('title')}, {fold.format('query')})),
           n AS (SELECT query, count(*) FILTER (exact) AS e, count(*) AS p, min(catalog_id) FILTER (exact) AS ce, min(catalog_id) AS cp FROM m GROUP BY query)
           SELECT q.query, CASE WHEN e = 1 THEN ce WHEN e = 0 AND p = 1 THEN cp END AS catalog_id, CASE WHEN n.query IS NULL THEN 'no_match' WHEN e > 1 OR (e = 0 AND p > 1) THEN 'ambiguous' END AS error FROM q LEFT JOIN n ON n.query = q.query""",
@@ -103,7 +108,7 @@ def _sql() -> dict[str, str]:
         "c7_transferable": f"WITH {cat} SELECT catalog_id, status FROM cat WHERE status IN ('candidate', 'validated')",
         "f5_filtered": f"WITH {cat} SELECT catalog_id, format, modified_ms FROM cat WHERE format IN ('en', 'de') AND kind = 'main' AND modified_ms >= 1704067200000 + 20000000 AND modified_ms < 1704067200000 + 70000000",
         "g3_lineage_roots": f"WITH RECURSIVE {cat}, e AS (SELECT catalog_id AS child, parent_id AS parent FROM cat WHERE parent_id IS NOT NULL), w AS (SELECT child, parent, CAST(1 AS BIGINT) AS depth FROM e UNION ALL SELECT w.child, e.parent, w.depth + 1 FROM w JOIN e ON w.parent = e.child) SELECT child AS catalog_id, parent AS root_id, depth FROM w WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.child = w.parent)",
-        "j5_native_labels": f"WITH {cat} SELECT DISTINCT catalog_id, value FROM (SELECT s.catalog_id, concat('p', p.catalog_id) AS value FROM cat s JOIN cat p USING (relative_path) WHERE p.catalog_id % 4 = 0 UNION ALL SELECT s.catalog_id, concat('i', p.catalog_id) FROM cat s JOIN cat p USING (native_id) WHERE p.catalog_id < 97)",
+        "j5_native_labels": f"WITH {cat} SELECT catalog_id, concat('p', catalog_id) AS value FROM cat UNION ALL SELECT catalog_id, concat('i', min(catalog_id) OVER (PARTITION BY native_id)) FROM cat WHERE native_id IS NOT NULL",
         "j6_lineage": f"WITH {cat} SELECT c.catalog_id, c.kind, c.parent_id, p.format AS parent_format FROM cat c LEFT JOIN cat p ON c.parent_id = p.catalog_id",
         "j7_refresh_diff": f"WITH {diff} SELECT * FROM diff",
         "j8_copies": f"WITH {cat}, {present} SELECT catalog_id, coalesce(n, 1) AS copies FROM cat LEFT JOIN dup ON cat.format = dup.format AND coalesce(native_id, filename_id) = sid",

@@ -148,17 +148,27 @@ def search(sessions: DataFrame, labels: DataFrame, queries: list[str], with_path
     return rows.select("catalog_id", F.explode(hits).alias("g")).select("g.query", "catalog_id")
 
 
-def resolved(titles: DataFrame, queries: list[str]) -> DataFrame:
-    """The one session that each of a given list of titles names: exact folded matches first, else those that contain it."""
-    given = F.array(*[F.struct(F.lit(q).alias("query"), F.lit(q.casefold()).alias("folded")) for q in queries])
+#: Titles without an exact match are looked for in others in blocks of so many, which are broadcast.
+QUERY_BLOCK = 20_000
+
+
+def resolved(titles: DataFrame, queries: DataFrame) -> DataFrame:
+    """The one session that each given title (query) names: exact folded matches first, else those that contain it.
+
+    Exact matches are an equi-join; only the titles without any are held against all others, in blocks of
+    bounded size.
+    """
+    asked = checkpointed(queries.select("query").distinct().withColumn("folded", casefold(F.col("query"))))
     t = titles.select("catalog_id", casefold(F.col("title")).alias("title"))
-    met = t.select("catalog_id", "title", F.explode(F.filter(given, lambda g: F.contains(F.col("title"), g["folded"]))).alias("g"))
-    met = met.select("catalog_id", "g.query", (F.col("title") == F.col("g.folded")).alias("exact"))
-    counts = met.groupBy("query").agg(F.count_if("exact").alias("exact"), F.count("*").alias("partial"), F.min(F.when(F.col("exact"), F.col("catalog_id"))).alias("e"), F.min("catalog_id").alias("p"))
-    out = titles.sparkSession.createDataFrame([(q,) for q in queries], "query string").join(counts, "query", "left")
-    n = F.when(F.col("exact") > 0, F.col("exact")).otherwise(F.coalesce("partial", F.lit(0)))
-    hit = F.when(F.col("exact") > 0, F.col("e")).otherwise(F.col("p"))
-    return out.select("query", F.when(n == 1, hit).alias("catalog_id"), F.when(n == 0, "no_match").when(n > 1, "ambiguous").alias("error"))
+    tally = lambda met: met.groupBy("query").agg(F.count("*").alias("n"), F.min("catalog_id").alias("hit"))
+    exact = checkpointed(tally(asked.join(t, asked["folded"] == t["title"])))
+    rest = checkpointed(asked.join(exact, "query", "left_anti"))
+    out, blocks = exact, -(-rest.count() // QUERY_BLOCK)
+    for k in range(blocks):
+        some = F.broadcast(rest.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
+        out = out.unionByName(tally(t.join(some, F.contains(F.col("title"), F.col("folded")))))
+    n = F.coalesce("n", F.lit(0))
+    return asked.join(out, "query", "left").select("query", F.when(n == 1, F.col("hit")).alias("catalog_id"), F.when(n == 0, "no_match").when(n > 1, "ambiguous").alias("error"))
 
 
 def located(sessions: DataFrame, ids: DataFrame) -> DataFrame:
@@ -205,9 +215,48 @@ def scan(records: DataFrame, fmt: str) -> DataFrame:
 
 
 def linear_chain(records: DataFrame) -> DataFrame:
-    """V1: whether a session's records form one chain (parentId is the id before), with unique ids and non-decreasing times."""
+    """V1: whether a session's records start once, at the first, and form one chain (parentId is the id before), with unique ids and non-decreasing times."""
     v = F.col("v")
     w = Window.partitionBy("session_key").orderBy("record_index")
-    rows = records.select("session_key", "record_index", S.vstr(v, "$.id").alias("id"), S.vstr(v, "$.parentId").alias("parent"), S.epoch_ms(S.vstr(v, "$.timestamp")).alias("ms"))
-    rows = rows.withColumn("ok", F.lag("id").over(w).eqNullSafe(F.col("parent")) & F.coalesce(F.lag("ms").over(w) <= F.col("ms"), F.lit(True)))
+    starts = F.coalesce(S.vstr(v, "$.type") == "session.start", F.lit(False))
+    rows = records.select("session_key", "record_index", starts.alias("starts"), S.vstr(v, "$.id").alias("id"), S.vstr(v, "$.parentId").alias("parent"), S.epoch_ms(S.vstr(v, "$.timestamp")).alias("ms"))
+    follows = F.lag("id").over(w).eqNullSafe(F.col("parent")) & F.coalesce(F.lag("ms").over(w) <= F.col("ms"), F.lit(True))
+    rows = rows.withColumn("ok", follows & (F.col("starts") == (F.row_number().over(w) == 1)))
     return rows.groupBy("session_key").agg((F.bool_and("ok") & (F.count_distinct("id") == F.count("*"))).alias("valid"))
+
+
+def entry_trees(records: DataFrame) -> DataFrame:
+    """V2: why a session's entries are no tree, else null: ids are unique, parents come earlier, times are times, contents are texts or lists."""
+    v = F.col("v")
+    content = S.vtype(v, "$.message.content")
+    shape = F.coalesce((content == "STRING") | content.startswith("ARRAY"), F.lit(False)) | (S.vstr(v, "$.type") != "message")
+    rows = records.select("session_key", "record_index", S.vstr(v, "$.id").alias("id"), S.vstr(v, "$.parentId").alias("parent"), S.valid_rfc3339(S.vstr(v, "$.timestamp")).isNotNull().alias("timed"), shape.alias("shaped"))
+    first = rows.groupBy("session_key", F.col("id").alias("parent")).agg(F.min("record_index").alias("at"))
+    met = rows.join(first, ["session_key", "parent"], "left")
+    early = F.col("parent").isNull() | F.coalesce(F.col("at") < F.col("record_index"), F.lit(False))
+    one = met.groupBy("session_key").agg((F.count("id") < F.count("*")).alias("unnamed"), (F.count_distinct("id") < F.count("id")).alias("twice"), F.bool_and(early).alias("early"), F.bool_and("timed").alias("timed"), F.bool_and("shaped").alias("shaped"))
+    why = F.when(F.col("unnamed"), "missing_entry_id").when(F.col("twice"), "duplicate_entry_id").when(~F.col("early"), "parent_not_earlier").when(~F.col("timed"), "invalid_timestamp").when(~F.col("shaped"), "invalid_content")
+    return one.select("session_key", why.alias("reason"))
+
+
+def bundle_order(parts: DataFrame) -> DataFrame:
+    """V3: why a bundle is out of order, else null: its messages' ids and times ascend, and messages and parts name their own.
+
+    parts: session_key, message_no, message_id, message_session, created_ms, part_id, part_message.
+    """
+    own = F.coalesce(F.col("message_session") == F.concat(F.lit("ses_"), "session_key"), F.lit(False))
+    inside = F.coalesce(F.col("part_message") == F.col("message_id"), F.lit(False)) | F.col("part_id").isNull()
+    one = parts.groupBy("session_key", "message_no").agg(F.first("message_id").alias("id"), F.first("created_ms").alias("ms"), F.bool_and(own).alias("own"), F.bool_and(inside).alias("inside"), (F.count_distinct("part_id") == F.count("part_id")).alias("once"))
+    w = Window.partitionBy("session_key").orderBy("message_no")
+    ascends = F.coalesce((F.lag("id").over(w) < F.col("id")) & (F.lag("ms").over(w) <= F.col("ms")), F.row_number().over(w) == 1)
+    found = one.withColumn("ascends", ascends).groupBy("session_key").agg(F.bool_and("ascends").alias("ascends"), F.bool_and("own").alias("own"), F.bool_and("inside").alias("inside"), F.bool_and("once").alias("once"))
+    why = F.when(~F.col("ascends"), "message_order").when(~F.col("own"), "message_session").when(~F.col("inside"), "part_message").when(~F.col("once"), "part_order")
+    return found.select("session_key", why.alias("reason"))
+
+
+def bundle_profiles(parts: DataFrame) -> DataFrame:
+    """The structure of each bundle, without its content: messages, parts, tools, lengths and the time they span."""
+    one = parts.groupBy("session_key", "message_no").agg(F.count("part_id").alias("parts"), F.count_if(F.col("part_type") == "tool").alias("tools"), (F.first("role") == "user").cast("long").alias("user"), F.sum("text_chars").alias("chars"), F.first("created_ms").alias("ms"))
+    return one.groupBy("session_key").agg(
+        F.count("*").alias("messages"), F.sum("parts").alias("parts"), F.sum("tools").alias("tools"), F.sum("user").alias("user_messages"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("text_chars"), (F.max("ms") - F.min("ms")).cast("long").alias("span_ms")
+    )

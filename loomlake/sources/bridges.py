@@ -84,7 +84,7 @@ def conv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CONV_SQL.format("{conversations}"), conversations=spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-#: Catalog rows from the table of documents; {label} is a piece of its text.
+#: Catalog rows from the table of documents.
 CATALOG_SQL = """
 SELECT doc_id AS catalog_id, source AS root_id, concat(lang, '/', CAST(doc_id AS STRING), '.jsonl') AS relative_path, lang AS format,
        CASE WHEN doc_id % 11 <> 0 THEN concat('S', CAST(doc_id % 97 AS STRING)) END AS native_id,
@@ -96,11 +96,12 @@ SELECT doc_id AS catalog_id, source AS root_id, concat(lang, '/', CAST(doc_id AS
 FROM {0}
 """
 
+#: Titles of the catalog's sessions, each a whole text; some are repeated.
 LABELS_SQL = """
-SELECT doc_id AS catalog_id, 'custom_title' AS kind, substring(text, 1, 12) AS value, 100 AS priority, CAST(doc_id % 5 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS ins FROM {0} WHERE text <> ''
-UNION ALL SELECT doc_id, 'ai_title', substring(text, 3, 10), 90, 9, 1 FROM {0} WHERE text <> ''
-UNION ALL SELECT doc_id, 'custom_title', substring(text, 2, 11), 100, 2, 2 FROM {0} WHERE text <> '' AND doc_id % 2 = 0
-UNION ALL SELECT doc_id, 'custom_title', substring(text, 1, 12), 100, 7, 3 FROM {0} WHERE text <> '' AND doc_id % 4 = 0
+SELECT doc_id AS catalog_id, 'custom_title' AS kind, text AS value, 100 AS priority, CAST(doc_id % 5 AS BIGINT) AS ordinal, CAST(0 AS BIGINT) AS ins FROM {0} WHERE text <> ''
+UNION ALL SELECT doc_id, 'ai_title', concat(lang, ': ', text), 90, 9, 1 FROM {0} WHERE text <> ''
+UNION ALL SELECT doc_id, 'custom_title', concat(text, ' (', source, ')'), 100, 2, 2 FROM {0} WHERE text <> '' AND doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'custom_title', text, 100, 7, 3 FROM {0} WHERE text <> '' AND doc_id % 4 = 0
 """
 
 
