@@ -31,8 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose output is remembered, and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Words whose output is remembered (twice so many at most), and the longest of them.
+CACHE_WORDS, CACHE_LENGTH = 30_000, 64
 #: Characters that are normalised and cut into words at once, and that the transducer takes in one step.
 PIECE, STEP = 1 << 16, 12
 
@@ -149,6 +149,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.known: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def _output(self, ids: list[int]) -> tuple[tuple[int, ...], str, bytes]:
@@ -160,16 +161,18 @@ class Encoder:
 
     def _word(self, word: str) -> tuple[tuple[int, ...], str, bytes]:
         """The transducer's output for a word: ids, their text, and the bytes that they decode to."""
-        t = Transducer(self.v)
-        got = self._output(t.feed(self._symbols(word)) + t.end())
+        got = self.older.get(word)
+        if not got:
+            t = Transducer(self.v)
+            got = self._output(t.feed(self._symbols(word)) + t.end())
         if len(word) <= CACHE_LENGTH:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
+            if len(self.known) >= CACHE_WORDS:  # what was not asked for since the last time goes
+                self.known, self.older = {}, self.known
             self.known[word] = got
         return got
 
     def _words(self, piece: str) -> list[tuple[tuple[int, ...], str, bytes]]:
-        get, word = self.known.get, self._word
+        get, word = self.known.get, self._word  # a table that is full stays in use for this piece
         found = (_SIMPLE if piece.isascii() or _ODD_NUMBERS.isdisjoint(piece) else _WORDS).findall(piece)
         return [get(w) or word(w) for w in found]
 
