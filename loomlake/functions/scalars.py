@@ -11,9 +11,15 @@ BASE64 = r"^[A-Za-z0-9+/]*={0,2}$"
 LABEL_LIMIT, PATH_LIMIT = 512, 32_768
 
 
+def kind_of(x: Column) -> Column:
+    """'ARRAY', 'OBJECT' or the type of a scalar; null for null. (schema_of_variant would describe all that is inside.)"""
+    is_list, is_map = (F.try_variant_get(x, "$", t).isNotNull() for t in ("array<variant>", "map<string,variant>"))
+    return F.when(is_list, "ARRAY").when(is_map, "OBJECT").otherwise(F.schema_of_variant(x))
+
+
 def vtype(v: Column, path: str) -> Column:
-    """The type of the value at path: 'STRING', 'OBJECT<...>', ...; null if there is none."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    """The type of the value at path: 'STRING', 'OBJECT', ...; null if there is none."""
+    return kind_of(F.try_variant_get(v, path, "variant"))
 
 
 def vstr(v: Column, path: str) -> Column:
@@ -28,16 +34,16 @@ def vbool(v: Column, path: str) -> Column:
 
 
 def is_object(v: Column, path: str) -> Column:
-    return F.coalesce(vtype(v, path).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def is_array(v: Column, path: str) -> Column:
-    return F.coalesce(vtype(v, path).startswith("ARRAY"), F.lit(False))
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
 
 
 def items(v: Column, path: str) -> Column:
     """The elements of the array at path; none if it isn't one."""
-    return F.coalesce(F.when(is_array(v, path), F.try_variant_get(v, path, "array<variant>")), F.array().cast("array<variant>"))
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def valid_rfc3339(text: Column) -> Column:
@@ -80,7 +86,7 @@ def image_from_source(v: Column, path: str) -> Column:
 
 def content_text(v: Column, path: str) -> Column:
     """A string as it is; of an array the strings and the text fields, without empty ones, joined by line ends."""
-    element = lambda x: F.coalesce(F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string")), F.when(vtype(x, "$.text") == "STRING", F.try_variant_get(x, "$.text", "string")))
+    element = lambda x: F.coalesce(F.when(kind_of(x) == "STRING", F.try_variant_get(x, "$", "string")), F.when(vtype(x, "$.text") == "STRING", F.try_variant_get(x, "$.text", "string")))
     parts = F.filter(F.transform(items(v, path), element), lambda t: t.isNotNull() & (t != ""))
     return F.when(vtype(v, path) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.array_join(parts, "\n"))
 

@@ -24,8 +24,8 @@ def histograms(records: DataFrame) -> DataFrame:
     body = F.coalesce(F.try_variant_get(v, "$.message", "variant"), F.try_variant_get(v, "$.payload", "variant"))
     role = S.vstr(body, "$.role")
     content = F.try_variant_get(body, "$.content", "variant")
-    block = lambda x: F.when(F.schema_of_variant(x).startswith("OBJECT"), F.coalesce(S.vstr(x, "$.type"), F.lit("<missing>"))).otherwise("<non-object>")
-    blocks = F.when(F.schema_of_variant(content) == "STRING", F.array(F.lit("text"))).otherwise(F.transform(S.items(body, "$.content"), block))
+    block = lambda x: F.when(S.kind_of(x).startswith("OBJECT"), F.coalesce(S.vstr(x, "$.type"), F.lit("<missing>"))).otherwise("<non-object>")
+    blocks = F.when(S.kind_of(content) == "STRING", F.array(F.lit("text"))).otherwise(F.transform(S.items(body, "$.content"), block))
     item = S.vstr(v, "$.payload.type")
     entry = lambda what, key: F.struct(F.lit(what).alias("what"), key.alias("key"))
     one = F.array_compact(F.array(entry("record_type", kind), F.when(role.isNotNull(), entry("role", role)), F.when(item.isNotNull(), entry("event", item))))

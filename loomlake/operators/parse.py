@@ -65,7 +65,7 @@ def _result_blocks(v: Column, path: str, image) -> Column:
 def _input(v: Column, path: str) -> tuple[Column, Column]:
     """The input's JSON text and whether it is an object; a missing one is an empty object."""
     there = F.try_variant_get(v, path, "variant")
-    return F.coalesce(F.to_json(there), F.lit("{}")), F.coalesce(F.schema_of_variant(there).startswith("OBJECT"), there.isNull())
+    return F.coalesce(F.to_json(there), F.lit("{}")), F.coalesce(S.kind_of(there).startswith("OBJECT"), there.isNull())
 
 
 def parse_codex(records: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def parse_codex(records: DataFrame) -> DataFrame:
         url = F.coalesce(S.vstr(x, "$.image_url"), S.vstr(x, "$.url"))
         is_text = t.isin("input_text", "output_text", "text")
         return (
-            F.when(~F.schema_of_variant(x).startswith("OBJECT"), event("opaque", block_index=i))
+            F.when(~S.kind_of(x).startswith("OBJECT"), event("opaque", block_index=i))
             .when(is_text & text.isNotNull(), event("message", role=role, ts_raw=ts, text=text, block_index=i))
             .when(is_text, F.lit(None))
             .when(t.isin("input_image", "image"), event("context", role=role, ts_raw=ts, block_type="image", image_url=url, block_index=i))
@@ -89,9 +89,9 @@ def parse_codex(records: DataFrame) -> DataFrame:
         )
 
     args = F.coalesce(F.try_variant_get(v, "$.payload.arguments", "variant"), F.try_variant_get(v, "$.payload.input", "variant"))
-    text_args = F.when(F.schema_of_variant(args) == "STRING", F.try_variant_get(args, "$", "string"))
+    text_args = F.when(S.kind_of(args) == "STRING", F.try_variant_get(args, "$", "string"))
     decoded = F.when(text_args.isNotNull(), F.coalesce(F.try_parse_json(text_args), args)).otherwise(args)
-    call = event("tool_call", role="assistant", ts_raw=ts, tool_name=S.vstr(v, "$.payload.name"), tool_call_id=F.coalesce(S.vstr(v, "$.payload.call_id"), S.vstr(v, "$.payload.id")), input_json=F.coalesce(F.to_json(decoded), F.lit("{}")), input_is_object=F.coalesce(F.schema_of_variant(decoded).startswith("OBJECT"), decoded.isNull()), namespace=S.vstr(v, "$.payload.namespace"))
+    call = event("tool_call", role="assistant", ts_raw=ts, tool_name=S.vstr(v, "$.payload.name"), tool_call_id=F.coalesce(S.vstr(v, "$.payload.call_id"), S.vstr(v, "$.payload.id")), input_json=F.coalesce(F.to_json(decoded), F.lit("{}")), input_is_object=F.coalesce(S.kind_of(decoded).startswith("OBJECT"), decoded.isNull()), namespace=S.vstr(v, "$.payload.namespace"))
     image = lambda x: F.coalesce(S.vstr(x, "$.image_url"), S.vstr(x, "$.url"))
     result = event("tool_result", role="tool", ts_raw=ts, text=S.content_text(v, "$.payload.output"), tool_call_id=S.vstr(v, "$.payload.call_id"), content_blocks=_result_blocks(v, "$.payload.output", image))
     blocks = F.array_compact(F.transform(S.items(v, "$.payload.content"), content))
@@ -148,7 +148,7 @@ def _claude_content(v: Column, role: Column, ts: Column) -> Column:
         given, is_object = _input(x, "$.input")
         result = event("tool_result", role="tool", ts_raw=ts, text=S.content_text(x, "$.content"), tool_call_id=S.vstr(x, "$.tool_use_id"), is_error=S.vbool(x, "$.is_error"), content_blocks=_result_blocks(x, "$.content", lambda b: S.image_from_source(b, "$.source")), block_index=i)
         return (
-            F.when(~F.schema_of_variant(x).startswith("OBJECT"), event("opaque", block_index=i))
+            F.when(~S.kind_of(x).startswith("OBJECT"), event("opaque", block_index=i))
             .when((t == "text") & text.isNotNull(), event("message", role=role, ts_raw=ts, text=text, block_index=i))
             .when(t == "text", F.lit(None))
             .when(t == "tool_use", event("tool_call", role="assistant", ts_raw=ts, tool_name=S.vstr(x, "$.name"), tool_call_id=S.vstr(x, "$.id"), input_json=given, input_is_object=is_object, block_index=i))
@@ -227,7 +227,7 @@ def parse_pi(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         t, text = S.vstr(x, "$.type"), S.vstr(x, "$.text")
         given, is_object = _input(x, "$.arguments")
         return (
-            F.when(~F.schema_of_variant(x).startswith("OBJECT"), event("opaque", block_index=i))
+            F.when(~S.kind_of(x).startswith("OBJECT"), event("opaque", block_index=i))
             .when((t == "text") & text.isNotNull(), event("message", role=named, ts_raw=ts, text=text, block_index=i))
             .when(t == "image", event("context", role=named, ts_raw=ts, block_type="image", image_url=url(x), block_index=i))
             .when(t == "toolCall", event("tool_call", role="assistant", ts_raw=ts, tool_name=S.vstr(x, "$.name"), tool_call_id=S.vstr(x, "$.id"), input_json=given, input_is_object=is_object, block_index=i))

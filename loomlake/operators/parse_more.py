@@ -29,7 +29,7 @@ def parse_vibe(records: DataFrame) -> DataFrame:
         raw = S.vstr(x, "$.function.arguments")
         doc = F.try_parse_json(raw)
         given = F.when(raw.isNull(), "{}").otherwise(F.coalesce(F.to_json(doc), F.to_json(F.struct(raw.alias("input")))))
-        return event("tool_call", role="assistant", tool_name=S.vstr(x, "$.function.name"), tool_call_id=S.vstr(x, "$.id"), input_json=given, input_is_object=F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(True)), block_index=i)
+        return event("tool_call", role="assistant", tool_name=S.vstr(x, "$.function.name"), tool_call_id=S.vstr(x, "$.id"), input_json=given, input_is_object=F.coalesce(S.kind_of(doc).startswith("OBJECT"), F.lit(True)), block_index=i)
 
     def image(x: Column, i: Column) -> Column:
         url = F.concat(F.lit("data:"), S.vstr(x, "$.mime_type"), F.lit(";base64,"), S.vstr(x, "$.source.data"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions import scalars as S
+
 # Limits of a record, a file and a session.
 MAX_RECORD_BYTES, MAX_FILE_BYTES, MAX_RECORDS = 64 << 20, 256 << 20, 100_000
 
@@ -30,14 +32,17 @@ def read_records(spark: SparkSession, paths: str | list[str], max_record_bytes:
 
     Lines end in LF only. Blank lines count for line_number and not for record_index; lines keep their
     place in the file however it is split, as ids rise within a split and splits have offsets. A file
-    is rejected whole: oversized by its size, else corrupt by its first reason. Files are never held
-    in memory as a whole.
+    is rejected whole: oversized by its size, else corrupt by its first reason. Oversized files are not
+    read at all, and no file is held in memory as a whole.
     """
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # the last of equal keys counts
     meta = F.col("_metadata")
     lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", "true").text(paths).select(
         meta["file_path"].alias("path"), meta["file_size"].alias("file_size"), meta["file_block_start"].alias("_start"), F.monotonically_increasing_id().alias("_id"), "value"
     )
+    lines = lines.where(F.col("file_size") <= max_file_bytes)  # prunes files before they are opened
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("_metadata.file_size") > max_file_bytes)
+    large = listed.select(F.col("_metadata.file_path").alias("path"))
     by_file = Window.partitionBy("path").orderBy("_start", "_id")
     blank = F.trim(F.regexp_replace("value", r"[\t\r\x0b\x0c]", " ")) == ""
     numbered = lines.select(
@@ -48,15 +53,15 @@ def read_records(spark: SparkSession, paths: str | list[str], max_record_bytes:
     v = F.when((F.octet_length("value") <= max_record_bytes), F.try_parse_json("value"))
     parsed = numbered.withColumn("v", v)
     reason = (
-        F.when(F.col("file_size") > max_file_bytes, "file_size_limit")
-        .when(F.octet_length("value") > max_record_bytes, "record_size_limit")
+        F.when(F.octet_length("value") > max_record_bytes, "record_size_limit")
         .when(F.col("record_index") >= max_records, "record_count_limit")
         .when(F.col("v").isNull(), "invalid_jsonl")
-        .when(~F.schema_of_variant("v").startswith("OBJECT"), "record_not_object")
+        .when(~S.kind_of(F.col("v")).startswith("OBJECT"), "record_not_object")
     )
     flagged = parsed.withColumn("_reason", reason)
     bad = flagged.where("_reason IS NOT NULL").groupBy("session_key", "path").agg(F.min_by("_reason", "record_index").alias("reason"))
-    rejects = bad.select("session_key", "path", F.when(F.col("reason") == "file_size_limit", "oversized").otherwise("corrupt").alias("status"), "reason")
+    rejects = bad.select("session_key", "path", F.lit("corrupt").alias("status"), "reason")
+    rejects = rejects.unionByName(large.select(session_key(F.col("path")).alias("session_key"), "path", F.lit("oversized").alias("status"), F.lit("file_size_limit").alias("reason")))
     records = flagged.join(bad.select("session_key"), "session_key", "left_anti").select("session_key", "path", "record_index", "line_number", F.col("value").alias("raw"), "v")
     return records, rejects
 
@@ -71,7 +76,7 @@ def read_bundles(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame
     """S3: (parts, rejects) of whole-document sessions: a row for each message part, in order."""
     docs = spark.read.option("wholetext", "true").text(paths).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
     docs = docs.withColumn("session_key", session_key(F.col("path")))
-    ok = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)) & F.try_variant_get("v", "$.messages", "array<variant>").isNotNull()
+    ok = F.coalesce(S.kind_of(F.col("v")).startswith("OBJECT"), F.lit(False)) & F.try_variant_get("v", "$.messages", "array<variant>").isNotNull()
     rejects = docs.where(~ok).select("session_key", "path", F.lit("corrupt").alias("status"), F.lit("invalid_document").alias("reason"))
     return bundle_parts(docs.where(ok).select("session_key", "v")), rejects
 
