@@ -22,15 +22,20 @@ def vtype(v: Column, path: str) -> Column:
     return kind_of(F.try_variant_get(v, path, "variant"))
 
 
+def _scalar_type(v: Column, path: str) -> Column:
+    """The type of a value that is a scalar as a rule."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
 def vstr(v: Column, path: str) -> Column:
     """The value at path if it is a non-empty string, else null."""
     text = F.try_variant_get(v, path, "string")
-    return F.when((vtype(v, path) == "STRING") & (text != ""), text)
+    return F.when((_scalar_type(v, path) == "STRING") & (text != ""), text)
 
 
 def vbool(v: Column, path: str) -> Column:
     """Whether the value at path is true (not merely true-like)."""
-    return F.coalesce((vtype(v, path) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
+    return F.coalesce((_scalar_type(v, path) == "BOOLEAN") & F.try_variant_get(v, path, "boolean"), F.lit(False))
 
 
 def is_object(v: Column, path: str) -> Column:

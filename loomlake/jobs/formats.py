@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomlake.functions.staging import checkpointed
 from loomlake.operators import emit, emit_more, parse, parse_more
 from loomlake.operators.losses import with_neutral_columns
 from loomlake.sources.bridges import AS_OF_MS, evt_events
@@ -54,6 +55,14 @@ def native_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("target", kind.alias("record_type")).agg(F.count("*").alias("n"))
 
 
+def spoiled_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Copilot records of which some sessions have stored images of another length than they say."""
+    rows = emit_more.to_copilot(_events(spark, d), AS_OF_MS)
+    asset = (F.get_json_object("value", "$.type") == "session.binary_asset") & (F.col("session_key").cast("long") % 3 == 1)
+    wrong = F.regexp_replace("value", '"byteLength":([0-9]+)', '"byteLength":1$1')
+    return checkpointed(records_of(rows.withColumn("value", F.when(asset, wrong).otherwise(F.col("value")))))
+
+
 QUERIES = {
     "e1_p1_claude_round_trip": claude_round_trip,
     "e2_p2_codex_round_trip": codex_round_trip,
@@ -62,7 +71,7 @@ QUERIES = {
     "e5_p5_copilot_round_trip": copilot_round_trip,
     "e6_p6_vibe_round_trip": vibe_round_trip,
     "e6_vibe_meta": lambda s, d: emit_more.vibe_meta(emit_more.to_vibe(_events(s, d), AS_OF_MS)).select("session_key", "total_messages"),
-    "v4_asset_integrity": lambda s, d: parse_more.asset_integrity(records_of(emit_more.to_copilot(_events(s, d), AS_OF_MS))),
+    "v4_asset_integrity": lambda s, d: parse_more.asset_integrity(spoiled_assets(s, d)),
     "e8_cursor_turns": lambda s, d: emit.to_cursor(_events(s, d)),
     "k2_native_record_counts": native_counts,
 }

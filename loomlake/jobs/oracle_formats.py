@@ -15,7 +15,27 @@ _LIST = f"""
          message_no, row_number() OVER (PARTITION BY session_key, message_no, kind ORDER BY event_seq) AS nth, tool_name, image_url, is_error
   FROM mm_b WINDOW g AS (PARTITION BY session_key, message_no)"""
 
+_IMAGE_MESSAGE = f"({USER_IMAGE} AND image_url IS NOT NULL)"
+#: What a codex rollout holds for one event: rows (record type, payload type, role, block).
+_ROLLOUT = f"""
+  SELECT session_key, 'session_meta' AS t, NULL AS p, NULL AS r, NULL AS b FROM (SELECT DISTINCT session_key FROM evt)
+  UNION ALL SELECT session_key, 'event_msg', CASE role WHEN 'user' THEN 'user_message' ELSE 'agent_message' END, NULL, NULL FROM evt WHERE {CONVERSATIONAL}
+  UNION ALL SELECT session_key, 'response_item', 'message', role, CASE role WHEN 'user' THEN 'input_text' ELSE 'output_text' END FROM evt WHERE {CONVERSATIONAL}
+  UNION ALL SELECT session_key, 'response_item', 'message', 'user', 'input_image' FROM evt WHERE {_IMAGE_MESSAGE}
+  UNION ALL SELECT session_key, 'response_item', CASE kind WHEN 'tool_call' THEN 'function_call' ELSE 'function_call_output' END, NULL, NULL FROM evt WHERE {TOOLS}
+  UNION ALL SELECT session_key, 'compacted', NULL, NULL, NULL FROM evt WHERE {SUMMARY}"""
+_K2 = f"""WITH {EVT}, {runs('cl', 'claude')}, {runs('pm', 'pi')}, ro AS ({_ROLLOUT})
+  SELECT 'codex' AS target, concat_ws(':', t, p) AS record_type, count(*) AS n FROM ro GROUP BY ALL
+  UNION ALL SELECT 'claude', concat(role, ':', role), count(*) FROM cl GROUP BY ALL
+  UNION ALL SELECT 'pi', CASE role WHEN 'summary' THEN 'compaction' WHEN 'tool' THEN 'message:toolResult' ELSE concat('message:', role) END, count(*) FROM pm GROUP BY ALL
+  UNION ALL SELECT 'pi', 'session', count(DISTINCT session_key) FROM evt"""
+_A1 = f"""WITH {EVT}, ro AS ({_ROLLOUT}),
+  x AS (SELECT session_key, unnest(['record_type', 'event', 'role', 'block']) AS what, unnest([t, p, r, b]) AS key FROM ro)
+  SELECT session_key, what, key, count(*) AS n FROM x WHERE key IS NOT NULL GROUP BY ALL"""
+
 ORACLE = {
+    "k2_native_record_counts": _K2,
+    "a1_histograms": _A1,
     "e2_p2_codex_round_trip": f"""WITH {EVT} SELECT session_key, {_pos()}, kind, CASE WHEN kind = 'compaction' THEN 'system' ELSE role END AS role, text,
  CASE WHEN kind = 'tool_call' THEN coalesce(tool_name, 'unknown_tool') END AS tool_name, image_url, false AS is_error
  FROM evt WHERE {CONVERSATIONAL} OR {TOOLS} OR ({USER_IMAGE} AND image_url IS NOT NULL) OR {SUMMARY}""",
@@ -54,5 +74,5 @@ u AS (
   FROM l LEFT JOIN fn ON fn.session_key = l.session_key AND fn.event_seq = l.c WHERE kind <> 'message' OR nth = 1)
 {_NUMBERED}""",
     "e6_vibe_meta": f"WITH {EVT}, {runs('mm', 'vibe')} SELECT session_key, count(*) AS total_messages FROM mm GROUP BY session_key",
-    "v4_asset_integrity": f"WITH {EVT} SELECT DISTINCT session_key, true AS valid FROM evt",
+    "v4_asset_integrity": f"WITH {EVT} SELECT session_key, NOT (bool_or({DATA_USER_IMAGE} OR (kind = 'tool_result' AND list_contains(string_split(coalesce(block_codes, ''), ','), 'image'))) AND CAST(session_key AS BIGINT) % 3 = 1) AS valid FROM evt GROUP BY session_key",
 }
