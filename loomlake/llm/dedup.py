@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import checked, words_of, written
+from loomlake.llm.common import checked, scratch, words_of, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Pairs whose samples agree less than this are not compared.
@@ -368,11 +368,16 @@ def _ordered(dealt: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, key, class_id, comp for every row of docs (key: the text's hash; comp: null for texts without words)."""
+    with scratch(docs.sparkSession):
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     slim = docs.select("doc_id", _key(F.col("text")).alias("key"), _hashes(F.col("text")).alias("words"))
     weights = spark.sparkContext.broadcast(run_weights(slim.select("words")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = written(slim.mapInArrow(_signatures(weights), f"doc_id {kind}, key binary, words int, bands array<long>, sketch binary"), "dedup-signatures")
+    signed = written(slim.mapInArrow(_signatures(weights), f"doc_id {kind}, key binary, words int, bands array<long>, sketch binary"), "dedup-signatures", keep=True)
     one = [F.min(c).alias(c) for c in ("words", "bands", "sketch")]
     nodes = written(signed.where("words > 0").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("rep"), *one), "dedup-nodes")
     sketches = nodes.select("node", "sketch")
@@ -410,7 +415,7 @@ def classes(docs: DataFrame) -> DataFrame:
         labels = _merged(labels, near(_across(large, labels)))
     named = nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("class_id"))
-    named = written(named.join(ids, "comp").select(F.col("node").alias("key"), "comp", "class_id"), "dedup-classes")
+    named = written(named.join(ids, "comp").select(F.col("node").alias("key"), "comp", "class_id"), "dedup-classes", keep=True)
     return signed.select("doc_id", "key").join(named, "key", "left")
 
 
