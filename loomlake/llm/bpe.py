@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words whose output is remembered (twice so many at most), and the longest of them.
-CACHE_WORDS, CACHE_LENGTH = 30_000, 64
+CACHE_WORDS, CACHE_LENGTH = 80_000, 64
 #: Characters that are normalised and cut into words at once, and that the transducer takes in one step.
 PIECE, STEP = 1 << 16, 12
 

@@ -104,6 +104,19 @@ def test_hypergeometric_law(spark):
     assert abs(big[0] - 62500) < 3 * spread / math.sqrt(2000) and abs(big[1] - spread) < 0.1 * spread
 
 
+def test_the_shuffle_is_uniform(spark):
+    """Where a row goes does not depend on where it came from."""
+    df = _docs(spark, [(i, str(i), "en", "a") for i in range(8000)]).repartition(4, "doc_id")
+    at = {r.doc_id: r.p for r in df.select("doc_id", F.spark_partition_id().alias("p")).collect()}
+    got = sharding.assign(df).collect()
+    table = Counter((at[r.doc_id], r.shard) for r in got)
+    size = Counter(at.values())
+    chi = sum((table[p, s] - n / 16) ** 2 / (n / 16) for p, n in size.items() for s in range(16))
+    assert 20 < chi < 80  # 45 degrees of freedom
+    slots = np.array([(r.doc_id, r.slot + 500 * r.shard) for r in got], float)
+    assert abs(np.corrcoef(slots.T)[0, 1]) < 4 / math.sqrt(8000)
+
+
 def test_shards_are_even_and_gapless(spark, odd):
     rows, df = odd
     got = sharding.assign(df.repartition(5)).collect()
