@@ -167,9 +167,11 @@ def test_samples_equal_plain_choices(spark):
 
 
 def test_linear_chain(spark):
-    ok = [{"id": "1", "timestamp": "2024-01-01T00:00:00Z"}, {"id": "2", "parentId": "1", "timestamp": "2024-01-01T00:00:00Z"}]
+    ok = [{"type": "session.start", "id": "1", "timestamp": "2024-01-01T00:00:00Z"}, {"type": "x", "id": "2", "parentId": "1", "timestamp": "2024-01-01T00:00:00Z"}]
     assert C.linear_chain(_records(spark, *ok)).first().valid
     assert not C.linear_chain(_records(spark, ok[1], ok[0])).first().valid
+    assert not C.linear_chain(_records(spark, ok[0], {**ok[1], "type": "session.start"})).first().valid  # starts twice
+    assert not C.linear_chain(_records(spark, {**ok[0], "type": "x"}, ok[1])).first().valid  # never starts
 
 
 def test_page_limits(spark):
