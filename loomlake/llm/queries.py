@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlake.llm import bpe, dedup, html, langid, mixing, quality, sharding, topk, urls, warc
+from loomlake.llm import bpe, dedup, html, langid, lm, merkle, mixing, quality, sharding, topk, urls, variants, warc
 from loomlake.llm.common import table
 from loomlake.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -21,5 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard_shuffle": lambda spark, d: sharding.assign(table(spark, d, "documents")),
     "op9_bpe_round_trip": lambda spark, d: bpe.digests(table(spark, d, "documents")),
     "op10_language_id": lambda spark, d: langid.predict(table(spark, d, "documents")),
+    "op11_lm_score": lambda spark, d: lm.score(table(spark, d, "documents")),
+    "op12_merkle_manifest": lambda spark, d: merkle.manifest(table(spark, d, "documents")),
+    "op13_spelling_variants": lambda spark, d: variants.group(table(spark, d, "documents")),
 }
 

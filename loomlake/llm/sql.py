@@ -94,4 +94,62 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLE_SQL = {"op3_warc_index": OP3, "op4_exact_top_k": OP4, "op5_quality_rules": OP5, "op6_mix_sources": OP6}
+#: crc32 of the hexadecimal text x, by its usual table of 256 remainders, which the statement makes itself.
+CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i))"""
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(len({0}) // 2), lambda k: CAST('0x' || substr({0}, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_TREE = """
+{name} AS (
+  SELECT {key}, 0 AS level, pos, h, count(*) OVER (PARTITION BY {key}) AS n FROM {leaves}
+  UNION ALL
+  SELECT {key}, any_value(level) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 7) // 8) FROM {name} WHERE n > 1 GROUP BY {key}, pos // 8)"""
+_SIBLINGS = """
+{name}_sides AS (
+  SELECT a.{key}, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM {name} a JOIN {name} b ON a.{key} = b.{key} AND a.level = b.level AND a.pos // 8 = b.pos // 8 WHERE a.n > 1 GROUP BY ALL)"""
+_FOLD = """
+{name}_fold AS (
+  SELECT id, {key}, 0 AS level, pos, '' AS proof, h FROM {start}
+  UNION ALL
+  SELECT f.id, f.{key}, f.level + 1, f.pos // 8, proof || l || r, sha256(l || h || r) FROM {name}_fold f JOIN {name}_sides s ON f.{key} = s.{key} AND f.level = s.level AND f.pos = s.pos)"""
+
+OP12 = (
+    "WITH RECURSIVE " + CRC_TABLE + ", d AS (SELECT doc_id, lang, " + _LEAF.format(text="text") + " AS leaf, hex(CAST(doc_id AS VARCHAR)) AS x, "
+    + _LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')") + " AS other FROM documents),\n"
+    "p AS (SELECT row_number() OVER () AS id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, doc_id, leaf, "
+    "CASE WHEN (SELECT " + CRC.format("x") + " FROM crc) % 3 = 0 THEN other ELSE leaf END AS changed, "
+    "row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),\n"
+    "leaves AS (SELECT tree, pos, leaf AS h FROM p),"
+    + _TREE.format(name="own", key="tree", leaves="leaves") + ", subroots AS (SELECT 0 AS top, tree AS pos, h FROM own WHERE n = 1),"
+    + _TREE.format(name="high", key="top", leaves="subroots") + ", root AS (SELECT h FROM high WHERE n = 1),"
+    + _SIBLINGS.format(name="own", key="tree") + "," + _SIBLINGS.format(name="high", key="top")
+    + ", own_start AS (SELECT id, tree, pos, changed AS h FROM p),"
+    + _FOLD.format(name="own", key="tree", start="own_start")
+    + ", done AS (SELECT id, tree, arg_max(proof, level) AS proof, arg_max(h, level) AS h FROM own_fold GROUP BY id, tree), high_start AS (SELECT id, 0 AS top, tree AS pos, h FROM done),"
+    + _FOLD.format(name="high", key="top", start="high_start")
+    + ", over AS (SELECT id, arg_max(proof, level) AS proof, arg_max(h, level) AS h FROM high_fold GROUP BY id)\n"
+    "SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(done.proof || over.proof) AS proof_sha256, over.h AS folded_root, over.h = root.h AS verified\n"
+    "FROM p JOIN done USING (id) JOIN over USING (id) JOIN subroots s ON s.pos = p.tree CROSS JOIN root"
+)
+
+OP13 = (
+    "WITH RECURSIVE " + CRC_TABLE + ",\n"
+    "e AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),\n"
+    "r AS (SELECT run, count(*) AS m, hex(concat(doc_id, ':', run)) AS x FROM e WHERE length(run) >= 6 GROUP BY doc_id, run),\n"
+    "h AS (SELECT run, m, " + CRC.format("x") + " AS h FROM r CROSS JOIN crc),\n"
+    "w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, m FROM h),\n"
+    "v AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),\n"
+    "cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(CAST(length(word) AS INTEGER))) AS i FROM v)),\n"
+    "one AS (SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word\n"
+    "        UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.rest = b.word),\n"
+    "best AS (SELECT a, count(*) AS n_near, max(n) AS m FROM one GROUP BY a),\n"
+    "f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN (SELECT min(b) FROM one WHERE one.a = v.word AND one.n = m) END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN best ON a = word),\n"
+    "way AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON way.here = f.word WHERE f.form IS NOT NULL),\n"
+    "ends AS (SELECT word, arg_max(here, k) AS root FROM way GROUP BY word)\n"
+    "SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)"
+)
+
+ORACLE_SQL = {"op3_warc_index": OP3, "op4_exact_top_k": OP4, "op5_quality_rules": OP5, "op6_mix_sources": OP6, "op12_merkle_manifest": OP12, "op13_spelling_variants": OP13}
