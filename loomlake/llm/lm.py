@@ -7,8 +7,8 @@ Counts are of all training texts, so the model grows with them; no task and no b
 2. Grams are added up over all blocks and sorted: this is the trie of all contexts. It is cut into chunks,
    each worked on by itself (see ppm.code_lengths). Contexts that lie in several chunks stand at their
    edges; the chunks' parts of them are added up and are few (DEPTH + 1 contexts an edge).
-3. A block gets the code lengths of the grams, and the counts of the words, that it asked for, and meets
-   its texts again; those are then scored by table lookups.
+3. A block gets the code lengths of its grams, and what other blocks have of its words, and meets its texts
+   again; those are then scored by table lookups.
 
 So what is shuffled besides one copy of the texts is distinct grams a block, not positions.
 """
@@ -17,18 +17,20 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.llm import ppm
 from loomlake.llm.common import written
 
 #: Bytes of text after which a block ends, and distinct grams of a chunk of the trie.
-BLOCK_BYTES, CHUNK = 32 << 20, 1 << 19
+BLOCK_BYTES, CHUNK = 64 << 20, 1 << 19
 #: The end of a text, as a word; others are not empty.
 END = b""
 
@@ -39,30 +41,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 class _Block:
-    """The texts of a block and what they hold."""
+    """What a block's texts hold."""
 
     def __init__(self) -> None:
-        self.size, self.train, self.held = 0, [], []
+        self.size, self.grams = 0, ppm.Tally()
         self.words: Counter[bytes] = Counter()
-        self.others: set[bytes] = set()
+        self.held: dict[bool, list[bytes]] = {False: [], True: []}
+        self.waiting = 0
 
     def add(self, text: bytes, held: bool) -> None:
         words = text.split()
-        (self.held if held else self.train).append(text)
-        self.size += len(text) + 1
         if held:
-            self.others.update(words)
+            for w in words:
+                self.words.setdefault(w, 0)
         else:
             self.words.update(words)
             self.words[END] += 1
+        self.held[held].append(text)
+        self.size += len(text) + 1
+        self.waiting += len(text)
+        if self.waiting >= ppm.PIECE:
+            self._tally()
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
-        tally = ppm.Tally()
-        for texts, weight in ((self.train, 1), (self.held, 0)):
+    def _tally(self) -> None:
+        for held, texts in self.held.items():
             for keys, _, _ in ppm.packed(texts):
-                tally.add(keys, weight)
-        more = [w for w in self.others if w not in self.words]
-        return *tally.done(), [*self.words, *more], [*self.words.values(), *[0] * len(more)]
+                self.grams.add(keys, int(not held))
+        self.held, self.waiting = {False: [], True: []}, 0
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        self._tally()
+        return self.grams.done()
 
 
 def _blocks(schema: pa.Schema):
@@ -72,26 +81,27 @@ def _blocks(schema: pa.Schema):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 24
-        block = _Block()
+        block, pack = _Block(), zstandard.ZstdCompressor(level=1).compress
 
         def rows(size: int, **cols) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
 
         def counted() -> Iterator[pa.RecordBatch]:
-            keys, n, words, m = block.counts()
+            keys, n = block.counts()
             for at in range(0, len(keys), 1 << 16):
                 part = keys[at : at + (1 << 16)]
                 yield rows(len(part), block=pa.array(np.full(len(part), number)), gram=pa.array(part.astype(np.int64)), n=pa.array(n[at : at + (1 << 16)]))
-            for at in range(0, len(words), 1 << 15):
-                part = words[at : at + (1 << 15)]
-                yield rows(len(part), block=pa.array(np.full(len(part), number)), word=pa.array(part, pa.binary()), n=pa.array(m[at : at + (1 << 15)], pa.int64()))
+            words = iter(block.words.items())
+            while part := list(islice(words, 1 << 15)):
+                yield rows(len(part), block=pa.array(np.full(len(part), number)), word=pa.array([w for w, _ in part], pa.binary()), n=pa.array([n for _, n in part], pa.int64()))
 
         for b in batches:
             texts, numbers = [], []
             for text, held in zip(b["text"], b["held_out"].to_pylist(), strict=True):
-                texts.append(ppm.plain(text.as_py() or b""))
+                plain = ppm.plain(text.as_py() or b"")
+                texts.append(pack(plain))
                 numbers.append(number)
-                block.add(texts[-1], held)
+                block.add(plain, held)
                 if block.size >= BLOCK_BYTES:
                     yield from counted()
                     number, block = number + 1, _Block()
@@ -148,24 +158,30 @@ def _lengths(edges):
 
 def _scored(tokens: int, vocabulary: int, schema: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = docs["text"].to_pylist()
-        is_gram = answers["gram"].is_valid()
-        asked, words = answers.filter(is_gram), answers.filter(answers["word"].is_valid())
-        score = np.zeros(len(texts))
-        if texts:
-            of = ppm.Lookup(asked["gram"].to_numpy().astype(np.uint64), asked["value"].to_numpy())
-            for keys, who, begins in ppm.packed(texts):
-                np.add.at(score, who, np.add.reduceat(of(keys), begins))
-        c = np.append(words["value"].to_numpy(), 0.0)
-        index = {w: k for k, w in enumerate(words["word"].to_pylist())}
-        end = index.get(END, len(c) - 1)
+        unpack = zstandard.ZstdDecompressor().decompress
+        asked, others = answers.filter(answers["gram"].is_valid()), answers.filter(answers["word"].is_valid())
+        of = ppm.Lookup(asked["gram"].to_numpy().astype(np.uint64), asked["value"].to_numpy())
+        held, packed = docs["held_out"].to_pylist(), docs["text"].combine_chunks()
+        index: dict[bytes, int] = {END: 0}
+        for t in packed:
+            for w in unpack(t.as_py()).split():
+                index.setdefault(w, len(index))
+        c = np.zeros(len(index))
+        places = []
+        for t, h in zip(packed, held, strict=True):
+            at = np.array([*map(index.__getitem__, unpack(t.as_py()).split()), 0], np.int32)
+            places.append(at)
+            if not h:
+                np.add.at(c, at, 1)
+        more = np.array([index[w] for w in others["word"].to_pylist()], np.int64)
+        c[more] += others["value"].to_numpy()  # in other blocks
         logs = np.log10((c + 0.5) / (tokens + 0.5 * (vocabulary + 1)))
-        n, known, base = [], [], []
-        for t in texts:
-            at = np.array([*map(index.__getitem__, t.split()), end])
-            n.append(len(at))
-            known.append(int((c[at] > 0).sum()))
-            base.append(float(logs[at].sum()))
+        base = [float(logs[at].sum()) for at in places]
+        n, known = [len(at) for at in places], [int((c[at] > 0).sum()) for at in places]
+        score = np.zeros(len(n))
+        for at in range(0, len(n), 256):
+            for keys, who, begins in ppm.packed([unpack(t.as_py()) for t in packed[at : at + 256]]):
+                np.add.at(score, at + who, np.add.reduceat(of(keys), begins))
         cols = [docs["doc_id"], docs["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([tokens] * len(n), pa.int64()), pa.array(base, pa.float64()), pa.array(score)]
         return pa.table(cols, schema=schema)
 
@@ -211,12 +227,14 @@ def score(docs: DataFrame) -> DataFrame:
     edges = spark.sparkContext.broadcast(edges_of(trie))
     lengths = trie.where(F.col("order").isNull()).groupBy("chunk").applyInArrow(_lengths(edges), "gram long, value double")
 
+    # most words are in one block only, so blocks get only what other blocks have of their words
     words = table.where(F.col("word").isNotNull()).select("block", "word", "n")
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    word = Window.partitionBy("word")
+    words = written(words.select("block", "word", "n", F.sum("n").over(word).alias("all"), (F.row_number().over(word.orderBy("block")) == 1).alias("first")), "lm-words")
+    known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("first") & (F.col("all") > 0))).first()
+    elsewhere = words.where(F.col("all") > F.col("n")).select("block", F.lit(None).cast("long").alias("gram"), "word", (F.col("all") - F.col("n")).cast("double").alias("value"))
 
-    asked = grams.drop("n").join(lengths, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
-    asked = asked.unionByName(words.drop("n").join(counts, "word").select("block", F.lit(None).cast("long").alias("gram"), "word", F.col("n").cast("double").alias("value")))
+    asked = grams.drop("n").join(lengths, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value").unionByName(elsewhere)
     texts = table.where(F.col("text").isNotNull()).select(F.col("block").alias("of"), "doc_id", "held_out", "text")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     shown = spark.createDataFrame([], out)
