@@ -208,6 +208,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, changed: dict[str,
         changed = {"text": F.translate("text", _UPPER, _LOWER)}
     slim = docs.select("doc_id", "lang", leaf(fields).alias("digest"), F.when(tampered, leaf(fields | (changed or {}))).alias("changed"))
     slim = slim.withColumn("nth", F.monotonically_increasing_id())  # repeated rows may stand in several partitions
+    slim = written(slim, "merkle-digests")  # finding the ranges reads the rows once more
     ranged = slim.repartitionByRange("lang", "doc_id", "digest", "nth").sortWithinPartitions("lang", "doc_id", "digest", "nth").drop("nth")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema)
     placed = written(ranged.mapInArrow(_places, f"part int, rank long, {kinds}"), "merkle-leaves")
