@@ -61,19 +61,27 @@ def upserted(before: DataFrame, fresh: DataFrame, changed: DataFrame, key: str)
     return before.join(changed.select(key), key, "left_anti").unionByName(fresh.join(changed.select(key), key, "left_semi"))
 
 
-def refreshed(previous: DataFrame, inventory: DataFrame, failed_roots: DataFrame, records: DataFrame, fmt: str, as_of_ms: int) -> DataFrame:
+def refreshed(previous: DataFrame, inventory: DataFrame, failed_roots: DataFrame, records: DataFrame, fmt: str, as_of_ms: int, rejects: DataFrame | None = None, after: DataFrame | None = None) -> DataFrame:
     """The next catalog. Only new and changed sessions are scanned, parsed and converted; the others keep their rows.
 
     previous: session_key, root_id, relative_path, size, modified_ms, status, reason, title; inventory: the
     first five of these; records: session_key, record_index, v of all files, read for changed ones only.
+    rejects: session_key, status, reason of files that the reader refused. after: session_key, size,
+    modified_ms of the files once they were read; one that is gone or differs was busy (S1, S8).
     """
     diff = C.refresh_diff(previous, inventory, failed_roots)
     where = ["root_id", "relative_path"]
     changed = checkpointed(inventory.join(diff.where("state IN ('new', 'changed')"), where).select(*inventory.columns, "state"))
     rows = checkpointed(records.join(changed.select(KEY), KEY, "left_semi"))
     scans = validated(rows, C.scan(rows, fmt).select(KEY, "status", "reason"), fmt, as_of_ms)
+    if rejects is not None:
+        scans = scans.join(rejects.select(KEY), KEY, "left_anti").unionByName(rejects.select(KEY, "status", "reason"))
     titles = parse.headers(rows, fmt).select(KEY, S.bounded(F.col("title")).alias("title"))
     fresh = changed.join(scans, KEY, "left").join(titles, KEY, "left")
     fresh = fresh.withColumns({"reason": F.when(F.col("status").isNull(), "unreadable").otherwise(F.col("reason")), "status": F.coalesce("status", F.lit("unreadable"))})
+    if after is not None:
+        now = after.select(KEY, F.col("size").alias("_size"), F.col("modified_ms").alias("_ms"))
+        moved = ~(F.col("size").eqNullSafe(F.col("_size")) & F.col("modified_ms").eqNullSafe(F.col("_ms")))
+        fresh = fresh.join(now, KEY, "left").withColumns({"reason": F.when(moved, "changed_while_read").otherwise(F.col("reason")), "status": F.when(moved, "busy").otherwise(F.col("status"))}).drop("_size", "_ms")
     kept = previous.join(diff.where("state IN ('unchanged', 'missing')"), where).withColumn("status", F.when(F.col("state") == "missing", "missing").otherwise(F.col("status")))
     return upserted(kept, fresh.select(*kept.columns), changed, KEY)

@@ -9,7 +9,6 @@ from loomlake.functions.text import casefold, json_shape, python_json_sha256
 from loomlake.operators import catalog as C
 from loomlake.operators import parse
 from loomlake.sources import transcripts as T
-from loomlake.streaming.refresh import refresh_stream
 
 
 def _records(spark, *values, key="s"):
@@ -183,14 +182,3 @@ def test_lineage_leaves_out_cycles(spark):
 def test_lineage_of_deep_chains(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(900, 901), (901, 900), (902, 900)], "child long, parent long")
     assert sorted(tuple(r) for r in C.lineage_roots(edges).collect()) == [(i, 0, i) for i in range(1, 301)]
-
-
-def test_stream_takes_in_new_files(spark, tmp_path):
-    src, cat = tmp_path / "src", str(tmp_path / "cat")
-    src.mkdir()
-    (src / "a.jsonl").write_text("{}\n")
-    refresh_stream(spark, str(src), cat, str(tmp_path / "cp")).awaitTermination(60)
-    (src / "b.jsonl").write_text("{}\n{}\n")
-    refresh_stream(spark, str(src), cat, str(tmp_path / "cp")).awaitTermination(60)
-    last = spark.read.parquet(f"{cat}/snapshot=1")
-    assert sorted((r.path.rpartition("/")[2], r.size) for r in last.collect()) == [("a.jsonl", 3), ("b.jsonl", 6)]
