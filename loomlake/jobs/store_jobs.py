@@ -9,7 +9,6 @@ from loomlake.jobs.oracle_timeline import CONVERSATIONAL, EVT, TOOLS
 from loomlake.operators import catalog as C
 from loomlake.operators import convert, emit, refresh, stores
 from loomlake.operators import linkage as L
-from loomlake.operators import losses as X
 from loomlake.operators.losses import with_neutral_columns
 from loomlake.schema import FORMATS
 from loomlake.sources.bridges import AS_OF_MS, CATALOG_SQL, DUCKDB, SIZES_SQL, catalog, conv_events, evt_events, evt_sizes
@@ -38,12 +37,6 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     return rows.select("catalog_id", "target", convert.target_path(F.col("target"), F.col("sid"), F.col("cwd"), F.col("at")).alias("path"))
 
 
-def _manifests(s: SparkSession, d: str) -> DataFrame:
-    e = _events(s, d)
-    m = convert.manifests(e, emit.to_codex(e, AS_OF_MS), X.losses(e, AS_OF_MS))
-    return m.select("session_key", "target", "records", F.get_json_object("manifest", "$.source.events.message").cast("long").alias("messages"))
-
-
 #: Files of the timeline's sessions: some are new, some have changed, some are gone.
 FILES_SQL = """
 SELECT session_key, concat('r', CAST(ordinal % 3 AS STRING)) AS root_id, concat(session_key, '.jsonl') AS relative_path, source_bytes AS size, created_ms AS modified_ms, ordinal FROM ({0})
@@ -112,7 +105,6 @@ QUERIES = {
     "c2_changed_rows": _changed,
     "c3_resumable": lambda s, d: convert.resumable(_events(s, d)),
     "f6_target_paths": _paths,
-    "e10_manifests": _manifests,
 }
 
 
@@ -143,7 +135,6 @@ def _sql() -> dict[str, str]:
         "c2_changed_rows": f"WITH {cat} SELECT catalog_id, catalog_id % 6 = 0 AS changed FROM cat",
         "c3_resumable": f"WITH {EVT} SELECT session_key, CASE WHEN NOT bool_or({CONVERSATIONAL} AND role = 'user') THEN 'no_user_message' END AS reason, 'validated' AS status FROM evt GROUP BY session_key",
         "f6_target_paths": f"WITH {cat} " + " UNION ALL ".join(f"SELECT catalog_id, '{t}' AS target, {p} AS path FROM cat" for t, p in path.items()),
-        "e10_manifests": f"WITH {EVT}, k AS (SELECT session_key, count(*) FILTER (kind = 'message') AS messages, count(*) FILTER (({CONVERSATIONAL}) OR {TOOLS} OR (kind = 'context' AND block_type = 'image' AND role = 'user' AND image_url IS NOT NULL) OR (kind = 'compaction' AND text <> '')) + count(*) FILTER ({CONVERSATIONAL}) + 1 AS records FROM evt GROUP BY session_key) SELECT session_key, 'codex' AS target, records, messages FROM k",
     }
 
 

@@ -8,34 +8,12 @@ from pyspark.sql import functions as F
 from loomlake.functions import scalars as S
 from loomlake.functions.staging import checkpointed
 from loomlake.operators import catalog as C
-from loomlake.operators import emit, parse
+from loomlake.operators import artifacts, emit, parse
 from loomlake.operators.losses import with_neutral_columns
 
 KEY = "session_key"
 
 
-def artifact_checks(rows: DataFrame, target: str) -> DataFrame:
-    """V7: session_key, valid: whether the native lines of an artifact are what the target resumes from.
-
-    codex: the first record is the header with the session's id, and history follows it. claude: there are
-    conversation records, and all of them carry one and the same session id. rows: as emitters give them.
-    """
-    v = F.try_parse_json("value")
-    kind = S.vstr(F.col("v"), "$.type")
-    read = rows.where(F.col("target") == target).select(KEY, "ord_a", "ord_b", v.alias("v"))
-    place = F.struct("ord_a", "ord_b")
-    whole = F.bool_and(F.coalesce(S.is_object(F.col("v"), "$"), F.lit(False)))
-    if target == "codex":
-        first = F.min_by(F.struct(kind.alias("kind"), S.uuid_text(S.vstr(F.col("v"), "$.payload.id")).alias("id")), place)
-        later = F.count_if(kind.isin("response_item", "compacted"))
-        good = (first["kind"] == "session_meta") & first["id"].isNotNull() & (later > 0)
-    else:
-        talk = kind.isin("user", "assistant")
-        sid = F.when(talk, S.uuid_text(S.vstr(F.col("v"), "$.sessionId")))
-        good = (F.count_if(talk) > 0) & (F.count_if(talk & sid.isNull()) == 0) & (F.count_distinct(sid) == 1)
-    return read.groupBy(KEY).agg(F.coalesce(whole & good, F.lit(False)).alias("valid"))
-
-
 def validated(records: DataFrame, scans: DataFrame, fmt: str, as_of_ms: int) -> DataFrame:
     """Scans with the candidates parsed in full, converted without writing and checked: validated, or corrupt with a reason."""
     waiting = scans.where("status = 'candidate'").select(KEY)
@@ -46,7 +24,7 @@ def validated(records: DataFrame, scans: DataFrame, fmt: str, as_of_ms: int) ->
         events, rejects = {"claude": parse.parse_claude, "pi": parse.parse_pi}[fmt](rows)
     target = "codex" if fmt == "claude" else "claude"
     made = {"codex": emit.to_codex, "claude": emit.to_claude}[target](with_neutral_columns(events), as_of_ms)
-    good = artifact_checks(made, target).where("valid").select(KEY, F.lit(True).alias("good"))
+    good = artifacts.reasons(made, artifacts.session_ids(waiting), (target,)).where("reason IS NULL").select(KEY, F.lit(True).alias("good"))
     if rejects is not None:
         good = good.join(rejects.select(KEY), KEY, "left_anti")
     out = scans.join(good, KEY, "left")
