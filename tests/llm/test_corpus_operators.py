@@ -260,51 +260,129 @@ def test_page_rules_decide(monkeypatch):
         m.setattr(html, "STOP_WORDS", frozenset())
         assert html.main_text(page).startswith("0-0 x0y")
     with monkeypatch.context() as m:
-        m.setattr(html, "inherit", lambda found: found)
+        m.setattr(html, "inherit", lambda found, tree: found)
         assert html.main_text(page) == f"{once} {once}"
     with monkeypatch.context() as m:
         m.setattr(html, "MAX_LINKS", 2)
         assert html.main_text(page).count(PROSE.strip()) == 9
 
 
+def _random_tree(rng):
+    """A page of random containers: its tree, and blocks whose containers' ancestors are known by name."""
+    page, path, ancestors = [], [], []
+    for _ in range(rng.randint(2, 25)):
+        while path and rng.random() < 0.35:
+            page.append(f"</{path.pop()[0]}>")
+        if rng.random() < 0.4:
+            path.append(("section", object()))
+            page.append("<section>")
+        tag = rng.choice(["div", "li", "h1"])
+        page.append(f"<{tag}>word</{tag}>")
+        ancestors.append([None, *(x for _, x in path)])
+    return html.blocks("".join(page)), ancestors
+
+
 def test_page_blocks_inherit_like_brute_force():
     rng = random.Random(8)
-    for _ in range(300):
-        found = []
-        for k in range(rng.randint(1, 12)):
-            inside = (0, *sorted(rng.sample(range(1, 5), rng.randint(0, 3))))
-            found.append(html.Block("x", 0, rng.choice(["p", "p", "h1", "li"]), inside, 0, rng.choice(["", "", "good", "bad"])))
-        given = [b.label for b in found]
-
-        def common(a, b):
-            n = 0
-            while n < min(len(a.inside), len(b.inside)) and a.inside[n] == b.inside[n]:
-                n += 1
-            return n
-
+    for _ in range(400):
+        (found, tree), ancestors = _random_tree(rng)
+        assert len(found) == len(ancestors)
+        for b in found:
+            b.label = rng.choice(["", "", "good", "bad"])
+        given, n = [b.label for b in found], len(found)
         want = []
         for k, b in enumerate(found):
             if given[k]:
                 want.append(given[k])
                 continue
-            sides = []
-            for way in (range(k - 1, -1, -1), range(k + 1, len(found))):
+            sides = {}
+            for name, way in (("left", range(k - 1, -1, -1)), ("right", range(k + 1, n))):
                 at = next((j for j in way if given[j]), None)
-                if at is not None:
-                    sides.append((common(b, found[at]), -abs(at - k), b.tag == found[at].tag, given[at], at))
-            if not sides:
-                want.append("bad")
-                continue
-            follows = [x for x in sides if x[4] > k and x[0] > 1]
-            if b.tag == "h1" and follows:
-                want.append(follows[0][3])
-                continue
-            if len(sides) == 1:
-                sides.append((1, -min(k + 1, len(found) - k), False, "bad", None))
-            one, two = sorted(sides, key=lambda x: x[:3], reverse=True)
-            alone = one[0] == 1 and len(b.inside) > 2 or one[:3] == two[:3]
-            want.append("bad" if alone and one[3] != two[3] else one[3])
-        assert [b.label for b in html.inherit(found)] == want
+                if at is None:
+                    sides[name] = (0, k + 1 if name == "left" else n - k, True, "bad")
+                else:  # how deep the neighbour's container lies, if this block is in it
+                    depth = len(ancestors[at]) - 1
+                    inside = ancestors[k][: depth + 1] == ancestors[at]
+                    sides[name] = (depth if inside else -1, abs(at - k), found[at].tag != b.tag, given[at], at)
+            one, two = sides["left"], sides["right"]
+            if b.tag == "h1" and len(two) > 4 and (two[0] >= 0 or (ancestors[k][-1] is not None and any(x in ancestors[two[4]] for x in ancestors[k] if x))):
+                want.append(two[3])
+            elif one[3] == two[3]:
+                want.append(one[3])
+            else:
+                good, bad = (one, two) if one[3] == "good" else (two, one)
+                want.append("good" if good[0] >= 0 and (-good[0], *good[1:3]) < (-bad[0], *bad[1:3]) else "bad")
+        assert [b.label for b in html.inherit(found, tree)] == want
+
+
+def test_page_points_like_plain_counting():
+    rng = random.Random(4)
+    for _ in range(300):
+        words = [rng.choice(["the", "and", "Und,", "sea", "boat", "x"]) for _ in range(rng.randint(1, 200))]
+        text, marked = " ".join(words), rng.choice([0, 1, 3])
+        links = rng.choice([0, len(text) // 2, len(text)])
+        share = sum(w.lower().strip(",") in html.STOP_WORDS for w in words) / len(words)
+        want = 0
+        for limit, value in ((0.1, share), (0.2, share), (70, len(text))):
+            want += value >= limit
+        if share >= 0.1:
+            want += (len(text) >= 200) + 2 * (len(text) >= 500)
+        if links > 0.5 * len(text):
+            want = -1
+        assert html.points(text, links, marked) == want - marked
+
+
+NAV, FOOT = "<nav><ul><li><a href=/a>Home</a></li></ul></nav>", "<footer>&copy; us and the others of the house</footer>"
+STORY = f"<h1>A title</h1><p>{PROSE * 3}</p><p>So it is.</p><p>{PROSE * 2}</p><p>{PROSE * 7}</p>"
+TOLD = f"A title {(PROSE * 3).strip()} So it is. {(PROSE * 2).strip()} {(PROSE * 7).strip()}"
+
+
+@pytest.mark.parametrize("name", ["layout no-sidebar", "has-sidebar", "single-post comments-open", "entry share-enabled", "post widget-area", "form-page", "sidebar-wrapper", "promo"])
+def test_class_words_do_not_hide_the_article(name):
+    assert html.main_text(f"<body>{NAV}<div class='{name}'>{STORY}</div>{FOOT}</body>") == TOLD
+    assert html.main_text(f"<body class='{name}'>{NAV}<div class='{name}'><div><main><div>{STORY}</div></main></div></div>{FOOT}</body>") == TOLD
+
+
+@pytest.mark.parametrize("name", ["thread", "discussion", "reviews", "replybox", "comments", "c-zone"])
+def test_threads_of_readers_stay_out(name):
+    items = "".join(f"<div class=item><span>Bob</span><div class=m>Ann, 3 May</div><p>{PROSE * 2}</p></div>" for _ in range(4))
+    for thread in (f"<div class='{name}'>{items}</div>", f"<section id='{name}'><h3>Opinions</h3>{items}</section>"):
+        assert html.main_text(f"<body>{NAV}<main><div>{STORY}</div>{thread}</main>{FOOT}</body>") == TOLD
+
+
+def test_adverts_and_notices_in_the_article_stay_out():
+    page = STORY.replace("<p>So", "<div class='ad-slot'>Buy the best of all</div><aside>See the other one</aside><p>So")
+    assert html.main_text(f"<body>{NAV}<div class=cookie-notice><p>{PROSE}</p></div><article>{page}</article>{FOOT}</body>") == TOLD
+
+
+def test_pages_of_plain_words():
+    assert html.main_text(f"<body>{PROSE * 4}</body>") == (PROSE * 4).strip()
+    assert html.main_text(f"<div>{PROSE.strip()}</div>") == PROSE.strip()
+
+
+def test_rules_of_blocks_matter(monkeypatch):
+    """Blocks without any mark that are not the article: links, rows of numbers, lone lines."""
+    rows = "<div>" + "".join(f"<div>{k} {k * 7}</div>" for k in range(9)) + "</div>"
+    page = f"<body><div><a href=/x>{PROSE}</a></div>{rows}<section>{STORY}</section><div>Page 3 of 9</div></body>"
+    assert html.main_text(page) == TOLD
+    with monkeypatch.context() as m:  # every block without a mark
+        m.setattr(html, "first_pass", lambda found, tree: [setattr(b, "label", "bad" if b.marked else "good") for b in found])
+        assert html.main_text(page) != TOLD
+    with monkeypatch.context() as m:
+        m.setattr(html, "MAX_LINKS", 2)
+        assert html.main_text(page) != TOLD
+
+
+def test_deep_pages_take_linear_memory():
+    import tracemalloc
+
+    sizes = []
+    for n in (5_000, 50_000):
+        tracemalloc.start()
+        html.main_text("<div>a " * n)
+        sizes.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert sizes[1] < 15 * sizes[0]
 
 
 def test_odd_pages(spark):
