@@ -403,6 +403,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     source = docs.select("doc_id", "text", _key(F.col("text")).alias("k"))
     need = checked(members.select("node", "rep"))
     texts = source.join(need, (source["k"] == need["node"]) & source["doc_id"].eqNullSafe(need["rep"])).select("node", "text")
+    texts = written(texts, "dedup-found-texts")
+    if texts.count() > members.count():  # rows that repeat; tasks keep one of each before anything moves
+        texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts.join(sketches, "node"), "dedup-texts")
 
     def near(dealt: DataFrame) -> DataFrame:

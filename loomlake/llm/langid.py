@@ -1,8 +1,9 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams (operator 10).
 
 Training takes at most TRAIN_ROWS whole texts a language, chosen by a hash of doc_id, and counts their
-character 1-, 2- and 3-grams in 2**16 hash buckets; the log-probabilities (languages x buckets, a few
-MB at most) are broadcast, and each task scores whole texts with numpy, a bounded piece at a time.
+character 1-, 2- and 3-grams in 2**16 hash buckets; the log-probabilities (languages x buckets) are
+broadcast, and each task scores whole texts with numpy, a bounded piece at a time. Counts are a written
+table; of more than LANGUAGES languages, texts are scored against one block of them after another.
 """
 
 from __future__ import annotations
@@ -12,16 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomlake.llm.common import hash60
+from loomlake.llm.common import checked, hash60, written
 
 BUCKETS = 1 << 16
 #: Texts a language that training reads at most, and tasks among which they are dealt.
 TRAIN_ROWS, TRAIN_TASKS = 2000, 8
-#: Languages that can be learned: those with most labelled texts. The model has so many rows of BUCKETS floats at most (64 MB).
+#: Languages that texts are scored against at once, so that what is broadcast has so many rows of BUCKETS floats at most (64 MB).
 LANGUAGES = 256
 #: Characters that a task scores at once.
 PIECE = 1 << 20
@@ -70,24 +71,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"lang": list(counts), "counts": [x.astype("<f4").tobytes() for x in counts.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The languages, their log priors, and log P(bucket | language), from the documents not held out."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counted = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    per_lang = {r["lang"]: r["n"] for r in counted.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    langs = sorted(per_lang)
-    if not langs:
-        return [], np.zeros(0), np.zeros((0, BUCKETS), np.float32)
-    shares = [(x, min(1.0, TRAIN_ROWS / n) * float(1 << 60)) for x, n in per_lang.items()]
-    known = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, below double"))  # LANGUAGES rows at most
-    sample = labelled.join(known, "lang").where(hash60(F.col("doc_id")) < F.col("below")).select("lang", "text")
-    rows = sample.repartition(TRAIN_TASKS).mapInArrow(_count, "lang string, counts binary").collect()  # TRAIN_TASKS rows a language
-    counts = np.zeros((len(langs), BUCKETS))
-    for r in rows:
-        counts[langs.index(r["lang"])] += np.frombuffer(r["counts"], "<f4")
-    counts += 0.5
-    prior = np.log(np.array([per_lang[x] for x in langs], float) / sum(per_lang.values()))
-    return langs, prior, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+def _added(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_py(), "<f4").astype(float) for x in rows["counts"])
+    return pa.table({"lang": rows["lang"][:1], "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+
+
+class Model:
+    """Counts of every language that documents not held out are labelled with, as a table with the languages' numbers in order."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
+        sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("n")), "langid-sizes")
+        below = sizes.select(F.col("lang").alias("_l"), (F.least(F.lit(1.0), F.lit(float(TRAIN_ROWS)) / F.col("n")) * float(1 << 60)).alias("below"))
+        sample = labelled.join(checked(below), F.col("lang") == F.col("_l")).where(hash60(F.col("doc_id")) < F.col("below")).select("lang", "text")
+        counted = sample.repartition(TRAIN_TASKS).mapInArrow(_count, "lang string, counts binary").groupBy("lang").applyInArrow(_added, "lang string, counts binary")
+        number = (F.row_number().over(Window.orderBy("lang")) - 1).cast("int")  # one row a language
+        self.table = written(sizes.withColumn("number", number).join(counted, "lang", "left"), "langid-counts")
+        self.total = self.table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        self.blocks = -(-self.table.count() // LANGUAGES)
+
+    def block(self, k: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The languages of a block, their log priors, and log P(bucket | language)."""
+        rows = self.table.where(F.col("number").between(k * LANGUAGES, (k + 1) * LANGUAGES - 1)).orderBy("number").collect()  # LANGUAGES rows at most
+        counts = np.full((len(rows), BUCKETS), 0.5)
+        for i, r in enumerate(rows):
+            if r["counts"]:
+                counts[i] += np.frombuffer(r["counts"], "<f4")
+        prior = np.log(np.array([r["n"] for r in rows], float) / self.total) if rows else np.zeros(0)
+        return [r["lang"] for r in rows], prior, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
 
 
 def scores(texts: list[str], prior: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -116,30 +127,55 @@ def scores(texts: list[str], prior: np.ndarray, logp: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predictor(model, out: str):
-    """Adds lang_pred and score to batches (out: "predict"), or keeps the rows whose language is sure ("keep")."""
+#: What goes from one block of languages to the next: the best language so far, its log probability, and the logarithm of the sum of all.
+_SO_FAR = ("__langid_lang", "__langid_best", "__langid_all")
+
+
+def _predictor(model, first: bool, last: bool, out: str):
+    """Scores batches against a block of languages; at last adds lang_pred and score (out: "predict"), or keeps the rows whose language is sure ("keep")."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, logp = model.value
         for b in batches:
             texts = b["text"].to_pylist()
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
+            n = len(texts)
+            pred, best, every = ([None] * n, np.full(n, -np.inf), np.full(n, -np.inf)) if first else (b[_SO_FAR[0]].to_pylist(), *(b[c].to_numpy().copy() for c in _SO_FAR[1:]))
             at = [i for i, t in enumerate(texts) if langs and t and _LETTER.search(t)]
             if at:
                 s = scores([texts[i] for i in at], prior, logp)
-                best = s.argmax(1)
-                p = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-                for i, k, x in zip(at, best, p, strict=True):
-                    pred[i], score[i] = langs[k], x
+                top, most = s.argmax(1), s.max(1)
+                for i, k, m, total in zip(at, top, most, most + np.log(np.exp(s - most[:, None]).sum(1)), strict=True):
+                    if m > best[i]:
+                        pred[i], best[i] = langs[k], m
+                    every[i] = np.logaddexp(every[i], total)
+            own = {c: b[c] for c in b.schema.names if c not in _SO_FAR}
+            if not last:
+                yield pa.RecordBatch.from_pydict({**own, **dict(zip(_SO_FAR, (pa.array(pred, pa.string()), pa.array(best), pa.array(every)), strict=True))})
+                continue
+            known = np.array([p is not None for p in pred], bool)
+            score = np.zeros(n)
+            score[known] = np.minimum(1.0, np.exp(best[known] - every[known]))
             if out == "keep":
-                yield b.filter(pa.array([p != "und" and s >= LEAST_SCORE for p, s in zip(pred, score, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_pydict(own).filter(pa.array(known & (score >= LEAST_SCORE)))
             else:
-                cols = {n: b[n] for n in b.schema.names if n != "text"}
-                yield pa.RecordBatch.from_pydict({**cols, "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score, pa.float64())})
+                del own["text"]
+                yield pa.RecordBatch.from_pydict({**own, "lang_pred": pa.array([p or "und" for p in pred], pa.string()), "score": pa.array(score)})
 
     return run
 
 
+def _scored(docs: DataFrame, model: Model, schema: T.StructType, out: str) -> DataFrame:
+    blocks = max(1, model.blocks)
+    between = T.StructType([*docs.schema, T.StructField(_SO_FAR[0], T.StringType()), *[T.StructField(c, T.DoubleType()) for c in _SO_FAR[1:]]])
+    for k in range(blocks):
+        own = docs.sparkSession.sparkContext.broadcast(model.block(k))
+        last = k == blocks - 1
+        docs = docs.mapInArrow(_predictor(own, k == 0, last, out), schema if last else between)
+        if not last:  # the next block's broadcast takes this one's place
+            docs = written(docs, "langid-scored")
+    return docs
+
+
 def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row.
 
@@ -148,10 +184,10 @@ def predict(docs: DataFrame) -> DataFrame:
     not held out; repeated rows are predicted alike; ties go to the language that sorts first; an empty
     table gives no rows; other columns are not read. score is the posterior probability of lang_pred.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
+    model = Model(docs)
     slim = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     schema = T.StructType([*[f for f in slim.schema if f.name != "text"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return slim.mapInArrow(_predictor(model, "predict"), schema)
+    return _scored(slim, model, schema, "predict")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
@@ -160,5 +196,4 @@ def keep_known(docs: DataFrame) -> DataFrame:
     Null and empty texts and those without a letter go, as their language is und, and so do all if no row
     has a label; nulls in other columns, repeated rows and very long texts are kept or not by their text.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.mapInArrow(_predictor(model, "keep"), docs.schema)
+    return _scored(docs, Model(docs), docs.schema, "keep")

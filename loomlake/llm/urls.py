@@ -22,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import written
+from loomlake.llm.common import checked, written
 
 # The rules (host and path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 # Words that mark hosts to block in training.
 SEEDS = ("spam", "casino", "poker", "bets", "betting", "pills", "viagra", "pharmacy", "adult", "porn", "xxx", "sex", "warez", "crack", "malware", "phishing", "ads", "adserver", "doubleclick", "payday", "jackpot", "escort")
 BUCKETS = 1 << 16
-#: A longer label is no label of a host (RFC 1035) and stays one word; no shorter word is left out.
-MAX_LABEL = 63
 #: Unseen words: this probability over the number of words, and a factor for each character.
 UNSEEN, PER_CHAR = 10.0, 0.1
 #: Added to every count of a token and class.
@@ -65,13 +63,22 @@ def tokens(text: Column) -> Column:
 
 
 def viterbi(label: str, known: dict[tuple[int, int], float], total: float) -> list[str]:
-    """The most probable words of a label; known: (start, length) -> log probability."""
-    best, back = [0.0], [0]
+    """The most probable words of a label; known: (start, length) -> log probability. Of equal ones the longer last word counts.
+
+    An unknown word's log probability is linear in its length, and below that of any known word of two letters
+    or more, so that at each place only the best start of one needs to be kept: work grows with the label and
+    the known words in it.
+    """
+    ends: dict[int, list[tuple[int, float]]] = {}
+    for (at, n), p in known.items():
+        ends.setdefault(at + n, []).append((n, p))
+    base, each = math.log(UNSEEN / total), math.log(PER_CHAR)
+    best, back, start = [0.0], [0], 0
     for end in range(1, len(label) + 1):
-        options = []
-        for n in range(1, end + 1):
-            p = known.get((end - n, n), math.log(UNSEEN / total) + n * math.log(PER_CHAR))
-            options.append((best[end - n] + p, n))
+        if best[end - 1] + each > best[start] + (end - start) * each:
+            start = end - 1
+        options = [(best[end - n] + p, n) for n, p in ends.get(end, [])]
+        options.append((best[start] + base + (end - start) * each, end - start))
         p, n = max(options)
         best.append(p)
         back.append(n)
@@ -101,13 +108,14 @@ def host_words(parsed: DataFrame) -> DataFrame:
     from_hosts = labels.where(hyphened).select(F.explode(tokens(F.col("label"))).alias("word"), "n")
     from_paths = parsed.select(F.explode(tokens(F.col("path"))).alias("word"), F.lit(1).cast("long").alias("n"))
     seeds = parsed.sparkSession.createDataFrame([(w, 1) for w in SEEDS], "word string, n long")
-    vocabulary = written(from_hosts.unionByName(from_paths).unionByName(seeds).where(F.length("word").between(2, MAX_LABEL)).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    vocabulary = written(from_hosts.unionByName(from_paths).unionByName(seeds).where(F.length("word") >= 2).groupBy("word").agg(F.sum("n").alias("n")), "url-words")
     total = float(vocabulary.agg(F.sum("n")).first()[0])
-    short = ~hyphened & F.length("label").between(1, MAX_LABEL)
+    short = ~hyphened & (F.length("label") >= 1)
     whole = labels.where(short).select("label").distinct()
-    starts = F.sequence(F.lit(0), F.length("label") - 1)
-    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.sequence(F.lit(1), F.length("label") - a), lambda n: F.struct(a.alias("at"), n.alias("len"), F.substring(F.col("label"), a + 1, n).alias("word")))))
-    parts = whole.select("label", F.explode(spans).alias("x")).select("label", "x.*").where("len >= 2")
+    lengths = vocabulary.select(F.length("word").alias("len")).distinct()  # words of other lengths need no look
+    sized = whole.join(checked(written(lengths, "url-lengths")), F.length("label") >= F.col("len"))
+    starts = F.explode(F.sequence(F.lit(0), F.length("label") - F.col("len")))
+    parts = sized.select("label", "len", starts.alias("at")).select("label", "at", "len", F.substring("label", F.col("at") + 1, F.col("len")).alias("word"))
     found = parts.join(vocabulary, "word").groupBy("label").agg(F.collect_list(F.struct("at", "len", "n")).alias("found"))
     cut = whole.join(found, "label", "left").mapInArrow(_segment(total), "label string, words array<string>")
     each = labels.join(cut, "label", "left").select("host", "place", F.when(short, F.coalesce("words", F.array().cast("array<string>"))).otherwise(tokens(F.col("label"))).alias("words"))
@@ -164,8 +172,7 @@ def judge(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and the host's words, for every row of pages.
 
     A null url, or one without ://, has an empty host and path and no rule; without any token the
-    verdict is that of the larger class. A label of over 63 characters is one word, and paths of any
-    length are read whole. Null page_ids and repeated rows pass through; an empty table gives no rows;
+    verdict is that of the larger class. Labels, words and paths of any length are read whole. Null page_ids and repeated rows pass through; an empty table gives no rows;
     other columns are not read.
     """
     spark = pages.sparkSession

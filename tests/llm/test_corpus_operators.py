@@ -638,3 +638,30 @@ def test_pipeline_equals_brute_force(spark, sf_dir, library):
         ids = library.encode(r["text"], add_special_tokens=False).ids
         want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert Counter(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == want
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    """More languages than a block holds: all are learned, and the blocks give what one block gives."""
+    rng = random.Random(9)
+    words = {k: ["".join(chr(0x4E00 + 20 * k + rng.randrange(20)) for _ in range(4)) for _ in range(5)] for k in range(300)}
+    rows = [(i, " ".join(rng.choice(words[i % 300]) for _ in range(8)), f"l{i % 300:03}", None) for i in range(1800)]
+    docs = _docs(spark, rows)
+    many = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.predict(docs).collect()}
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert sum(many[r[0]][0] == r[2] for r in held) > 0.95 * len(held)
+    monkeypatch.setattr(langid, "LANGUAGES", 1000)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.predict(docs).collect()} == many
+
+
+def test_a_row_repeated_in_bulk(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(7, text, "en", "a")] * 30_000 + [(8, text + " more", "en", "a"), (9, "other words that no one else has here", "en", "a")]
+    got = Counter((r.doc_id, r.class_id) for r in dedup.near_duplicates(_docs(spark, rows)).collect())
+    assert got == Counter({(7, 7): 30_000, (8, 7): 1, (9, 9): 1})
+
+
+def test_long_labels_are_cut_into_words(spark):
+    label = "freecasino" * 12
+    rows = [(1, f"http://{label}.com/x", ""), (2, "http://a.com/free/casino", ""), (3, "http://b.com/free/casino/" + "z" * 90, ""), (4, f"http://{'z' * 90}.net/", "")]
+    got = {r.page_id: r.words for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1][:-1] == ["free", "casino"] * 12 and "z" * 90 in got[4]
