@@ -140,7 +140,7 @@ SELECT session_key, event_seq AS message_no, concat('msg_', lpad(CAST(CASE WHEN
        CASE WHEN s % 6 = 2 AND event_seq = 3 THEN 'ses_other' ELSE concat('ses_', session_key) END AS message_session,
        1704067200000 + CASE WHEN s % 6 = 3 AND event_seq = 4 THEN 0 ELSE event_seq * 1000 END AS created_ms,
        concat('prt_', lpad(CAST(event_seq AS STRING), 6, '0')) AS part_id, CASE WHEN s % 6 = 4 AND event_seq = 1 THEN 'msg_x' ELSE concat('msg_', lpad(CAST(CASE WHEN s % 6 = 1 AND event_seq = 2 THEN 0 ELSE event_seq END AS STRING), 6, '0')) END AS part_message,
-       CASE kind WHEN 'tool_call' THEN 'tool' WHEN 'message' THEN 'text' ELSE kind END AS part_type, coalesce(role, 'user') AS role, length(text) AS text_chars
+       CASE kind WHEN 'tool_call' THEN 'tool' WHEN 'message' THEN 'text' ELSE kind END AS part_type, CASE WHEN kind = 'tool_call' THEN CASE WHEN k % 5 = 0 THEN 'error' ELSE 'completed' END END AS part_status, kind = 'message' AND k % 11 = 0 AS message_error, coalesce(role, 'user') AS role, length(text) AS text_chars
 FROM (SELECT *, CAST(session_key AS BIGINT) AS s FROM {0})
 """
 
@@ -222,15 +222,19 @@ def _strata_sql(sizes: str) -> str:
     return f"{out} SELECT CAST(pick AS BIGINT) AS pick, session_key, stratum FROM u{len(groups)}"
 
 
+_SIZES = f"sz AS ({SIZES_SQL.format('events', ms=DUCKDB['ms'])})"
+#: CTEs of the timeline's sessions and their features.
+FEATURES_SQL = f"""{EVT}, {_SIZES},
+  p AS (SELECT session_key, arg_max(kind, event_seq) AS k, arg_max(coalesce(role, ''), event_seq) AS r FROM evt WHERE kind IN ('message', 'tool_call', 'tool_result') GROUP BY session_key),
+  f AS (SELECT session_key, bool_or(kind IN ('tool_call', 'tool_result')) AS t, bool_or(kind = 'compaction') AS c, bool_or(kind = 'opaque') AS o,
+        bool_or((kind = 'context' AND coalesce(block_type = 'image', false)) OR (kind = 'tool_result' AND list_contains(string_split(coalesce(block_codes, ''), ','), 'image'))) AS i FROM evt GROUP BY session_key),
+  g AS (SELECT f.session_key, source_bytes, ordinal, list_filter([CASE WHEN t THEN 'tools' END, CASE WHEN c THEN 'compaction' END, CASE WHEN i THEN 'images' END, CASE WHEN o THEN 'branch_or_meta' END, CASE WHEN k = 'tool_call' OR (k = 'message' AND r = 'user') THEN 'interrupted' END, CASE WHEN source_bytes >= 10485760 THEN 'large_10m' WHEN source_bytes >= 1048576 THEN 'large_1m' END], lambda x: x IS NOT NULL) AS l FROM f JOIN sz USING (session_key) LEFT JOIN p USING (session_key)),
+  ft AS (SELECT session_key, CASE WHEN len(l) = 0 THEN ['basic'] ELSE l END AS features, source_bytes, ordinal FROM g)"""
+
+
 def _sql() -> dict[str, str]:
     kept = f"{CONVERSATIONAL} OR {TOOLS} OR ({USER_IMAGE} AND image_url IS NOT NULL) OR {SUMMARY}"
-    sizes = f"sz AS ({SIZES_SQL.format('events', ms=DUCKDB['ms'])})"
-    feat = f"""{EVT}, {sizes},
-      p AS (SELECT session_key, arg_max(kind, event_seq) AS k, arg_max(coalesce(role, ''), event_seq) AS r FROM evt WHERE kind IN ('message', 'tool_call', 'tool_result') GROUP BY session_key),
-      f AS (SELECT session_key, bool_or(kind IN ('tool_call', 'tool_result')) AS t, bool_or(kind = 'compaction') AS c, bool_or(kind = 'opaque') AS o,
-            bool_or((kind = 'context' AND coalesce(block_type = 'image', false)) OR (kind = 'tool_result' AND list_contains(string_split(coalesce(block_codes, ''), ','), 'image'))) AS i FROM evt GROUP BY session_key),
-      g AS (SELECT f.session_key, source_bytes, ordinal, list_filter([CASE WHEN t THEN 'tools' END, CASE WHEN c THEN 'compaction' END, CASE WHEN i THEN 'images' END, CASE WHEN o THEN 'branch_or_meta' END, CASE WHEN k = 'tool_call' OR (k = 'message' AND r = 'user') THEN 'interrupted' END, CASE WHEN source_bytes >= 10485760 THEN 'large_10m' WHEN source_bytes >= 1048576 THEN 'large_1m' END], lambda x: x IS NOT NULL) AS l FROM f JOIN sz USING (session_key) LEFT JOIN p USING (session_key)),
-      ft AS (SELECT session_key, CASE WHEN len(l) = 0 THEN ['basic'] ELSE l END AS features, source_bytes, ordinal FROM g)"""
+    feat = FEATURES_SQL
     smoke, before = "", []
     for k, name in enumerate(("compaction", "images", "interrupted", "tools", "large_1m")):
         seen = "".join(f" AND session_key NOT IN (SELECT session_key FROM s{j})" for j in before)
@@ -238,7 +242,7 @@ def _sql() -> dict[str, str]:
         before.append(k)
     firsts = " UNION ALL ".join(f"SELECT * FROM s{k}" for k in before)
     smoke = f"WITH {feat}{smoke}, fs AS ({firsts}), al AS (SELECT * FROM fs UNION ALL SELECT 100 + row_number() OVER (ORDER BY source_bytes, ordinal), session_key FROM ft WHERE session_key NOT IN (SELECT session_key FROM fs)) SELECT row_number() OVER (ORDER BY pick) - 1 AS pick, session_key FROM al ORDER BY pick LIMIT {SAMPLE}"
-    strata = _strata_sql(sizes)
+    strata = _strata_sql(_SIZES)
     n_kept = f"(SELECT session_key, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER ({CONVERSATIONAL}) AS BIGINT) AS talk FROM evt WHERE {kept} GROUP BY session_key)"
     matrix = "\nUNION ALL ".join(f"SELECT '{t}' AS target, count(DISTINCT session_key) AS sessions, count(*) AS rows, count(DISTINCT session_key) AS matched FROM evt WHERE {c}" for t, c in (("codex", kept), ("claude", f"{CONVERSATIONAL} OR {TOOLS} OR {CLAUDE_IMAGE}"), ("pi", f"{CONVERSATIONAL} OR {TOOLS} OR {DATA_USER_IMAGE} OR {SUMMARY}")))
     versions = "(VALUES " + ", ".join(f"('{f}', '{v}')" for f, v in A.PINNED_VERSIONS.items()) + ") AS t(target, target_version)"
@@ -254,7 +258,7 @@ def _sql() -> dict[str, str]:
         "v1_linear_chain": f"WITH {EVT}, {size} SELECT session_key, NOT ((s % 5 = 1 AND n > 3) OR (s % 5 = 2 AND n > 4) OR (s % 5 = 3 AND n > 5)) AS valid FROM n",
         "v2_pi_trees": f"{derived(TREES_SQL)}, x AS (SELECT r.session_key, bool_or(r.parent IS NOT NULL AND p.id IS NULL) AS lost, bool_or(r.ts = 'not a time') AS untimed, bool_or(r.content IS NOT NULL) AS odd, count(DISTINCT r.record_index) > count(DISTINCT r.id) AS twice FROM r LEFT JOIN r p ON p.session_key = r.session_key AND p.id = r.parent AND p.record_index < r.record_index GROUP BY r.session_key) SELECT session_key, CASE WHEN twice THEN 'duplicate_entry_id' WHEN lost THEN 'parent_not_earlier' WHEN untimed THEN 'invalid_timestamp' WHEN odd THEN 'invalid_content' END AS reason FROM x",
         "v3_bundle_order": f"WITH {EVT}, {size} SELECT session_key, CASE WHEN s % 6 = 1 AND n > 2 THEN 'message_order' WHEN s % 6 = 2 AND n > 3 THEN 'message_session' WHEN s % 6 = 3 AND n > 4 THEN 'message_order' WHEN s % 6 = 4 AND n > 1 THEN 'part_message' END AS reason FROM n",
-        "a9_bundle_profiles": f"{derived(BUNDLES_SQL)} SELECT session_key, count(*) AS messages, count(*) AS parts, count(*) FILTER (part_type = 'tool') AS tools, count(*) FILTER (role = 'user') AS user_messages, CAST(coalesce(sum(text_chars), 0) AS BIGINT) AS text_chars, CAST(max(created_ms) - min(created_ms) AS BIGINT) AS span_ms FROM r GROUP BY session_key",
+        "a9_bundle_profiles": f"{derived(BUNDLES_SQL)} SELECT session_key, count(*) AS messages, count(*) AS parts, count(*) FILTER (part_type = 'tool') AS tools, count(*) FILTER (part_status = 'error') + count(*) FILTER (message_error) AS errors, count(*) FILTER (role = 'user') AS user_messages, CAST(coalesce(sum(text_chars), 0) AS BIGINT) AS text_chars, CAST(max(created_ms) - min(created_ms) AS BIGINT) AS span_ms FROM r GROUP BY session_key",
         "g1_active_paths": derived(TREES_SQL) + walk.replace("{twice}", "duplicate_uuid"),
         "g2_active_paths": derived(TREES_SQL) + walk.replace("{twice}", "duplicate_entry_id"),
         "a2_detected_formats": f"WITH {EVT} SELECT DISTINCT session_key, ['codex', 'pi', 'claude'][CAST(CAST(session_key AS BIGINT) % 3 + 1 AS INTEGER)] AS format, CAST(NULL AS VARCHAR) AS reason FROM evt",

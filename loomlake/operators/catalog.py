@@ -255,8 +255,11 @@ def bundle_order(parts: DataFrame) -> DataFrame:
 
 
 def bundle_profiles(parts: DataFrame) -> DataFrame:
-    """The structure of each bundle, without its content: messages, parts, tools, lengths and the time they span."""
-    one = parts.groupBy("session_key", "message_no").agg(F.count("part_id").alias("parts"), F.count_if(F.col("part_type") == "tool").alias("tools"), (F.first("role") == "user").cast("long").alias("user"), F.sum("text_chars").alias("chars"), F.first("created_ms").alias("ms"))
+    """The structure of each bundle, without its content: messages, parts, tools, errors (of tools and of messages), lengths and the time they span.
+
+    parts: as in bundle_order, with role, part_type, part_status, message_error, text_chars.
+    """
+    one = parts.groupBy("session_key", "message_no").agg(F.count("part_id").alias("parts"), F.count_if(F.col("part_type") == "tool").alias("tools"), F.count_if((F.col("part_type") == "tool") & (F.col("part_status") == "error")).alias("failed"), F.coalesce(F.bool_or(F.col("message_error")), F.lit(False)).cast("long").alias("broken"), (F.first("role") == "user").cast("long").alias("user"), F.sum("text_chars").alias("chars"), F.first("created_ms").alias("ms"))
     return one.groupBy("session_key").agg(
-        F.count("*").alias("messages"), F.sum("parts").alias("parts"), F.sum("tools").alias("tools"), F.sum("user").alias("user_messages"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("text_chars"), (F.max("ms") - F.min("ms")).cast("long").alias("span_ms")
+        F.count("*").alias("messages"), F.sum("parts").alias("parts"), F.sum("tools").alias("tools"), (F.sum("failed") + F.sum("broken")).alias("errors"), F.sum("user").alias("user_messages"), F.coalesce(F.sum("chars"), F.lit(0)).cast("long").alias("text_chars"), (F.max("ms") - F.min("ms")).cast("long").alias("span_ms")
     )

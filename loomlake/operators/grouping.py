@@ -42,6 +42,11 @@ def portable() -> Column:
     return conversational() | L.is_call() | L.is_result() | user_image() | summary()
 
 
+def own_reasoning() -> Column:
+    """reasoning that its source shows to its reader, which only a target of that same format may carry on."""
+    return (F.col("kind") == "thinking") & F.coalesce("source_readable_reasoning", F.lit(False)) & F.coalesce(F.col("source_format") == "vibe", F.lit(False)) & has_text()
+
+
 def blocks(events: DataFrame, target: str) -> DataFrame:
     """The rows that target emits, with target_role and message_no: blocks of one native message share it.
 
@@ -54,7 +59,9 @@ def blocks(events: DataFrame, target: str) -> DataFrame:
     else:
         emits = conversational() | L.is_call() | L.is_result() | data_user_image() | summary()
         alone = L.is_result() | summary()
-    role = F.when(L.is_call(), "assistant").when(L.is_result(), "user" if target == "claude" else "tool").when(F.col("kind") == "context", "user").when(F.col("kind") == "compaction", "summary").otherwise(F.col("role"))
+    if target == "vibe" and {"source_readable_reasoning", "source_format"} <= set(events.columns):
+        emits = emits | own_reasoning()
+    role = F.when(L.is_call() | (F.col("kind") == "thinking"), "assistant").when(L.is_result(), "user" if target == "claude" else "tool").when(F.col("kind") == "context", "user").when(F.col("kind") == "compaction", "summary").otherwise(F.col("role"))
     rows = events.where(emits).withColumn("target_role", role).withColumn("alone", alone)
     same = (F.lag("target_role").over(session()) == F.col("target_role")) & (F.lag("record_index").over(session()) == F.col("record_index")) & ~F.col("alone") & ~F.lag("alone").over(session())
     starts = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))

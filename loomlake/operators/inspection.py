@@ -89,3 +89,20 @@ def features(events: DataFrame, sizes: DataFrame) -> DataFrame:
         large = F.when(F.col("source_bytes") >= least, name).otherwise(large)
     named = F.array_compact(F.array(F.when(F.col("tools"), "tools"), F.when(F.col("compaction"), "compaction"), F.when(F.col("images"), "images"), F.when(F.col("opaque"), "branch_or_meta"), F.when(stopped, "interrupted"), large))
     return rows.select("session_key", F.when(F.size(named) == 0, F.array(F.lit("basic"))).otherwise(named).alias("features"), "source_bytes", "ordinal")
+
+
+def coverage(sessions: DataFrame) -> DataFrame:
+    """A4: how many sessions have each feature, status, reason of rejection and producer's version, by format, over all formats, and in all.
+
+    sessions: session_key, source_format, status, reason, cli_version, features. Each session is exploded once
+    into its (dimension, value) pairs; one pass gives all three levels (format and value are null where a row
+    is over all of them). values: the distinct ones below a row.
+    """
+    pair = lambda name, c: F.when(c.isNotNull(), F.struct(F.lit(name).alias("dimension"), c.alias("value")))
+    one = F.array_compact(F.array(pair("status", F.col("status")), pair("reason", F.col("reason")), pair("version", F.col("cli_version"))))
+    marks = F.concat(one, F.transform(F.array_distinct(F.coalesce("features", F.array().cast("array<string>"))), lambda f: F.struct(F.lit("feature").alias("dimension"), f.alias("value"))))
+    rows = sessions.select("session_key", "source_format", F.explode(marks).alias("m")).select("session_key", "source_format", "m.dimension", "m.value")
+    by = ["source_format", "dimension", "value"]
+    levels = [[F.col("source_format"), F.col("dimension"), F.col("value")], [F.col("dimension"), F.col("value")], [F.col("dimension")]]
+    counts = rows.groupingSets(levels, *[F.col(c) for c in by]).agg(F.count("*").alias("marks"), F.count_distinct("session_key").alias("sessions"), F.count_distinct("value").alias("values"))
+    return counts.select(*by, "marks", "sessions", F.col("values").cast("long").alias("values"))

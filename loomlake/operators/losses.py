@@ -97,7 +97,8 @@ def _rules() -> list[tuple[Column, object, object, tuple[str, ...]]]:
         (result & F.col("associated"), "tool_result:native_order_associated", 1, ("opencode",)),
         # thinking and compaction
         (kind == "thinking", "thinking", 1, (*STRICT, "pi", "opencode", "copilot")),
-        (kind == "thinking", "thinking:private", 1, ("vibe", "antigravity")),
+        ((kind == "thinking") & ~G.own_reasoning(), "thinking:private", 1, ("vibe",)),
+        (kind == "thinking", "thinking:private", 1, ("antigravity",)),
         (kind == "thinking", "thinking:unsupported", 1, TEXT_ONLY),
         ((kind == "compaction") & flagged, "compaction:replacement_history_expanded", 1, ("claude",)),
         ((kind == "compaction") & ~flagged, "compaction", 1, ("claude",)),
@@ -187,8 +188,8 @@ def loss_maps(events: DataFrame, as_of_ms: int) -> DataFrame:
 
 def with_neutral_columns(events: DataFrame) -> DataFrame:
     """events with every column the rules read; missing ones are null or false."""
-    text = ("tool_name", "tool_call_id", "namespace", "block_type", "image_url", "reason", "source_record_type", "source_event_type", "source_block_type", "source_item_type", "ts_raw")
-    flags = ("is_error", "has_boundary_metadata", "replacement_history_expanded", "ui_only_projection")
+    text = ("tool_name", "tool_call_id", "namespace", "block_type", "image_url", "reason", "source_record_type", "source_event_type", "source_block_type", "source_item_type", "ts_raw", "source_format")
+    flags = ("is_error", "has_boundary_metadata", "replacement_history_expanded", "ui_only_projection", "source_readable_reasoning")
     out = events
     for c in text:
         if c not in out.columns:

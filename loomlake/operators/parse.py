@@ -17,7 +17,7 @@ _FIELDS = {
     "kind": "string", "role": "string", "ts_raw": "string", "text": "string", "tool_name": "string", "tool_call_id": "string", "block_index": "int", "input_json": "string",
     "input_is_object": "boolean", "namespace": "string", "is_error": "boolean", "content_blocks": BLOCKS, "block_type": "string", "image_url": "string", "reason": "string",
     "source_record_type": "string", "source_event_type": "string", "source_block_type": "string", "source_item_type": "string", "ui_only_projection": "boolean",
-    "has_boundary_metadata": "boolean", "replacement_history_expanded": "boolean",
+    "has_boundary_metadata": "boolean", "replacement_history_expanded": "boolean", "source_readable_reasoning": "boolean",
 }
 _EVENT = "struct<" + ",".join(f"{n}:{t}" for n, t in _FIELDS.items()) + ">"
 

@@ -42,7 +42,7 @@ def parse_vibe(records: DataFrame) -> DataFrame:
     blocks = F.when(S.is_array(v, f"{out}.content_blocks"), F.transform(S.items(v, f"{out}.content_blocks"), lambda b: _block(S.vstr(b, "$.type"), S.vstr(b, "$.text"), S.vstr(b, "$.image_url"), S.vstr(b, "$.tool_name"))))
     result = event("tool_result", role="tool", text=F.coalesce(S.vstr(v, f"{out}.portable_text"), content), tool_name=S.vstr(v, "$.name"), tool_call_id=S.vstr(v, "$.tool_call_id"), is_error=S.vbool(v, f"{out}.portable_is_error"), content_blocks=blocks)
     noted = _there(v, "$.tool_result.duration") | S.vbool(v, "$.tool_result.cancelled") | _there(v, "$.tool_result.presentation")
-    thinking = F.concat(some(S.vstr(v, "$.reasoning_content").isNotNull(), event("thinking", role="assistant", text=S.vstr(v, "$.reasoning_content"))), some(F.size(S.items(v, "$.reasoning_payloads")) > 0, event("opaque", role="assistant", reason="vibe_reasoning_payloads")))
+    thinking = F.concat(some(S.vstr(v, "$.reasoning_content").isNotNull(), event("thinking", role="assistant", text=S.vstr(v, "$.reasoning_content"), source_readable_reasoning=F.lit(True))), some(F.size(S.items(v, "$.reasoning_payloads")) > 0, event("opaque", role="assistant", reason="vibe_reasoning_payloads")))
     talk = F.concat(some(content.isNotNull(), event("message", role=role, text=content)), F.transform(S.items(v, "$.images"), image), F.transform(S.items(v, "$.tool_calls"), call))
     events = (
         F.when(S.vstr(v, "$.context_boundary") == "compaction", F.array(event("compaction", role=role, text=content)))
@@ -50,7 +50,7 @@ def parse_vibe(records: DataFrame) -> DataFrame:
         .when(role == "tool", F.concat(thinking, F.array(result), some(noted, opaque("vibe_tool_result_runtime_metadata")), runtime))
         .otherwise(F.concat(thinking, talk, runtime))
     )
-    return _sequenced(_exploded(records, events), "record_index", "_n")
+    return _sequenced(_exploded(records, events), "record_index", "_n").withColumn("source_format", F.lit("vibe"))
 
 
 def parse_copilot(records: DataFrame) -> DataFrame:
