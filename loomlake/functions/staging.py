@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, kept in the folder that executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir, or in local mode one of our own where it is unset."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="loomlake-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A place of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
