@@ -25,6 +25,7 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -34,17 +35,43 @@ VOCABULARY = "word_bpe_49k.json"
 #: Words whose output is remembered (twice so many at most), and the longest of them.
 CACHE_WORDS, CACHE_LENGTH = 80_000, 64
 #: Characters that are normalised and cut into words at once, and that the transducer takes in one step.
-PIECE, STEP = 1 << 16, 12
+PIECE, STEP = 1 << 16, 512
+#: Longer lists of symbols are merged by a heap.
+SHORT = 48
 
 # White space of Unicode, and the words of this vocabulary's kind: endings after an
 # apostrophe, runs of letters, single numbers, runs of anything else.
 _SPACE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _ENDINGS = "'(?:s|t|re|ve|m|ll|d)"
-_WORDS = regex.compile(rf"\p{{L}}+|{_ENDINGS}|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+
+# The letters and numbers that Unicode 16 added to those of Python's tables (15.1); the
+# vocabulary's library has them, and none of later versions.
+_L16 = (
+    "\\u1c89-\\u1c8a\\ua7cb-\\ua7cd\\ua7d2\\ua7d4\\ua7da-\\ua7dc\\U000105c0-\\U000105f3\\U00010d4a-\\U00010d65\\U00010d6f-\\U00010d85\\U00010ec2-\\U00010ec4\\U00011380-\\U00011389\\U0001138b\\U0001138e"
+    "\\U00011390-\\U000113b5\\U000113b7\\U000113d1\\U000113d3\\U00011bc0-\\U00011be0\\U00013460-\\U000143fa\\U00016100-\\U0001611d\\U00016d40-\\U00016d6c\\U00018cff\\U0001e5d0-\\U0001e5ed\\U0001e5f0"
+)
+_N16 = "\\U00010d40-\\U00010d49\\U000116d0-\\U000116e3\\U00011bf0-\\U00011bf9\\U00016130-\\U00016139\\U00016d70-\\U00016d79\\U0001ccf0-\\U0001ccf9\\U0001e5f1-\\U0001e5fa"
+
+
+def _class(kind: str, added: str) -> str:
+    """The characters of a general category, as ranges of a pattern."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if after != c + 1]
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + added
+
+
+_L, _N = _class("L", _L16), _class("N", _N16)
+_WORDS = regex.compile(rf"[{_L}]+|{_ENDINGS}|[{_N}]|[^{_SPACE}{_L}{_N}]+")
 #: The same for texts in which every number is a decimal digit.
 _SIMPLE = re.compile(rf"[^\W\d_]+|{_ENDINGS}|\d|(?:[^\w{_SPACE}]|_)+")
 _ODD_NUMBERS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
-_LETTERS, _OTHERS = regex.compile(r"\p{L}*"), regex.compile(rf"[^{_SPACE}\p{{L}}\p{{N}}]*")
+#: Scripts to which later versions of Unicode than that of re may have added letters.
+_LATER = re.compile("[\u0870-\U0010ffff]")
+# Small letters of the capitals that Unicode 16 and 17 added.
+_LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_LATER_LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_LETTERS, _OTHERS = regex.compile(rf"[{_L}]*"), regex.compile(rf"[^{_SPACE}{_L}{_N}]*")
 _LAST_SPACE = regex.compile(rf"(?r)[{_SPACE}]")
 
 
@@ -101,6 +128,8 @@ class Vocabulary:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """The symbols after all merges, lowest rank first and leftmost first among equals."""
+        if len(symbols) > SHORT:
+            return self._merge_long(symbols)
         rank, none = self.ranks.get, len(self.ranks)
         order = [rank(p, none) for p in zip(symbols, symbols[1:], strict=False)]
         while order and (least := min(order)) < none:
@@ -114,6 +143,31 @@ class Vocabulary:
         return symbols
 
 
+    def _merge_long(self, symbols: list[str]) -> list[str]:
+        """The same, with a heap of the pairs that can be merged and links between the symbols that are left."""
+        rank, n = self.ranks.get, len(symbols)
+        at: list[str | None] = list(symbols)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, p[1]) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := rank(p)) is not None]
+        heap = [(r, i, symbols[i], right) for r, i, right in heap]
+        heapify(heap)
+        while heap:
+            _, i, left, right = heappop(heap)
+            j = after[i] if at[i] == left else n
+            if j >= n or at[j] != right:
+                continue  # one of the two has been merged since
+            at[i], at[j] = left + right, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank((at[i], at[k]))) is not None:
+                    heappush(heap, (r, i, at[i], at[k]))
+            h = before[i]
+            if h >= 0 and (r := rank((at[h], at[i]))) is not None:
+                heappush(heap, (r, h, at[h], at[i]))
+        return [s for s in at if s is not None]
+
+
 class Transducer:
     """The encoder of one word: feed() characters and get the ids that are final; end() gives the rest."""
 
@@ -127,7 +181,7 @@ class Transducer:
             self.held += chars[at : at + STEP]
             known = len(self.held) - 1  # the last character may yet turn out to end the word
             self.most = max(self.most, known + 1)
-            if known < STEP:
+            if len(self.held) < STEP:
                 continue
             done = 0
             for t in self.v.merge(list(self.held)):
@@ -173,7 +227,7 @@ class Encoder:
 
     def _words(self, piece: str) -> list[tuple[tuple[int, ...], str, bytes]]:
         get, word = self.known.get, self._word  # a table that is full stays in use for this piece
-        found = (_SIMPLE if piece.isascii() or _ODD_NUMBERS.isdisjoint(piece) else _WORDS).findall(piece)
+        found = (_SIMPLE if piece.isascii() or not (_LATER.search(piece) or not _ODD_NUMBERS.isdisjoint(piece)) else _WORDS).findall(piece)
         return [get(w) or word(w) for w in found]
 
     def encode(self, text: str) -> Iterator[list[tuple[tuple[int, ...], str, bytes]]]:
@@ -212,7 +266,7 @@ class Encoder:
                     keep = found[-2][0]  # these may be the ending of a word
             yield self._words(s[:keep])
             if len(s) - keep > PIECE // 4:
-                now, goes_on = Transducer(self.v), _LETTERS if s[keep].isalpha() else _OTHERS
+                now, goes_on = Transducer(self.v), _LETTERS if _LETTERS.match(s, keep).end() > keep else _OTHERS
                 ids = now.feed(self._symbols(s[keep:]))
                 yield [self._output(ids)] if ids else []
             else:
@@ -251,7 +305,8 @@ def _lower(text: str) -> str:
     if text.isascii():
         return text.lower()
     text = unicodedata.normalize("NFC", text)
-    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    return low.translate(_LATER_LOWER) if _LATER.search(low) else low
 
 
 _joining: set[str] = set()

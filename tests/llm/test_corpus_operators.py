@@ -665,3 +665,23 @@ def test_long_labels_are_cut_into_words(spark):
     rows = [(1, f"http://{label}.com/x", ""), (2, "http://a.com/free/casino", ""), (3, "http://b.com/free/casino/" + "z" * 90, ""), (4, f"http://{'z' * 90}.net/", "")]
     got = {r.page_id: r.words for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1][:-1] == ["free", "casino"] * 12 and "z" * 90 in got[4]
+
+
+def test_every_character_is_cut_as_by_the_library():
+    from tokenizers import Tokenizer
+
+    v = bpe.Vocabulary(bpe.vocabulary_path())
+    library, enc = Tokenizer.from_file(bpe.vocabulary_path()), bpe.Encoder(v)
+    library.no_truncation()
+    library.no_padding()
+    texts = [f"a{chr(c)}b" for c in [*range(0x3000), *range(0xA000, 0xD800), *range(0xE000, 0x20000, 3), *range(0x105C0, 0x105F4), *range(0x10D40, 0x10D90), *range(0x16EA0, 0x16EC0)]]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert [i for got in enc.encode(text) for x in got for i in x[0]] == want.ids, ascii(text)
+
+
+def test_long_merges_equal_short_ones(monkeypatch):
+    v, rng = bpe.Vocabulary(bpe.vocabulary_path()), random.Random(12)
+    words = ["".join(rng.choice("aeinrst" if k % 2 else "abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(60, 900))) for k in range(40)]
+    got = [v.merge(list(w)) for w in words]
+    monkeypatch.setattr(bpe, "SHORT", 10_000)
+    assert got == [v.merge(list(w)) for w in words]
