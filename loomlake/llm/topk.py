@@ -86,23 +86,19 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 
 class Best:
-    """The k best (score, id) of one query so far; each id counts once."""
+    """The k best (score, id, row) of one query so far."""
 
     def __init__(self, k: int) -> None:
-        self.k, self.scores, self.ids = k, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.k, self.scores, self.ids, self.rows = k, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @property
     def floor(self) -> float:
         return self.scores[-1] if len(self.scores) >= self.k else -math.inf
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, i = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((i, -s))
-        s, i = s[order], i[order]
-        if len(np.unique(i)) < len(i):
-            first = np.sort(np.unique(i, return_index=True)[1])
-            s, i = s[first], i[first]
-        self.scores, self.ids = s[: self.k], i[: self.k]
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+        s, i, r = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids]), np.concatenate([self.rows, rows])
+        order = np.lexsort((r, i, -s))[: self.k]
+        self.scores, self.ids, self.rows = s[order], i[order], r[order]
 
 
 def bounds(q: np.ndarray, dq: np.ndarray, qn: float, cn: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -113,25 +109,25 @@ def bounds(q: np.ndarray, dq: np.ndarray, qn: float, cn: np.ndarray, low: np.nda
     return np.where(np.isnan(bound), np.inf, bound)
 
 
-def search_block(best: list[Best], q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, floors: np.ndarray, ids: np.ndarray, c: np.ndarray, dc: np.ndarray) -> int:
-    """Offers the candidates c to every query; returns how many products were evaluated."""
+def search_block(best: list[Best], q_rows: np.ndarray, q: np.ndarray, dq: np.ndarray, floors: np.ndarray, ids: np.ndarray, rows: np.ndarray, c: np.ndarray, dc: np.ndarray) -> int:
+    """Offers the candidates c to every query but that of the same row; returns how many products were evaluated."""
     qn, cn = _norms(q), _norms(c)
     done = 0
     for i in range(len(q)):
         own = best[i]
         bound = bounds(q[i], dq[i], qn[i], cn, dc, dc)
-        may = np.flatnonzero((bound >= floors[i]) & (ids != q_ids[i]))
+        may = np.flatnonzero((bound >= floors[i]) & (rows != q_rows[i]))
         order = may[np.argsort(-bound[may], kind="stable")]
         for at in range(0, len(order), STEP):
             part = order[at : at + STEP]
             if bound[part[0]] < max(own.floor, floors[i]):
                 break
-            own.add(inner(c[part], q[i]), ids[part])
+            own.add(inner(c[part], q[i]), ids[part], rows[part])
             done += len(part)
     return done
 
 
-_FOUND = "query_id long, vec_id long, score long, evaluated long"
+_FOUND = "query long, query_id long, vec_id long, row long, score long, evaluated long"
 
 
 def _search(k: int):
@@ -140,20 +136,21 @@ def _search(k: int):
             flat = t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
             return flat.reshape(t.num_rows, len(flat) // t.num_rows)
 
-        q_ids = queries["vec_id"].to_numpy()
+        q_ids, q_rows = queries["vec_id"].to_numpy(), queries["row"].to_numpy()
         best, done = [Best(k) for _ in q_ids], 0
         if len(q_ids) and block.num_rows:
             floors = queries["floor"].cast(pa.float64()).fill_null(-math.inf).to_numpy()
-            done = search_block(best, q_ids, rows(queries, "v"), rows(queries, "d"), floors, block["vec_id"].to_numpy(), rows(block, "v"), rows(block, "d"))
-        got = [(np.full(len(b.ids), i), b.ids, b.scores) for i, b in zip(q_ids, best, strict=True) if len(b.ids)]
-        a, b, c = (np.concatenate([np.zeros(0, np.int64), *(x[n] for x in got)]) for n in range(3))
-        return pa.table({"query_id": pa.array([None, *a], pa.int64()), "vec_id": pa.array([None, *b], pa.int64()), "score": pa.array([None, *c], pa.int64()), "evaluated": pa.array([done] + [0] * len(a), pa.int64())})
+            done = search_block(best, q_rows, rows(queries, "v"), rows(queries, "d"), floors, block["vec_id"].to_numpy(), block["row"].to_numpy(), rows(block, "v"), rows(block, "d"))
+        got = [(np.full(len(b.ids), r), np.full(len(b.ids), i), b.ids, b.rows, b.scores) for r, i, b in zip(q_rows, q_ids, best, strict=True) if len(b.ids)]
+        cols = [np.concatenate([np.zeros(0, np.int64), *(x[n] for x in got)]) for n in range(5)]
+        found = {name: pa.array([None, *c], pa.int64()) for name, c in zip(("query", "query_id", "vec_id", "row", "score"), cols, strict=True)}
+        return pa.table(found | {"evaluated": pa.array([done] + [0] * len(cols[0]), pa.int64())})
 
     return run
 
 
 def _rows(pivots):
-    """vec_id, n, v, d, cell of batches of vectors. d and cell are empty and 0 for lengths without pivots."""
+    """vec_id, row, n, v, d, cell of batches of vectors. d and cell are empty and 0 for lengths without pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,13 +159,13 @@ def _rows(pivots):
                 d = distances(v, pivots.value.get(n, np.zeros((0, n))))
                 cell = np.where(np.isnan(d).any(1), 0, np.nan_to_num(d).argmin(1)) if d.shape[1] else np.zeros(len(v), int)
                 lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel(), pa.float64()))
-                yield pa.RecordBatch.from_arrays([b["vec_id"].take(pa.array(at)), pa.array(np.full(len(v), n), pa.int32()), lists(v), lists(d), pa.array(cell, pa.int32())], names=["vec_id", "n", "v", "d", "cell"])
+                yield pa.RecordBatch.from_arrays([b["vec_id"].take(pa.array(at)), b["row"].take(pa.array(at)), pa.array(np.full(len(v), n), pa.int32()), lists(v), lists(d), pa.array(cell, pa.int32())], names=["vec_id", "row", "n", "v", "d", "cell"])
 
     return run
 
 
 def pivot_table(vectors: DataFrame) -> DataFrame:
-    """vec_id, n, v, d, cell of every vector that takes part, written once; pivots come from a sample of PIVOT_SAMPLE vectors."""
+    """vec_id, row (a number of its own), n, v, d, cell of every vector that takes part, written once; pivots come from a sample of PIVOT_SAMPLE vectors."""
     spark = vectors.sparkSession
     slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null")
     sample = slim.orderBy(hash60(F.col("vec_id"))).limit(PIVOT_SAMPLE).collect()
@@ -176,17 +173,18 @@ def pivot_table(vectors: DataFrame) -> DataFrame:
     for _, v in valid_vectors(pa.array([r["embedding"] for r in sample], pa.list_(pa.float64()))):
         usual = v[np.abs(v).max(1) < HUGE]
         pivots[v.shape[1]] = choose_pivots(usual) if len(usual) else usual
-    return written(slim.mapInArrow(_rows(spark.sparkContext.broadcast(pivots)), "vec_id long, n int, v array<double>, d array<double>, cell int"), "topk-pivots")
+    numbered = slim.withColumn("row", F.monotonically_increasing_id())
+    return written(numbered.mapInArrow(_rows(spark.sparkContext.broadcast(pivots)), "vec_id long, row long, n int, v array<double>, d array<double>, cell int"), "topk-pivots")
 
 
 def _visits(queries: DataFrame, table: DataFrame, cells: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score, evaluated of the queries (vec_id, n, v, d, floor, cell: to be searched) and the cells they visit."""
+    """query, query_id, vec_id, row, score, evaluated of the queries (vec_id, row, n, v, d, floor, cell: to be searched) and the cells they visit."""
     visited = queries.groupBy("n", "cell").agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("kq"))
     size = cells.select("n", "cell", F.ceil(F.col("rows") / F.lit(BLOCK)).cast("int").alias("kc")).join(visited, ["n", "cell"])
-    deal = lambda by: F.pmod(F.xxhash64("vec_id"), F.col(by)).cast("int")
+    deal = lambda by: F.pmod(F.xxhash64("row"), F.col(by)).cast("int")
     every = lambda by: F.explode(F.sequence(F.lit(0), F.col(by) - 1))
-    asked = queries.join(size, ["n", "cell"]).select("vec_id", "n", "cell", "v", "d", "floor", deal("kq").alias("qb"), every("kc").alias("cb"))
-    held = table.join(size, ["n", "cell"]).select("vec_id", "n", "cell", "v", "d", deal("kc").alias("cb"), every("kq").alias("qb"))
+    asked = queries.join(size, ["n", "cell"]).select("vec_id", "row", "n", "cell", "v", "d", "floor", deal("kq").alias("qb"), every("kc").alias("cb"))
+    held = table.join(size, ["n", "cell"]).select("vec_id", "row", "n", "cell", "v", "d", deal("kc").alias("cb"), every("kq").alias("qb"))
     by = ["n", "cell", "qb", "cb"]
     return asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_search(k), _FOUND)
 
@@ -199,37 +197,37 @@ def _range_bound(low: Column, high: Column, qn: Column, cn: Column) -> Column:
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:
-    """query_id, vec_id, score, evaluated: at least the k best candidates of every query, from each block that it visits.
+    """query (its row), query_id, vec_id, row, score, evaluated: at least the k best candidates of every query, from each block that it visits.
 
-    Rows without a query_id tell how many inner products a block of queries and one of candidates took.
+    Rows without a query tell how many inner products a block of queries and one of candidates took.
     """
     table = pivot_table(vectors)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     cells = table.groupBy("n", "cell").agg(F.count("*").alias("rows"), F.max(norm).alias("cn"), F.max(F.size("d")).alias("nd"), *[f(F.get("d", F.lit(p))).alias(f"{name}{p}") for p in range(PIVOTS) for f, name in ((F.min, "low"), (F.max, "high"))])
     pick = lambda name: F.slice(F.array(*[F.col(f"{name}{p}") for p in range(PIVOTS)]), F.lit(1), F.greatest(F.col("nd"), F.lit(0)))
     cells = written(cells.select("n", "cell", "rows", "cn", pick("low").alias("low"), pick("high").alias("high")), "topk-cells")  # PIVOTS rows a length at most
-    queries = written(table.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "n"]), "topk-queries")
+    queries = written(table.where(F.col("vec_id") % every == 0), "topk-queries")
     own = written(_visits(queries.withColumn("floor", F.lit(None).cast("double")), table, cells, k), "topk-own")
-    ranked = own.where("query_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
-    floors = written(ranked.where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("floor")), "topk-floors")
-    known = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").drop("query_id").withColumn("qn", norm)
+    ranked = own.where("query is not null").withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"))))
+    floors = written(ranked.where(F.col("r") == k).select("query", F.col("score").cast("double").alias("floor")), "topk-floors")
+    known = queries.join(floors, F.col("row") == F.col("query"), "left").drop("query").withColumn("qn", norm)
     others = cells.select(F.col("n").alias("_n"), F.col("cell").alias("_cell"), "low", "high", "cn")
     bound = _range_bound(F.col("low"), F.col("high"), F.col("qn"), F.col("cn"))
     go = known.join(others, (F.col("n") == F.col("_n")) & (F.col("cell") != F.col("_cell")))
     go = go.where(F.col("floor").isNull() | F.isnan(bound) | (bound >= F.col("floor")))
-    rest = _visits(written(go.select("vec_id", "n", "v", "d", "floor", F.col("_cell").alias("cell")), "topk-visits"), table, cells, k)
+    rest = _visits(written(go.select("vec_id", "row", "n", "v", "d", "floor", F.col("_cell").alias("cell")), "topk-visits"), table, cells, k)
     return own.unionByName(rest)
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every row whose vec_id is divisible by `every`.
 
-    Candidates are all rows with another vec_id and as many components. Rows with a null vec_id and
-    vectors that are null, empty or hold null or non-finite components take no part; a repeated vec_id
-    counts once as a candidate, with its best score, and as a query; ties go to smaller vec_ids; an empty
+    Candidates are all other rows with as many components, so that a repeated vec_id is a candidate each time
+    (of a query with the same vec_id, too), and a query each time. Rows with a null vec_id and vectors that
+    are null, empty or hold null or non-finite components take no part; ties go to smaller vec_ids; an empty
     table gives no rows; vectors of any length and size are searched; other columns are not read. Scores
     are exact and stop at the limits of a long.
     """
-    once = search(vectors, every, k).where("query_id is not null").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return once.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    found = search(vectors, every, k).where("query is not null")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

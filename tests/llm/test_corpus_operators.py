@@ -501,15 +501,16 @@ def test_top_k_is_exact(spark):
     m = rng.normal(size=(300, 6))
     m[50:60] = m[50]
     rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(m)]
-    rows += [(900, None, 1), (1000, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1100, [float("nan")] * 6, 1), (1200, [1.0, 2.0], 1), (1300, [], 1), (None, [1.0] * 6, 1), (0, rows[0][1], 0), (1400, [1e30] * 6, 1)]
+    rows += [(900, None, 1), (1000, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1100, [float("nan")] * 6, 1), (1200, [1.0, 2.0], 1), (1300, [], 1), (None, [1.0] * 6, 1), (0, rows[0][1], 0), (1400, [1e30] * 6, 1), (100, [2.0, -1.0, 0.5, 1.0, 1.0, 0.0], 0), (7, rows[7][1], 2), (7, rows[9][1], 3)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score int")).collect()
-    vec = {i: [math.floor(1024 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    vec = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     clip = lambda x: max(-(2**63 - 1), min(2**63 - 1, x))
-    want = set()
-    for q in (i for i in vec if i % 100 == 0):
-        scored = sorted((-clip(sum(a * b for a, b in zip(vec[q], c))), i) for i, c in vec.items() if i != q and len(c) == len(vec[q]))
-        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10])}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+    want = Counter()
+    for row, (q, v) in enumerate(vec):
+        if q % 100 == 0:  # every other row is a candidate, those with the same id too
+            scored = sorted((-clip(sum(a * b for a, b in zip(v, c))), i) for at, (i, c) in enumerate(vec) if at != row and len(c) == len(v))
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:10]))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
