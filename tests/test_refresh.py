@@ -28,11 +28,6 @@ def _claude(n, text="hello"):
     return [{"type": "user", "uuid": SID.format(n), "parentUuid": None, "sessionId": SID.format(n), "timestamp": at, "cwd": "/w", "version": "2.1.209", "message": {"role": "user", "content": text}}, {"type": "ai-title", "aiTitle": "named"}]
 
 
-def _pi(n):
-    at = "2024-01-02T03:04:05.000Z"
-    return [{"type": "session", "version": 3, "id": SID.format(n), "timestamp": at, "cwd": "/w"}, {"type": "message", "id": "a1", "parentId": None, "timestamp": at, "message": {"role": "user", "content": "hi", "timestamp": 1}}]
-
-
 class Store:
     """Files in a folder, and notices of what happens to them."""
 
@@ -91,11 +86,11 @@ def test_stream_and_batch_give_the_same_catalog(spark, tmp_path):
     files.put(_path(1), _codex(1))
     files.put(_path(2), "not json\n")
     files.put("projects/-w/a.jsonl", _claude(3))
-    files.put("sessions/--w--/b.jsonl", _pi(4))
+    files.put(_path(4), _codex(4))
     files.put("notes.txt", "no transcript\n")
     run()
     one = _state(spark, cat)
-    assert {k: (r["status"], r["reason"]) for k, r in one.items()} == {_path(0): ("validated", None), _path(1): ("validated", None), _path(2): ("corrupt", "invalid_jsonl"), "projects/-w/a.jsonl": ("validated", None), "sessions/--w--/b.jsonl": ("validated", None)}
+    assert {k: (r["status"], r["reason"]) for k, r in one.items()} == {_path(0): ("validated", None), _path(1): ("validated", None), _path(2): ("corrupt", "invalid_jsonl"), "projects/-w/a.jsonl": ("validated", None), _path(4): ("validated", None)}
     assert one[_path(0)]["title"] == "first" and one["projects/-w/a.jsonl"]["title"] == "named"
 
     files.put(_path(0), _codex(0, "again", title="second"))  # changed
@@ -108,7 +103,7 @@ def test_stream_and_batch_give_the_same_catalog(spark, tmp_path):
     assert (two[_path(1)]["status"], two[_path(1)]["reason"]) == ("missing", "file_missing")
     want = _batch(spark, files.root)
     assert {k: (r["status"], r["reason"], r["title"], r["size"], r["modified_ms"]) for k, r in two.items() if r["status"] != "missing"} == want
-    assert two["sessions/--w--/b.jsonl"]["batch"] == 0  # untouched
+    assert two[_path(4)]["batch"] == 0  # untouched
 
 
 def test_busy_files_and_batches_that_run_again(spark, tmp_path):
