@@ -9,11 +9,12 @@ def _pos(order: str = "event_seq") -> str:
 _NUMBERED = "SELECT session_key, CAST(row_number() OVER (PARTITION BY session_key ORDER BY a, b, c) - 1 AS BIGINT) AS pos, kind, role, text, tool_name, image_url, coalesce(is_error, false) AS is_error FROM u"
 _NAME = "coalesce(tool_name, 'unknown_tool')"
 
-#: Rows of a message list: a message's texts are one, then its images, then its calls.
+#: Rows of a message list: a message's texts are one, then its images, then its calls. The texts are joined by a
+#: grouping: DuckDB 2.0 misplaces the values of a string_agg window among some 100,000 partitions.
 _LIST = f"""
-  SELECT session_key, min(event_seq) OVER g AS a, 0 AS b, event_seq AS c, kind, target_role AS role, CASE WHEN kind = 'message' THEN string_agg(CASE WHEN kind = 'message' THEN text END, chr(10)) OVER (PARTITION BY session_key, message_no ORDER BY event_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE text END AS text,
+  SELECT session_key, a, 0 AS b, event_seq AS c, kind, target_role AS role, CASE WHEN kind = 'message' THEN texts ELSE text END AS text,
          message_no, row_number() OVER (PARTITION BY session_key, message_no, kind ORDER BY event_seq) AS nth, tool_name, image_url, is_error
-  FROM mm_b WINDOW g AS (PARTITION BY session_key, message_no)"""
+  FROM mm_b JOIN (SELECT session_key, message_no, min(event_seq) AS a, string_agg(text, chr(10) ORDER BY event_seq) FILTER (kind = 'message') AS texts FROM mm_b GROUP BY session_key, message_no) AS whole USING (session_key, message_no)"""
 
 _IMAGE_MESSAGE = f"({USER_IMAGE} AND image_url IS NOT NULL)"
 #: What a codex rollout holds for one event: rows (record type, payload type, role, block).
