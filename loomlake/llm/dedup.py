@@ -363,7 +363,8 @@ def _across(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _ordered(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi")
+    """Groups in one piece, each led by its smallest node: links to it recur from bucket to bucket and count once."""
+    return dealt.repartition("g", "lo", "hi").sortWithinPartitions("g", "lo", "hi", "node")
 
 
 def classes(docs: DataFrame) -> DataFrame:

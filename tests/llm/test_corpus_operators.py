@@ -686,3 +686,13 @@ def test_long_merges_equal_short_ones(monkeypatch):
     got = [v.merge(list(w)) for w in words]
     monkeypatch.setattr(bpe, "SHORT", 10_000)
     assert got == [v.merge(list(w)) for w in words]
+
+
+def test_buckets_of_the_same_texts_give_the_same_links(spark):
+    n = 300
+    rows = [(g, 0, 0, 0, bytes([k // 256, k % 256]), bytes([k // 256, k % 256]), bytes(120)) for g in range(24) for k in range(n) if (k * 7 + g) % 5]
+    random.Random(1).shuffle(rows)
+    dealt = spark.createDataFrame(rows, "g long, lo int, hi int, own int, node binary, comp binary, sketch binary")
+    links = dedup._ordered(dealt).mapInArrow(dedup._compare(None), "a binary, b binary").distinct().collect()
+    assert len(links) < 3 * n  # bound by the few least nodes, not by the 24 buckets
+    assert len({bytes(x) for r in links for x in r}) == n
