@@ -14,14 +14,12 @@ from pyspark.sql.streaming import StreamingQuery
 from loomlake.functions.staging import checkpointed
 from loomlake.operators import refresh
 from loomlake.operators.snapshots import Snapshots
-from loomlake.sources.transcripts import PATH_RULES, read_records
+from loomlake.sources.transcripts import PATH_RULES, read_named
 
 #: event: put or delete; path: the file's URI; modified_ms: of the put, or when it was deleted.
 NOTICES = "event string, root_id string, path string, relative_path string, size long, modified_ms long"
 ROWS = "session_key string, root_id string, relative_path string, path string, format string, size long, modified_ms long, status string, reason string, title string"
 FORMATS = ("claude", "codex", "pi")
-#: Files that one read lists by name.
-PATHS = 10_000
 
 
 def plain_path(path: Column) -> Column:
@@ -44,7 +42,7 @@ def latest(notices: DataFrame) -> DataFrame:
 
 
 def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, size and modified_ms of files as they are now; files that are gone have no row."""
+    """path, size and modified_ms of a few files as they are now; files that are gone have no row."""
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths)
     return files.select(plain_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_ms"))
 
@@ -58,29 +56,18 @@ def changed_rows(spark: SparkSession, before: DataFrame, notices: DataFrame, as_
     wanted = before.select("session_key", "size", "modified_ms", "status")
     same = puts.join(wanted.where("status NOT IN ('missing', 'busy')"), ["session_key", "size", "modified_ms"], "left_semi")
     todo = checkpointed(puts.join(same.select("session_key"), "session_key", "left_anti"))  # a notice that came again changes nothing
-    blocks = -(-todo.count() // PATHS)
-    for k in range(blocks):
-        mine = todo.where(F.pmod(F.xxhash64("session_key"), F.lit(blocks)) == k)
-        paths = [r["path"] for r in mine.select("path").collect()]  # PATHS, about; readers take names
-        there = [r["path"] for r in listed(spark, paths).select("path").collect()]
-        after = listed(spark, paths)
-        inventory = mine.select("session_key", "root_id", "relative_path", "path", "format", "size", "modified_ms")
-        keyed = lambda df: df.join(mine.select("path", "session_key"), "path")
-        if there:
-            records, rejects = read_records(spark, there)
-            records = checkpointed(keyed(records.drop("session_key").withColumn("path", plain_path(F.col("path")))))
-            rejects = checkpointed(keyed(rejects.drop("session_key").withColumn("path", plain_path(F.col("path")))))
-        else:
-            records = spark.createDataFrame([], "session_key string, record_index long, v variant")
-            rejects = spark.createDataFrame([], "session_key string, status string, reason string")
-        still = keyed(after).select("session_key", "size", "modified_ms")
-        for fmt in FORMATS:
-            own = inventory.where(F.col("format") == fmt)
-            if not own.isEmpty():
-                rows = records.join(own.select("session_key"), "session_key", "left_semi").select("session_key", "record_index", "v")
-                none = spark.createDataFrame([], ROWS)
-                fresh = refresh.refreshed(none, own, spark.createDataFrame([], "root_id string"), rows, fmt, as_of_ms, rejects.select("session_key", "status", "reason"), still)
-                out = out.unionByName(fresh.drop("state"))
+    if todo.isEmpty():
+        return out
+    records, rejects, still = read_named(todo)
+    records, rejects = checkpointed(records), checkpointed(rejects)
+    inventory = todo.select("session_key", "root_id", "relative_path", "path", "format", "size", "modified_ms")
+    for fmt in FORMATS:
+        own = inventory.where(F.col("format") == fmt)
+        if not own.isEmpty():
+            rows = records.join(own.select("session_key"), "session_key", "left_semi").select("session_key", "record_index", "v")
+            none = spark.createDataFrame([], ROWS)
+            fresh = refresh.refreshed(none, own, spark.createDataFrame([], "root_id string"), rows, fmt, as_of_ms, rejects.select("session_key", "status", "reason"), still)
+            out = out.unionByName(fresh.drop("state"))
     return out
 
 

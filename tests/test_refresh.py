@@ -2,14 +2,16 @@
 
 import json
 import os
+import pickle
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from loomlake.operators import refresh
 from loomlake.operators.snapshots import Snapshots
 from loomlake.sources import session_files
-from loomlake.sources.transcripts import read_records
+from loomlake.sources.transcripts import read_named, read_records
 from loomlake.streaming import refresh as stream
 
 AS_OF = 1_704_067_200_000
@@ -189,3 +191,21 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         session_files.write_sessions(broken, paths, f"file://{tmp_path}/out")
     assert not (tmp_path / "out").exists() or _names(tmp_path / "out") == []
+
+
+def test_tasks_read_named_files_and_the_driver_holds_no_names(spark, tmp_path):
+    body = {"a b%20.jsonl": b'{"x": 1}\r\n\n{"x": 2}\n', "long.jsonl": b'{"x": "' + b"y" * 3_000_000 + b'"}\n{"x": 3}', "empty.jsonl": b"", "bad.jsonl": b"{\n", "large.jsonl": b"{}\n" * 2_000_000}
+    for name, data in body.items():
+        (tmp_path / name).write_bytes(data)
+    files = spark.createDataFrame([(n, f"file:{tmp_path}/{n}", 1) for n in [*body, "gone.jsonl"]], "session_key string, path string, size long")
+    records, rejects, after = read_named(files, max_file_bytes=5_000_000)
+    assert sorted((r["session_key"], r["record_index"], r["line_number"], len(r["raw"])) for r in records.collect()) == [("a b%20.jsonl", 0, 1, 9), ("a b%20.jsonl", 1, 3, 8), ("long.jsonl", 0, 1, 3_000_009), ("long.jsonl", 1, 2, 8)]
+    assert {(r["session_key"], r["status"], r["reason"]) for r in rejects.collect()} == {("bad.jsonl", "corrupt", "invalid_jsonl"), ("large.jsonl", "oversized", "file_size_limit")}
+    assert {r["session_key"]: (r["size"], r["modified_ms"]) for r in after.collect()} == {n: (len(d), (tmp_path / n).stat().st_mtime_ns // 1_000_000) for n, d in body.items()}
+    assert {r["path"]: r["size"] for r in session_files.stats(files).collect()} == {f"file:{tmp_path}/{n}": len(d) for n, d in body.items()}
+    rows = pa.RecordBatch.from_pydict({"path": [f"d/{k}" for k in range(500)], "session_key": [str(k) for k in range(500)], "value": ["x"] * 500})
+    writer = session_files.Writer(f"file://{tmp_path}/out")
+    message = writer.write(iter([rows]))
+    assert len(pickle.dumps(message)) < 1000
+    writer.commit([message, None])
+    assert len(_names(tmp_path / "out")) == 500
