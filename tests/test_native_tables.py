@@ -2,8 +2,10 @@
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from loomlake.functions.text import casefold
 from loomlake.operators import emit_more, inspection, parse_more
 from loomlake.operators import losses as X
 from loomlake.operators import native_tables as N
@@ -71,3 +73,13 @@ def test_readable_reasoning_stays_with_its_format(spark):
     other = events.withColumn("source_format", F.lit("claude"))
     assert {r["target"] for r in X.losses(other, AS_OF_MS).where("loss_key = 'thinking:private'").collect()} == {"vibe", "antigravity"}
     assert all("reasoning_content" not in json.loads(r["value"]) for r in emit_more.to_vibe(other, AS_OF_MS).collect())
+
+
+def test_case_folds_like_unicode_without_python_workers(spark, capsys):
+    texts = [chr(c) + "x" + chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 0 and (c < 0x30000 or c >= 0xE0000)]
+    texts += ["Stra\u00dfe \u1e9e \ufb03 \u0130 \u03a3\u03c2", "", None]
+    df = spark.createDataFrame(pd.DataFrame({"t": texts}))
+    folded = df.select("t", casefold(F.col("t")).alias("f"))
+    folded.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
+    assert [r["t"] for r in folded.toLocalIterator() if r["f"] != (None if r["t"] is None else r["t"].casefold())] == []
