@@ -112,9 +112,10 @@ def located(inventory: DataFrame, asked: DataFrame) -> DataFrame:
     fmt = F.col("format")
     ask = asked.withColumns({"sid": S.uuid_text("native_id"), "refused": F.col("cwd").isNotNull() & ~fmt.isin(*BY_FOLDER)})
     ask = checkpointed(ask)  # ids are parsed once
-    ask = ask.withColumn("key", F.when(fmt == "vibe", F.substring("sid", 1, 8)).otherwise(F.col("sid")))
-    met = ask.where("NOT refused").join(have, (F.col("key") == F.col("file_id")) & (fmt == F.col("_f")))
-    same_id = (fmt != "vibe") | F.col("header_id").eqNullSafe(F.col("sid"))
+    # whole ids meet, as many sessions may share the part that a name has
+    have = have.withColumn("key", F.when(F.col("_f") == "vibe", F.col("header_id")).otherwise(F.col("file_id")))
+    met = ask.where("NOT refused").join(have, (F.col("sid") == F.col("key")) & (fmt == F.col("_f")))
+    same_id = (fmt != "vibe") | (F.col("file_id") == F.substring("sid", 1, 8))
     in_folder = F.coalesce(F.col("folder") == folder_of(fmt, F.col("cwd")), fmt == "vibe")
     same_cwd = F.col("cwd").isNull() | (in_folder & F.when(fmt == "vibe", F.col("header_cwd").eqNullSafe(F.col("cwd"))).otherwise(F.col("header_cwd").isNull() | (F.col("header_cwd") == F.col("cwd"))))
     hits = met.where(same_id & same_cwd).groupBy("query_id").agg(F.count_distinct("path").alias("n"), F.min("path").alias("path"))

@@ -1,6 +1,7 @@
 """Native title and lineage tables, places of files, coverage, and reasoning that stays with its format."""
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -83,3 +84,15 @@ def test_case_folds_like_unicode_without_python_workers(spark, capsys):
     folded.explain()
     assert "ArrowEvalPython" not in capsys.readouterr().out
     assert [r["t"] for r in folded.toLocalIterator() if r["f"] != (None if r["t"] is None else r["t"].casefold())] == []
+
+
+def test_ids_meet_whole_where_names_have_a_part(spark):
+    """Sessions that share the part of the id in their folder's name don't all meet."""
+    n = 400
+    sid = F.concat(F.lit("00000000-0000-4000-8000-"), F.lpad(F.col("id").cast("string"), 12, "0"))
+    rows = spark.range(n).select(F.concat(F.lit("logs/session/session_"), F.col("id").cast("string"), F.lit("_00000000/messages.jsonl")).alias("path"), F.lit("vibe").alias("format"), sid.alias("header_id"), F.lit("/w").alias("header_cwd"))
+    asked = spark.range(n).select(F.col("id").alias("query_id"), F.lit("vibe").alias("format"), sid.alias("native_id"), F.lit("/w").alias("cwd"))
+    out = N.located(rows, asked)
+    assert out.where("error IS NULL").count() == n
+    keys = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert keys and all(re.search(r"\(sid#\d+ = key#\d+\)|\(key#\d+ = sid#\d+\)", k) for k in keys)
