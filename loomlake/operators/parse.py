@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlake.functions import scalars as S
 from loomlake.functions.ancestry import active_records
+from loomlake.functions.staging import checkpointed
 
 BLOCKS = "array<struct<type:string,text:string,image_url:string,tool_name:string>>"
 _FIELDS = {
@@ -172,23 +173,25 @@ def _claude_content(v: Column, role: Column, ts: Column) -> Column:
 def parse_claude(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects). Replay order is that of the active path; other records follow, for accounting."""
     v = F.col("v")
+    records = checkpointed(records)
     ids = records.select(
         "session_key", "record_index", S.vstr(v, "$.uuid").alias("uuid"), S.vstr(v, "$.parentUuid").alias("parent"), S.vstr(v, "$.logicalParentUuid").alias("logical"), S.vstr(v, "$.leafUuid").alias("leaf"),
         (S.vstr(v, "$.type") == "last-prompt").alias("is_prompt"),
         ((S.vstr(v, "$.type") == "system") & (S.vstr(v, "$.subtype") == "compact_boundary")).alias("is_boundary"),
         (S.vstr(v, "$.type").isin("user", "assistant") & S.is_object(v, "$.message") & ~S.vbool(v, "$.isMeta") & ~S.vbool(v, "$.isSidechain")).alias("is_candidate"),
         (S.vstr(v, "$.type").isin("user", "assistant") & S.is_object(v, "$.message") & S.vbool(v, "$.isSidechain")).alias("is_sidechain"),
-        S.vbool(v, "$.isCompactSummary").alias("is_summary"), S.vstr(v, "$.sessionId").alias("session_id"),
+        S.vbool(v, "$.isCompactSummary").alias("is_summary"), S.vstr(v, "$.sessionId").alias("session_id"), S.is_object(v, "$.compactMetadata").alias("with_metadata"),
         F.to_json(F.try_variant_get(v, "$.compactMetadata", "variant")).alias("metadata"),
     )
+    ids = checkpointed(ids)
     path, rejects = active_records(ids, "claude")
-    rows = records.join(rejects.select("session_key"), "session_key", "left_anti").join(path, ["session_key", "record_index"], "left")
+    places = checkpointed(ids.join(rejects.select("session_key"), "session_key", "left_anti").join(path, ["session_key", "record_index"], "left"))
     kind, ts = S.vstr(v, "$.type"), S.vstr(v, "$.timestamp")
     selected = F.col("path_no").isNotNull()
-    summaries = rows.where(selected & S.vbool(v, "$.isCompactSummary")).select("session_key", S.vstr(v, "$.parentUuid").alias("uuid")).where("uuid IS NOT NULL").distinct()
-    bounds = rows.where(selected & (kind == "system") & (S.vstr(v, "$.subtype") == "compact_boundary")).select("session_key", S.vstr(v, "$.uuid").alias("uuid"), S.is_object(v, "$.compactMetadata").alias("with_metadata")).where("uuid IS NOT NULL")
-    rows = rows.withColumn("uuid", S.vstr(v, "$.uuid")).withColumn("parent", S.vstr(v, "$.parentUuid"))
-    rows = rows.join(summaries.withColumn("summarised", F.lit(True)), ["session_key", "uuid"], "left").join(bounds.withColumnRenamed("uuid", "parent"), ["session_key", "parent"], "left")
+    summaries = places.where(selected & F.col("is_summary") & F.col("parent").isNotNull()).select("session_key", F.col("parent").alias("uuid"), F.lit(True).alias("summarised")).distinct()
+    bounds = places.where(selected & F.col("is_boundary") & F.col("uuid").isNotNull()).select("session_key", F.col("uuid").alias("parent"), "with_metadata")
+    places = places.select("session_key", "record_index", "path_no", "uuid", "parent").join(summaries, ["session_key", "uuid"], "left").join(bounds, ["session_key", "parent"], "left")
+    rows = records.join(places, ["session_key", "record_index"])
     named = F.coalesce(S.vstr(v, "$.message.role"), kind)
     role = F.when(named.isin("user", "assistant"), named)
     opaque = lambda reason: F.array(event("opaque", ts_raw=ts, reason=reason))
