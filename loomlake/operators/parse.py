@@ -218,10 +218,12 @@ def parse_pi(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects). Entries off the path to the last one count as opaque, after the others."""
     v = F.col("v")
     kind, ts = S.vstr(v, "$.type"), S.vstr(v, "$.timestamp")
+    records = checkpointed(records)
     entries = records.where(F.col("record_index") > 0)
-    ids = entries.select("session_key", "record_index", S.vstr(v, "$.id").alias("uuid"), S.vstr(v, "$.parentId").alias("parent"))
+    ids = checkpointed(entries.select("session_key", "record_index", S.vstr(v, "$.id").alias("uuid"), S.vstr(v, "$.parentId").alias("parent")))
     path, rejects = active_records(ids, "pi")
-    rows = entries.join(rejects.select("session_key"), "session_key", "left_anti").join(path, ["session_key", "record_index"], "left")
+    places = ids.select("session_key", "record_index").join(rejects.select("session_key"), "session_key", "left_anti").join(path, ["session_key", "record_index"], "left")
+    rows = entries.join(places, ["session_key", "record_index"])
     named, stop = S.vstr(v, "$.message.role"), S.vstr(v, "$.message.stopReason")
     opaque = lambda reason: F.array(event("opaque", ts_raw=ts, reason=reason))
     url = lambda x: F.when(S.vstr(x, "$.data").isNotNull() & S.vstr(x, "$.mimeType").isNotNull(), F.concat(F.lit("data:"), S.vstr(x, "$.mimeType"), F.lit(";base64,"), S.vstr(x, "$.data")))
