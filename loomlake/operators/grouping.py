@@ -53,6 +53,15 @@ def blocks(events: DataFrame, target: str) -> DataFrame:
     A message is a run of emitted rows with equal role and record. claude puts results into user
     messages; elsewhere results and summaries stand alone and end the run before them.
     """
+    emits, role, alone = emission(events, target)
+    rows = events.where(emits).withColumn("target_role", role).withColumn("alone", alone)
+    same = (F.lag("target_role").over(session()) == F.col("target_role")) & (F.lag("record_index").over(session()) == F.col("record_index")) & ~F.col("alone") & ~F.lag("alone").over(session())
+    starts = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    return starts.withColumn("message_no", F.sum("_new").over(session().rowsBetween(*L.UP_TO)) - 1).drop("_new", "alone")
+
+
+def emission(events: DataFrame, target: str) -> tuple[Column, Column, Column]:
+    """Whether target emits a row, in which role, and whether the row is a message of its own."""
     if target == "claude":
         emits = conversational() | L.is_call() | L.is_result() | claude_image()
         alone = F.lit(False)
@@ -62,10 +71,7 @@ def blocks(events: DataFrame, target: str) -> DataFrame:
     if target == "vibe" and {"source_readable_reasoning", "source_format"} <= set(events.columns):
         emits = emits | own_reasoning()
     role = F.when(L.is_call() | (F.col("kind") == "thinking"), "assistant").when(L.is_result(), "user" if target == "claude" else "tool").when(F.col("kind") == "context", "user").when(F.col("kind") == "compaction", "summary").otherwise(F.col("role"))
-    rows = events.where(emits).withColumn("target_role", role).withColumn("alone", alone)
-    same = (F.lag("target_role").over(session()) == F.col("target_role")) & (F.lag("record_index").over(session()) == F.col("record_index")) & ~F.col("alone") & ~F.lag("alone").over(session())
-    starts = rows.withColumn("_new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
-    return starts.withColumn("message_no", F.sum("_new").over(session().rowsBetween(*L.UP_TO)) - 1).drop("_new", "alone")
+    return emits, role, alone
 
 
 def messages(events: DataFrame, target: str, as_of_ms: int) -> DataFrame:
@@ -91,17 +97,33 @@ def messages(events: DataFrame, target: str, as_of_ms: int) -> DataFrame:
 def native_messages(events: DataFrame, as_of_ms: int) -> DataFrame:
     """The messages of the bundle target: a summary becomes two, an unmatched result an assistant's, other results none."""
     base = messages(events, "opencode", as_of_ms)
-    link = L.with_linkage(L.tools(events)).where(L.is_result()).select("session_key", F.col("event_seq").alias("first_seq"), "unmatched")
-    rows = base.join(link, ["session_key", "first_seq"], "left").where((F.col("role") != "tool") | F.col("unmatched"))
+    rows = base.join(_unmatched(events), ["session_key", "first_seq"], "left")
+    return as_native(rows)
+
+
+def _unmatched(events: DataFrame) -> DataFrame:
+    """session_key, first_seq, unmatched of the results; linked events tell it themselves."""
+    linked = events if "unmatched" in events.columns else L.with_linkage(L.tools(events))
+    return linked.where(L.is_result()).select("session_key", F.col("event_seq").alias("first_seq"), "unmatched")
+
+
+def as_native(rows: DataFrame) -> DataFrame:
+    """session_key, first_seq, time_ms, n_blocks, sub, role of the bundle target's messages, from messages that know whether a result is unmatched."""
+    rows = rows.where((F.col("role") != "tool") | F.col("unmatched"))
     roles = F.when(F.col("role") == "summary", F.array(F.lit("user"), F.lit("assistant"))).when(F.col("role") == "tool", F.array(F.lit("assistant"))).otherwise(F.array("role"))
     return rows.select("session_key", "first_seq", "time_ms", "n_blocks", F.posexplode(roles).alias("sub", "role"))
 
 
 def ordered_times(events: DataFrame, as_of_ms: int) -> DataFrame:
     """Message times made non-decreasing, and which of them that changed."""
+    return in_order(native_messages(events, as_of_ms))
+
+
+def in_order(native: DataFrame) -> DataFrame:
+    """ordered_times of native messages."""
     order = Window.partitionBy("session_key").orderBy("first_seq", "sub")
     top = F.max("time_ms").over(order.rowsBetween(*L.UP_TO))
-    return native_messages(events, as_of_ms).select("session_key", "first_seq", "sub", "role", "n_blocks", "time_ms", top.alias("ordered_ms"), (top > F.col("time_ms")).alias("adjusted"))
+    return native.select("session_key", "first_seq", "sub", "role", "n_blocks", "time_ms", top.alias("ordered_ms"), (top > F.col("time_ms")).alias("adjusted"))
 
 
 def parents(events: DataFrame, as_of_ms: int) -> DataFrame:
@@ -133,19 +155,23 @@ def event_times(events: DataFrame, as_of_ms: int) -> DataFrame:
 
     A fold over the session's (place, microseconds), as a value depends on the one chosen before it.
     """
-    link = L.with_linkage(L.tools(events)).where(L.is_result()).select("session_key", F.col("event_seq").alias("first_seq"), "unmatched")
     emitted = blocks(events, "copilot")
     heads = emitted.groupBy("session_key", "message_no").agg(F.min("event_seq").alias("first_seq"), F.min_by("target_role", "event_seq").alias("role"), F.min_by(F.struct("ts_ms"), "event_seq")["ts_ms"].alias("ts_ms"), F.count_if(L.is_call()).alias("calls"))
-    n = F.when(F.col("role") == "tool", F.when(F.col("unmatched"), 3).otherwise(1)).otherwise(1 + F.col("calls"))
-    us = F.coalesce("ts_ms", F.lit(as_of_ms)) * 1000
-    own = heads.join(link, ["session_key", "first_seq"], "left").select("session_key", F.struct("first_seq", F.lit(1).alias("sub"), F.col("first_seq").alias("at"), us.alias("us"), n.cast("int").alias("n")).alias("x"))
     # an image is stored as it is met, before the message that is still open then
     order = Window.partitionBy("session_key").orderBy("event_seq")
     before = F.lag(F.struct("target_role", "message_no")).over(order)
     open_no = F.when(before["target_role"].isin("user", "assistant"), before["message_no"]).otherwise(F.col("message_no"))
     placed = emitted.withColumn("message_no", open_no).where("kind = 'context'")
-    stored = placed.join(assets(events).where("stored").select("session_key", "event_seq"), ["session_key", "event_seq"]).select("session_key", "message_no", "event_seq", "ts_ms")
-    extra = stored.join(heads.select("session_key", "message_no", "first_seq"), ["session_key", "message_no"]).select("session_key", F.struct("first_seq", F.lit(0).alias("sub"), F.col("event_seq").alias("at"), us.alias("us"), F.lit(1).alias("n")).alias("x"))
+    images = placed.join(assets(events).where("stored").select("session_key", "event_seq"), ["session_key", "event_seq"]).select("session_key", "message_no", "event_seq", "ts_ms")
+    return folded_times(heads.join(_unmatched(events), ["session_key", "first_seq"], "left"), images, as_of_ms)
+
+
+def folded_times(heads: DataFrame, images: DataFrame, as_of_ms: int) -> DataFrame:
+    """event_times of messages (message_no, first_seq, role, ts_ms, calls, unmatched) and of images stored before one (message_no, event_seq, ts_ms)."""
+    n = F.when(F.col("role") == "tool", F.when(F.col("unmatched"), 3).otherwise(1)).otherwise(1 + F.col("calls"))
+    us = F.coalesce("ts_ms", F.lit(as_of_ms)) * 1000
+    own = heads.select("session_key", F.struct("first_seq", F.lit(1).alias("sub"), F.col("first_seq").alias("at"), us.alias("us"), n.cast("int").alias("n")).alias("x"))
+    extra = images.join(heads.select("session_key", "message_no", "first_seq"), ["session_key", "message_no"]).select("session_key", F.struct("first_seq", F.lit(0).alias("sub"), F.col("event_seq").alias("at"), us.alias("us"), F.lit(1).alias("n")).alias("x"))
     each = own.unionByName(extra)
     packed = each.groupBy("session_key").agg(F.sort_array(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(as_of_ms * 1000).cast("long").alias("last"), F.lit(0).cast("long").alias("moved"))
@@ -187,12 +213,12 @@ def tool_segments(events: DataFrame) -> DataFrame:
     return rows.groupBy("session_key", "segment").agg(F.count_if(L.is_call()).alias("calls"), F.count_if(L.is_result()).alias("results"))
 
 
-def assets(events: DataFrame) -> DataFrame:
+def assets(events: DataFrame, *more: Column | str) -> DataFrame:
     """User images by content; the first of each in a session is stored, later ones refer to it."""
     image = S.data_image(F.col("image_url"))
     rows = events.where(data_user_image()).withColumn("asset_id", F.concat(F.lit("sha256:"), F.sha2(F.unbase64(image["data"]), 256)))
     first = F.row_number().over(Window.partitionBy("session_key", "asset_id").orderBy("event_seq")) == 1
-    return rows.select("session_key", "event_seq", "asset_id", first.alias("stored"))
+    return rows.select("session_key", "event_seq", *more, "asset_id", first.alias("stored"))
 
 
 def associated(events: DataFrame) -> DataFrame:

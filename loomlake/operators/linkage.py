@@ -35,14 +35,13 @@ def with_linkage(rows: DataFrame) -> DataFrame:
     pair_no: which match of its id this is, on both sides; call_seq: the matched call's event_seq.
     """
     by_id = Window.partitionBy("session_key", "tool_call_id").orderBy("event_seq")
-    by_kind = Window.partitionBy("session_key", "tool_call_id", "kind").orderBy("event_seq")
     known = F.col("tool_call_id").isNotNull()
     call, result = is_call().cast("int"), is_result().cast("int")
     balance = F.sum(call - result).over(by_id.rowsBetween(*UP_TO))
     out = rows.select(
         "*",
         (known & (F.sum(call).over(by_id.rowsBetween(*BEFORE)) > 0)).alias("seen_before"),
-        (known & (F.row_number().over(by_kind) > 1)).alias("repeated"),
+        (known & (F.when(is_call(), F.sum(call).over(by_id.rowsBetween(*UP_TO))).otherwise(F.sum(result).over(by_id.rowsBetween(*UP_TO))) > 1)).alias("repeated"),
         balance.alias("_s"),
         F.first(F.when(is_call(), F.col("tool_name")), ignorenulls=True).over(by_id.rowsBetween(*BEFORE)).alias("first_name"),
         F.last(F.when(is_call(), F.col("tool_name")), ignorenulls=True).over(by_id.rowsBetween(*BEFORE)).alias("latest_name"),
@@ -50,8 +49,9 @@ def with_linkage(rows: DataFrame) -> DataFrame:
     low = F.least(F.lit(0), F.coalesce(F.min("_s").over(by_id.rowsBetween(*BEFORE)), F.lit(0)))
     out = out.withColumn("unmatched", is_result() & (F.col("_s") < low))
     out = out.withColumn("seen_before", F.coalesce("seen_before", F.lit(False)))
-    side = Window.partitionBy("session_key", "tool_call_id", "kind", "unmatched").orderBy("event_seq")
-    out = out.withColumn("pair_no", F.when(~F.col("unmatched"), F.row_number().over(side)))
+    # counts within one order of the rows, so that they are sorted once
+    nth = lambda c: F.sum(c.cast("int")).over(by_id.rowsBetween(*UP_TO)).cast("int")
+    out = out.withColumn("pair_no", F.when(~F.col("unmatched"), F.when(is_call(), nth(is_call())).otherwise(nth(is_result() & ~F.col("unmatched")))))
     pair = Window.partitionBy("session_key", "tool_call_id", "pair_no")
     matched = F.min(F.when(is_call(), F.col("event_seq"))).over(pair)
     return out.withColumn("call_seq", F.when(is_result() & ~F.col("unmatched"), matched)).drop("_s")

@@ -1,8 +1,8 @@
 """What each target would omit or change of every event, counted by key.
 
 Rules are data: a condition, the key to count, how often, and the targets it holds for. All rules of an
-event are evaluated at once into a small array, which is exploded and summed by session, target and
-key with partial aggregation; texts do not take part. Rules that depend on native messages (times made
+event are evaluated at once into a small array, which is exploded and summed by session, rule's targets
+and key with partial aggregation; texts do not take part. Rules that depend on native messages (times made
 monotone, blocks grouped) are added from the grouping operators.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars as S
+from loomlake.functions.staging import stored
 from loomlake.operators import grouping as G
 from loomlake.operators import linkage as L
 from loomlake.schema import FORMATS
@@ -135,43 +136,75 @@ def _rules() -> list[tuple[Column, object, object, tuple[str, ...]]]:
     ]
 
 
-def annotated(events: DataFrame) -> DataFrame:
-    """events with what the rules read of their neighbours: the linkage of tools, the turn, whether a row opens a message."""
-    keys = ["session_key", "event_seq"]
-    link = L.with_linkage(L.tools(events)).select(*keys, "seen_before", "repeated", "unmatched")
-    late = G.associated(events)
-    first = G.blocks(events, "copilot").groupBy("session_key", "message_no").agg(F.min("event_seq").alias("event_seq")).select(*keys, F.lit(True).alias("opens"))
-    turn = G.turns(events).select(*keys, "turn")
-    out = events.join(link, keys, "left").join(late, keys, "left").join(first, keys, "left").join(turn, keys, "left")
-    return out.fillna(False, ["seen_before", "repeated", "unmatched", "associated", "opens"])
+#: What the rules read of an event; texts are replaced by whether they are empty.
+_READ = ("record_index", "kind", "role", "ts_ms", "ts_raw", "tool_call_id", "tool_name", "namespace", "input_is_object", "is_error", "block_type", "image_url", "reason", "source_record_type", "source_event_type", "source_block_type", "source_item_type", "source_format", "source_readable_reasoning", "ui_only_projection", "has_boundary_metadata", "replacement_history_expanded")
 
 
-def _entries(keys: Column, count: Column, targets: tuple[str, ...]) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.array(*map(F.lit, targets)).alias("targets"), k.alias("loss_key"), count.cast("int").alias("n")))
+def annotated(events: DataFrame) -> DataFrame:
+    """events, narrow, with what the rules read of their neighbours: the linkage of tools, the turn, the message a row is in and whether it opens it.
+
+    All of it are windows over one shuffle by session, and the rows are stored for all that counts them.
+    """
+    text = F.when(F.col("text") == "", "").when(F.col("text").isNotNull(), "x")
+    blocks = F.transform("content_blocks", lambda b: b.withField("text", F.lit(None).cast("string")))
+    rows = events.select("session_key", "event_seq", *_READ, text.alias("text"), blocks.alias("content_blocks"))
+    emits, role, alone = G.emission(rows, "copilot")
+    emits = F.coalesce(emits, F.lit(False))
+    rows = rows.withColumns({"emits": emits, "target_role": role, "alone": alone, "boundary": (G.conversational() | G.data_user_image() | G.summary()).cast("int")})
+    before, up_to = G.session().rowsBetween(*L.BEFORE), G.session().rowsBetween(*L.UP_TO)
+    rows = rows.withColumns({
+        "last": F.last(F.when(F.col("emits"), F.struct("target_role", "record_index", "alone")), ignorenulls=True).over(before), "boundary": F.sum("boundary").over(up_to),
+        "turn": F.sum((G.conversational() & (F.col("role") == "user")).cast("int")).over(up_to) - 1,
+    })
+    same = (F.col("last.target_role") == F.col("target_role")) & (F.col("last.record_index") == F.col("record_index")) & ~F.col("alone") & ~F.col("last.alone")
+    rows = rows.withColumn("opens", F.col("emits") & ~F.coalesce(same, F.lit(False)))
+    rows = rows.withColumns({"message_no": F.sum(F.col("opens").cast("int")).over(up_to) - 1, "turn": F.when(F.col("turn") >= 0, F.col("turn")), "last_role": F.col("last.target_role")}).drop("last", "alone")
+    pair = Window.partitionBy("session_key", "tool_call_id", "pair_no")
+    late = L.is_result() & ~F.col("unmatched") & (F.min(F.when(L.is_call(), F.col("boundary"))).over(pair) < F.col("boundary"))
+    out = L.with_linkage(rows).withColumn("associated", F.coalesce(late, F.lit(False)))
+    return stored(out.drop("boundary", "pair_no", "call_seq", "first_name", "latest_name"))
+
+
+def _entry(group: int, count: Column):
+    return lambda k: F.struct(F.lit(group).alias("g"), k.alias("loss_key"), count.cast("int").alias("n"))
 
 
 def loss_rows(events: DataFrame, as_of_ms: int) -> DataFrame:
     """session_key, target, loss_key, n: a row or more for each loss."""
-    parts = []
+    rows = annotated(events)
+    groups, single, many = [], [], []
     for cond, key, n, targets in _rules():
-        keys = key.keys if isinstance(key, _Many) else F.array(F.lit(key) if isinstance(key, str) else key)
+        if targets not in groups:
+            groups.append(targets)
         count = F.lit(n) if isinstance(n, int) else n
-        parts.append(F.when(F.coalesce(cond, F.lit(False)), _entries(keys, count, targets)).otherwise(F.array().cast("array<struct<targets:array<string>,loss_key:string,n:int>>")))
-    found = annotated(events).select("session_key", F.explode(F.filter(F.flatten(F.array(*parts)), lambda x: x["n"] > 0)).alias("x"))
-    rows = found.select("session_key", F.explode("x.targets").alias("target"), F.col("x.loss_key").alias("loss_key"), F.col("x.n").cast("long").alias("n"))
-    return rows.unionByName(_message_losses(events, as_of_ms))
-
-
-def _message_losses(events: DataFrame, as_of_ms: int) -> DataFrame:
+        entry = _entry(groups.index(targets), count)
+        if isinstance(key, _Many):
+            many.append(F.when(F.coalesce(cond, F.lit(False)), F.transform(key.keys, entry)).otherwise(F.array().cast("array<struct<g:int,loss_key:string,n:int>>")))
+        else:
+            single.append(F.when(cond & (count > 0), entry(F.lit(key) if isinstance(key, str) else key)))
+    found = rows.select("session_key", F.explode(F.concat(F.array_compact(F.array(*single)), *many)).alias("x"))
+    # targets multiply the sums, not the rows
+    sums = found.groupBy("session_key", "x.g", "x.loss_key").agg(F.sum("x.n").alias("n"))
+    targets = F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), F.col("g"))
+    return sums.select("session_key", F.explode(targets).alias("target"), "loss_key", "n").unionByName(_message_losses(rows, as_of_ms))
+
+
+def _message_losses(rows: DataFrame, as_of_ms: int) -> DataFrame:
+    """Losses of whole messages, from annotated rows."""
     row = lambda df, target, key, n: df.select("session_key", F.lit(target).alias("target"), F.lit(key).alias("loss_key"), n.cast("long").alias("n"))
-    times = G.ordered_times(events, as_of_ms)
+    texts = F.col("target_role").isin("user", "assistant", "summary") & F.col("kind").isin("message", "compaction")
+    head = F.min_by(F.struct("event_seq", "target_role", "ts_ms", "unmatched"), "event_seq")
+    heads = rows.where("emits").groupBy("session_key", "message_no").agg(head.alias("h"), F.count("*").alias("n_blocks"), F.count_if(L.is_call()).alias("calls"), F.count_if(texts).alias("n_texts"))
+    heads = stored(heads.select("session_key", "message_no", F.col("h.event_seq").alias("first_seq"), F.col("h.target_role").alias("role"), "h.ts_ms", "h.unmatched", F.coalesce("h.ts_ms", F.lit(as_of_ms)).alias("time_ms"), "n_blocks", "calls", "n_texts"))
+    times = G.in_order(G.as_native(heads))
     opencode = row(times.where("adjusted"), "opencode", "timestamp:native_order_adjusted", F.lit(1))
-    first = Window.partitionBy("session_key").orderBy("first_seq", "sub")
-    rootless = times.withColumn("_n", F.row_number().over(first)).where("_n = 1 AND role = 'assistant'")
-    moved = row(G.event_times(events, as_of_ms).where("moved > 0"), "copilot", "timestamp:native_order_adjusted", F.col("moved"))
-    grouped = G.messages(events, "copilot", as_of_ms).where("n_texts > 1 AND role IN ('user', 'assistant')")
-    joined = row(grouped, "copilot", "message:native_text_blocks_grouped", F.col("n_texts") - 1)
-    source = row(events.select("session_key").distinct(), "cursor", "runtime_metadata:source_format", F.lit(1))
+    rootless = times.groupBy("session_key").agg(F.min_by("role", F.struct("first_seq", "sub")).alias("role")).where("role = 'assistant'")
+    # an image is stored as it is met, before the message that is still open then
+    open_no = F.when(F.col("opens") & F.col("last_role").isin("user", "assistant"), F.col("message_no") - 1).otherwise(F.col("message_no"))
+    images = G.assets(rows, open_no.alias("message_no"), "ts_ms").where("stored")
+    moved = row(G.folded_times(heads, images, as_of_ms).where("moved > 0"), "copilot", "timestamp:native_order_adjusted", F.col("moved"))
+    joined = row(heads.where("n_texts > 1 AND role IN ('user', 'assistant')"), "copilot", "message:native_text_blocks_grouped", F.col("n_texts") - 1)
+    source = row(rows.select("session_key").distinct(), "cursor", "runtime_metadata:source_format", F.lit(1))
     return opencode.unionByName(row(rootless, "opencode", "assistant:missing_parent", F.lit(1))).unionByName(moved).unionByName(joined).unionByName(source)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import wire
-from loomlake.operators import parse, step_rows, stores
+from loomlake.operators import losses, parse, step_rows, stores
 
 
 def counted(spark, df, column):
@@ -61,3 +61,14 @@ def test_malformed_messages_are_null(spark):
     df = spark.createDataFrame([(bytearray(b"\x0a\x05x"),), (None,), (bytearray(b"\x10\x96\x01\x0a\x01y"),), (bytearray(b""),)], "d binary")
     got = [r.f and [(x.number, x.varint, x.data and bytes(x.data)) for x in r.f] if r.f is not None else None for r in df.select(wire.wire_fields("d").alias("f")).collect()]
     assert got == [None, None, [(2, 150, None), (1, None, b"y")], []]
+
+
+EVENTS = "session_key string, event_seq long, record_index long, kind string, role string, text string, tool_call_id string"
+TALK = [("s", 0, 0, "message", "user", "hi", None), ("s", 1, 1, "tool_call", "assistant", None, "c"), ("s", 2, 2, "message", "assistant", "so", None), ("s", 3, 3, "tool_result", "tool", "out", "c"), ("s", 4, 4, "tool_result", "tool", "out", "c")]
+
+
+def test_events_are_computed_once_for_their_losses(spark):
+    events, n = counted(spark, losses.with_neutral_columns(spark.createDataFrame(TALK, EVENTS)), "kind")
+    got = {(r.target, r.loss_key): r.n for r in losses.losses(events, 0).collect()}
+    assert got[("opencode", "tool_result:native_order_associated")] == 1 and got[("opencode", "tool_result:orphan_id")] == 1
+    assert n.value == len(TALK)
