@@ -49,7 +49,7 @@ def vibe_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 def native_counts(spark: SparkSession, d: str) -> DataFrame:
     """Records of each type that each target gets, over all sessions."""
-    e = _events(spark, d)
+    e = emit.ready(_events(spark, d), AS_OF_MS)
     rows = emit.to_codex(e, AS_OF_MS).unionByName(emit.to_claude(e, AS_OF_MS)).unionByName(emit.to_pi(e, AS_OF_MS))
     kind = F.concat_ws(":", F.get_json_object("value", "$.type"), F.get_json_object("value", "$.payload.type"), F.get_json_object("value", "$.message.role"))
     return rows.groupBy("target", kind.alias("record_type")).agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import wire
-from loomlake.operators import losses, parse, step_rows, stores
+from loomlake.operators import emit_more, losses, parse, step_rows, stores
 
 
 def counted(spark, df, column):
@@ -72,3 +72,11 @@ def test_events_are_computed_once_for_their_losses(spark):
     got = {(r.target, r.loss_key): r.n for r in losses.losses(events, 0).collect()}
     assert got[("opencode", "tool_result:native_order_associated")] == 1 and got[("opencode", "tool_result:orphan_id")] == 1
     assert n.value == len(TALK)
+
+
+@pytest.mark.parametrize("emitter", [emit_more.to_opencode, emit_more.to_copilot])
+def test_events_are_prepared_once_for_an_emitter(spark, emitter):
+    """Preparing reads events twice, for the tools' linkage and for the rows; nothing else computes them again."""
+    events, n = counted(spark, losses.with_neutral_columns(spark.createDataFrame(TALK, EVENTS)), "kind")
+    assert '"out"' in "".join(r.value for r in emitter(events, 0).collect())
+    assert n.value <= 2 * len(TALK)
