@@ -23,7 +23,7 @@ def validated(records: DataFrame, scans: DataFrame, fmt: str, as_of_ms: int) ->
     else:
         events, rejects = {"claude": parse.parse_claude, "pi": parse.parse_pi}[fmt](rows)
     target = "codex" if fmt == "claude" else "claude"
-    made = {"codex": emit.to_codex, "claude": emit.to_claude}[target](with_neutral_columns(events), as_of_ms)
+    made = {"codex": emit.to_codex, "claude": emit.to_claude}[target](emit.ready(with_neutral_columns(events), as_of_ms), as_of_ms)
     good = artifacts.reasons(made, artifacts.session_ids(waiting), (target,)).where("reason IS NULL").select(KEY, F.lit(True).alias("good"))
     if rejects is not None:
         good = good.join(rejects.select(KEY), KEY, "left_anti")
