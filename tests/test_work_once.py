@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import wire
-from loomlake.operators import emit_more, losses, parse, step_rows, stores
+from loomlake.operators import artifacts, emit_more, losses, parse, step_rows, stores
 
 
 def counted(spark, df, column):
@@ -80,3 +80,11 @@ def test_events_are_prepared_once_for_an_emitter(spark, emitter):
     events, n = counted(spark, losses.with_neutral_columns(spark.createDataFrame(TALK, EVENTS)), "kind")
     assert '"out"' in "".join(r.value for r in emitter(events, 0).collect())
     assert n.value <= 2 * len(TALK)
+
+
+def test_artifacts_are_computed_once_for_their_checks(spark):
+    lines = [("s", "codex", i, 0, '{"type":"session_meta","payload":{"id":"x"}}' if i < 0 else '{"type":"response_item"}') for i in (-1, 0, 1)] + [("s", "claude", 0, 0, "[]")]
+    rows, n = counted(spark, spark.createDataFrame(lines, "session_key string, target string, ord_a long, ord_b int, value string"), "value")
+    ids = spark.createDataFrame([("s", "codex", "x"), ("s", "claude", "x")], "session_key string, target string, session_id string")
+    assert {r.target: r.reason for r in artifacts.reasons(rows, ids, ("claude", "codex")).collect()} == {"codex": None, "claude": "invalid_record"}
+    assert n.value == len(lines)
