@@ -63,6 +63,21 @@ def test_malformed_messages_are_null(spark):
     assert got == [None, None, [(2, 150, None), (1, None, b"y")], []]
 
 
+def test_numbers_that_no_field_can_have_are_malformed(spark):
+    large = "\u0200\u0200\u0200ab".encode()  # as a message: field 97 << 39
+    long = b"\x08" + b"\xff" * 9 + b"\x7f"  # 70 bits
+    df = spark.createDataFrame([(0, bytearray(large)), (1, bytearray(long)), (2, bytearray(b"\x00\x01")), (3, bytearray(b"\x08" + b"\xff" * 9 + b"\x01"))], "i int, d binary")
+    got = df.select("i", wire.wire_fields("d").alias("f")).orderBy("i").collect()
+    assert [r.f for r in got[:3]] == [None] * 3 and got[3].f[0].varint == -1
+
+
+def test_texts_that_look_like_messages_are_read_as_texts(spark):
+    odd = ["\u0200\u0200\u0200ab", "\u0200" * 3 + "\n\x01x", "\n\x01x"]
+    turns = spark.createDataFrame([("s", i, t, [t, "so"]) for i, t in enumerate(odd)], "session_key string, turn long, user_text string, assistant_texts array<string>")
+    got = stores.parse_blobs(*stores.blob_store(turns)).orderBy("turn", "step").collect()
+    assert [(r.turn, r.step, r.role, r.text) for r in got] == [x for i, t in enumerate(odd) for x in ((i, 0, "user", t), (i, 1, "assistant", t), (i, 2, "assistant", "so"))]
+
+
 EVENTS = "session_key string, event_seq long, record_index long, kind string, role string, text string, tool_call_id string"
 TALK = [("s", 0, 0, "message", "user", "hi", None), ("s", 1, 1, "tool_call", "assistant", None, "c"), ("s", 2, 2, "message", "assistant", "so", None), ("s", 3, 3, "tool_result", "tool", "out", "c"), ("s", 4, 4, "tool_result", "tool", "out", "c")]
 
