@@ -1,9 +1,11 @@
 """Steps that read their rows several times must not compute them again each time, and native messages are made without Python."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.functions import wire
+from loomlake.functions import staging, wire
 from loomlake.operators import artifacts, emit_more, losses, parse, step_rows, stores
 
 
@@ -103,3 +105,11 @@ def test_artifacts_are_computed_once_for_their_checks(spark):
     ids = spark.createDataFrame([("s", "codex", "x"), ("s", "claude", "x")], "session_key string, target string, session_id string")
     assert {r.target: r.reason for r in artifacts.reasons(rows, ids, ("claude", "codex")).collect()} == {"codex": None, "claude": "invalid_record"}
     assert n.value == len(lines)
+
+
+def test_what_a_stored_table_shuffled_is_removed(spark):
+    local = Path(spark.conf.get("spark.local.dir"))
+    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    before = files()
+    df = staging.stored(spark.range(1000).repartition(3, "id"))
+    assert files() <= before and df.count() == 1000
