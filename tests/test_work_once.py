@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlake.functions import staging, wire
+from loomlake.jobs import native_jobs
 from loomlake.operators import artifacts, emit_more, losses, parse, step_rows, stores
 
 
@@ -107,6 +108,24 @@ def test_artifacts_are_computed_once_for_their_checks(spark):
     assert n.value == len(lines)
 
 
+def held(spark):
+    """The folders that the library keeps in the shared one, by kind."""
+    return sorted(p.name.rpartition("-")[0] for p in Path(staging.shared_folder(spark).removeprefix("file:")).iterdir() if "-" in p.name and not p.name[0].isdigit())
+
+
+def test_slices_of_sessions_give_all_rows_and_leave_only_these(spark, monkeypatch):
+    rows = [(f"s{k}", *r[1:]) for k in range(7) for r in TALK]
+    events = losses.with_neutral_columns(spark.createDataFrame(rows, EVENTS))
+    make = lambda e: native_jobs._manifests(e, ("codex",))
+    before, found = held(spark), []
+    monkeypatch.setattr(staging, "SLICE_ROWS", 2 * len(TALK))
+    got = staging.by_sessions(events, lambda e: found.append(held(spark)) or make(e))
+    assert found == [sorted([*before, *["slice"] * k]) for k in range(4)]
+    assert sorted(held(spark)) == sorted([*before, *["slice"] * 4])
+    whole = sorted(map(str, make(events).collect()))
+    assert len(whole) == 7 and sorted(map(str, got.collect())) == whole
+
+
 def test_what_a_stored_table_shuffled_is_removed(spark):
     local = Path(spark.conf.get("spark.local.dir"))
     files = lambda: {p for p in local.rglob("shuffle_*.data")}
