@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlake.functions import scalars as S
-from loomlake.functions.staging import checkpointed
+from loomlake.functions.staging import checkpointed, stored
 from loomlake.functions.text import casefold
 
 
@@ -16,9 +16,9 @@ def first_labels(labels: DataFrame) -> DataFrame:
 
 
 def display_titles(labels: DataFrame) -> DataFrame:
-    """The title with the highest priority, then the latest ordinal, then the last put in."""
+    """The title with the highest priority, then the latest ordinal, then the last put in. Texts are shuffled once, by session."""
     best = F.max_by(F.struct("kind", "value"), F.struct("priority", "ordinal", "ins"))
-    return first_labels(labels).groupBy("catalog_id").agg(best.alias("t")).select("catalog_id", F.col("t.kind").alias("kind"), F.col("t.value").alias("title"))
+    return first_labels(labels.repartition("catalog_id")).groupBy("catalog_id").agg(best.alias("t")).select("catalog_id", F.col("t.kind").alias("kind"), F.col("t.value").alias("title"))
 
 
 def duplicates(sessions: DataFrame) -> DataFrame:
@@ -152,23 +152,27 @@ def search(sessions: DataFrame, labels: DataFrame, queries: list[str], with_path
 QUERY_BLOCK = 20_000
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def resolved(titles: DataFrame, queries: DataFrame) -> DataFrame:
     """The one session that each given title (query) names: exact folded matches first, else those that contain it.
 
-    Exact matches are an equi-join; only the titles without any are held against all others, in blocks of
-    bounded size.
+    Titles are folded once, into a table. Exact matches are an equi-join of digests; only the queries without
+    any are held against all titles, in blocks of bounded size. Queries go by the digest of their text.
     """
-    asked = checkpointed(queries.select("query").distinct().withColumn("folded", casefold(F.col("query"))))
-    t = titles.select("catalog_id", casefold(F.col("title")).alias("title"))
-    tally = lambda met: met.groupBy("query").agg(F.count("*").alias("n"), F.min("catalog_id").alias("hit"))
-    exact = checkpointed(tally(asked.join(t, asked["folded"] == t["title"])))
-    rest = checkpointed(asked.join(exact, "query", "left_anti"))
+    t = stored(titles.select("catalog_id", casefold(F.col("title")).alias("title")))
+    asked = stored(queries.select("query").distinct().select(_digest("query").alias("q"), "query", casefold(F.col("query")).alias("folded")))
+    tally = lambda met: met.groupBy("q").agg(F.count("*").alias("n"), F.min("catalog_id").alias("hit"))
+    exact = stored(tally(asked.select("q", _digest("folded").alias("d")).join(t.select("catalog_id", _digest("title").alias("d")), "d")))
+    rest = stored(asked.join(exact, "q", "left_anti").select("q", "folded"))
     out, blocks = exact, -(-rest.count() // QUERY_BLOCK)
     for k in range(blocks):
-        some = F.broadcast(rest.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
+        some = F.broadcast(rest.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k))
         out = out.unionByName(tally(t.join(some, F.contains(F.col("title"), F.col("folded")))))
     n = F.coalesce("n", F.lit(0))
-    return asked.join(out, "query", "left").select("query", F.when(n == 1, F.col("hit")).alias("catalog_id"), F.when(n == 0, "no_match").when(n > 1, "ambiguous").alias("error"))
+    return asked.join(out, "q", "left").select("query", F.when(n == 1, F.col("hit")).alias("catalog_id"), F.when(n == 0, "no_match").when(n > 1, "ambiguous").alias("error"))
 
 
 def located(sessions: DataFrame, ids: DataFrame) -> DataFrame:

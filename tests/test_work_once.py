@@ -5,9 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomlake.functions import staging, wire
+from loomlake.functions import staging, text, wire
 from loomlake.jobs import native_jobs
-from loomlake.operators import artifacts, emit_more, losses, parse, step_rows, stores
+from loomlake.operators import artifacts, catalog, emit_more, losses, parse, step_rows, stores
 
 
 def counted(spark, df, column):
@@ -132,3 +132,29 @@ def test_what_a_stored_table_shuffled_is_removed(spark):
     before = files()
     df = staging.stored(spark.range(1000).repartition(3, "id"))
     assert files() <= before and df.count() == 1000
+
+
+def test_titles_are_computed_once_for_all_that_look_for_them(spark, monkeypatch):
+    rows = [(1, "Alpha one"), (2, "alpha ONE"), (3, "beta"), (4, "gamma ray"), (5, "gam"), (6, None), (7, "")]
+    titles, n = counted(spark, spark.createDataFrame(rows, "catalog_id long, title string"), "title")
+    asked = spark.createDataFrame([(q,) for q in ("alpha one", "BETA", "a ray", "am", "zz", "lpha", None, "beta", "BETA")], "query string")
+    monkeypatch.setattr(catalog, "QUERY_BLOCK", 2)
+    got = {r.query: (r.catalog_id, r.error) for r in catalog.resolved(titles, asked).collect()}
+    assert got == {"alpha one": (None, "ambiguous"), "BETA": (3, None), "beta": (3, None), "a ray": (4, None), "am": (None, "ambiguous"), "zz": (None, "no_match"), "lpha": (None, "ambiguous"), None: (None, "no_match")}
+    assert n.value == len(rows)
+
+
+def test_labels_are_shuffled_once_for_the_titles(spark):
+    labels = spark.createDataFrame([(1, "a", "x", 1, 1, 0), (1, "a", "x", 1, 2, 1), (1, "b", "y", 1, 1, 2)], "catalog_id long, kind string, value string, priority int, ordinal long, ins long")
+    titles = catalog.display_titles(labels)
+    assert [tuple(r) for r in titles.collect()] == [(1, "b", "y")]
+    assert titles._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+    assert titles._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[2].count("Exchange") == 1
+
+
+def test_every_code_point_folds_alone_and_among_others(spark):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [*points, "".join(points), "".join(p for p in points if p < "\u0250"), "".join(p for p in points if "\u3000" <= p <= "\u9fff"), "I\u0307J \u0130 A\u00df\u1e9e", "\u03a3\u03a3 \u00c0\u03a3", ""]
+    got = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", text.casefold(F.col("t")).alias("f")).toPandas().sort_values("i")["f"]
+    assert [(x, f) for x, f in zip(texts, got, strict=True) if x.casefold() != f] == []
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS t").select(text.casefold(F.col("t"))).first()[0] is None
