@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlake.functions.staging import by_sessions
 from loomlake.operators import catalog as C
 from loomlake.sources.bridges import catalog, labels
 
@@ -12,11 +13,13 @@ from loomlake.sources.bridges import catalog, labels
 SEARCHES = ("the er", "THE S1", "le de", "ß", "En CH", "zzzz")
 TITLES = ("the", "ß", "zzzz zzzz")
 LIMIT, OFFSET = 100, 50
+#: Titles are chosen for so many slices of sessions in turn, each of which shuffles its share of the labels' texts.
+TITLE_SLICES = 2
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     """Some given titles, and those of every twentieth session."""
-    titles = C.display_titles(labels(spark, d))
+    titles = by_sessions(labels(spark, d), C.display_titles, TITLE_SLICES, "catalog_id")
     given = spark.createDataFrame([(t,) for t in TITLES], "query string")
     return C.resolved(titles, given.unionByName(titles.where(F.col("catalog_id") % 20 == 0).select(F.col("title").alias("query"))))
 
